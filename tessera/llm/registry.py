@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("suffix_dedup", "quality_rules")
+MODULES = ("suffix_dedup", "bpe", "quality_rules")
 
 
 def _all(name: str) -> dict:

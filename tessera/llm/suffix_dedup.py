@@ -9,9 +9,11 @@ suffixes that are alone in their group leave, so later passes touch repeats only
    inside it. Neighbouring windows share it, so a run of them is one row. Anchors that
    occur once leave.
 2. The second digit is the run's whole extent. Runs that equal another are repeated as
-   they stand; of each such class one run stays to stand for it in the last pass, and
+   they stand; of each such class one run stays to stand for it in the later passes, and
    only where a run with the same anchor differs.
-3. The last digit is all `width` bytes of each window of the runs that are left.
+3. The third digit is the extent of each `STEP` windows, counted from the anchor, of the
+   runs that are left; classes are treated as in the second pass.
+4. The last digit is all `width` bytes of each window that is left.
 
 Equal windows have the same anchor at the same place, so no pass parts them. Digits are
 64-bit hashes. Hot groups (copies, common passages) are aggregated before each shuffle
@@ -28,12 +30,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import written
 from .text import Rolling, U, mix, pieces
 
 NO_ID = -(2**63)
+STEP = 16  # windows that pass 3 takes together
 _PLACE = 24  # bits of a place inside a piece of text
 
 
@@ -48,9 +52,15 @@ def _least(keys: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[span - 1 : span - 1 + n])
 
 
+def _extent(rolling: Rolling, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A digit for all bytes under windows lo to hi and for where their anchor lies."""
+    shape = (at - lo).astype(U) * U(1 << 20) + (hi - lo).astype(U)
+    return mix(rolling(lo, hi + width) ^ mix(shape)).view(np.int64)
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) -> dict[str, np.ndarray]:
     """Runs of windows with one anchor: text, first and last window, digits 1 and 2."""
-    empty = {k: np.zeros(0, np.int64) for k in ("text", "lo", "hi", "key", "full")}
+    empty = {k: np.zeros(0, np.int64) for k in ("text", "lo", "hi", "at", "key", "full")}
     if len(data) < width:
         return empty
     rolling = Rolling(data)
@@ -69,16 +79,45 @@ def runs(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) -> dict
     first = np.r_[True, (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])]
     lo, text, mark = at[first], text[first], mark[first]
     hi = np.r_[at[np.flatnonzero(first)[1:] - 1], at[-1]]
-    shape = (mark - lo).astype(U) * U(1 << 20) + (hi - lo).astype(U)
-    full = mix(rolling(lo, hi + width) ^ mix(shape))
     start = offsets[text]
-    return {"text": text, "lo": lo - start, "hi": hi - start, "key": grams[mark].view(np.int64), "full": full.view(np.int64)}
+    return {"text": text, "lo": lo - start, "hi": hi - start, "at": mark - start, "key": grams[mark].view(np.int64), "full": _extent(rolling, lo, hi, mark, width)}
+
+
+def _given(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None) -> DataFrame:
+    """Columns k (id, none null), text, row."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []))
+
+
+def _marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A number for each whole text, which tells texts of one id apart."""
+    return Rolling(data)(offsets[:-1], offsets[1:]).view(np.int64)
+
+
+def _pack_job(carry: bool):
+    """Texts compressed one by one, for the shuffles."""
+
+    def job(batches):
+        codec = pa.Codec("zstd", 3)
+        for batch in batches:
+            for i, j, data, offsets in pieces(batch.column("text")):
+                whole = data.tobytes()
+                packed = [codec.compress(whole[a:b], asbytes=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                names = ["k", *(["row"] if carry else []), "mark", "size", "packed"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names[: 1 + carry]), pa.array(_marks(data, offsets)), pa.array(np.diff(offsets)), pa.array(packed, pa.binary())], names=names)
+
+    return job
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None) -> DataFrame:
-    """Columns k (id, none null), seq (1 but for rows that repeat an id), text, row; dealt by k."""
-    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []))
-    return given.repartition("k").withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("text")))
+def _unpacked(batch: pa.RecordBatch, limit: int = 2 << 20):
+    """As pieces(), from the columns size and packed."""
+    codec, sizes, packed = pa.Codec("zstd"), np.asarray(batch.column("size")), batch.column("packed")
+    ends = np.r_[0, np.cumsum(sizes)]
+    i = 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + limit, "right")) - 1)
+        whole = b"".join(codec.decompress(packed[x].as_py(), int(sizes[x]), asbytes=True) for x in range(i, j))
+        yield i, j, np.frombuffer(whole, np.uint8), ends[i : j + 1] - ends[i]
+        i = j
 
 
 def _run_job(width: int, anchor: int):
@@ -86,58 +125,95 @@ def _run_job(width: int, anchor: int):
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column("text")):
                 out = runs(data, offsets, width, anchor)
-                row = pa.array(out.pop("text") + i)
-                yield pa.RecordBatch.from_arrays([batch.column("k").take(row), batch.column("seq").take(row), *(pa.array(v) for v in out.values())], names=["k", "seq", *out])
+                row = out.pop("text")
+                yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(row + i)), pa.array(_marks(data, offsets)[row]), *(pa.array(v, pa.int32() if n in ("lo", "hi", "at") else pa.int64()) for n, v in out.items())], names=["k", "mark", *out])
 
     return job
 
 
-def _per_text(batch: pa.RecordBatch, i: int, j: int, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lists of structs (seq, lo, hi) of rows [i, j): row, lo, hi of those whose seq is the row's."""
+def _per_text(batch: pa.RecordBatch, i: int, j: int, column: str) -> tuple[np.ndarray, ...]:
+    """The lists of structs (mark, lo, hi, ...) of rows [i, j): row, lo, hi, ... of those whose mark is the row's."""
     lists = batch.column(column).slice(i, j - i)
     flat = lists.flatten()
     row = np.repeat(np.arange(j - i), np.asarray(lists.value_lengths().fill_null(0)))
-    seq, lo, hi = (np.asarray(flat.field(k)) for k in range(3))
-    own = seq == np.asarray(batch.column("seq"))[i:j][row]
-    return row[own], lo[own], hi[own]
+    mark, *rest = (np.asarray(flat.field(k)).astype(np.int64) for k in range(flat.type.num_fields))
+    own = mark == np.asarray(batch.column("mark"))[i:j][row]
+    return row[own], *(x[own] for x in rest)
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... counts[0]-1, 0, 1, ... counts[1]-1, ..."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _step_job(width: int):
+    """Pass 3: the windows of each part, `STEP` at a time by their distance from the anchor."""
+
+    def job(batches):
+        for batch in batches:
+            for i, j, data, offsets in _unpacked(batch):
+                row, lo, hi, at, key = _per_text(batch, i, j, "parts")
+                top = (at - lo) // STEP
+                count = top - (at - hi) // STEP + 1
+                lo, hi, at, key, row, top = (np.repeat(x, count) for x in (lo, hi, at, key, row, top))
+                which = top - _within(count)
+                first, last = np.maximum(lo, at - which * STEP - STEP + 1), np.minimum(hi, at - which * STEP)
+                full = _extent(Rolling(data), offsets[row] + first, offsets[row] + last, offsets[row] + at, width)
+                key = mix(key.view(U) ^ mix((which + (1 << 40)).astype(U))).view(np.int64)
+                take = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays([batch.column("k").take(take), batch.column("mark").take(take), *(pa.array(x.astype(np.int32)) for x in (first, last, at)), pa.array(key), pa.array(full)], names=["k", "mark", "lo", "hi", "at", "key", "full"])
+
+    return job
 
 
 def _window_job(width: int):
+    """Pass 4: the windows of each part, one by one."""
+
     def job(batches):
         for batch in batches:
-            for i, j, data, offsets in pieces(batch.column("text")):
-                row, lo, hi = _per_text(batch, i, j, "parts")
-                size = hi - lo + 1
-                row = np.repeat(row, size)
-                p = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            for i, j, data, offsets in _unpacked(batch):
+                row, lo, hi, _, _ = _per_text(batch, i, j, "parts")
+                count = hi - lo + 1
+                row, p = np.repeat(row, count), np.repeat(lo, count) + _within(count)
                 digit = Rolling(data)(offsets[row] + p, offsets[row] + p + width)
-                at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([batch.column("k").take(at), batch.column("seq").take(at), pa.array(p), pa.array(digit.view(np.int64))], names=["k", "seq", "p", "digit"])
+                take = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays([batch.column("k").take(take), batch.column("mark").take(take), pa.array(p.astype(np.int32)), pa.array(digit.view(np.int64))], names=["k", "mark", "p", "digit"])
 
     return job
 
 
-def repeated_windows(texts: DataFrame, width: int, anchor: int) -> DataFrame:
-    """Spans (k, seq, lo, hi) of bytes under windows that occur again."""
-    rows = texts.select("k", "seq", "text").mapInArrow(_run_job(width, anchor), "k long, seq int, lo long, hi long, key long, full long").checkpoint()
-    place = F.struct("k", "seq", "lo")
+_RUN = "k long, mark long, lo int, hi int, at int, key long, full long"
+
+
+def _told(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of runs with digits key and full: those that equal another, and by k those that the next pass has to part."""
+    place = F.struct("k", "mark", "lo")
     classes = rows.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(place).alias("stands"))
-    digits = classes.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.min("n").alias("least")).filter("all >= 2")
-    known = classes.join(digits, "key").select("key", "full", "n", "stands", "kinds", "least")
-    told = rows.join(known, ["key", "full"]).select("k", "seq", "lo", "hi", "n", (F.col("kinds") > 1).alias("mixed"), "least", (F.col("stands") == place).alias("stands")).filter("n >= 2 or mixed").checkpoint()
-    parts = told.filter("mixed and (n = 1 or (stands and least = 1))").groupBy("k").agg(F.collect_list(F.struct("seq", "lo", "hi")).alias("parts"))
-    windows = texts.select("k", "seq", "text").join(parts, "k").mapInArrow(_window_job(width), "k long, seq int, p long, digit long").checkpoint()
+    digits = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+    known = classes.join(digits.filter("kinds > 1 or least > 1"), "key")
+    more = (F.col("kinds") > 1) & ((F.col("n") == 1) | ((F.col("stands") == place) & (F.col("least") == 1)))
+    told = written(rows.join(known, ["key", "full"]).select("k", "mark", "lo", "hi", "at", "key", "n", more.alias("more")).filter("n >= 2 or more"))
+    return told.filter("n >= 2"), told.filter("more").groupBy("k").agg(F.collect_list(F.struct("mark", "lo", "hi", "at", "key")).alias("parts"))
+
+
+def repeated_windows(given: DataFrame, texts: DataFrame, width: int, anchor: int) -> DataFrame:
+    """Spans (k, mark, lo, hi) of bytes under windows that occur again."""
+    texts = texts.select("k", "mark", "size", "packed")
+    rows = given.select("k", "text").mapInArrow(_run_job(width, anchor), _RUN)
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2").select("key")
+    found, parts = _told(written(rows.join(shared, "key")))
+    closer, parts = _told(written(texts.join(parts, "k").mapInArrow(_step_job(width), _RUN)))
+    windows = written(texts.join(parts, "k").mapInArrow(_window_job(width), "k long, mark long, p int, digit long"))
     again = windows.groupBy("digit").agg(F.count("*").alias("n")).filter("n >= 2").select("digit")
-    return (
-        told.filter("n >= 2").select("k", "seq", "lo", (F.col("hi") + width).alias("hi"))
-        .union(windows.join(again, "digit").select("k", "seq", F.col("p").alias("lo"), (F.col("p") + width).alias("hi")))
-    )
+    one = windows.join(again, "digit").select("k", "mark", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    spans = found.union(closer).select("k", "mark", "lo", "hi").union(one)
+    return spans.withColumn("hi", F.col("hi") + width)
 
 
 def _cut_job(carry: bool):
     def job(batches):
         for batch in batches:
-            for i, j, data, offsets in pieces(batch.column("text")):
+            for i, j, data, offsets in _unpacked(batch):
                 row, lo, hi = _per_text(batch, i, j, "spans")
                 change = np.zeros(len(data) + 1, np.int64)
                 np.add.at(change, offsets[row] + lo, 1)
@@ -150,7 +226,9 @@ def _cut_job(carry: bool):
                 stay = data[kept]
                 body = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(sums.astype(np.int32)), pa.py_buffer(stay.tobytes())])
                 begins = np.flatnonzero(start)
-                stops = np.flatnonzero(gone & ~np.r_[gone[1:], False] | gone & np.isin(np.arange(1, len(gone) + 1), offsets)) + 1 if len(begins) else begins
+                after = np.r_[gone[1:], False] if len(gone) else gone
+                after[offsets[1:][offsets[1:] > 0] - 1] = False
+                stops = np.flatnonzero(gone & ~after) + 1
                 own = np.searchsorted(offsets, begins, "right") - 1
                 counts = np.bincount(own, minlength=j - i)
                 flat = pa.StructArray.from_arrays([pa.array(begins - offsets[own]), pa.array(stops - offsets[own])], names=["lo", "hi"])
@@ -162,14 +240,15 @@ def _cut_job(carry: bool):
     return job
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, anchor: int = 128, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 400, anchor: int = 200, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per text: `id_col`, n_bytes, n_removed, spans (removed runs, as array of lo, hi), kept (bytes that stay), and `row` if `carry` names columns."""
     if not 0 < anchor < width or width > 1 << 19:
         raise ValueError("0 < anchor < width <= 2**19 is needed")
-    texts = _texts(docs, id_col, text_col, carry)
-    spans = repeated_windows(texts, width, anchor).groupBy("k").agg(F.collect_list(F.struct("seq", "lo", "hi")).alias("spans"))
-    row = f"row {texts.schema['row'].dataType.simpleString()}, " if carry else ""
-    out = texts.join(spans, "k", "left").select("k", "seq", "text", *(["row"] if carry else []), F.coalesce("spans", F.array().cast("array<struct<seq:int,lo:bigint,hi:bigint>>")).alias("spans"))
+    given = _given(docs, id_col, text_col, carry)
+    row = f"row {given.schema['row'].dataType.simpleString()}, " if carry else ""
+    texts = given.mapInArrow(_pack_job(bool(carry)), f"k long, {row}mark long, size long, packed binary")
+    spans = repeated_windows(given, texts, width, anchor).groupBy("k").agg(F.collect_list(F.struct("mark", "lo", "hi")).alias("spans"))
+    out = texts.join(spans, "k", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<mark:bigint,lo:int,hi:int>>")))
     cut = out.mapInArrow(_cut_job(bool(carry)), f"k long, {row}n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary")
     return cut.withColumn("k", F.when(F.col("k") != NO_ID, F.col("k"))).withColumnRenamed("k", id_col)
 
