@@ -33,7 +33,8 @@ from .text import SPACE, pieces
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
-UNITS = 400_000  # kept in a worker's table before it starts anew
+NEVER = np.iinfo(np.int32).max
+UNITS = 500_000  # kept in a worker's table before it starts anew
 
 
 def _alphabet() -> dict[str, int]:
@@ -51,11 +52,13 @@ class Bpe:
             raise ValueError("a byte-level BPE file without normaliser is needed")
         letter = _alphabet()
         raw = {bytes(letter[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
-        self.byte_id = [raw[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = (bytes(letter[c] for c in x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.merges[raw[a], raw[b]] = (rank, raw[a + b])
+        self.byte_id = np.array([raw[bytes([b])] for b in range(256)], np.int32)
+        pairs = [[bytes(letter[c] for c in x) for x in (m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        keys = np.array([(raw[a] << 20) | raw[b] for a, b in pairs])
+        self.pair_rank = np.argsort(keys, kind="stable").astype(np.int32)
+        self.pair_keys = keys[self.pair_rank]
+        self.pair_id = np.array([raw[a + b] for a, b in pairs], np.int32)[self.pair_rank]
+        self.by_rank = np.argsort(self.pair_rank)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take white space or whole words are not supported")
@@ -71,61 +74,69 @@ class Bpe:
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.fragments: dict[bytes, list[int]] = {}
         self.forget()
 
     def forget(self) -> None:
         self.units: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
-        self.starts, self.sizes, self.used = [], [], 0
-        self.fragments.clear()
-
-    def fragment(self, piece: bytes) -> list[int]:
-        """Merges of least rank first, leftmost of equals, until none applies."""
-        ids = [self.byte_id[b] for b in piece]
-        merges = self.merges
-        while len(ids) > 1:
-            ranked = [merges.get(p) for p in zip(ids[:-1], ids[1:], strict=True)]
-            best = min((m for m in ranked if m), default=None)
-            if best is None:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i < len(ranked) and ranked[i] == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-    def unit(self, text: str) -> list[int]:
-        out: list[int] = []
-        for word in self.split.findall(text):
-            raw = word.encode()
-            view = np.frombuffer(raw, np.uint8)
-            cuts = [0, *(np.flatnonzero(~self.beside[view[:-1], view[1:]]) + 1).tolist(), len(raw)] if len(raw) > 1 else [0, len(raw)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                piece = raw[a:b]
-                ids = self.fragments.get(piece)
-                if ids is None:
-                    ids = self.fragments[piece] = self.fragment(piece)
-                out += ids
-        return out
-
-    def place(self, raw: bytes) -> int:
-        """The unit's number in this worker's table."""
+        self.starts, self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def merge(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All fragments at once: in each round every fragment merges its pair of least rank, leftmost of overlapping ones. Returns ids and the byte where each begins."""
+        ids, place = self.byte_id[data], np.arange(len(data))
+        owner = np.zeros(len(data), np.int64)
+        owner[begins] = 1
+        owner = np.cumsum(owner)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            key = (ids[:-1].astype(np.int64) << 20) | ids[1:]
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            rank = np.full(len(ids), NEVER, np.int32)
+            rank[:-1] = np.where((self.pair_keys[at] == key) & (owner[1:] == owner[:-1]), self.pair_rank[at], NEVER)
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            sizes = np.diff(np.r_[first, len(ids)])
+            least = np.repeat(np.minimum.reduceat(rank, first), sizes)
+            ended = least == NEVER
+            done.append((place[ended], ids[ended]))
+            hit = (rank == least) & ~ended
+            run = np.flatnonzero(hit & ~np.r_[False, hit[:-1]])
+            spot = np.flatnonzero(hit)
+            hit[spot] = (spot - run[np.searchsorted(run, spot, "right") - 1]) % 2 == 0 if len(spot) else False
+            spot = np.flatnonzero(hit)
+            ids[spot] = self.pair_id[self.by_rank[rank[spot]]]
+            stay = ~ended
+            stay[spot + 1] = False
+            ids, place, owner = ids[stay], place[stay], owner[stay]
+        places, found = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        by = np.argsort(places, kind="stable")
+        return found[by], places[by]
+
+    def learn(self, units: list[bytes]) -> None:
+        """Encodes units that are new to this worker's table."""
+        plain = [u for u in units if u[0] <= 0x20 and SPACE[u[0]] and 0x20 < u[-1] < 0x7F]
+        chosen = set(plain)
+        rest = [u for u in units if u not in chosen]
+        words = self.split.findall(b"".join(plain).decode("utf-8", "replace"))
+        for u in rest:
+            words += self.split.findall(u.decode("utf-8", "replace"))
+        raw = [w.encode() for w in words]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[0] = True
+        cut[np.cumsum([len(w) for w in raw])] = True
+        cut[1:-1] |= ~self.beside[data[:-1], data[1:]]
+        ids, places = self.merge(data, np.flatnonzero(cut[:-1]))
+        order = plain + rest
+        ends = np.cumsum([len(u) for u in order])
+        sizes = np.bincount(np.searchsorted(ends, places, "right"), minlength=len(order))
         at = len(self.starts)
-        ids = self.unit(raw.decode("utf-8", "replace"))
+        self.units.update(zip(order, range(at, at + len(order)), strict=True))
+        self.starts = np.r_[self.starts, self.used + np.cumsum(sizes) - sizes]
+        self.sizes = np.r_[self.sizes, sizes]
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts.append(self.used)
-        self.sizes.append(len(ids))
         self.used += len(ids)
-        self.units[raw] = at
-        return at
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin."""
@@ -167,13 +178,13 @@ class Bpe:
         begins = np.flatnonzero(cut)
         stops = np.r_[begins[1:], n]
         whole, get = data.tobytes(), self.units.get
-        found = [get(u) for u in map(whole.__getitem__, map(slice, begins.tolist(), stops.tolist()))]
-        for k, at in enumerate(found):
-            if at is None:
-                raw = whole[begins[k] : stops[k]]
-                found[k] = self.units[raw] if raw in self.units else self.place(raw)
+        pick = list(map(whole.__getitem__, map(slice, begins.tolist(), stops.tolist())))
+        found = list(map(get, pick))
+        if None in found:
+            self.learn(list({u for u, at in zip(pick, found, strict=True) if at is None}))
+            found = list(map(get, pick))
         at = np.array(found)
-        starts, sizes = np.array(self.starts)[at], np.array(self.sizes)[at]
+        starts, sizes = self.starts[at], self.sizes[at]
         ends = np.r_[0, np.cumsum(sizes)]
         ids = self.flat[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
         return ids, ends[np.searchsorted(begins, offsets)]

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("suffix_dedup", "bpe", "quality_rules")
+MODULES = ("suffix_dedup", "bpe", "minhash", "mixing", "quality_rules", "chat")
 
 
 def _all(name: str) -> dict:

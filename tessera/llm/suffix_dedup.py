@@ -201,6 +201,7 @@ def repeated_windows(given: DataFrame, texts: DataFrame, width: int, anchor: int
     texts = texts.select("k", "mark", "size", "packed")
     rows = given.select("k", "text").mapInArrow(_run_job(width, anchor), _RUN)
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2").select("key")
+    shared = written(shared)  # the join's sides are then plain exchanges, which Spark splits where a key is hot
     found, parts = _told(written(rows.join(shared, "key")))
     closer, parts = _told(written(texts.join(parts, "k").mapInArrow(_step_job(width), _RUN)))
     windows = written(texts.join(parts, "k").mapInArrow(_window_job(width), "k long, mark long, p int, digit long"))
