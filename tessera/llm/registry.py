@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("suffix_dedup", "bpe", "minhash", "mixing", "quality_rules", "chat")
+MODULES = ("suffix_dedup", "token_counts", "bpe", "minhash", "mixing", "quality_rules", "lm_score", "embedding_dedup", "chat", "license_scan")
 
 
 def _all(name: str) -> dict:
