@@ -1,13 +1,62 @@
-"""The training-data pipeline: stages over documents, each written and read again."""
+"""The training-data pipeline: stages over documents, each written and read again.
+
+Each stage works on all that the one before has kept and its decisions take effect; all
+but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.bpe import bpe_encode, byte_bpe_path
+from tessera.llm.minhash import minhash_classes
+from tessera.llm.mixing import mix_sources
+from tessera.llm.quality_rules import quality_rules
+from tessera.llm.store import written
+from tessera.llm.suffix_dedup import suffix_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that the quality rules reject go."""
+    return quality_rules(docs, carry=COLUMNS).filter("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: that of smallest id; rows without an id stay."""
+    kept = minhash_classes(docs).filter("kept").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.join(kept, "doc_id", "left_semi").select(*COLUMNS).union(docs.filter("doc_id is null").select(*COLUMNS))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes under repeated windows go; what is cut inside a character goes with it; texts of which nothing is left go."""
+    cut = suffix_dedup(docs, carry=COLUMNS)
+    text = F.try_validate_utf8(F.col("kept").cast("string"))
+    text = F.coalesce(text, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
+    out = cut.select("row.*", text.alias("_kept")).withColumn("text", F.col("_kept")).withColumn("n_chars", F.length("_kept").cast("long"))
+    return out.filter("length(text) > 0").select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by target weights: nine tenths of the tokens, each text once at most."""
+    return mix_sources(docs, share=0.9, max_epochs=1).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, ready for training."""
+    return bpe_encode(docs, byte_bpe_path(), carry=["lang", "source"]).select("doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("source mix", mixture), ("bpe", encoded)]
+
+ORACLE_SQL = None  # suffix arrays, near duplicates and BPE are beyond SQL; tests/llm holds each stage against brute force
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
