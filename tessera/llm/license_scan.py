@@ -94,7 +94,7 @@ def fit(docs: DataFrame, sample: int, features: int) -> tuple[list[tuple], list[
     rows = stated.union(unknown)
     vector = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=features, binary=True, minDF=2.0).fit(rows)
     seen = vector.transform(rows).withColumn("label", F.col("label").cast("double"))
-    model = LogisticRegression(family="multinomial", elasticNetParam=0.5, regParam=0.0005, maxIter=80, weightCol="weight").fit(seen.filter("not held"))
+    model = LogisticRegression(family="multinomial", elasticNetParam=0.5, regParam=0.0005, maxIter=40, weightCol="weight").fit(seen.filter("not held"))
     coefficients, intercepts = model.coefficientMatrix.toArray(), list(model.interceptVector.toArray())
     classes = len(intercepts)
     pad = lambda xs, low: [*map(float, xs), *[low] * (UNKNOWN + 1 - classes)]
@@ -128,7 +128,10 @@ def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overl
     z = [F.col(f"z{c}") + intercepts[c] for c in range(UNKNOWN + 1)]
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
-    best = F.array_max(F.array(*[F.struct((F.exp(z[c] - top) / total).alias("p"), F.lit(FAMILIES[c]).alias("family"), F.greatest(*[F.col(f"t{k}") / sizes[k] for k, (f, _) in enumerate(templates) if f == FAMILIES[c]]).alias("share")) for c in range(UNKNOWN)]))
+    shares = {f: F.greatest(F.lit(0.0), *[F.col(f"t{k}") / sizes[k] for k, (g, _) in enumerate(templates) if g == f]) for f in FAMILIES}
+    chance = [F.exp(z[c] - top) / total for c in range(UNKNOWN)]
+    # of the families that the model holds possible, the one whose template the paragraph matches best
+    best = F.array_max(F.array(*[F.struct(F.when(chance[c] >= 0.02, shares[FAMILIES[c]]).otherwise(0.0).alias("share"), chance[c].alias("p"), F.lit(FAMILIES[c]).alias("family")) for c in range(UNKNOWN)]))
     licensed = 1 - F.exp(z[UNKNOWN] - top) / total
     named = scored.filter(licensed >= least).select("id", "mark", best.alias("b"))
     sure = F.col("b.share") >= overlap
