@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import descriptive, models
+from . import descriptive, models, streams
 
-MODULES = (descriptive, models)
+MODULES = (descriptive, models, streams)
 
 
 def queries() -> dict:
