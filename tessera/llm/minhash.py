@@ -155,7 +155,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> Dat
     """Pairs (a, b) of ids whose sets have a similarity of `least` or more."""
     pairs = written(pairs)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, "id", "left_semi")
+    texts = docs.join(wanted.hint("merge"), "id", "left_semi")  # the same plan at every size
     sets = written(texts.mapInArrow(_shingle_job(size), "id long, set array<long>").dropDuplicates(["id"]))
     return written(
         pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
