@@ -2,10 +2,12 @@
 
 Paragraphs (lines) are sets of word n-grams. A sparse multinomial logistic regression,
 fitted by Spark ML on licence statements and on paragraphs of a bounded sample of the
-texts as unknowns, gives each n-gram its weights; scoring joins the n-grams of all
-paragraphs with that table, whose size `features` bounds. The probability from which a
-family counts is set on unknowns held out from the fit. What the model names is then
-compared with the family's templates and confirmed if the paragraph holds enough of one.
+texts as unknowns, gives each n-gram its weights. The model's own weights tell n-grams of
+which a paragraph must hold one to be likely enough (`needed`): paragraphs without any
+are decided where they are read, and the n-grams of the others are joined with the table
+of weights, whose size `features` bounds. The probability from which a family counts is
+set on unknowns held out from the fit. What the model names is then compared with the
+family's templates and confirmed if the paragraph holds enough of one.
 
 Defined cases: a null or empty text has no paragraphs; a paragraph of any length is
 taken whole; repeated rows get equal results, each its own row; a table without texts is
@@ -14,11 +16,15 @@ scanned with unknowns left out; other columns are ignored.
 
 from __future__ import annotations
 
+from math import exp, log
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import written
+
 # Families and statements by which works name them.
 TEMPLATES = {
     "apache-2.0": [
@@ -82,7 +88,7 @@ def paragraphs(text: Column) -> Column:
 def fit(docs: DataFrame, sample: int, features: int) -> tuple[list[tuple], list[float], float]:
     """Weights of n-grams [(n-gram, [weight of each class])], intercepts, and the probability of any licence from which a paragraph counts. Fitted on the lines of `sample` texts chosen by hash."""
     spark = docs.sparkSession
-    some = docs.filter("text is not null").orderBy(F.xxhash64("text"), "text").limit(sample)
+    some = written(docs.filter("text is not null").orderBy(F.xxhash64("text"), "text").limit(sample))
     lines = some.select(F.explode(paragraphs(F.col("text"))).alias("text")).filter("length(text) > 0").withColumn("grams", ngrams(F.col("text")))
     known = F.lit(False)
     for f in FAMILIES:
@@ -91,7 +97,7 @@ def fit(docs: DataFrame, sample: int, features: int) -> tuple[list[tuple], list[
             known |= F.size(F.array_intersect("grams", grams)) >= 0.5 * F.size(grams)
     unknown = lines.filter(~known).select(F.lit(UNKNOWN).alias("label"), "grams", F.lit(1.0).alias("weight"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("held"))
     stated = _statements(spark).select("label", ngrams(F.col("text")).alias("grams"), "weight", F.lit(False).alias("held"))
-    rows = stated.union(unknown)
+    rows = written(stated.union(unknown))
     vector = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=features, binary=True, minDF=2.0).fit(rows)
     seen = vector.transform(rows).withColumn("label", F.col("label").cast("double"))
     model = LogisticRegression(family="multinomial", elasticNetParam=0.5, regParam=0.0005, maxIter=40, weightCol="weight").fit(seen.filter("not held"))
@@ -105,6 +111,25 @@ def fit(docs: DataFrame, sample: int, features: int) -> tuple[list[tuple], list[
     return table, pad(intercepts, -30.0), min(0.9, max(0.5, (odds or 0.0) + 0.05))
 
 
+def needed(weights: dict[str, list[float]], intercepts: list[float], least: float) -> list[str] | None:
+    """N-grams of which a paragraph must hold one to be a licence with a probability of `least`; None if it need not.
+
+    The odds against the unknown class grow by a factor of at most exp(gain) with each
+    n-gram, gain being its best lead over that class. The weakest n-grams that all
+    together do not reach `least` are left out.
+    """
+    lead = log(least / (1 - least)) - log(sum(exp(b - intercepts[UNKNOWN]) for b in intercepts[:UNKNOWN]))
+    if lead <= 0:
+        return None
+    gains = sorted((gain, g) for g, w in weights.items() if (gain := max(w[:UNKNOWN]) - w[UNKNOWN]) > 0)
+    total = 0.0
+    for k, (gain, _) in enumerate(gains):
+        total += gain
+        if total >= lead - 1e-6:
+            return sorted(g for _, g in gains[k:])
+    return []
+
+
 def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overlap: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: `id_col`, licences (confirmed families, sorted), n_found (confirmed paragraphs), n_unconfirmed, best (highest probability of a confirmed one)."""
     spark = docs.sparkSession
@@ -112,16 +137,21 @@ def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overl
     table, intercepts, least = fit(given.select("text"), sample, features)
     templates = [(f, t) for f in FAMILIES for t in TEMPLATES[f]]
     weights = {g: w for g, w in table if any(abs(x) > 1e-9 for x in w)}
-    grams = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(templates)], "k int, text string").select("k", F.explode(ngrams(F.col("text"))).alias("gram")).collect()
-    sizes = [sum(r.k == k for r in grams) for k in range(len(templates))]
+    held_by = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(templates)], "k int, text string").select("k", F.explode(ngrams(F.col("text"))).alias("gram")).collect()
+    sizes = [sum(r.k == k for r in held_by) for k in range(len(templates))]
     holds: dict[str, list[int]] = {}
-    for r in grams:
+    for r in held_by:
         holds.setdefault(r.gram, []).append(r.k)
     zero = [0.0] * (UNKNOWN + 1)
     rows = [(g, weights.get(g, zero), holds.get(g, [])) for g in sorted({*weights, *holds})]  # at most `features` and the templates' own
     model = F.broadcast(spark.createDataFrame(rows, "gram string, w array<double>, holds array<int>"))
     lines = given.select("id", "mark", F.posexplode(paragraphs(F.col("text"))).alias("par", "line"))
-    hits = lines.select("id", "mark", "par", F.explode(ngrams(F.col("line"))).alias("gram")).join(model, "gram").dropDuplicates(["id", "mark", "par", "gram"])
+    keys = needed(weights, intercepts, least)
+    if keys is not None:
+        wanted = F.split(F.lit("\n".join(keys)), "\n") if keys else F.array().cast("array<string>")
+        lines = lines.filter(F.arrays_overlap(ngrams(F.col("line")), wanted))
+    grams = lines.dropDuplicates(["id", "mark", "par"]).select("id", "mark", "par", F.explode(ngrams(F.col("line"))).alias("gram"))
+    hits = grams.join(model, "gram")
     sums = [F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(UNKNOWN + 1)]
     held = [F.count_if(F.array_contains("holds", k)).alias(f"t{k}") for k in range(len(templates))]
     scored = hits.groupBy("id", "mark", "par").agg(*sums, *held)
