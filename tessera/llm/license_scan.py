@@ -70,8 +70,12 @@ UNKNOWN = len(FAMILIES)
 def ngrams(text: Column) -> Column:
     """Distinct words and word pairs of a paragraph, in lower case."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w))
-    return F.array_distinct(F.concat(words, pairs))
+
+    def both(ws: Column) -> Column:
+        pairs = F.transform(F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat(F.get(ws, i), F.lit(" "), w))
+        return F.array_distinct(F.concat(ws, pairs))
+
+    return F.get(F.transform(F.array(words), both), 0)  # one element, so that the words are split once and not again for each pair
 
 
 def _statements(spark: SparkSession) -> DataFrame:
