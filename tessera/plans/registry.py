@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import descriptive, models, streams
+from . import descriptive, models, reports, streams
 
-MODULES = (descriptive, models, streams)
+MODULES = (descriptive, models, reports, streams)
 
 
 def queries() -> dict:
