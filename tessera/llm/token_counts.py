@@ -36,11 +36,13 @@ def _write_job(batches):
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Flat files of two-byte word ids (hashed into 65535), documents in order of id (and tokens) over the files' names. Null texts are empty."""
+    """Flat files of two-byte word ids (hashed into 65535), documents in order of id (then a hash of the tokens, then the tokens) over the files' names. Null texts are empty."""
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     tokens = given.mapInArrow(_write_job, f"id {given.schema['id'].dataType.simpleString()}, tokens binary")
+    # bounds of ranges are sampled on the driver, so they must not hold the tokens themselves
+    ranged = tokens.withColumn("mark", F.xxhash64("tokens")).repartitionByRange("id", "mark").sortWithinPartitions("id", "mark", "tokens")
     # the text writer puts bytes as they are and its line separator, here the separator id, after each row
-    tokens.repartitionByRange("id", "tokens").sortWithinPartitions("id", "tokens").select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", "\x00\x00").text(path)
+    ranged.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", "\x00\x00").text(path)
 
 
 def _scan_job(width: int, eod: int, block: int):
