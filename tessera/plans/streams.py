@@ -42,3 +42,15 @@ def stream_anomaly(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     med = e.groupBy(F.col("event_type").alias("channel"), F.hour("ts").alias("phase")).agg(F.median("value").alias("med"))
     return _run(spark, d, lambda s: S.anomalies(s, med)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT event_id, ts, CASE WHEN ts < TIMESTAMP '2024-01-03' THEN 'early' ELSE 'late' END AS reason FROM r WHERE ts < TIMESTAMP '2024-01-03' OR ts >= TIMESTAMP '2024-01-25'")
+def stream_late_data(spark, d):
+    return _run(spark, d, lambda s: S.outside(s, "2024-01-03", "2024-01-25")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT channel, round(avg(abs(value - floor(value))), 6) AS mae, round(sqrt(avg((value - floor(value)) ** 2)), 6) AS rmse, count(*) AS n FROM r WHERE value IS NOT NULL GROUP BY channel")
+def stream_metrics(spark, d):
+    guesses = S.read_events(spark, f"{d}/events.parque[t]").select("event_id", F.col("ts").alias("p_ts"), F.floor("value").alias("y_pred"))
+    errors = _run(spark, d, lambda s: S.scored(guesses, s)).filter("error is not null")
+    return errors.groupBy("channel").agg(rnd(F.avg(F.abs("error"))).alias("mae"), rnd(F.sqrt(F.avg(F.col("error") ** 2))).alias("rmse"), F.count("*").alias("n"))

@@ -37,6 +37,19 @@ def anomalies(events: DataFrame, medians: DataFrame, threshold: float = 3.0) ->
     return e.join(medians, ["channel", "phase"]).filter((F.col("med") > 0) & (F.col("value") > threshold * F.col("med"))).select("event_id", "channel", "ts", F.round(F.col("value") / F.col("med"), 6).alias("ratio"))
 
 
+def outside(events: DataFrame, first: str, end: str) -> DataFrame:
+    """Quarantine: events before `first` or from `end` on, with the reason; times unknown are unknown."""
+    reason = F.when(F.col("ts").isNull(), "unknown").when(F.col("ts") < F.lit(first).cast("timestamp"), "early").when(F.col("ts") >= F.lit(end).cast("timestamp"), "late")
+    return events.withColumn("reason", reason).filter("reason is not null").select("event_id", "ts", "reason")
+
+
+def scored(predictions: DataFrame, truth: DataFrame, bound: str = "1 hour") -> DataFrame:
+    """Predictions (event_id, p_ts, y_pred) with the truth that arrives for them within `bound`: a stream-stream join of bounded state."""
+    t = truth.select(F.col("event_id").alias("t_id"), "ts", F.col("event_type").alias("channel"), "value")
+    near = (F.col("event_id") == F.col("t_id")) & F.expr(f"ts BETWEEN p_ts - INTERVAL {bound} AND p_ts + INTERVAL {bound}")
+    return predictions.join(t, near).select("channel", "event_id", (F.col("value") - F.col("y_pred")).alias("error"))
+
+
 def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Everything that has arrived, appended to a Parquet table and read back."""
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
