@@ -5,6 +5,8 @@ longest-common-prefix intervals of that array are the repeated word sequences; t
 deepest interval over each suffix gives the longest repeat that begins there. Spans of
 repeats of `min_repeat` words or more are united; a text is rejected if they cover more
 than `max_covered` of its words or if one repeat is longer than `max_repeat` words.
+Each word of such a span lies in a 3-word window found twice, so the base rule already
+rejects texts with spans over half: `max_covered` acts below 0.5 only.
 
 Defined cases: a null or empty text, or one of white space, has no words and fails the
 base rules; equal rows get equal results, each its own row; very long texts are taken
@@ -157,7 +159,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_repeat: int, max_covered:
     return out
 
 
-def quality_rules(docs: DataFrame, min_repeat: int = 13, max_covered: float = 0.5, max_repeat: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, min_repeat: int = 13, max_covered: float = 0.2, max_repeat: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per text: `id_col`, the counts, `covered_words`, `longest_repeat`, `base_failed`, `kept`, and `row` if `carry` names columns."""
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []))
     fields = [given.schema["id"], *([given.schema["row"]] if carry else [])]

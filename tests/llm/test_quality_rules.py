@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from tessera.llm.quality_rules import quality_rules
+from tessera.llm.quality_rules import op8_quality_rules, quality_rules
 
 
 def brute(text, least):
@@ -34,3 +34,14 @@ def test_against_brute_force(spark):
         failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
         assert x.base_failed == failed and x.kept == (not failed and want[5] <= 0.3 * want[0] and want[6] <= 10) and x.row.kept
     assert quality_rules(docs.limit(0)).collect() == []
+
+
+def test_covered_share_alone_rejects_with_the_query_parameters(spark, tmp_path):
+    r = random.Random(2)
+    new = lambda n: [f"w{r.random()}" for _ in range(n)]
+    part = new(40)
+    texts = [[*new(60), *part, *new(60), *part, *new(60), *part, *new(60), *part], [*new(60), *part, *new(260), *part], new(400)]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in op8_quality_rules(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_words, got[i].covered_words, got[i].longest_repeat) for i in range(3)] == [(400, 160, 40), (400, 80, 40), (400, 0, 0)]
+    assert not any(x.base_failed for x in got.values()) and [got[i].kept for i in range(3)] == [False, True, True]
