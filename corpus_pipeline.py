@@ -16,6 +16,7 @@ from tessera.llm.quality_rules import quality_rules
 from tessera.llm.store import written
 from tessera.llm.suffix_dedup import suffix_dedup
 
+PASSAGE = 51  # words: passages of over 50
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -32,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under repeated windows go; what is cut inside a character goes with it; texts of which nothing is left go."""
-    cut = suffix_dedup(docs, carry=COLUMNS)
+    """Words under repeated windows of `PASSAGE` words go, with what lies between them; what is cut inside a character goes with it; texts of which nothing is left go."""
+    cut = suffix_dedup(docs, PASSAGE, PASSAGE // 2, carry=COLUMNS, by_words=True)
     text = F.try_validate_utf8(F.col("kept").cast("string"))
     text = F.coalesce(text, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
     out = cut.select("row.*", text.alias("_kept")).withColumn("text", F.col("_kept")).withColumn("n_chars", F.length("_kept").cast("long"))

@@ -16,7 +16,9 @@ suffixes that are alone in their group leave, so later passes touch repeats only
 4. The last digit is all `width` bytes of each window that is left.
 
 Equal windows have the same anchor at the same place, so no pass parts them. Digits are
-64-bit hashes. Hot groups (copies, common passages) are aggregated before each shuffle
+64-bit hashes. With `by_words`, `width` and `anchor` count words, hashes of words stand in
+place of bytes in every pass, and a span runs from its first word's first byte to its
+last word's last, whatever white space lies between. Hot groups (copies, common passages) are aggregated before each shuffle
 and joined back by equi-joins, whose partitions Spark can split.
 
 Defined cases: null or empty texts and texts shorter than `width` keep all they have;
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import written
-from .text import Rolling, U, mix, pieces
+from .text import Rolling, U, Words, mix, pieces
 
 NO_ID = -(2**63)
 STEP = 16  # windows that pass 3 takes together
@@ -120,11 +122,19 @@ def _unpacked(batch: pa.RecordBatch, limit: int = 2 << 20):
         i = j
 
 
-def _run_job(width: int, anchor: int):
+def _units(data: np.ndarray, offsets: np.ndarray, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What windows are made of, and where each text's begin: bytes, or hashes of words."""
+    if not by_words:
+        return data, offsets
+    words = Words(data, offsets)
+    return words.hashes(Rolling(data)), words.first
+
+
+def _run_job(width: int, anchor: int, by_words: bool):
     def job(batches):
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column("text")):
-                out = runs(data, offsets, width, anchor)
+                out = runs(*_units(data, offsets, by_words), width, anchor)
                 row = out.pop("text")
                 yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(row + i)), pa.array(_marks(data, offsets)[row]), *(pa.array(v, pa.int32() if n in ("lo", "hi", "at") else pa.int64()) for n, v in out.items())], names=["k", "mark", *out])
 
@@ -146,13 +156,14 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _step_job(width: int):
+def _step_job(width: int, by_words: bool):
     """Pass 3: the windows of each part, `STEP` at a time by their distance from the anchor."""
 
     def job(batches):
         for batch in batches:
             for i, j, data, offsets in _unpacked(batch):
                 row, lo, hi, at, key = _per_text(batch, i, j, "parts")
+                data, offsets = _units(data, offsets, by_words)
                 top = (at - lo) // STEP
                 count = top - (at - hi) // STEP + 1
                 lo, hi, at, key, row, top = (np.repeat(x, count) for x in (lo, hi, at, key, row, top))
@@ -166,13 +177,14 @@ def _step_job(width: int):
     return job
 
 
-def _window_job(width: int):
+def _window_job(width: int, by_words: bool):
     """Pass 4: the windows of each part, one by one."""
 
     def job(batches):
         for batch in batches:
             for i, j, data, offsets in _unpacked(batch):
                 row, lo, hi, _, _ = _per_text(batch, i, j, "parts")
+                data, offsets = _units(data, offsets, by_words)
                 count = hi - lo + 1
                 row, p = np.repeat(row, count), np.repeat(lo, count) + _within(count)
                 digit = Rolling(data)(offsets[row] + p, offsets[row] + p + width)
@@ -196,26 +208,29 @@ def _told(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return told.filter("n >= 2"), told.filter("more").groupBy("k").agg(F.collect_list(F.struct("mark", "lo", "hi", "at", "key")).alias("parts"))
 
 
-def repeated_windows(given: DataFrame, texts: DataFrame, width: int, anchor: int) -> DataFrame:
-    """Spans (k, mark, lo, hi) of bytes under windows that occur again."""
+def repeated_windows(given: DataFrame, texts: DataFrame, width: int, anchor: int, by_words: bool = False) -> DataFrame:
+    """Spans (k, mark, lo, hi) of bytes or words under windows that occur again."""
     texts = texts.select("k", "mark", "size", "packed")
-    rows = given.select("k", "text").mapInArrow(_run_job(width, anchor), _RUN)
+    rows = given.select("k", "text").mapInArrow(_run_job(width, anchor, by_words), _RUN)
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2").select("key")
     shared = written(shared)  # the join's sides are then plain exchanges, which Spark splits where a key is hot
     found, parts = _told(written(rows.join(shared, "key")))
-    closer, parts = _told(written(texts.join(parts, "k").mapInArrow(_step_job(width), _RUN)))
-    windows = written(texts.join(parts, "k").mapInArrow(_window_job(width), "k long, mark long, p int, digit long"))
+    closer, parts = _told(written(texts.join(parts, "k").mapInArrow(_step_job(width, by_words), _RUN)))
+    windows = written(texts.join(parts, "k").mapInArrow(_window_job(width, by_words), "k long, mark long, p int, digit long"))
     again = windows.groupBy("digit").agg(F.count("*").alias("n")).filter("n >= 2").select("digit")
     one = windows.join(again, "digit").select("k", "mark", F.col("p").alias("lo"), F.col("p").alias("hi"))
     spans = found.union(closer).select("k", "mark", "lo", "hi").union(one)
     return spans.withColumn("hi", F.col("hi") + width)
 
 
-def _cut_job(carry: bool):
+def _cut_job(carry: bool, by_words: bool):
     def job(batches):
         for batch in batches:
             for i, j, data, offsets in _unpacked(batch):
                 row, lo, hi = _per_text(batch, i, j, "spans")
+                if by_words:
+                    words = Words(data, offsets)
+                    lo, hi = words.starts[words.first[row] + lo] - offsets[row], words.ends[words.first[row] + hi - 1] - offsets[row]
                 change = np.zeros(len(data) + 1, np.int64)
                 np.add.at(change, offsets[row] + lo, 1)
                 np.add.at(change, offsets[row] + hi, -1)
@@ -241,16 +256,16 @@ def _cut_job(carry: bool):
     return job
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, anchor: int = 200, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 400, anchor: int = 200, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, by_words: bool = False) -> DataFrame:
     """One row per text: `id_col`, n_bytes, n_removed, spans (removed runs, as array of lo, hi), kept (bytes that stay), and `row` if `carry` names columns."""
     if not 0 < anchor < width or width > 1 << 19:
         raise ValueError("0 < anchor < width <= 2**19 is needed")
     given = _given(docs, id_col, text_col, carry)
     row = f"row {given.schema['row'].dataType.simpleString()}, " if carry else ""
     texts = given.mapInArrow(_pack_job(bool(carry)), f"k long, {row}mark long, size long, packed binary")
-    spans = repeated_windows(given, texts, width, anchor).groupBy("k").agg(F.collect_list(F.struct("mark", "lo", "hi")).alias("spans"))
+    spans = repeated_windows(given, texts, width, anchor, by_words).groupBy("k").agg(F.collect_list(F.struct("mark", "lo", "hi")).alias("spans"))
     out = texts.join(spans, "k", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<mark:bigint,lo:int,hi:int>>")))
-    cut = out.mapInArrow(_cut_job(bool(carry)), f"k long, {row}n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary")
+    cut = out.mapInArrow(_cut_job(bool(carry), by_words), f"k long, {row}n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary")
     return cut.withColumn("k", F.when(F.col("k") != NO_ID, F.col("k"))).withColumnRenamed("k", id_col)
 
 

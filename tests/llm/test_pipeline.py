@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 
 
@@ -13,3 +15,20 @@ def test_stages_keep_columns_and_only_what_the_stage_before_kept(spark, sf):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in out} == before and all(r.n_tokens == len(r.ids) for r in out)
     assert [(n, s) for n, s in corpus_pipeline.STAGES][0][0] == "quality rules"
+
+
+def test_passages_of_over_50_words_go_wherever_they_repeat(spark, sf):
+    r = random.Random(4)
+    new = lambda n: ["".join(r.choices("abcdefghé", k=r.randint(1, 7))) + str(r.random())[2:5] for _ in range(n)]
+    short = lambda n: [r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)]
+    cases = [(n, f(n)) for n in range(48, 59) for f in (new, short)]
+    rows, want = [], {}
+    for k, (n, part) in enumerate(cases):
+        for copy in range(3):
+            before, after, i = new(70), new(60), 10 * k + copy
+            rows.append((i, " ".join(before) + "\n" + (" ", "\n", " \t")[copy].join(part) + "\n" + " ".join(after), "en", "s", 1))
+            want[i] = before + (part if n <= 50 else []) + after
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS).schema)
+    got = {x.doc_id: x for x in corpus_pipeline.repeated_passages(spark, docs, sf).collect()}
+    assert {i: x.text.split() for i, x in got.items()} == want
+    assert all(x.n_chars == len(x.text) for x in got.values())

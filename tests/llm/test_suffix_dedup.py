@@ -44,3 +44,18 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup(docs, 30, 9).collect())
     assert got == [("1", 60, 60), ("1", 60, 60), ("None", 0, 0), ("None", 61, 60)]
     assert suffix_dedup(docs.limit(0), 30, 9).collect() == []
+
+
+def test_by_words_against_brute_force(spark):
+    r = random.Random(5)
+    shared = [r.choices("abcdé", k=30) for _ in range(4)]
+    texts = [None, "", " ", "a", "a " * 40]
+    for _ in range(60):
+        texts.append("".join(w + r.choice([" ", "\n", "  "]) for _ in range(r.randint(0, 5)) for w in (r.choice(shared)[: r.randint(3, 30)] if r.random() < 0.4 else r.choices("abcdefghij", k=r.randint(1, 20)))))
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[9]])), "doc_id long, text string")
+    got = {x.doc_id: bytes(x.kept).decode().split() for x in suffix_dedup(docs, 8, 3, by_words=True).collect()}
+    rows = [(t or "").split() for t in [*texts, texts[9]]]
+    seen = Counter(tuple(w[i : i + 8]) for w in rows for i in range(len(w) - 7))
+    for k, w in enumerate(rows):
+        gone = {i + x for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for x in range(8)}
+        assert got[k] == [x for i, x in enumerate(w) if i not in gone], k
