@@ -40,7 +40,7 @@ from .text import Rolling, U, Words, mix, pieces
 
 NO_ID = -(2**63)
 STEP = 16  # windows that pass 3 takes together
-_PLACE = 24  # bits of a place inside a piece of text
+_PLACE = 24  # bits of a place inside a stretch of text
 
 
 def _least(keys: np.ndarray, span: int) -> np.ndarray:
@@ -54,6 +54,17 @@ def _least(keys: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[span - 1 : span - 1 + n])
 
 
+def _anchors(grams: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least-hashed of every `span` consecutive grams, in stretches whose places fit `_PLACE` bits."""
+    n, stretch = len(grams) - span + 1, (1 << _PLACE) - span + 1
+    out = np.zeros(n, np.int64)
+    for a in range(0, n, stretch):
+        part = grams[a : a + stretch + span - 1]
+        least = _least((part >> U(_PLACE) << U(_PLACE)) | np.arange(len(part), dtype=U), span)
+        out[a : a + stretch] = a + (least & U((1 << _PLACE) - 1)).astype(np.int64)
+    return out
+
+
 def _extent(rolling: Rolling, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """A digit for all bytes under windows lo to hi and for where their anchor lies."""
     shape = (at - lo).astype(U) * U(1 << 20) + (hi - lo).astype(U)
@@ -67,17 +78,16 @@ def runs(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) -> dict
         return empty
     rolling = Rolling(data)
     grams = rolling.fixed(anchor)
-    places = np.arange(len(grams), dtype=U)
-    least = _least((grams >> U(_PLACE) << U(_PLACE)) | places, width - anchor + 1)
+    anchors = _anchors(grams, width - anchor + 1)
     whole = np.zeros(len(data) + 1, np.int64)  # does a window that begins here end inside its text?
     fits = np.diff(offsets) >= width
     np.add.at(whole, offsets[:-1][fits], 1)
     np.add.at(whole, offsets[1:][fits] - width + 1, -1)
-    at = np.flatnonzero(np.cumsum(whole)[: len(least)] > 0)
+    at = np.flatnonzero(np.cumsum(whole)[: len(anchors)] > 0)
     if not len(at):
         return empty
     text = np.searchsorted(offsets, at, "right") - 1
-    mark = (least[at] & U((1 << _PLACE) - 1)).astype(np.int64)
+    mark = anchors[at]
     first = np.r_[True, (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])]
     lo, text, mark = at[first], text[first], mark[first]
     hi = np.r_[at[np.flatnonzero(first)[1:] - 1], at[-1]]

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+from tessera.llm import suffix_dedup as module
 from tessera.llm.suffix_dedup import suffix_dedup
 
 
@@ -59,3 +61,21 @@ def test_by_words_against_brute_force(spark):
     for k, w in enumerate(rows):
         gone = {i + x for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for x in range(8)}
         assert got[k] == [x for i, x in enumerate(w) if i not in gone], k
+
+
+def test_texts_longer_than_a_place_s_bits(monkeypatch):
+    monkeypatch.setattr(module, "_PLACE", 6)
+    r = random.Random(6)
+    shared = bytes(r.choices(b"abcd", k=150))
+    texts = [bytes(r.choices(b"abcd", k=n)) + shared + bytes(r.choices(b"abcd", k=40)) for n in (0, 61, 700)] + [b"ab", b"a" * 300]
+    offsets = np.cumsum([0, *map(len, texts)])
+    out, data = module.runs(np.frombuffer(b"".join(texts), np.uint8), offsets, 20, 7), b"".join(texts)
+    grams = module.Rolling(np.frombuffer(data, np.uint8)).fixed(7) >> np.uint64(6)
+    windows, at = {}, 0
+    for text, lo, hi, mark, key in zip(*(out[k].tolist() for k in ("text", "lo", "hi", "at", "key"))):
+        for p in range(lo, hi + 1):
+            place = int(offsets[text]) + p
+            assert mark - p == int(grams[place : place + 14].argmin())  # the first of the least
+            assert windows.setdefault(data[place : place + 20], (mark - p, key)) == (mark - p, key)
+            at += 1
+    assert at == sum(max(0, len(t) - 19) for t in texts)
