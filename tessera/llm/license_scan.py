@@ -1,13 +1,16 @@
 """Licence scans by a trained paragraph classifier (operator 10), in DataFrame functions only.
 
-Paragraphs (lines) are sets of word n-grams. A sparse multinomial logistic regression,
+Paragraphs are lines, and runs of 2 to `RUN` lines without a blank one between (statements
+that are wrapped); both are sets of word n-grams. A sparse multinomial logistic regression,
 fitted by Spark ML on licence statements and on paragraphs of a bounded sample of the
 texts as unknowns, gives each n-gram its weights. The model's own weights tell n-grams of
 which a paragraph must hold one to be likely enough (`needed`): paragraphs without any
 are decided where they are read, and the n-grams of the others are joined with the table
 of weights, whose size `features` bounds. The probability from which a family counts is
 set on unknowns held out from the fit. What the model names is then compared with the
-family's templates and confirmed if the paragraph holds enough of one.
+family's templates and confirmed if the paragraph holds enough of one. Runs are only
+looked at about lines that may hold a needed n-gram and where the lines around hold enough
+of a template; of confirmed paragraphs that overlap the shortest and first counts.
 
 Defined cases: a null or empty text has no paragraphs; a paragraph of any length is
 taken whole; repeated rows get equal results, each its own row; a table without texts is
@@ -65,6 +68,7 @@ TEMPLATES = {
 }
 FAMILIES = sorted(TEMPLATES)
 UNKNOWN = len(FAMILIES)
+RUN = 6  # lines: the longest template at 30 columns
 
 
 def ngrams(text: Column) -> Column:
@@ -89,16 +93,44 @@ def paragraphs(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def around(lines: Column, i: Column) -> Column:
+    """All lines that runs with the i-th hold, as one text."""
+    lo = F.greatest(i - (RUN - 1), F.lit(0))
+    return F.array_join(F.slice(lines, lo + 1, i - lo + RUN), "\n")
+
+
+def holds(grams: Column, share: float) -> Column:
+    """Do n-grams hold a share of any template's?"""
+    def of(t: str) -> Column:
+        own = ngrams(F.lit(t))
+        return F.size(F.array_intersect(grams, own)) >= share * F.size(own)
+
+    first, *rest = [of(t) for f in FAMILIES for t in TEMPLATES[f]]
+    for x in rest:
+        first |= x
+    return first
+
+
+def units(lines: Column, i: Column, overlap: float) -> Column:
+    """Array of (a, b, line): the i-th line, and the runs of lines a to b with it if those around hold enough of a template."""
+    one = lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.array_join(F.slice(lines, a + 1, b - a + 1), "\n").alias("line"))
+    ends = lambda a: F.transform(F.sequence(i, F.least(F.size(lines) - 1, a + (RUN - 1))), lambda b: one(a, b))
+    runs = F.flatten(F.transform(F.sequence(F.greatest(i - (RUN - 1), F.lit(0)), i), ends))
+    runs = F.filter(runs, lambda u: (u["a"] < u["b"]) & ~F.rlike(u["line"], F.lit(r"\n[ \t\r]*\n")))
+    near = F.get(F.filter(F.array(ngrams(around(lines, i))), lambda g: holds(g, overlap)), 0)  # the n-grams are made once
+    alone = F.array(one(i, i))
+    return F.when(near.isNotNull(), F.concat(alone, runs)).otherwise(alone)
+
+
 def fit(docs: DataFrame, sample: int, features: int) -> tuple[list[tuple], list[float], float]:
     """Weights of n-grams [(n-gram, [weight of each class])], intercepts, and the probability of any licence from which a paragraph counts. Fitted on the lines of `sample` texts chosen by hash."""
     spark = docs.sparkSession
     some = written(docs.filter("text is not null").orderBy(F.xxhash64("text"), "text").limit(sample))
-    lines = some.select(F.explode(paragraphs(F.col("text"))).alias("text")).filter("length(text) > 0").withColumn("grams", ngrams(F.col("text")))
-    known = F.lit(False)
-    for f in FAMILIES:
-        for t in TEMPLATES[f]:
-            grams = ngrams(F.lit(t))
-            known |= F.size(F.array_intersect("grams", grams)) >= 0.5 * F.size(grams)
+    some = some.select(paragraphs(F.col("text")).alias("all"))
+    some = some.select(F.explode(F.transform("all", lambda x, i: F.struct(x.alias("text"), around(F.col("all"), i).alias("near")))).alias("x"))
+    lines = some.select("x.text", ngrams(F.col("x.near")).alias("near")).filter("length(text) > 0")
+    lines = written(lines.select("text", holds(F.col("near"), 0.5).alias("known"))).withColumn("grams", ngrams(F.col("text")))
+    known = F.col("known")
     unknown = lines.filter(~known).select(F.lit(UNKNOWN).alias("label"), "grams", F.lit(1.0).alias("weight"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("held"))
     stated = _statements(spark).select("label", ngrams(F.col("text")).alias("grams"), "weight", F.lit(False).alias("held"))
     rows = written(stated.union(unknown))
@@ -143,22 +175,26 @@ def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overl
     weights = {g: w for g, w in table if any(abs(x) > 1e-9 for x in w)}
     held_by = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(templates)], "k int, text string").select("k", F.explode(ngrams(F.col("text"))).alias("gram")).collect()
     sizes = [sum(r.k == k for r in held_by) for k in range(len(templates))]
-    holds: dict[str, list[int]] = {}
+    held_in: dict[str, list[int]] = {}
     for r in held_by:
-        holds.setdefault(r.gram, []).append(r.k)
+        held_in.setdefault(r.gram, []).append(r.k)
     zero = [0.0] * (UNKNOWN + 1)
-    rows = [(g, weights.get(g, zero), holds.get(g, [])) for g in sorted({*weights, *holds})]  # at most `features` and the templates' own
+    rows = [(g, weights.get(g, zero), held_in.get(g, [])) for g in sorted({*weights, *held_in})]  # at most `features` and the templates' own
     model = F.broadcast(spark.createDataFrame(rows, "gram string, w array<double>, holds array<int>"))
-    lines = given.select("id", "mark", F.posexplode(paragraphs(F.col("text"))).alias("par", "line"))
     keys = needed(weights, intercepts, least)
+    texts = given.select("id", "mark", paragraphs(F.col("text")).alias("all")).filter("all is not null")
+    places = F.sequence(F.lit(0), F.size("all") - 1)
     if keys is not None:
         wanted = F.split(F.lit("\n".join(keys)), "\n") if keys else F.array().cast("array<string>")
-        lines = lines.filter(F.arrays_overlap(ngrams(F.col("line")), wanted))
-    grams = lines.dropDuplicates(["id", "mark", "par"]).select("id", "mark", "par", F.explode(ngrams(F.col("line"))).alias("gram"))
+        first = lambda i: F.regexp_extract(F.coalesce(F.get("all", i + 1), F.lit("")), r"[\p{L}\p{N}]+", 0)  # noqa: E731  of the next line: pairs may lie across
+        places = F.filter(places, lambda i: F.arrays_overlap(ngrams(F.concat_ws(" ", F.get("all", i), first(i))), wanted))
+    found = texts.withColumn("at", places).filter("size(at) > 0").select("id", "mark", F.explode(F.flatten(F.transform("at", lambda i: units(F.col("all"), i, overlap)))).alias("u"))
+    lines = found.select("id", "mark", "u.a", "u.b", "u.line")
+    grams = lines.dropDuplicates(["id", "mark", "a", "b"]).select("id", "mark", "a", "b", F.explode(ngrams(F.col("line"))).alias("gram"))
     hits = grams.join(model, "gram")
     sums = [F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(UNKNOWN + 1)]
     held = [F.count_if(F.array_contains("holds", k)).alias(f"t{k}") for k in range(len(templates))]
-    scored = hits.groupBy("id", "mark", "par").agg(*sums, *held)
+    scored = hits.groupBy("id", "mark", "a", "b").agg(*sums, *held)
     z = [F.col(f"z{c}") + intercepts[c] for c in range(UNKNOWN + 1)]
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
@@ -167,9 +203,15 @@ def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overl
     # of the families that the model holds possible, the one whose template the paragraph matches best
     best = F.array_max(F.array(*[F.struct(F.when(chance[c] >= 0.02, shares[FAMILIES[c]]).otherwise(0.0).alias("share"), chance[c].alias("p"), F.lit(FAMILIES[c]).alias("family")) for c in range(UNKNOWN)]))
     licensed = 1 - F.exp(z[UNKNOWN] - top) / total
-    named = scored.filter(licensed >= least).select("id", "mark", best.alias("b"))
-    sure = F.col("b.share") >= overlap
-    found = named.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.when(sure, F.col("b.family")))).alias("licences"), F.count_if(sure).alias("n_found"), F.count_if(~sure).alias("n_unconfirmed"), F.max(F.when(sure, F.round("b.p", 4))).alias("best"))
+    named = scored.filter(licensed >= least).select("id", "mark", "a", "b", best.alias("best"))
+    sure = F.col("best.share") >= overlap
+    unit = F.struct((F.col("b") - F.col("a")).alias("more"), "a", "b", F.col("best.family").alias("family"), F.col("best.p").alias("p"))
+    told = named.filter(sure | (F.col("a") == F.col("b"))).groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.when(sure, unit))).alias("sure"), F.collect_list(F.when(~sure, F.col("a"))).alias("unsure"))
+    meets = lambda u, v: (u["a"] <= v["b"]) & (v["a"] <= u["b"])
+    apart = F.aggregate("sure", F.slice("sure", 1, 0), lambda have, u: F.when(F.exists(have, lambda v: meets(u, v)), have).otherwise(F.concat(have, F.array(u))))
+    unsure = F.size(F.filter("unsure", lambda i: ~F.exists("sure", lambda v: (v["a"] <= i) & (i <= v["b"]))))
+    told = told.select("id", "mark", apart.alias("apart"), unsure.alias("n_unconfirmed"))
+    found = told.select("id", "mark", F.array_sort(F.array_distinct(F.transform("apart", lambda u: u["family"]))).alias("licences"), F.size("apart").cast("long").alias("n_found"), F.col("n_unconfirmed").cast("long").alias("n_unconfirmed"), F.array_max(F.transform("apart", lambda u: F.round(u["p"], 4))).alias("best"))
     same = [F.col("d.id").eqNullSafe(F.col("f.id")), F.col("d.mark").eqNullSafe(F.col("f.mark"))]
     out = given.select("id", "mark").alias("d").join(found.alias("f"), same, "left")
     return out.select(F.col("d.id").alias(id_col), F.coalesce("licences", F.array().cast("array<string>")).alias("licences"), F.coalesce("n_found", F.lit(0)).alias("n_found"), F.coalesce("n_unconfirmed", F.lit(0)).alias("n_unconfirmed"), "best")

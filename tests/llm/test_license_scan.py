@@ -1,4 +1,5 @@
 import re
+import textwrap
 from itertools import combinations
 from math import exp
 
@@ -36,3 +37,17 @@ def test_paragraphs_without_a_needed_gram_are_unlikely():
                 likely = 1 - exp(z[UNKNOWN]) / sum(map(exp, z)) >= least
                 assert not likely or keys is None or set(keys) & set(some)
     assert needed(weights, [0.0] * (UNKNOWN + 1), 0.5) is None
+
+
+def test_wrapped_statements_are_found(spark, sf):
+    real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows, want = [], {}
+    for k, (family, t) in enumerate((f, TEMPLATES[f][1]) for f in ("mit", "bsd", "gpl")):
+        for j, (width, mark) in enumerate([(80, ""), (72, "# "), (60, " * "), (40, "")]):
+            i = -100 - 10 * k - j
+            rows.append((i, "\n".join(["Some words before", "", *(mark + x for x in textwrap.wrap(t, width)), "", "and after"])))
+            want[i] = (family,), 1
+    rows.append((-1, TEMPLATES["mit"][1].replace(" of charge", "\n\nof charge\n\n").replace("software", "\n\nsoftware\n\n")[:70]))
+    want[-1] = (), 0
+    got = {r.doc_id: r for r in license_scan(real.union(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert {i: (tuple(got[i].licences), got[i].n_found) for i in want} == want
