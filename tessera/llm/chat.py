@@ -6,7 +6,7 @@ Turns are then rendered with a template that marks each turn; `<|` inside a text
 escaped by one backslash more after its `<`, which is undone on reading.
 
 Defined cases: a record that is no JSON object, or whose fingerprint no layout has, keeps
-a row with a null layout and no turns; null and missing texts and roles are empty; turns
+a row with a null layout and no turns (one too large to be parsed raises); null and missing texts and roles are empty; turns
 keep their order, ties by role and then text; repeated rows are turns of their own; a
 conversation without turns formats to an empty text; an empty table gives no rows; other
 columns are ignored.
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+LONG = {"maxStringLen": str(2**31 - 1)}
 START, END = "<|im_start|>", "<|im_end|>"
 
 #: Layouts: name, the field paths, and the turns: a list's path with its role and text fields, or pairs of fixed role and path.
@@ -38,8 +39,15 @@ def shape_text(shape) -> str:
 
 
 def field_paths(record: Column) -> Column:
-    """The same for a JSON record; null if it is none. Types of plain values don't matter."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    """The same for a JSON record; null if it is none. Types of plain values don't matter.
+
+    Strings are cut to 100 characters first, so that the parser's limits (20 million
+    characters a string, 128 MiB a record) don't depend on texts; a record that is too large even so raises.
+    """
+    bare = F.regexp_replace(record, r'"((?:\\u[0-9a-fA-F]{4}|\\.|[^"\\]){0,100}+)(?:[^"\\]++|\\.)*+"', '"$1"')
+    large = F.raise_error(F.lit("a record of over 60 million characters, with its strings cut short, can't be parsed")).cast("string")
+    schema = F.schema_of_variant(F.try_parse_json(bare))
+    schema = F.when(schema.isNull() & (F.length(bare) > 60_000_000), large).otherwise(schema)
     return F.regexp_replace(schema, r": [A-Z]+(\(\d+, ?\d+\))?(?=[,>])", "")
 
 
@@ -61,10 +69,10 @@ def canonical_turns(records: DataFrame, id_col: str = "conv_id", json_col: str =
         same = F.col("print") == fingerprint(F.lit(shape_text(shape)))
         if isinstance(source, tuple):
             path, role, text = source
-            items = F.from_json(record, f"struct<`{path}`:array<struct<`{role}`:string,`{text}`:string>>>")[path]
+            items = F.from_json(record, f"struct<`{path}`:array<struct<`{role}`:string,`{text}`:string>>>", LONG)[path]
             turns = F.transform(items, _turn_of(role, text))
         else:
-            row = F.from_json(record, "struct<" + ",".join(f"`{p}`:string" for _, p in source) + ">")
+            row = F.from_json(record, "struct<" + ",".join(f"`{p}`:string" for _, p in source) + ">", LONG)
             turns = F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(row[p], F.lit("")).alias("text")) for r, p in source])
         known, made = F.when(same, F.lit(name)).otherwise(known), F.when(same, turns).otherwise(made)
     given = records.select(F.col(id_col).alias("id"), F.col(json_col).cast("string").alias("record")).withColumn("print", fingerprint(field_paths(record)))

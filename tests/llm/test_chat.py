@@ -24,3 +24,12 @@ def test_layouts_and_round_trip(spark):
         assert [(t.role, t.text) for t in rows[i].back] == [(r, t) for _, r, t in got[i]]
     assert rows[3].learned == "".join(odd) and rows[1].learned == "" and rows[6].formatted == ""
     assert canonical_turns(spark.createDataFrame([], "conv_id long, record string")).collect() == []
+
+
+def test_texts_beyond_the_parser_s_limit_keep_their_turns(spark):
+    long = 'a\\"b{\\n'  # in JSON: an escaped quote, a bracket and a newline
+    row = spark.range(1).select(F.lit(1).alias("conv_id"), F.concat(F.lit('{"prompt": "q: \\"x\\"", "completion" : "'), F.repeat(F.lit(long), 4_000_000), F.lit('"}')).alias("record"))
+    got = canonical_turns(row).select("layout", "turn", "role", F.length("text").alias("n"), F.substr("text", F.lit(1), F.lit(5)).alias("begin")).orderBy("turn").collect()
+    assert [tuple(x) for x in got] == [("prompt", 0, "user", 6, 'q: "x'), ("prompt", 1, "assistant", 20_000_000, 'a"b{\n')]
+    many = spark.range(1).select(F.lit(1).alias("conv_id"), F.concat(F.lit('{"prompt": "q", "completion": "'), F.repeat(F.lit(long), 4_100_000), F.lit('"}')).alias("record"))
+    assert canonical_turns(many).select(F.length("text")).collect()[1][0] == 20_500_000
