@@ -15,15 +15,17 @@ suffixes that are alone in their group leave, so later passes touch repeats only
    runs that are left; classes are treated as in the second pass.
 4. The last digit is all `width` bytes of each window that is left.
 
-Equal windows have the same anchor at the same place, so no pass parts them. Digits are
-64-bit hashes. With `by_words`, `width` and `anchor` count words, hashes of words stand in
+Equal windows have the same anchor at the same place, so no pass parts them. The anchor's
+digit is a cheap hash that only brings together; what says that two runs or windows are
+equal is a hash of another kind as well (`text.Rolling`, over all their bytes), so bytes go
+on two hashes that know nothing of each other. With `by_words`, `width` and `anchor` count words, hashes of words stand in
 place of bytes in every pass, and a span runs from its first word's first byte to its
 last word's last, whatever white space lies between. Hot groups (copies, common passages) are aggregated before each shuffle
 and joined back by equi-joins, whose partitions Spark can split.
 
 Defined cases: null or empty texts and texts shorter than `width` keep all they have;
 rows that repeat another (same id too) are texts of their own, so both lose their common
-windows; a null id is a value like others; texts of any length are taken whole; an empty
+windows; a null id is a value like others (rows are told apart by id and text); texts of any length are taken whole; an empty
 table gives no rows; other columns are ignored unless named in `carry`, which returns
 them inside the struct `row`.
 """
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import written
-from .text import Rolling, U, Words, mix, pieces
+from .text import Rolling, U, Words, loose, mix, per_row, pieces
 
 NO_ID = -(2**63)
 STEP = 16  # windows that pass 3 takes together
@@ -77,7 +79,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) -> dict
     if len(data) < width:
         return empty
     rolling = Rolling(data)
-    grams = rolling.fixed(anchor)
+    grams = loose(data, anchor)
     anchors = _anchors(grams, width - anchor + 1)
     whole = np.zeros(len(data) + 1, np.int64)  # does a window that begins here end inside its text?
     fits = np.diff(offsets) >= width
@@ -152,13 +154,11 @@ def _run_job(width: int, anchor: int, by_words: bool):
 
 
 def _per_text(batch: pa.RecordBatch, i: int, j: int, column: str) -> tuple[np.ndarray, ...]:
-    """The lists of structs (mark, lo, hi, ...) of rows [i, j): row, lo, hi, ... of those whose mark is the row's."""
+    """The lists of structs (lo, hi, ...) of rows [i, j): row, lo, hi, ..."""
     lists = batch.column(column).slice(i, j - i)
     flat = lists.flatten()
     row = np.repeat(np.arange(j - i), np.asarray(lists.value_lengths().fill_null(0)))
-    mark, *rest = (np.asarray(flat.field(k)).astype(np.int64) for k in range(flat.type.num_fields))
-    own = mark == np.asarray(batch.column("mark"))[i:j][row]
-    return row[own], *(x[own] for x in rest)
+    return row, *(np.asarray(flat.field(k)).astype(np.int64) for k in range(flat.type.num_fields))
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -193,13 +193,14 @@ def _window_job(width: int, by_words: bool):
     def job(batches):
         for batch in batches:
             for i, j, data, offsets in _unpacked(batch):
-                row, lo, hi, _, _ = _per_text(batch, i, j, "parts")
+                row, lo, hi, at, key = _per_text(batch, i, j, "parts")
                 data, offsets = _units(data, offsets, by_words)
                 count = hi - lo + 1
-                row, p = np.repeat(row, count), np.repeat(lo, count) + _within(count)
+                row, at, key, p = np.repeat(row, count), np.repeat(at, count), np.repeat(key, count), np.repeat(lo, count) + _within(count)
+                key = mix(key.view(U) ^ mix((at - p).astype(U))).view(np.int64)
                 digit = Rolling(data)(offsets[row] + p, offsets[row] + p + width)
                 take = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([batch.column("k").take(take), batch.column("mark").take(take), pa.array(p.astype(np.int32)), pa.array(digit.view(np.int64))], names=["k", "mark", "p", "digit"])
+                yield pa.RecordBatch.from_arrays([batch.column("k").take(take), batch.column("mark").take(take), pa.array(p.astype(np.int32)), pa.array(key), pa.array(digit.view(np.int64))], names=["k", "mark", "p", "key", "digit"])
 
     return job
 
@@ -208,14 +209,14 @@ _RUN = "k long, mark long, lo int, hi int, at int, key long, full long"
 
 
 def _told(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of runs with digits key and full: those that equal another, and by k those that the next pass has to part."""
+    """Of runs with digits key and full: those that equal another, and by text those that the next pass has to part."""
     place = F.struct("k", "mark", "lo")
     classes = rows.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(place).alias("stands"))
     digits = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
     known = classes.join(digits.filter("kinds > 1 or least > 1"), "key")
     more = (F.col("kinds") > 1) & ((F.col("n") == 1) | ((F.col("stands") == place) & (F.col("least") == 1)))
     told = written(rows.join(known, ["key", "full"]).select("k", "mark", "lo", "hi", "at", "key", "n", more.alias("more")).filter("n >= 2 or more"))
-    return told.filter("n >= 2"), told.filter("more").groupBy("k").agg(F.collect_list(F.struct("mark", "lo", "hi", "at", "key")).alias("parts"))
+    return told.filter("n >= 2"), told.filter("more").groupBy("k", "mark").agg(F.collect_set(F.struct("lo", "hi", "at", "key")).alias("parts"))
 
 
 def repeated_windows(given: DataFrame, texts: DataFrame, width: int, anchor: int, by_words: bool = False) -> DataFrame:
@@ -225,26 +226,31 @@ def repeated_windows(given: DataFrame, texts: DataFrame, width: int, anchor: int
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2").select("key")
     shared = written(shared)  # the join's sides are then plain exchanges, which Spark splits where a key is hot
     found, parts = _told(written(rows.join(shared, "key")))
-    closer, parts = _told(written(texts.join(parts, "k").mapInArrow(_step_job(width, by_words), _RUN)))
-    windows = written(texts.join(parts, "k").mapInArrow(_window_job(width, by_words), "k long, mark long, p int, digit long"))
-    again = windows.groupBy("digit").agg(F.count("*").alias("n")).filter("n >= 2").select("digit")
-    one = windows.join(again, "digit").select("k", "mark", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    closer, parts = _told(written(texts.join(parts, ["k", "mark"]).mapInArrow(_step_job(width, by_words), _RUN)))
+    windows = written(texts.join(parts, ["k", "mark"]).mapInArrow(_window_job(width, by_words), "k long, mark long, p int, key long, digit long"))
+    again = windows.groupBy("key", "digit").agg(F.count("*").alias("n")).filter("n >= 2").select("key", "digit")
+    one = windows.join(again, ["key", "digit"]).select("k", "mark", F.col("p").alias("lo"), F.col("p").alias("hi"))
     spans = found.union(closer).select("k", "mark", "lo", "hi").union(one)
     return spans.withColumn("hi", F.col("hi") + width)
 
 
-def _cut_job(carry: bool, by_words: bool):
+def _under(batch: pa.RecordBatch, i: int, j: int, column: str, data: np.ndarray, offsets: np.ndarray, by_words: bool) -> np.ndarray:
+    """Which bytes of rows [i, j) lie under the spans of a column."""
+    row, lo, hi = _per_text(batch, i, j, column)
+    if by_words and len(row):
+        words = Words(data, offsets)
+        lo, hi = words.starts[words.first[row] + lo] - offsets[row], words.ends[words.first[row] + hi - 1] - offsets[row]
+    change = np.zeros(len(data) + 1, np.int64)
+    np.add.at(change, offsets[row] + lo, 1)
+    np.add.at(change, offsets[row] + hi, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def _cut_job(carry: bool, by_words: bool, passages: bool):
     def job(batches):
         for batch in batches:
             for i, j, data, offsets in _unpacked(batch):
-                row, lo, hi = _per_text(batch, i, j, "spans")
-                if by_words:
-                    words = Words(data, offsets)
-                    lo, hi = words.starts[words.first[row] + lo] - offsets[row], words.ends[words.first[row] + hi - 1] - offsets[row]
-                change = np.zeros(len(data) + 1, np.int64)
-                np.add.at(change, offsets[row] + lo, 1)
-                np.add.at(change, offsets[row] + hi, -1)
-                gone = np.cumsum(change)[:-1] > 0
+                gone = _under(batch, i, j, "spans", data, offsets, by_words)
                 before = np.r_[False, gone[:-1]] if len(gone) else gone
                 before[offsets[:-1][offsets[:-1] < len(data)]] = False
                 start, kept = gone & ~before, ~gone
@@ -261,27 +267,39 @@ def _cut_job(carry: bool, by_words: bool):
                 spans = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), flat)
                 size = np.diff(offsets)
                 names = ["k", *(["row"] if carry else []), "n_bytes", "n_removed", "spans", "kept"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names[: 1 + carry]), pa.array(size), pa.array(size - np.diff(sums)), spans, body], names=names)
+                columns = [*(batch.column(c).slice(i, j - i) for c in names[: 1 + carry]), pa.array(size), pa.array(size - np.diff(sums)), spans, body]
+                if passages:
+                    names.append("passage_bytes")
+                    columns.append(pa.array(per_row(_under(batch, i, j, "passages", data, offsets, True), offsets)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return job
 
 
-def suffix_dedup(docs: DataFrame, width: int = 400, anchor: int = 200, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, by_words: bool = False) -> DataFrame:
-    """One row per text: `id_col`, n_bytes, n_removed, spans (removed runs, as array of lo, hi), kept (bytes that stay), and `row` if `carry` names columns."""
-    if not 0 < anchor < width or width > 1 << 19:
-        raise ValueError("0 < anchor < width <= 2**19 is needed")
+def suffix_dedup(docs: DataFrame, width: int = 400, anchor: int = 200, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, by_words: bool = False, passage: int | None = None) -> DataFrame:
+    """One row per text: `id_col`, n_bytes, n_removed, spans (removed runs, as array of lo, hi), kept (bytes that stay), and `row` if `carry` names columns.
+
+    With `passage`, also passage_bytes: bytes under windows of so many words that occur again; they stay.
+    """
+    if not 0 < anchor < width or width > 1 << 19 or not (passage is None or passage > 1):
+        raise ValueError("0 < anchor < width <= 2**19 and passage > 1 are needed")
     given = _given(docs, id_col, text_col, carry)
     row = f"row {given.schema['row'].dataType.simpleString()}, " if carry else ""
     texts = given.mapInArrow(_pack_job(bool(carry)), f"k long, {row}mark long, size long, packed binary")
-    spans = repeated_windows(given, texts, width, anchor, by_words).groupBy("k").agg(F.collect_list(F.struct("mark", "lo", "hi")).alias("spans"))
-    out = texts.join(spans, "k", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<mark:bigint,lo:int,hi:int>>")))
-    cut = out.mapInArrow(_cut_job(bool(carry), by_words), f"k long, {row}n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary")
+    asked = {"spans": (width, anchor, by_words)} | ({"passages": (passage, passage // 2, True)} if passage else {})
+    out = texts
+    for name, how in asked.items():
+        spans = repeated_windows(given, texts, *how).groupBy("k", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias(name))
+        out = out.join(spans, ["k", "mark"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<lo:int,hi:int>>")))
+    more = ", passage_bytes long" if passage else ""
+    cut = out.mapInArrow(_cut_job(bool(carry), by_words, bool(passage)), f"k long, {row}n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary{more}")
     return cut.withColumn("k", F.when(F.col("k") != NO_ID, F.col("k"))).withColumnRenamed("k", id_col)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """The digests of what is cut at 400 bytes, and the bytes under passages of over 50 words, many of which are shorter."""
+    cut = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=51)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "passage_bytes")
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}

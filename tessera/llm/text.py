@@ -10,8 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_ODD = 0x9E3779B97F4A7C15
+_PRIME = 2**31 - 1
+_BASES = (1259876921, 873940217)  # drawn at random below the prime
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,39 +28,73 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _CODE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+_CODES = (_CODE % U(_PRIME), (_CODE >> U(31)) % U(_PRIME))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    return np.cumprod(out, dtype=U)
+    """Powers of a base modulo the prime, by doubling."""
+    out = np.ones(n, np.uint32)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * U(pow(base, done, _PRIME)) % U(_PRIME)
+        done += more
+    return out
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    size = 1 << max(16, int(n).bit_length())
-    return _powers(_INVERSE if inverse else _BASE, size)[:n]
+def powers(base: int, n: int) -> np.ndarray:
+    return _powers(base, 1 << max(16, int(n).bit_length()))[:n]
 
 
 class Rolling:
-    """Polynomial hash of any slice of a sequence in constant time each."""
+    """Hash of any slice of a sequence in constant time each: two polynomials modulo a prime, at bases drawn at random.
+
+    Two different slices of n items agree in both with a probability of (n / 2**31)**2 at
+    most over the choice of bases, whatever their structure.
+    """
 
     def __init__(self, values: np.ndarray):
-        coded = _CODE[values] if values.dtype == np.uint8 else values
-        self.sums = np.zeros(len(values) + 1, U)
-        np.cumsum(coded * powers(len(values)), out=self.sums[1:])
-        self.back = powers(len(values) + 1, inverse=True)
+        n = len(values)
+        self.sums = []
+        for k, base in enumerate(_BASES):
+            coded = _CODES[k][values] if values.dtype == np.uint8 else (values >> U(31 * k)) % U(_PRIME)
+            coded = coded * powers(base, n)
+            coded %= U(_PRIME)
+            sums = np.zeros(n + 1, U)
+            np.cumsum(coded, out=sums[1:])
+            self.sums.append(sums)
+        self.back = [powers(pow(base, -1, _PRIME), n + 1) for base in _BASES]
 
     def raw(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return (self.sums[hi] - self.sums[lo]) * self.back[lo]
+        a, b = ((s[hi] - s[lo]) % U(_PRIME) * back[lo] % U(_PRIME) for s, back in zip(self.sums, self.back, strict=True))
+        return a << U(31) | b
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mix(self.raw(lo, hi) + (hi - lo).astype(U))
+        return mix(self.raw(lo, hi) + (hi - lo).astype(U) * U(_ODD))
+
+
+def loose(values: np.ndarray, width: int) -> np.ndarray:
+    """A cheap hash of every slice of one width, by its start: to choose and to group slices, not to tell that they are equal."""
+    coded = _CODE[values] if values.dtype == np.uint8 else values
+    n = len(values) - width + 1
+    return mix(_wrapped(coded, width)[:n] + U(width))
 
-    def fixed(self, width: int) -> np.ndarray:
-        """The hash of every slice of one width, by its start."""
-        n = len(self.sums) - width
-        return mix((self.sums[width:] - self.sums[:n]) * self.back[:n] + U(width))
+
+def _wrapped(coded: np.ndarray, width: int) -> np.ndarray:
+    """Polynomials modulo 2**64 of every slice of one width."""
+    size = 1 << max(16, int(len(coded) + 1).bit_length())
+    sums = np.zeros(len(coded) + 1, U)
+    np.cumsum(coded * _odd_powers(_ODD, size)[: len(coded)], out=sums[1:])
+    n = len(sums) - width
+    return (sums[width:] - sums[:n]) * _odd_powers(pow(_ODD, -1, 1 << 64), size)[:n]
+
+
+@lru_cache(maxsize=2)
+def _odd_powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U)
+    out[0] = 1
+    return np.cumprod(out, dtype=U)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

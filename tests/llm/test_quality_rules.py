@@ -45,3 +45,11 @@ def test_covered_share_alone_rejects_with_the_query_parameters(spark, tmp_path):
     got = {x.doc_id: x for x in op8_quality_rules(spark, str(tmp_path)).collect()}
     assert [(got[i].n_words, got[i].covered_words, got[i].longest_repeat) for i in range(3)] == [(400, 160, 40), (400, 80, 40), (400, 0, 0)]
     assert not any(x.base_failed for x in got.values()) and [got[i].kept for i in range(3)] == [False, True, True]
+
+
+def test_lines_that_collide_in_polynomials_modulo_a_power_of_two(spark):
+    t = "a"
+    while len(t) < 2048:
+        t += t.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, t + "\n" + t.translate(str.maketrans("ab", "ba"))), (2, t + "\n" + t)], "doc_id long, text string")
+    assert {x.doc_id: (x.n_dup_lines, x.longest_repeat) for x in quality_rules(docs).collect()} == {1: (0, 0), 2: (1, 1)}

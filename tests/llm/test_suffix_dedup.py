@@ -70,7 +70,7 @@ def test_texts_longer_than_a_place_s_bits(monkeypatch):
     texts = [bytes(r.choices(b"abcd", k=n)) + shared + bytes(r.choices(b"abcd", k=40)) for n in (0, 61, 700)] + [b"ab", b"a" * 300]
     offsets = np.cumsum([0, *map(len, texts)])
     out, data = module.runs(np.frombuffer(b"".join(texts), np.uint8), offsets, 20, 7), b"".join(texts)
-    grams = module.Rolling(np.frombuffer(data, np.uint8)).fixed(7) >> np.uint64(6)
+    grams = module.loose(np.frombuffer(data, np.uint8), 7) >> np.uint64(6)
     windows, at = {}, 0
     for text, lo, hi, mark, key in zip(*(out[k].tolist() for k in ("text", "lo", "hi", "at", "key"))):
         for p in range(lo, hi + 1):
@@ -79,3 +79,49 @@ def test_texts_longer_than_a_place_s_bits(monkeypatch):
             assert windows.setdefault(data[place : place + 20], (mark - p, key)) == (mark - p, key)
             at += 1
     assert at == sum(max(0, len(t) - 19) for t in texts)
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out[:n]
+
+
+def test_strings_that_collide_in_polynomials_modulo_a_power_of_two(spark):
+    t = thue_morse(2048)
+    other = t.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, t), (2, other)], "doc_id long, text string")
+    assert {x.doc_id: x.n_removed for x in suffix_dedup(docs, 2048, 1024).collect()} == {1: 0, 2: 0}
+    check(spark, [t, other, t[:700]], 400, 200)
+
+
+def test_query_width_and_passages(spark, tmp_path):
+    """The query's own parameters against brute force, over shared parts around 400 bytes and 51 words."""
+    r = random.Random(8)
+    new = lambda n: "".join(r.choices("abcdefgh  ", k=n))
+    words = lambda n: " ".join("".join(r.choices("abcd", k=3)) + str(r.random())[2:4] for _ in range(n))
+    texts = [None, ""]
+    for n in (398, 399, 400, 401, 900):
+        part = new(n - 2)
+        texts += ["<" + new(300) + "{" + part + "}" + new(200), new(50) + "{" + part + "}é" + new(10)]
+    for n in (50, 51, 55):
+        part = words(n)
+        texts += [words(40) + "\n" + part + "\n" + words(20), words(9) + " " + part + "  " + words(80)]
+    spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, k int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in module.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    for i, want in enumerate(brute([(t or "").encode() for t in texts], 400)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want, i
+    rows = [(t or "").split() for t in texts]
+    seen = Counter(tuple(w[i : i + 51]) for w in rows for i in range(len(w) - 50))
+    for i, w in enumerate(rows):
+        assert (got[i].passage_bytes > 0) == any(seen[tuple(w[k : k + 51])] > 1 for k in range(len(w) - 50)), i
+    assert [got[i].passage_bytes > 0 for i in range(12, 18)] == [False, False, True, True, True, True]
+
+
+def test_a_text_of_20_mib_is_taken_whole(spark):
+    r = np.random.default_rng(2)
+    part = bytes(r.integers(97, 123, 1000, np.uint8)).decode()
+    long = bytes(r.integers(97, 123, 20 << 20, np.uint8)).decode()
+    docs = spark.createDataFrame([(1, long + part), (2, part)], "doc_id long, text string")
+    assert {x.doc_id: (x.n_removed, [tuple(s) for s in x.spans]) for x in suffix_dedup(docs).select("doc_id", "n_removed", "spans").collect()} == {1: (1000, [(20 << 20, (20 << 20) + 1000)]), 2: (1000, [(0, 1000)])}
