@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_encode, byte_bpe_path
-from tessera.llm.minhash import minhash_classes
+from tessera.llm.minhash import NO_ID, minhash_classes
 from tessera.llm.mixing import mix_sources
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.store import written
@@ -26,10 +26,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: that of smallest id; rows without an id stay."""
-    kept = minhash_classes(docs).filter("kept").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(kept, "doc_id", "left_semi").select(*COLUMNS).union(docs.filter("doc_id is null").select(*COLUMNS))
+    """One document of each class of near copies stays: that of smallest id (without one: of least mark), and of rows equal in id and text the first by their other columns.
+
+    Rows that repeat an id with different texts are documents of their own; texts without a word have no class and all stay.
+    """
+    place = [F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "mark"]
+    kept = minhash_classes(docs).filter("kept").select(*place).distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("mark")).select("*", place[0])
+    stay = rows.join(kept, ["_id", "mark"], "left_semi")
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    first = stay.filter(words).groupBy("_id", "mark").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return first.union(stay.filter(~words).select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

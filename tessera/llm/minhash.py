@@ -8,17 +8,23 @@ every coordinate has a dart, so a text of n shingles costs about n + k log k dar
 texts agree in a coordinate with the probability of their (weighted) similarity.
 
 Coordinates are cut into bands. Texts that share a band are candidates, and the exact
-similarity decides. Texts with equal shingles are one class from the start (aggregated
-before any shuffle). In each band's bucket every text is first compared with the
-bucket's smallest; what then is still apart in a bucket is compared pair by pair, where
-sizes allow the similarity. So no link found by the bands is lost, and a group of copies
-costs rows in proportion to its size.
+similarity decides. It is that of plain sets, so all weights are 1 here; `signatures`
+takes any. Texts with equal shingles are one class from the start, named by a hash of
+them (aggregated before any shuffle). In each band's bucket every class is first compared
+with the bucket's smallest, its hub. Where a bucket still holds several components, its
+classes are dealt to blocks of a bounded size, those with one hub side by side; two blocks
+are compared, once, if they meet in such a bucket. One task takes two blocks and
+compares only sets of different components whose sizes and distances from a common hub
+allow the similarity (by the triangle inequality: 1 - similarity is a metric); it returns
+the components that it finds and no pairs. So no link found by the bands is lost, rows
+grow with the texts, and only blocks, of `BLOCK` classes each, meet in pairs.
 
 Defined cases: a null or empty text, or one of white space, is like no other and keeps
 its own class; a text of fewer words than a shingle is one shingle; equal rows share a
-class (rows that repeat an id too); null ids are kept and never stand for a class unless
-alone; texts of any length are taken whole; an empty table gives no rows; other columns
-are ignored.
+class; rows that repeat an id with different texts are texts of their own, each with its
+links; null ids are ids like others, but stand for a class only if it has no other id;
+texts of any length are taken whole; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +40,7 @@ from .components import components
 from .store import written
 from .text import Rolling, U, Words, mix, pieces
 
+NO_ID = -(2**63)  # in place of a null id, for joins
 DEEPEST = 24  # layers of rank below 2**-DEEPEST are one
 
 
@@ -111,19 +118,24 @@ def signatures(keys: np.ndarray, weights: np.ndarray, first: np.ndarray, k: int)
     return best.reshape(n, k)
 
 
+def _class_keys(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each text's set of shingles."""
+    sums = [np.r_[np.zeros(1, U), np.cumsum(mix(keys + U(x)))] for x in (9, 77)]
+    a, b = (s[first[1:]] - s[first[:-1]] for s in sums)
+    return mix(a ^ mix(b + np.diff(first).astype(U))).view(np.int64)
+
+
 def _signature_job(size: int, bands: int, rows: int):
     def job(batches):
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column("text"), 1 << 20):
                 keys, first = shingles(data, offsets, size)
                 best = signatures(keys, np.ones(len(keys)), first, bands * rows).reshape(j - i, bands, rows)
-                band = Rolling(mix(best.ravel()))
-                at = np.arange((j - i) * bands) * rows
-                codes = band(at, at + rows).view(np.int64)
-                sums = np.r_[np.zeros(1, U), np.cumsum(mix(keys + U(9)))]
-                other = np.r_[np.zeros(1, U), np.cumsum(mix(keys + U(77)))]
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(j - i + 1) * bands).astype(np.int32)), pa.array(codes))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)), pa.array((other[first[1:]] - other[first[:-1]]).view(np.int64)), pa.array(np.diff(first)), lists], names=["id", "c1", "c2", "n", "codes"])
+                codes = np.zeros((j - i, bands), U)
+                for r in range(rows):
+                    codes = mix(codes * U(0x9E3779B97F4A7C15) + best[:, :, r])
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(j - i + 1) * bands).astype(np.int32)), pa.array(codes.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("id", "mark")), pa.array(_class_keys(keys, first)), pa.array(np.diff(first)), lists], names=["id", "mark", "key", "n", "codes"])
 
     return job
 
@@ -133,64 +145,149 @@ def _shingle_job(size: int):
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column("text")):
                 keys, first = shingles(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys.view(np.int64)))], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(_class_keys(keys, first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys.view(np.int64)))], names=["key", "set"])
 
     return job
 
 
 def _compare_job(batches):
-    """Keeps pairs by exact similarity; sets are sorted as unsigned numbers."""
+    """The similarity of each pair; sets are sorted as unsigned numbers."""
     for batch in batches:
         a, b = batch.column("set_a"), batch.column("set_b")
-        least = np.asarray(batch.column("least"))
-        keep = []
+        share = []
         for r in range(len(batch)):
             x, y = np.asarray(a[r].values), np.asarray(b[r].values)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= least[r] * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """Pairs (a, b) of ids whose sets have a similarity of `least` or more."""
-    pairs = written(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted.hint("merge"), "id", "left_semi")  # the same plan at every size
-    sets = written(texts.mapInArrow(_shingle_job(size), "id long, set array<long>").dropDuplicates(["id"]))
-    return written(
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-        .withColumn("least", F.lit(least)).mapInArrow(_compare_job, "a long, b long")
+            share.append(both / (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], names=["a", "b", "share"])
+
+
+def _at_least(both, total, similarity: float):
+    """Is both / total, of whole numbers, the similarity or more? No rounding decides at the limit."""
+    return both >= similarity * total - 1e-9
+
+
+def _block_job(table: pa.Table) -> pa.Table:
+    """One row for a block: its classes, their sizes, components, hubs, distances from these, and sets."""
+    table = table.sort_by("key")
+    cells = table.select(["key", "component", "hub", "far", "set"]).combine_chunks().to_batches()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, cells[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(cells[0])
+    return pa.table({"block": table.column("block")[:1], "packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _opened(packed: pa.Scalar) -> tuple:
+    table = pa.ipc.open_stream(packed.as_py()).read_all().combine_chunks()
+    sets = table.column("set").combine_chunks() if isinstance(table.column("set"), pa.ChunkedArray) else table.column("set")
+    offsets = np.asarray(sets.offsets).astype(np.int64)
+    return *(np.asarray(table.column(c)) for c in ("key", "component", "hub", "far")), np.asarray(sets.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def linked(a: tuple, b: tuple, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of two blocks, and the smallest component that each reaches by links between the blocks."""
+    (ka, ca, ha, fa, sa, oa), (kb, cb, hb, fb, sb, ob) = a, b
+    codes = np.unique(np.r_[sa, sb], return_inverse=True)[1]
+    sa, sb = codes[: len(sa)], codes[len(sa) :]
+    na, nb = np.diff(oa), np.diff(ob)
+    label = {c: c for c in np.r_[ca, cb].tolist()}
+
+    def top(c):
+        while label[c] != c:
+            label[c] = label[label[c]]
+            c = label[c]
+        return c
+
+    now = np.array([top(c) for c in cb.tolist()])
+    seen = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
+    for r in range(len(ka)):
+        maybe = (now != top(int(ca[r]))) & (np.minimum(na[r], nb) >= similarity * np.maximum(na[r], nb) - 1e-9)
+        maybe &= (ha[r] != hb) | (np.abs(fa[r] - fb) <= 1 - similarity + 1e-9)
+        at = np.flatnonzero(maybe)
+        if not len(at):
+            continue
+        own = sa[oa[r] : oa[r + 1]]
+        seen[own] = True
+        inside = np.r_[0, np.cumsum(nb[at])]
+        hits = np.add.reduceat(seen[sb[np.repeat(ob[at] - inside[:-1], nb[at]) + np.arange(inside[-1])]].astype(np.int64), inside[:-1])
+        seen[own] = False
+        for k in at[_at_least(hits, na[r] + nb[at] - hits, similarity)]:
+            x, y = sorted((top(int(ca[r])), top(int(cb[k]))))
+            label[y] = x
+            now[now == y] = x
+    return np.r_[ca, cb], np.array([top(c) for c in np.r_[ca, cb].tolist()], np.int64)
+
+
+def _meet_job(similarity: float):
+    def job(table: pa.Table) -> pa.Table:
+        blocks = {table.column("block")[r].as_py(): r for r in range(len(table))}
+        opened = [_opened(table.column("packed")[blocks[k]]) for k in sorted(blocks)]
+        was, now = linked(opened[0], opened[-1], similarity)
+        moved = was != now
+        found = np.unique(np.c_[was[moved], now[moved]], axis=0)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    return job
+
+
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18  # classes, and shingles in all, that one block has on average at most
+
+
+def _in_blocks(apart: DataFrame, sets: DataFrame, stars: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of components. apart: band, code, key, n, hub, component, of buckets with several components."""
+    home = apart.groupBy("key").agg(F.min("hub").alias("hub"), F.first("n").alias("n"), F.first("component").alias("component"))
+    far = stars.select(F.col("a").alias("hub"), F.col("b").alias("key"), (1 - F.col("share")).alias("far"))
+    home = home.join(far, ["hub", "key"], "left").withColumn("far", F.when(F.col("hub") == F.col("key"), 0.0).otherwise(F.coalesce("far", F.lit(1.0))))
+    # without a known distance (sizes too different from the hub's) the hub is the class itself, so that it bounds nothing
+    home = written(home.withColumn("side", F.when(F.col("far") < 1.0, F.col("hub")).otherwise(F.col("key"))).withColumn("far", F.when(F.col("far") < 1.0, F.col("far")).otherwise(0.0)))
+    sizes = home.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    dealt = written(home.join(sizes, "hub").withColumn("block", F.when(F.col("parts") == 1, F.xxhash64("hub")).otherwise(F.xxhash64("hub", F.pmod(F.xxhash64("key"), F.col("parts"))))))
+    blocks = written(
+        dealt.join(sets, "key").select("block", "key", "component", F.col("side").alias("hub"), "far", "set")
+        .groupBy("block").applyInArrow(_block_job, "block long, packed binary")
     )
+    spots = apart.select("band", "code", "key").join(dealt.select("key", "block", "component"), "key").groupBy("band", "code", "block").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    spots = written(spots)
+    p, q = (spots.select("band", "code", *(F.col(c).alias(f"{c}{s}") for c in ("block", "x", "y"))) for s in "pq")
+    meet = p.join(q, ["band", "code"]).filter("blockp <= blockq and (xp <> yp or xq <> yq or xp <> xq)").select("blockp", "blockq").distinct()
+    pairs = written(meet).withColumn("block", F.explode(F.array_distinct(F.array("blockp", "blockq"))))
+    return written(pairs.join(blocks, "block").groupBy("blockp", "blockq").applyInArrow(_meet_job(similarity), "a long, b long"))
 
 
 def minhash_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 36, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text: `id_col`, class_id (smallest id of its class), kept (it is that id).
-
-    Of rows that repeat an id none is told apart: if their texts differ, the links of each hold for the id.
-    """
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(given.mapInArrow(_signature_job(size, bands, rows), "id long, c1 long, c2 long, n long, codes array<long>"))
-    some = signed.filter("n > 0 and id is not null")
-    classes = some.groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"))
-    stands = written(some.join(classes.select(F.col("rep").alias("id"), "c1", "c2", "n"), ["id", "c1", "c2", "n"]).dropDuplicates(["id", "c1", "c2"]).select("id", "n", "codes"))
-    spots = written(stands.select("id", "n", F.posexplode("codes").alias("band", "code")))
-    crowds = spots.groupBy("band", "code").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("many")).filter("many > 1")
+    """One row per text: `id_col`, mark (xxhash64 of the text), class_id (smallest id of its class), kept (the text stands for its class: the smallest id, and of its texts the one of least mark)."""
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    signed = written(given.mapInArrow(_signature_job(size, bands, rows), "id long, mark long, key long, n long, codes array<long>"))
+    some = signed.filter("n > 0")
+    stands = some.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("least"), F.first("n").alias("n"), F.first("codes").alias("codes"))  # equal sets have equal codes
+    stands = written(stands)
+    spots = written(stands.select(F.col("least.id").alias("id"), "key", "n", F.posexplode("codes").alias("band", "code")))
+    crowds = spots.groupBy("band", "code").agg(F.min(F.struct("id", "key", "n")).alias("hub"), F.count("*").alias("many")).filter("many > 1")
     crowded = written(spots.join(written(crowds), ["band", "code"]))
-    close = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    stars = crowded.filter(F.col("id") != F.col("hub.id")).filter(close(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(stars, given, size, similarity)
+    close = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    pairs = written(crowded.filter(F.col("key") != F.col("hub.key")).filter(close(F.col("n"), F.col("hub.n"))).select(F.col("hub.key").alias("a"), F.col("key").alias("b")).distinct())
+    # the sets of all classes that share a bucket, from one text of each
+    wanted = crowded.select("key").distinct().join(stands.select("key", "least"), "key").select(F.coalesce("least.id", F.lit(NO_ID)).alias("k"), F.col("least.mark").alias("mark"))
+    texts = given.withColumn("k", F.coalesce("id", F.lit(NO_ID))).join(wanted.hint("merge"), ["k", "mark"], "left_semi").select("text")  # the same plan at every size
+    sets = written(texts.mapInArrow(_shingle_job(size), "key long, set array<long>").dropDuplicates(["key"]))
+    stars = written(
+        pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
+        .join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
+        .mapInArrow(_compare_job, "a long, b long, share double")
+    )
+    links = stars.filter(F.col("share") >= similarity - 1e-12).select("a", "b")
     known = components(links)
-    placed = crowded.filter("many > 2").join(known, "id", "left").select("band", "code", "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = crowded.filter("many > 2").join(known.withColumnRenamed("id", "key"), "key", "left").select("band", "code", "key", "n", F.col("hub.key").alias("hub"), F.coalesce("component", "key").alias("component"))
     mixed = placed.groupBy("band", "code").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band", "code")
     apart = written(placed.join(written(mixed), ["band", "code"]))
-    x, y = (apart.select("band", "code", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component"))) for s in "xy")
-    rest = x.join(y, ["band", "code"]).filter("id_x < id_y and component_x <> component_y").filter(close(F.col("n_x"), F.col("n_y"))).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = _verified(rest, given, size, similarity)
-    copies = some.join(classes, ["c1", "c2", "n"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    found = components(links.union(more).union(copies))
-    return given.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("class_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True))).withColumnRenamed("id", id_col)
+    more = _in_blocks(apart, sets, stars, similarity)
+    found = components(links.union(known.select(F.col("id").alias("a"), F.col("component").alias("b"))).union(more)).withColumnRenamed("id", "key")
+    told = stands.select("key", "least").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    best = told.groupBy("component").agg(F.min("least").alias("best"))
+    named = written(told.join(best, "component").select("key", "best"))
+    out = signed.select("id", "mark", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(named, "key", "left")
+    alone, same = F.col("best").isNull(), F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))
+    return out.select(F.col("id").alias(id_col), "mark", F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("class_id"), F.when(alone, F.lit(True)).otherwise(same).alias("kept"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
