@@ -15,7 +15,8 @@ suffixes that are alone in their group leave, so later passes touch repeats only
    runs that are left; classes are treated as in the second pass.
 4. The last digit is all `width` bytes of each window that is left.
 
-Equal windows have the same anchor at the same place, so no pass parts them. The anchor's
+Several thresholds (a width in bytes or words each) go through the passes together, as
+rows of one table. Equal windows have the same anchor at the same place, so no pass parts them. The anchor's
 digit is a cheap hash that only brings together; what says that two runs or windows are
 equal is a hash of another kind as well (`text.Rolling`, over all their bytes), so bytes go
 on two hashes that know nothing of each other. With `by_words`, `width` and `anchor` count words, hashes of words stand in
@@ -41,6 +42,7 @@ from .store import written
 from .text import Rolling, U, Words, loose, mix, per_row, pieces
 
 NO_ID = -(2**63)
+PIECE = 1 << 17  # bytes that are hashed at a time: what fits a core's cache (a longer text is one piece)
 STEP = 16  # windows that pass 3 takes together
 _PLACE = 24  # bits of a place inside a stretch of text
 
@@ -73,56 +75,54 @@ def _extent(rolling: Rolling, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, wi
     return mix(rolling(lo, hi + width) ^ mix(shape)).view(np.int64)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor: text, first and last window, digits 1 and 2."""
+def runs(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int, keys_only: bool = False) -> dict[str, np.ndarray]:
+    """Runs of windows with one anchor: text, first and last window, digits 1 and 2; or digit 1 alone."""
     empty = {k: np.zeros(0, np.int64) for k in ("text", "lo", "hi", "at", "key", "full")}
     if len(data) < width:
         return empty
-    rolling = Rolling(data)
     grams = loose(data, anchor)
     anchors = _anchors(grams, width - anchor + 1)
     whole = np.zeros(len(data) + 1, np.int64)  # does a window that begins here end inside its text?
     fits = np.diff(offsets) >= width
     np.add.at(whole, offsets[:-1][fits], 1)
     np.add.at(whole, offsets[1:][fits] - width + 1, -1)
-    at = np.flatnonzero(np.cumsum(whole)[: len(anchors)] > 0)
-    if not len(at):
+    whole = np.cumsum(whole)[: len(anchors)] > 0
+    first = np.r_[True, anchors[1:] != anchors[:-1]]
+    first[offsets[:-1][fits]] = True
+    lo = np.flatnonzero(first & whole)
+    if not len(lo):
         return empty
-    text = np.searchsorted(offsets, at, "right") - 1
-    mark = anchors[at]
-    first = np.r_[True, (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])]
-    lo, text, mark = at[first], text[first], mark[first]
-    hi = np.r_[at[np.flatnonzero(first)[1:] - 1], at[-1]]
+    mark = anchors[lo]
+    if keys_only:
+        return empty | {"key": grams[mark].view(np.int64)}
+    text = np.searchsorted(offsets, lo, "right") - 1
+    hi = np.minimum(np.r_[lo[1:], len(anchors)], offsets[text + 1] - width + 1) - 1
     start = offsets[text]
-    return {"text": text, "lo": lo - start, "hi": hi - start, "at": mark - start, "key": grams[mark].view(np.int64), "full": _extent(rolling, lo, hi, mark, width)}
+    return {"text": text, "lo": lo - start, "hi": hi - start, "at": mark - start, "key": grams[mark].view(np.int64), "full": _extent(Rolling(data), lo, hi, mark, width)}
 
 
 def _given(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None) -> DataFrame:
-    """Columns k (id, none null), text, row."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).cast("string").alias("text"), *([F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []))
-
-
-def _marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A number for each whole text, which tells texts of one id apart."""
-    return Rolling(data)(offsets[:-1], offsets[1:]).view(np.int64)
+    """Columns k (id, none null), text, mark (which tells texts of one id apart), row."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), text.alias("text"), F.xxhash64(text).alias("mark"), *([F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []))
 
 
 def _pack_job(carry: bool):
     """Texts compressed one by one, for the shuffles."""
 
     def job(batches):
-        codec = pa.Codec("zstd", 3)
+        codec = pa.Codec("zstd", 1)
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column("text")):
                 whole = data.tobytes()
                 packed = [codec.compress(whole[a:b], asbytes=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 names = ["k", *(["row"] if carry else []), "mark", "size", "packed"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names[: 1 + carry]), pa.array(_marks(data, offsets)), pa.array(np.diff(offsets)), pa.array(packed, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names[: 2 + carry]), pa.array(np.diff(offsets)), pa.array(packed, pa.binary())], names=names)
 
     return job
 
 
-def _unpacked(batch: pa.RecordBatch, limit: int = 2 << 20):
+def _unpacked(batch: pa.RecordBatch, limit: int = PIECE):
     """As pieces(), from the columns size and packed."""
     codec, sizes, packed = pa.Codec("zstd"), np.asarray(batch.column("size")), batch.column("packed")
     ends = np.r_[0, np.cumsum(sizes)]
@@ -142,13 +142,32 @@ def _units(data: np.ndarray, offsets: np.ndarray, by_words: bool) -> tuple[np.nd
     return words.hashes(Rolling(data)), words.first
 
 
-def _run_job(width: int, anchor: int, by_words: bool):
+Threshold = tuple[int, int, bool]  # width, anchor, by words
+
+
+def _mixed(key: np.ndarray, *numbers) -> np.ndarray:
+    out = key.view(U)
+    for x in numbers:
+        out = mix(out ^ mix(np.asarray(x).astype(U) + U(1)))
+    return out.view(np.int64)
+
+
+def _batch(batch: pa.RecordBatch, rows: np.ndarray, number: int, named: dict[str, np.ndarray]) -> pa.RecordBatch:
+    take = pa.array(rows)
+    kind = {"lo": pa.int32(), "hi": pa.int32(), "at": pa.int32(), "p": pa.int32()}
+    return pa.RecordBatch.from_arrays([batch.column("k").take(take), batch.column("mark").take(take), pa.array(np.full(len(rows), number, np.int32)), *(pa.array(v, kind.get(n, pa.int64())) for n, v in named.items())], names=["k", "mark", "t", *named])
+
+
+def _run_job(thresholds: list[Threshold], keys_only: bool):
+    """Passes 1 and 2; t: the number of the threshold."""
+
     def job(batches):
         for batch in batches:
-            for i, j, data, offsets in pieces(batch.column("text")):
-                out = runs(*_units(data, offsets, by_words), width, anchor)
-                row = out.pop("text")
-                yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(row + i)), pa.array(_marks(data, offsets)[row]), *(pa.array(v, pa.int32() if n in ("lo", "hi", "at") else pa.int64()) for n, v in out.items())], names=["k", "mark", *out])
+            for i, _, data, offsets in pieces(batch.column("text"), PIECE):
+                for t, (width, anchor, by_words) in enumerate(thresholds):
+                    out = runs(*_units(data, offsets, by_words), width, anchor, keys_only)
+                    out["key"] = _mixed(out["key"], t)
+                    yield pa.RecordBatch.from_arrays([pa.array(out["key"])], names=["key"]) if keys_only else _batch(batch, out.pop("text") + i, t, out)
 
     return job
 
@@ -166,77 +185,83 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _step_job(width: int, by_words: bool):
+def _parts(thresholds: list[Threshold]):
+    """From batches of texts: pieces with their first row, and by threshold its number, width, units, where texts begin, and row, lo, hi, at, key of its parts."""
+
+    def each(batch):
+        for i, j, data, offsets in _unpacked(batch):
+            row, t, *rest = _per_text(batch, i, j, "parts")
+            for k, (width, _, by_words) in enumerate(thresholds):
+                if (own := t == k).any():
+                    yield i, k, width, *_units(data, offsets, by_words), row[own], *(x[own] for x in rest)
+
+    return each
+
+
+def _step_job(thresholds: list[Threshold]):
     """Pass 3: the windows of each part, `STEP` at a time by their distance from the anchor."""
 
     def job(batches):
         for batch in batches:
-            for i, j, data, offsets in _unpacked(batch):
-                row, lo, hi, at, key = _per_text(batch, i, j, "parts")
-                data, offsets = _units(data, offsets, by_words)
+            for i, k, width, data, offsets, row, lo, hi, at, key in _parts(thresholds)(batch):
                 top = (at - lo) // STEP
                 count = top - (at - hi) // STEP + 1
                 lo, hi, at, key, row, top = (np.repeat(x, count) for x in (lo, hi, at, key, row, top))
                 which = top - _within(count)
                 first, last = np.maximum(lo, at - which * STEP - STEP + 1), np.minimum(hi, at - which * STEP)
                 full = _extent(Rolling(data), offsets[row] + first, offsets[row] + last, offsets[row] + at, width)
-                key = mix(key.view(U) ^ mix((which + (1 << 40)).astype(U))).view(np.int64)
-                take = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([batch.column("k").take(take), batch.column("mark").take(take), *(pa.array(x.astype(np.int32)) for x in (first, last, at)), pa.array(key), pa.array(full)], names=["k", "mark", "lo", "hi", "at", "key", "full"])
+                yield _batch(batch, row + i, k, {"lo": first, "hi": last, "at": at, "key": _mixed(key, which + (1 << 40)), "full": full})
 
     return job
 
 
-def _window_job(width: int, by_words: bool):
+def _window_job(thresholds: list[Threshold]):
     """Pass 4: the windows of each part, one by one."""
 
     def job(batches):
         for batch in batches:
-            for i, j, data, offsets in _unpacked(batch):
-                row, lo, hi, at, key = _per_text(batch, i, j, "parts")
-                data, offsets = _units(data, offsets, by_words)
+            for i, k, width, data, offsets, row, lo, hi, at, key in _parts(thresholds)(batch):
                 count = hi - lo + 1
                 row, at, key, p = np.repeat(row, count), np.repeat(at, count), np.repeat(key, count), np.repeat(lo, count) + _within(count)
-                key = mix(key.view(U) ^ mix((at - p).astype(U))).view(np.int64)
                 digit = Rolling(data)(offsets[row] + p, offsets[row] + p + width)
-                take = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([batch.column("k").take(take), batch.column("mark").take(take), pa.array(p.astype(np.int32)), pa.array(key), pa.array(digit.view(np.int64))], names=["k", "mark", "p", "key", "digit"])
+                yield _batch(batch, row + i, k, {"p": p, "key": _mixed(key, at - p), "digit": digit.view(np.int64)})
 
     return job
 
 
-_RUN = "k long, mark long, lo int, hi int, at int, key long, full long"
+_RUN = "k long, mark long, t int, lo int, hi int, at int, key long, full long"
 
 
 def _told(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of runs with digits key and full: those that equal another, and by text those that the next pass has to part."""
-    place = F.struct("k", "mark", "lo")
+    place = F.struct("k", "mark", "t", "lo")
     classes = rows.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(place).alias("stands"))
     digits = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
     known = classes.join(digits.filter("kinds > 1 or least > 1"), "key")
     more = (F.col("kinds") > 1) & ((F.col("n") == 1) | ((F.col("stands") == place) & (F.col("least") == 1)))
-    told = written(rows.join(known, ["key", "full"]).select("k", "mark", "lo", "hi", "at", "key", "n", more.alias("more")).filter("n >= 2 or more"))
-    return told.filter("n >= 2"), told.filter("more").groupBy("k", "mark").agg(F.collect_set(F.struct("lo", "hi", "at", "key")).alias("parts"))
+    told = written(rows.join(known, ["key", "full"]).select("k", "mark", "t", "lo", "hi", "at", "key", "n", more.alias("more")).filter("n >= 2 or more"))
+    return told.filter("n >= 2"), told.filter("more").groupBy("k", "mark").agg(F.collect_set(F.struct("t", "lo", "hi", "at", "key")).alias("parts"))
 
 
-def repeated_windows(given: DataFrame, texts: DataFrame, width: int, anchor: int, by_words: bool = False) -> DataFrame:
-    """Spans (k, mark, lo, hi) of bytes or words under windows that occur again."""
+def repeated_windows(given: DataFrame, texts: DataFrame, thresholds: list[Threshold]) -> DataFrame:
+    """Spans (k, mark, t, lo, hi) of bytes or words under windows that occur again; t: the number of the threshold."""
     texts = texts.select("k", "mark", "size", "packed")
-    rows = given.select("k", "text").mapInArrow(_run_job(width, anchor, by_words), _RUN)
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2").select("key")
+    keys = given.select("text").mapInArrow(_run_job(thresholds, True), "key long")
+    rows = given.select("k", "mark", "text").mapInArrow(_run_job(thresholds, False), _RUN)
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2").select("key")
     shared = written(shared)  # the join's sides are then plain exchanges, which Spark splits where a key is hot
     found, parts = _told(written(rows.join(shared, "key")))
-    closer, parts = _told(written(texts.join(parts, ["k", "mark"]).mapInArrow(_step_job(width, by_words), _RUN)))
-    windows = written(texts.join(parts, ["k", "mark"]).mapInArrow(_window_job(width, by_words), "k long, mark long, p int, key long, digit long"))
+    closer, parts = _told(written(texts.join(parts, ["k", "mark"]).mapInArrow(_step_job(thresholds), _RUN)))
+    windows = written(texts.join(parts, ["k", "mark"]).mapInArrow(_window_job(thresholds), "k long, mark long, t int, p int, key long, digit long"))
     again = windows.groupBy("key", "digit").agg(F.count("*").alias("n")).filter("n >= 2").select("key", "digit")
-    one = windows.join(again, ["key", "digit"]).select("k", "mark", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    spans = found.union(closer).select("k", "mark", "lo", "hi").union(one)
-    return spans.withColumn("hi", F.col("hi") + width)
+    one = windows.join(again, ["key", "digit"]).select("k", "mark", "t", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    spans = found.union(closer).select("k", "mark", "t", "lo", "hi").union(one)
+    return spans.withColumn("hi", F.col("hi") + F.get(F.array(*[F.lit(w) for w, _, _ in thresholds]), F.col("t")))
 
 
-def _under(batch: pa.RecordBatch, i: int, j: int, column: str, data: np.ndarray, offsets: np.ndarray, by_words: bool) -> np.ndarray:
-    """Which bytes of rows [i, j) lie under the spans of a column."""
-    row, lo, hi = _per_text(batch, i, j, column)
+def _under(found: tuple, number: int, data: np.ndarray, offsets: np.ndarray, by_words: bool) -> np.ndarray:
+    """Which bytes lie under the spans (row, t, lo, hi) of a threshold."""
+    row, lo, hi = (x[found[1] == number] for x in (found[0], *found[2:]))
     if by_words and len(row):
         words = Words(data, offsets)
         lo, hi = words.starts[words.first[row] + lo] - offsets[row], words.ends[words.first[row] + hi - 1] - offsets[row]
@@ -250,7 +275,8 @@ def _cut_job(carry: bool, by_words: bool, passages: bool):
     def job(batches):
         for batch in batches:
             for i, j, data, offsets in _unpacked(batch):
-                gone = _under(batch, i, j, "spans", data, offsets, by_words)
+                found = _per_text(batch, i, j, "spans")
+                gone = _under(found, 0, data, offsets, by_words)
                 before = np.r_[False, gone[:-1]] if len(gone) else gone
                 before[offsets[:-1][offsets[:-1] < len(data)]] = False
                 start, kept = gone & ~before, ~gone
@@ -270,7 +296,7 @@ def _cut_job(carry: bool, by_words: bool, passages: bool):
                 columns = [*(batch.column(c).slice(i, j - i) for c in names[: 1 + carry]), pa.array(size), pa.array(size - np.diff(sums)), spans, body]
                 if passages:
                     names.append("passage_bytes")
-                    columns.append(pa.array(per_row(_under(batch, i, j, "passages", data, offsets, True), offsets)))
+                    columns.append(pa.array(per_row(_under(found, 1, data, offsets, True), offsets)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return job
@@ -286,11 +312,9 @@ def suffix_dedup(docs: DataFrame, width: int = 400, anchor: int = 200, id_col: s
     given = _given(docs, id_col, text_col, carry)
     row = f"row {given.schema['row'].dataType.simpleString()}, " if carry else ""
     texts = given.mapInArrow(_pack_job(bool(carry)), f"k long, {row}mark long, size long, packed binary")
-    asked = {"spans": (width, anchor, by_words)} | ({"passages": (passage, passage // 2, True)} if passage else {})
-    out = texts
-    for name, how in asked.items():
-        spans = repeated_windows(given, texts, *how).groupBy("k", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias(name))
-        out = out.join(spans, ["k", "mark"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<lo:int,hi:int>>")))
+    thresholds = [(width, anchor, by_words), *([(passage, passage // 2, True)] if passage else [])]
+    spans = repeated_windows(given, texts, thresholds).groupBy("k", "mark").agg(F.collect_set(F.struct("t", "lo", "hi")).alias("spans"))
+    out = texts.join(spans, ["k", "mark"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<t:int,lo:int,hi:int>>")))
     more = ", passage_bytes long" if passage else ""
     cut = out.mapInArrow(_cut_job(bool(carry), by_words, bool(passage)), f"k long, {row}n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary{more}")
     return cut.withColumn("k", F.when(F.col("k") != NO_ID, F.col("k"))).withColumnRenamed("k", id_col)
