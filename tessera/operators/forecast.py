@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import SeriesSpec
-from .panel import split_label
+from .panel import day_of, is_working, split_label
 
 
 def by_series(*extra: str):
@@ -45,11 +45,10 @@ def windows(panel: DataFrame, length: int, horizon: int = 1, stride: int = 1, wi
 
 
 def calendar(slot: Column, spec: SeriesSpec) -> dict[str, Column]:
-    day, phase, dow = slot % spec.season, F.floor(slot / spec.season), F.floor(slot / spec.season) % 7
+    day, dow = slot % spec.season, F.weekday(day_of(slot, spec))
     turn = lambda x, n: (F.sin(2 * F.pi() * x / n), F.cos(2 * F.pi() * x / n))
     (a, b), (c, e) = turn(day, spec.season), turn(dow, 7)
-    holidays = [0, 5] if spec.holidays == ("2024-01-01", "2024-01-06") else []
-    return {"day_sin": a, "day_cos": b, "dow_sin": c, "dow_cos": e, "working": ((dow < 5) & ~phase.isin(*holidays)).cast("double") if holidays else (dow < 5).cast("double")}
+    return {"day_sin": a, "day_cos": b, "dow_sin": c, "dow_cos": e, "working": is_working(day_of(slot, spec), spec).cast("double")}
 
 
 # --- forecasters: panel -> panel with y_pred. A registry by name; duplicates and unknown names are errors.

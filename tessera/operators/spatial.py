@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 from ..spec import SeriesSpec
 
-# A box of latitude and longitude, the earth's mean radius, compass points.
-SOUTH, NORTH, WEST, EAST = 45.356, 45.568, 9.011, 9.312
+# A box of latitude and longitude, the earth's mean radius, compass points, landmarks and the load that each should have beside its neighbours.
+SOUTH, NORTH, WEST, EAST = 45.356261, 45.568161, 9.011533, 9.312688
 RADIUS_M = 6371008.8
 POINTS = ["N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW"]
 
+LANDMARKS = [
+    ("Linate airport", 45.4451, 9.2767, "max"),
+    ("San Siro stadium", 45.4781, 9.1240, "max"),
+    ("Milano Centrale", 45.4869, 9.2050, "max"),
+    ("Duomo", 45.4642, 9.1900, None),
+    ("Idroscalo lake", 45.4600, 9.2900, "min"),
+    ("Parco Sud farmland", 45.3900, 9.1900, "min"),
+    ("Sesto San Giovanni", 45.5300, 9.2400, "max"),
+]
+
 
 def centroid(row: Column, col: Column, side: int, north_first: bool = False) -> tuple[Column, Column]:
     """Latitude and longitude of a cell's centre; rows count from the south unless north_first."""

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def prefix_sums(df: DataFrame, order: list[Column], value: str, parts: int | None = None) -> DataFrame:
     """Adds rank (from 1) and running (sum of value) in a global order, without one task for all rows.
 
-    Rows are dealt by range; each part's count and sum make offsets, one row a part.
+    Rows are dealt by range, and written with their part's number, so that offsets and
+    rows are of one dealing; each part's count and sum make offsets, one row a part.
     """
-    sorted_ = (df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    sorted_ = written((df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = sorted_.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).withColumn("_run", F.sum(value).over(inside))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -20,8 +23,8 @@ def prefix_sums(df: DataFrame, order: list[Column], value: str, parts: int | Non
 
 
 def gini(value: str) -> Column:
-    """Over prefix_sums in ascending order: 2*sum(rank*v)/(n*sum v) - (n+1)/n."""
-    return 2 * F.sum(F.col("rank") * F.col(value)) / (F.count("*") * F.sum(value)) - (F.count("*") + 1) / F.count("*")
+    """Over prefix_sums in ascending order: 2*sum(rank*v)/(n*sum v) - (n+1)/n; null if all is 0."""
+    return F.try_divide(2 * F.sum(F.col("rank") * F.col(value)), F.count("*") * F.sum(value)) - F.try_divide(F.count("*") + 1, F.count("*"))
 
 
 def competition_rank(df: DataFrame, value: str) -> DataFrame:

@@ -197,21 +197,21 @@ def gini(spark, d):
 def gini_lorenz(spark, d):
     p = S.prefix_sums(_acct(spark, d), [F.col("v"), F.col("c_custkey")], "v")
     one = p.agg(F.sum(2 * F.col("running") - F.col("v")).alias("a"), F.sum("v").alias("s"), F.count("*").alias("n"))
-    return one.select(rnd(1 - F.col("a") / F.col("s") / F.col("n")).alias("gini"))
+    return one.select(rnd(1 - F.try_divide(F.col("a"), F.col("s") * F.col("n"))).alias("gini"))
 
 
 @query(", k AS (SELECT c_custkey, c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS rank FROM customer WHERE c_acctbal >= 0) SELECT rank AS cells, round(rank / (SELECT count(*) FROM k), 6) AS x, round(sum(v) OVER (ORDER BY rank) / (SELECT sum(v) FROM k), 6) AS y FROM k UNION ALL SELECT 0, 0.0, 0.0")
 def lorenz_curve(spark, d):
     p = S.prefix_sums(_acct(spark, d), [F.col("v"), F.col("c_custkey")], "v")
     whole = F.broadcast(p.agg(F.sum("v").alias("s"), F.count("*").alias("n")))
-    return p.join(whole).select(F.col("rank").cast("long").alias("cells"), rnd(F.col("rank") / F.col("n")).alias("x"), rnd(F.col("running") / F.col("s")).alias("y")).union(spark.sql("SELECT 0L, 0D, 0D"))
+    return p.join(whole).select(F.col("rank").cast("long").alias("cells"), rnd(F.col("rank") / F.col("n")).alias("x"), rnd(F.try_divide("running", "s")).alias("y")).union(spark.sql("SELECT 0L, 0D, 0D"))
 
 
 @query(", k AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, count(*) OVER () AS n FROM customer WHERE c_acctbal >= 0) SELECT round(sum(v) FILTER (rank <= greatest(1, round_even(n * 0.01, 0))) / sum(v), 6) AS share FROM k")
 def top_share(spark, d):
     p = S.prefix_sums(_acct(spark, d), [F.col("v").desc(), F.col("c_custkey")], "v")
     n = F.broadcast(_acct(spark, d).agg(F.greatest(F.lit(1), F.bround(F.count("*") * 0.01)).alias("k")))
-    return p.join(n).agg(rnd(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("v"))) / F.sum("v")).alias("share"))
+    return p.join(n).agg(rnd(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("v"))) / F.nullif(F.sum("v"), F.lit(0.0))).alias("share"))
 
 
 @query(", k AS (SELECT sum(c_acctbal) OVER (ORDER BY c_acctbal DESC, c_custkey) AS run, sum(c_acctbal) OVER () AS s FROM customer WHERE c_acctbal >= 0) SELECT count(*) FILTER (run < 0.5 * s) + 1 AS n FROM k")
@@ -226,9 +226,21 @@ def skewness_log10(spark, d):
     return _acct(spark, d).filter("v > 0").agg(rnd(F.skewness(F.log10("v"))).alias("skew"))
 
 
-@query(", k AS (SELECT c_acctbal AS v FROM customer WHERE c_acctbal >= 0) SELECT count(*) AS n, min(v) AS least, max(v) AS most, median(v) AS middle, round(sum(v), 4) AS total, round(log10(max(v) / median(v)), 6) AS decades_above, round(log10(median(v) / nullif(min(v), 0)), 6) AS decades_below FROM k")
+@query(", k AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS down, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS up, sum(c_acctbal) OVER (ORDER BY c_acctbal DESC, c_custkey) AS run, count(*) OVER () AS n, sum(c_acctbal) OVER () AS s FROM customer WHERE c_acctbal >= 0), x AS (SELECT log10(v) AS u FROM k WHERE v > 0), m AS (SELECT avg(power(u - a, 3)) / nullif(power(avg(power(u - a, 2)), 1.5), 0) AS skew FROM x, (SELECT avg(u) AS a FROM x)) SELECT count(*) AS n, min(v) AS least, max(v) AS most, median(v) AS middle, round(sum(v), 4) AS total, round(log10(max(v) / nullif(median(v), 0)), 6) AS decades_above, round(log10(median(v) / nullif(min(v), 0)), 6) AS decades_below, round(100 * sum(v) FILTER (down <= greatest(1, round_even(n * 0.01, 0))) / nullif(sum(v), 0), 6) AS top_percent, round(2 * sum(up * v) / nullif(count(*) * sum(v), 0) - (count(*) + 1) / count(*), 6) AS gini, count(*) FILTER (run < 0.5 * s) + 1 AS half, round((SELECT skew FROM m), 6) AS skew FROM k")
 def concentration_stats(spark, d):
-    return _acct(spark, d).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.median("v").alias("middle"), rnd(F.sum("v"), 4).alias("total"), rnd(F.log10(F.max("v") / F.median("v"))).alias("decades_above"), rnd(F.log10(F.try_divide(F.median("v"), F.min("v")))).alias("decades_below"))
+    """Spread in decades, top 1 %, Gini, how many make half, and the skewness of the logarithm, from one global order."""
+    p = S.prefix_sums(_acct(spark, d), [F.col("v").desc(), F.col("c_custkey")], "v")
+    whole = F.broadcast(_acct(spark, d).agg(F.count("*").alias("n"), F.sum("v").alias("s")))
+    x = p.join(whole)
+    up = F.col("n") + 1 - F.col("rank")  # equal values may change places: the sum stays
+    top = F.sum(F.when(F.col("rank") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.01)), F.col("v")))
+    ratio = lambda a, b: rnd(F.log10(F.try_divide(a, b)))
+    return x.agg(
+        F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.median("v").alias("middle"), rnd(F.sum("v"), 4).alias("total"),
+        ratio(F.max("v"), F.median("v")).alias("decades_above"), ratio(F.median("v"), F.min("v")).alias("decades_below"), rnd(100 * F.try_divide(top, F.sum("v"))).alias("top_percent"),
+        rnd(F.try_divide(2 * F.sum(up * F.col("v")), F.count("*") * F.sum("v")) - (F.count("*") + 1) / F.count("*")).alias("gini"), (F.count_if(F.col("running") < 0.5 * F.col("s")) + 1).alias("half"),
+        rnd(F.skewness(F.when(F.col("v") > 0, F.log10("v")))).alias("skew"),
+    )
 
 
 _WEEK = "SELECT series_id, slot_idx // 168 AS week, avg(value) AS mean, count(*) AS n_slots, count(DISTINCT slot_idx // 24) AS n_days FROM e WHERE (slot_idx // 24) % 7 < 5 GROUP BY ALL"
@@ -244,30 +256,30 @@ def weekly_weekday_means(spark, d):
     return _weeks(spark, d).withColumn("mean", rnd("mean"))
 
 
-@query(f"SELECT week + 1 AS iso_week, round(max(mean) FILTER (series_id = 'click'), 6) AS click, round(max(mean) FILTER (series_id = 'view'), 6) AS view FROM ({_WEEK}) WHERE n_days = 5 GROUP BY ALL")
+@query(f"SELECT week + 1 AS iso_week, {", ".join(f"round(max(mean) FILTER (series_id = '{c}'), 6) AS {c}" for c in SPEC.channels)} FROM ({_WEEK}) WHERE n_days = 5 GROUP BY ALL")
 def weekday_means_full_weeks(spark, d):
     full = _weeks(spark, d).filter("n_days = 5").withColumn("iso_week", F.weekofyear("monday").cast("long"))
-    return full.groupBy("iso_week").pivot("series_id", ["click", "view"]).agg(rnd(F.max("mean")))
+    return full.groupBy("iso_week").pivot("series_id", list(SPEC.channels)).agg(rnd(F.max("mean")))
 
 
-@query(f"SELECT a.series_id, a.week, round(a.mean / b.mean, 6) AS rel, round(100 * (a.mean / b.mean - 1), 4) AS change FROM ({_WEEK}) a JOIN ({_WEEK}) b ON a.series_id = b.series_id AND b.week = 0")
+@query(f"SELECT a.series_id, a.week, round(a.mean / nullif(b.mean, 0), 6) AS rel, round(100 * (a.mean / nullif(b.mean, 0) - 1), 4) AS change FROM ({_WEEK}) a JOIN ({_WEEK}) b ON a.series_id = b.series_id AND b.week = 0")
 def weekly_index(spark, d):
     w = _weeks(spark, d).withColumn("week", F.floor(F.datediff("monday", F.lit(SPEC.origin).cast("date")) / 7))
     base = w.filter("week = 0").select("series_id", F.col("mean").alias("base"))
-    return w.join(F.broadcast(base), "series_id").select("series_id", "week", rnd(F.col("mean") / F.col("base")).alias("rel"), rnd(100 * (F.col("mean") / F.col("base") - 1), 4).alias("change"))
+    return w.join(F.broadcast(base), "series_id").select("series_id", "week", rnd(F.try_divide("mean", "base")).alias("rel"), rnd(100 * (F.try_divide("mean", "base") - 1), 4).alias("change"))
 
 
-@query(f"SELECT series_id, week, round(100 * (mean / base - 1), 4) AS drift FROM ({_WEEK}) JOIN (SELECT series_id, avg(mean) AS base FROM ({_WEEK}) WHERE week < 2 GROUP BY ALL) USING (series_id) WHERE week >= 2")
+@query(f"SELECT series_id, week, round(100 * (mean / nullif(base, 0) - 1), 4) AS drift FROM ({_WEEK}) JOIN (SELECT series_id, avg(mean) AS base FROM ({_WEEK}) WHERE week < 2 GROUP BY ALL) USING (series_id) WHERE week >= 2")
 def weekly_drift(spark, d):
     w = _weeks(spark, d).withColumn("week", F.floor(F.datediff("monday", F.lit(SPEC.origin).cast("date")) / 7))
     base = w.filter("week < 2").groupBy("series_id").agg(F.avg("mean").alias("base"))
-    return w.filter("week >= 2").join(base, "series_id").select("series_id", "week", rnd(100 * (F.col("mean") / F.col("base") - 1), 4).alias("drift"))
+    return w.filter("week >= 2").join(base, "series_id").select("series_id", "week", rnd(100 * (F.try_divide("mean", "base") - 1), 4).alias("drift"))
 
 
-@query("SELECT coalesce(series_id, 'grid') AS series_id, round(100 * (avg(value) FILTER (slot_idx // 168 = 3) / avg(value) FILTER (slot_idx // 168 = 1) - 1), 4) AS change FROM e WHERE (slot_idx // 24) % 7 < 5 GROUP BY GROUPING SETS ((series_id), ())")
+@query("SELECT coalesce(series_id, 'grid') AS series_id, round(100 * (avg(value) FILTER (slot_idx // 168 = 3) / nullif(avg(value) FILTER (slot_idx // 168 = 1), 0) - 1), 4) AS change FROM e WHERE (slot_idx // 24) % 7 < 5 GROUP BY GROUPING SETS ((series_id), ())")
 def weekday_drift(spark, d):
     w, day = F.floor(F.col("slot_idx") / 168), P.day_of(F.col("slot_idx"), SPEC)
-    return channels(spark, d).filter(F.weekday(day) < 5).rollup("series_id").agg(rnd(100 * (F.avg(F.when(w == 3, F.col("value"))) / F.avg(F.when(w == 1, F.col("value"))) - 1), 4).alias("change")).withColumn("series_id", F.coalesce("series_id", F.lit("grid")))
+    return channels(spark, d).filter(F.weekday(day) < 5).rollup("series_id").agg(rnd(100 * (F.try_divide(F.avg(F.when(w == 3, F.col("value"))), F.avg(F.when(w == 1, F.col("value")))) - 1), 4).alias("change")).withColumn("series_id", F.coalesce("series_id", F.lit("grid")))
 
 
 @query("SELECT series_id, round(sum(value), 4) AS total FROM e WHERE slot_idx // 24 IN (1, 2) GROUP BY GROUPING SETS ((series_id), ())")
@@ -287,10 +299,10 @@ def weekday_weekend_ratio(spark, d):
     return channels(spark, d).groupBy("series_id").agg(rnd(F.try_divide(F.avg(F.when(week, F.col("value"))), F.avg(F.when(~week, F.col("value"))))).alias("ratio"))
 
 
-@query("SELECT series_id, round(avg(value) FILTER ((slot_idx // 24) % 7 < 5), 6) AS weekday_mean, round(avg(value) FILTER ((slot_idx // 24) % 7 >= 5), 6) AS weekend_mean FROM e WHERE slot_idx < 336 GROUP BY ALL")
+@query("SELECT series_id, round(avg(value) FILTER ((slot_idx // 24) % 7 < 5), 6) AS weekday_mean, round(avg(value) FILTER ((slot_idx // 24) % 7 >= 5), 6) AS weekend_mean, round(avg(value) FILTER ((slot_idx // 24) % 7 >= 5) / nullif(avg(value) FILTER ((slot_idx // 24) % 7 < 5), 0), 6) AS ratio FROM e WHERE slot_idx < 336 GROUP BY ALL")
 def regime_levels(spark, d):
     week = F.weekday(P.day_of(F.col("slot_idx"), SPEC)) < 5
-    return channels(spark, d).filter("slot_idx < 336").groupBy("series_id").agg(rnd(F.avg(F.when(week, F.col("value")))).alias("weekday_mean"), rnd(F.avg(F.when(~week, F.col("value")))).alias("weekend_mean"))
+    return channels(spark, d).filter("slot_idx < 336").groupBy("series_id").agg(rnd(F.avg(F.when(week, F.col("value")))).alias("weekday_mean"), rnd(F.avg(F.when(~week, F.col("value")))).alias("weekend_mean"), rnd(F.try_divide(F.avg(F.when(~week, F.col("value"))), F.avg(F.when(week, F.col("value"))))).alias("ratio"))
 
 
 _ZERO = "SELECT series_id, count(*) FILTER (value = 0) AS zeros, coalesce(max(slot_idx) FILTER (value <> 0), -1) AS last_row FROM p GROUP BY ALL"
@@ -311,15 +323,15 @@ def stalled_cells(spark, d):
     return _zero(spark, d).filter(F.col("last_row") < 719 - 12).select("series_id", "last_row", seen.alias("last_seen"))
 
 
-@query("SELECT row // 2 AS band, round(sum(total) / (SELECT sum(total) FROM t), 6) AS share FROM t GROUP BY ALL")
+@query("SELECT row // 2 AS band, round(sum(total) / nullif((SELECT sum(total) FROM t), 0), 6) AS share FROM t GROUP BY ALL")
 def row_band_mass(spark, d):
     b = cell_totals(spark, d).groupBy(F.floor(F.col("row") / 2).alias("band")).agg(F.sum("total").alias("s"))
-    return b.select("band", rnd(F.col("s") / F.sum("s").over(Window.partitionBy())).alias("share"))
+    return b.select("band", rnd(F.try_divide(F.col("s"), F.sum("s").over(Window.partitionBy()))).alias("share"))
 
 
-@query("SELECT round(sum(row * total) / sum(total), 6) AS mean_row FROM t")
+@query("SELECT round(sum(row * total) / nullif(sum(total), 0), 6) AS mean_row FROM t")
 def mass_weighted_mean_row(spark, d):
-    return cell_totals(spark, d).agg(rnd(F.sum(F.col("row") * F.col("total")) / F.sum("total")).alias("mean_row"))
+    return cell_totals(spark, d).agg(rnd(F.try_divide(F.sum(F.col("row") * F.col("total")), F.sum("total"))).alias("mean_row"))
 
 
 @query(", x AS (SELECT log10(c_acctbal) AS v FROM customer WHERE c_acctbal > 0), b AS (SELECT min(v) AS lo, (max(v) - min(v)) / 60 AS w FROM x) SELECT least(59, floor((v - lo) / w))::BIGINT AS bin, count(*) AS n FROM x, b GROUP BY ALL")
@@ -354,16 +366,20 @@ def rolling_mean_std(spark, d):
     return _rolled(spark, d).withColumns({"m": rnd("m"), "s": rnd("s")})
 
 
-@query(f"SELECT series_id, round(corr(m, s), 6) AS r FROM ({_ROLL}) WHERE slot_idx >= 23 GROUP BY ALL")
+_ROLL_LOG = _ROLL.replace("avg(value)", "avg(ln(1 + value))").replace("stddev_samp(value)", "stddev_samp(ln(1 + value))")
+
+
+@query(f"SELECT a.series_id, a.r, b.r AS r_log FROM (SELECT series_id, round(corr(m, s), 6) AS r FROM ({_ROLL}) WHERE slot_idx >= 23 GROUP BY ALL) a JOIN (SELECT series_id, round(corr(m, s), 6) AS r FROM ({_ROLL_LOG}) WHERE slot_idx >= 23 GROUP BY ALL) b USING (series_id)")
 def rolling_corr(spark, d):
-    return _rolled(spark, d).groupBy("series_id").agg(rnd(F.corr("m", "s")).alias("r"))
+    r = lambda value, name: _rolled(spark, d, value).groupBy("series_id").agg(rnd(F.corr("m", "s")).alias(name))
+    return r("value", "r").join(r("log1p(value)", "r_log"), "series_id")
 
 
-@query("SELECT series_id, total_rank, round(total / med, 6) AS multiple FROM (SELECT series_id, total, rank() OVER (ORDER BY total DESC) AS total_rank, (SELECT median(total) FROM t) AS med FROM (SELECT series_id, round(total, 4) AS total FROM t))")
+@query("SELECT series_id, total_rank, round(total / nullif(med, 0), 6) AS multiple FROM (SELECT series_id, total, rank() OVER (ORDER BY total DESC) AS total_rank, (SELECT median(total) FROM t) AS med FROM (SELECT series_id, round(total, 4) AS total FROM t))")
 def rank_table(spark, d):
     t = cell_totals(spark, d).withColumn("total", rnd("total", 4))
     med = F.broadcast(cell_totals(spark, d).agg(F.median("total").alias("med")))
-    return S.competition_rank(t, "total").join(med).select("series_id", F.col("competition_rank").alias("total_rank"), rnd(F.col("total") / F.col("med")).alias("multiple"))
+    return S.competition_rank(t, "total").join(med).select("series_id", F.col("competition_rank").alias("total_rank"), rnd(F.try_divide("total", "med")).alias("multiple"))
 
 
 @query("SELECT series_id, slot_idx, round(lag(value, 1) OVER w, 6) AS lag1, round(lag(value, 24) OVER w, 6) AS lag24 FROM e WINDOW w AS (PARTITION BY series_id ORDER BY slot_idx) QUALIFY slot_idx >= 24")

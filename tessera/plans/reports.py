@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import forecast as M
 from ..operators import inference as I
+from ..sources.shared import shared_path
 from ..sources import stores
 from .common import SPEC, Register, cell_totals, channels, raw, rnd
 from .models import _HOLM, PRED, andrews_lag, evals, loss_difference, pacf, preds
@@ -21,8 +19,7 @@ CHANNELS = dict(zip(SPEC.channels, ("sms_in", "sms_out", "call_in", "call_out",
 
 
 def _path(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stores-")
-    return f"{base}/store-{uuid.uuid4().hex}"
+    return shared_path(spark, "store")
 
 
 def _files(spark, d):

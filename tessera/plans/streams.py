@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
 from ..streaming import twins as S
 from .common import Register, rnd
 
@@ -15,8 +13,7 @@ QUERIES, SQL = query.queries, query.sql
 
 
 def _run(spark, d, make):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="streams-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = shared_path(spark, "stream")
     # glob that matches the table alone: a stream source reads folders
     events = S.read_events(spark, f"{d}/events.parque[t]")
     return S.run_to_end(make(events), f"{at}/out", f"{at}/state")
