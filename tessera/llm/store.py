@@ -26,14 +26,21 @@ def new_path(spark: SparkSession) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame) -> DataFrame:
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that no later step reads."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The same rows, read back from a table: lineage ends here and a lost executor loses nothing.
 
     Shuffle files of the write are removed when it ends, so that the disk in use is
     that of the largest step and not of all steps together.
     """
     spark = df.sparkSession
-    path, before = new_path(spark), spark.conf.get(_CLEAN, None)
+    path, before = path or new_path(spark), spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)

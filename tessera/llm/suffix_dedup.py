@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import new_path, removed, written
 from .text import Rolling, U, Words, loose, mix, per_row, pieces
 
 NO_ID = -(2**63)
@@ -232,31 +232,39 @@ def _window_job(thresholds: list[Threshold]):
 _RUN = "k long, mark long, t int, lo int, hi int, at int, key long, full long"
 
 
-def _told(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _told(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Of runs with digits key and full: those that equal another, and by text those that the next pass has to part."""
     place = F.struct("k", "mark", "t", "lo")
     classes = rows.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(place).alias("stands"))
     digits = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
     known = classes.join(digits.filter("kinds > 1 or least > 1"), "key")
     more = (F.col("kinds") > 1) & ((F.col("n") == 1) | ((F.col("stands") == place) & (F.col("least") == 1)))
-    told = written(rows.join(known, ["key", "full"]).select("k", "mark", "t", "lo", "hi", "at", "key", "n", more.alias("more")).filter("n >= 2 or more"))
+    told = written(rows.join(known, ["key", "full"]).select("k", "mark", "t", "lo", "hi", "at", "key", "n", more.alias("more")).filter("n >= 2 or more"), path)
     return told.filter("n >= 2"), told.filter("more").groupBy("k", "mark").agg(F.collect_set(F.struct("t", "lo", "hi", "at", "key")).alias("parts"))
 
 
 def repeated_windows(given: DataFrame, texts: DataFrame, thresholds: list[Threshold]) -> DataFrame:
-    """Spans (k, mark, t, lo, hi) of bytes or words under windows that occur again; t: the number of the threshold."""
+    """By text (k, mark) the spans, an array of (t, lo, hi), of bytes or words under windows that occur again; t: the number of the threshold."""
     texts = texts.select("k", "mark", "size", "packed")
     keys = given.select("text").mapInArrow(_run_job(thresholds, True), "key long")
     rows = given.select("k", "mark", "text").mapInArrow(_run_job(thresholds, False), _RUN)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2").select("key")
-    shared = written(shared)  # the join's sides are then plain exchanges, which Spark splits where a key is hot
-    found, parts = _told(written(rows.join(shared, "key")))
-    closer, parts = _told(written(texts.join(parts, ["k", "mark"]).mapInArrow(_step_job(thresholds), _RUN)))
-    windows = written(texts.join(parts, ["k", "mark"]).mapInArrow(_window_job(thresholds), "k long, mark long, t int, p int, key long, digit long"))
+    spark = given.sparkSession
+    paths = [new_path(spark) for _ in range(7)]  # each table goes as soon as no later step reads it
+    shared = written(shared, paths[0])  # the join's sides are then plain exchanges, which Spark splits where a key is hot
+    found, parts = _told(written(rows.join(shared, "key"), paths[1]), paths[2])
+    removed(spark, *paths[:2])
+    closer, parts = _told(written(texts.join(parts, ["k", "mark"]).mapInArrow(_step_job(thresholds), _RUN), paths[3]), paths[4])
+    removed(spark, paths[3])
+    windows = written(texts.join(parts, ["k", "mark"]).mapInArrow(_window_job(thresholds), "k long, mark long, t int, p int, key long, digit long"), paths[5])
     again = windows.groupBy("key", "digit").agg(F.count("*").alias("n")).filter("n >= 2").select("key", "digit")
-    one = windows.join(again, ["key", "digit"]).select("k", "mark", "t", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    one = written(windows.join(again, ["key", "digit"]).select("k", "mark", "t", F.col("p").alias("lo"), F.col("p").alias("hi")), paths[6])
+    removed(spark, paths[5])
     spans = found.union(closer).select("k", "mark", "t", "lo", "hi").union(one)
-    return spans.withColumn("hi", F.col("hi") + F.get(F.array(*[F.lit(w) for w, _, _ in thresholds]), F.col("t")))
+    spans = spans.withColumn("hi", F.col("hi") + F.get(F.array(*[F.lit(w) for w, _, _ in thresholds]), F.col("t")))
+    out = written(spans.groupBy("k", "mark").agg(F.collect_set(F.struct("t", "lo", "hi")).alias("spans")))
+    removed(spark, paths[2], paths[4], paths[6])
+    return out
 
 
 def _under(found: tuple, number: int, data: np.ndarray, offsets: np.ndarray, by_words: bool) -> np.ndarray:
@@ -313,7 +321,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, anchor: int = 200, id_col: s
     row = f"row {given.schema['row'].dataType.simpleString()}, " if carry else ""
     texts = given.mapInArrow(_pack_job(bool(carry)), f"k long, {row}mark long, size long, packed binary")
     thresholds = [(width, anchor, by_words), *([(passage, passage // 2, True)] if passage else [])]
-    spans = repeated_windows(given, texts, thresholds).groupBy("k", "mark").agg(F.collect_set(F.struct("t", "lo", "hi")).alias("spans"))
+    spans = repeated_windows(given, texts, thresholds)
     out = texts.join(spans, ["k", "mark"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<t:int,lo:int,hi:int>>")))
     more = ", passage_bytes long" if passage else ""
     cut = out.mapInArrow(_cut_job(bool(carry), by_words, bool(passage)), f"k long, {row}n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept binary{more}")
