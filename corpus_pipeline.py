@@ -2,6 +2,13 @@
 
 Each stage works on all that the one before has kept and its decisions take effect; all
 but the last return the columns of documents.
+
+Defined cases, of every stage: null ids and null values of other columns are kept as they
+are; a null, empty or white-space text goes with the quality rules, and the later stages,
+given one, keep it (repeated passages drops null and empty ones); rows that repeat
+an id with different texts are documents of their own, and of rows equal in id and text
+one stays from near duplicates on; texts of any length are taken whole; an empty table
+gives an empty table; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

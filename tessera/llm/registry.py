@@ -7,11 +7,12 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("suffix_dedup", "token_counts", "bpe", "minhash", "mixing", "quality_rules", "lm_score", "embedding_dedup", "chat", "license_scan")
+NAMES = ("suffix_dedup", "token_counts", "bpe", "minhash", "mixing", "quality_rules", "lm_score", "embedding_dedup", "chat", "license_scan")
+MODULES = [import_module(f"{__package__}.{m}") for m in NAMES]
 
 
 def _all(name: str) -> dict:
-    return {k: v for m in MODULES for k, v in getattr(import_module(f"{__package__}.{m}"), name).items()}
+    return {k: v for m in MODULES for k, v in getattr(m, name).items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
