@@ -8,7 +8,8 @@ which a paragraph must hold one to be likely enough (`needed`): paragraphs witho
 are decided where they are read, and the n-grams of the others are joined with the table
 of weights, whose size `features` bounds. The probability from which a family counts is
 set on unknowns held out from the fit. What the model names is then compared with the
-family's templates and confirmed if the paragraph holds enough of one. Runs are only
+family's templates and confirmed if the paragraph holds enough of one and a word that
+sets the family apart (`MARKS`). Runs are only
 looked at about lines that may hold a needed n-gram and where the lines around hold enough
 of a template; of confirmed paragraphs that overlap the shortest and first counts.
 
@@ -30,6 +31,11 @@ from .store import written
 
 # Families and statements by which works name them.
 TEMPLATES = {
+    "agpl": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -50,11 +56,26 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
+    "cc-by-sa": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+    ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "isc": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "lgpl": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
@@ -66,6 +87,20 @@ TEMPLATES = {
         "SPDX-License-Identifier: MPL-2.0",
     ],
 }
+# Words and pairs of which a statement of a family must hold one.
+MARKS = {
+    "agpl": ["affero", "agpl"],
+    "apache-2.0": ["apache"],
+    "bsd": ["bsd", "binary forms"],
+    "cc-by": ["attribution 4", "by 4"],
+    "cc-by-nc": ["attribution noncommercial", "by nc"],
+    "cc-by-sa": ["attribution sharealike", "by sa"],
+    "gpl": ["gnu general", "identifier gpl"],
+    "isc": ["isc", "without fee"],
+    "lgpl": ["lesser", "lgpl"],
+    "mit": ["mit", "of charge"],
+    "mpl-2.0": ["mozilla", "mpl"],
+}
 FAMILIES = sorted(TEMPLATES)
 UNKNOWN = len(FAMILIES)
 RUN = 6  # lines: the longest template at 30 columns
@@ -123,9 +158,11 @@ def units(lines: Column, i: Column, overlap: float) -> Column:
 
 
 def fit(docs: DataFrame, sample: int, features: int) -> tuple[list[tuple], list[float], float]:
-    """Weights of n-grams [(n-gram, [weight of each class])], intercepts, and the probability of any licence from which a paragraph counts. Fitted on the lines of `sample` texts chosen by hash."""
+    """Weights of n-grams [(n-gram, [weight of each class])], intercepts, and the probability of any licence from which a paragraph counts. Fitted on the lines of `sample` different texts, those of least hash."""
     spark = docs.sparkSession
-    some = written(docs.filter("text is not null").orderBy(F.xxhash64("text"), "text").limit(sample))
+    marked = docs.filter("text is not null").withColumn("mark", F.xxhash64("text"))
+    last = marked.select("mark").distinct().orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]  # marks alone are sorted, not texts
+    some = written(marked.filter(F.col("mark") <= F.lit(last).cast("long")).dropDuplicates(["mark"]))
     some = some.select(paragraphs(F.col("text")).alias("all"))
     some = some.select(F.explode(F.transform("all", lambda x, i: F.struct(x.alias("text"), around(F.col("all"), i).alias("near")))).alias("x"))
     lines = some.select("x.text", ngrams(F.col("x.near")).alias("near")).filter("length(text) > 0")
@@ -178,6 +215,9 @@ def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overl
     held_in: dict[str, list[int]] = {}
     for r in held_by:
         held_in.setdefault(r.gram, []).append(r.k)
+    for c, f in enumerate(FAMILIES):
+        for g in MARKS[f]:
+            held_in.setdefault(g, []).append(len(templates) + c)
     zero = [0.0] * (UNKNOWN + 1)
     rows = [(g, weights.get(g, zero), held_in.get(g, [])) for g in sorted({*weights, *held_in})]  # at most `features` and the templates' own
     model = F.broadcast(spark.createDataFrame(rows, "gram string, w array<double>, holds array<int>"))
@@ -193,12 +233,12 @@ def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overl
     grams = lines.dropDuplicates(["id", "mark", "a", "b"]).select("id", "mark", "a", "b", F.explode(ngrams(F.col("line"))).alias("gram"))
     hits = grams.join(model, "gram")
     sums = [F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(UNKNOWN + 1)]
-    held = [F.count_if(F.array_contains("holds", k)).alias(f"t{k}") for k in range(len(templates))]
+    held = [F.count_if(F.array_contains("holds", k)).alias(f"t{k}") for k in range(len(templates) + UNKNOWN)]
     scored = hits.groupBy("id", "mark", "a", "b").agg(*sums, *held)
     z = [F.col(f"z{c}") + intercepts[c] for c in range(UNKNOWN + 1)]
     top = F.greatest(*z)
     total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
-    shares = {f: F.greatest(F.lit(0.0), *[F.col(f"t{k}") / sizes[k] for k, (g, _) in enumerate(templates) if g == f]) for f in FAMILIES}
+    shares = {f: F.when(F.col(f"t{len(templates) + c}") > 0, F.greatest(F.lit(0.0), *[F.col(f"t{k}") / sizes[k] for k, (g, _) in enumerate(templates) if g == f])).otherwise(0.0) for c, f in enumerate(FAMILIES)}
     chance = [F.exp(z[c] - top) / total for c in range(UNKNOWN)]
     # of the families that the model holds possible, the one whose template the paragraph matches best
     best = F.array_max(F.array(*[F.struct(F.when(chance[c] >= 0.02, shares[FAMILIES[c]]).otherwise(0.0).alias("share"), chance[c].alias("p"), F.lit(FAMILIES[c]).alias("family")) for c in range(UNKNOWN)]))

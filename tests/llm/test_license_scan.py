@@ -51,3 +51,19 @@ def test_wrapped_statements_are_found(spark, sf):
     want[-1] = (), 0
     got = {r.doc_id: r for r in license_scan(real.union(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert {i: (tuple(got[i].licences), got[i].n_found) for i in want} == want
+
+
+def test_near_families_are_told_apart(spark, sf):
+    real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [
+        (-1, "SPDX-License-Identifier: ISC", ("isc",)),
+        (-2, "SPDX-License-Identifier: Zlib", ()),
+        (-3, "This work is licensed under the GNU Lesser General Public License, version 2.1.", ("lgpl",)),
+        (-4, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("lgpl",)),
+        (-5, "All rights reserved. No part of this work may be used under a license.", ()),
+        (-6, "Licensed under CC BY-SA 4.0.", ("cc-by-sa",)),
+    ]
+    docs = real.union(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"))
+    # a clashing column of the same names as the operator's own
+    got = {r.doc_id: tuple(r.licences) for r in license_scan(docs.selectExpr("*", "1 as id", "2 as mark", "3 as gram")).collect()}
+    assert {i: got[i] for i, _, _ in rows} == {i: w for i, _, w in rows}
