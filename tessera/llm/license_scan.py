@@ -3,15 +3,15 @@
 Paragraphs are lines, and runs of 2 to `RUN` lines without a blank one between (statements
 that are wrapped); both are sets of word n-grams. A sparse multinomial logistic regression,
 fitted by Spark ML on licence statements and on paragraphs of a bounded sample of the
-texts as unknowns, gives each n-gram its weights. The model's own weights tell n-grams of
-which a paragraph must hold one to be likely enough (`needed`): paragraphs without any
-are decided where they are read, and the n-grams of the others are joined with the table
-of weights, whose size `features` bounds. The probability from which a family counts is
+texts as unknowns, gives each n-gram its weights. How far an n-gram can lift a paragraph
+over the unknown class follows from these (`bound`): lines whose n-grams can't lift it
+far enough are decided where they are read, and the n-grams of the others are joined with
+the table of weights, whose size `features` bounds. The probability from which a family counts is
 set on unknowns held out from the fit. What the model names is then compared with the
 family's templates and confirmed if the paragraph holds enough of one and a word that
 sets the family apart (`MARKS`). Runs are only
-looked at about lines that may hold a needed n-gram and where the lines around hold enough
-of a template; of confirmed paragraphs that overlap the shortest and first counts.
+looked at about lines where such a word begins and where the lines around hold enough of
+a template; of confirmed paragraphs that overlap the shortest and first counts.
 
 Defined cases: a null or empty text has no paragraphs; a paragraph of any length is
 taken whole; repeated rows get equal results, each its own row; a table without texts is
@@ -134,39 +134,52 @@ def around(lines: Column, i: Column) -> Column:
     return F.array_join(F.slice(lines, lo + 1, i - lo + RUN), "\n")
 
 
-def holds(grams: Column, share: float) -> Column:
-    """Do n-grams hold a share of any template's?"""
-    def of(t: str) -> Column:
-        own = ngrams(F.lit(t))
-        return F.size(F.array_intersect(grams, own)) >= share * F.size(own)
+def template_grams(spark: SparkSession) -> list[list[str]]:
+    """N-grams of each template, in the order of families."""
+    rows = [(k, t) for k, t in enumerate(t for f in FAMILIES for t in TEMPLATES[f])]
+    return [r.grams for r in spark.createDataFrame(rows, "k int, text string").select("k", ngrams(F.col("text")).alias("grams")).orderBy("k").collect()]
 
-    first, *rest = [of(t) for f in FAMILIES for t in TEMPLATES[f]]
-    for x in rest:
-        first |= x
-    return first
 
+def listed(grams: list[str]) -> Column:
+    """An array that is folded to a constant; n-grams have no line ends."""
+    return F.split(F.lit("\n".join(grams)), "\n") if grams else F.array().cast("array<string>")
 
-def units(lines: Column, i: Column, overlap: float) -> Column:
-    """Array of (a, b, line): the i-th line, and the runs of lines a to b with it if those around hold enough of a template."""
-    one = lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.array_join(F.slice(lines, a + 1, b - a + 1), "\n").alias("line"))
+
+def holds(grams: Column, share: float, templates: list[list[str]]) -> Column:
+    """Do n-grams hold a share of any template's? Those of no template are left out first, once."""
+    def any_of(few: Column) -> Column:
+        first, *rest = [F.size(F.array_intersect(few, listed(own))) >= share * len(own) for own in sorted(templates, key=len)]
+        for x in rest:
+            first |= x
+        return first
+
+    return F.exists(F.array(F.array_intersect(grams, listed(sorted({g for own in templates for g in own})))), any_of)
+
+
+def unit(lines: Column, a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"), F.array_join(F.slice(lines, a + 1, b - a + 1), "\n").alias("line"))
+
+
+def runs_at(lines: Column, i: Column, overlap: float, templates: list[list[str]]) -> Column:
+    """Array of (a, b, line): the runs of lines a to b with the i-th, if those around hold enough of a template."""
+    one = lambda a, b: unit(lines, a, b)
     ends = lambda a: F.transform(F.sequence(i, F.least(F.size(lines) - 1, a + (RUN - 1))), lambda b: one(a, b))
     runs = F.flatten(F.transform(F.sequence(F.greatest(i - (RUN - 1), F.lit(0)), i), ends))
     runs = F.filter(runs, lambda u: (u["a"] < u["b"]) & ~F.rlike(u["line"], F.lit(r"\n[ \t\r]*\n")))
-    near = F.get(F.filter(F.array(ngrams(around(lines, i))), lambda g: holds(g, overlap)), 0)  # the n-grams are made once
-    alone = F.array(one(i, i))
-    return F.when(near.isNotNull(), F.concat(alone, runs)).otherwise(alone)
+    near = F.get(F.filter(F.array(ngrams(around(lines, i))), lambda g: holds(g, overlap, templates)), 0)  # the n-grams are made once
+    return F.when(near.isNotNull(), runs).otherwise(F.slice(runs, 1, 0))
 
 
-def fit(docs: DataFrame, sample: int, features: int) -> tuple[list[tuple], list[float], float]:
+def fit(docs: DataFrame, sample: int, features: int, templates: list[list[str]]) -> tuple[list[tuple], list[float], float]:
     """Weights of n-grams [(n-gram, [weight of each class])], intercepts, and the probability of any licence from which a paragraph counts. Fitted on the lines of `sample` different texts, those of least hash."""
     spark = docs.sparkSession
-    marked = docs.filter("text is not null").withColumn("mark", F.xxhash64("text"))
-    last = marked.select("mark").distinct().orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]  # marks alone are sorted, not texts
-    some = written(marked.filter(F.col("mark") <= F.lit(last).cast("long")).dropDuplicates(["mark"]))
+    hashed = docs.filter("text is not null").withColumn("mark", F.xxhash64("text"))
+    last = hashed.select("mark").distinct().orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]  # marks alone are sorted, not texts
+    some = written(hashed.filter(F.col("mark") <= F.lit(last).cast("long")).dropDuplicates(["mark"]))
     some = some.select(paragraphs(F.col("text")).alias("all"))
     some = some.select(F.explode(F.transform("all", lambda x, i: F.struct(x.alias("text"), around(F.col("all"), i).alias("near")))).alias("x"))
     lines = some.select("x.text", ngrams(F.col("x.near")).alias("near")).filter("length(text) > 0")
-    lines = written(lines.select("text", holds(F.col("near"), 0.5).alias("known"))).withColumn("grams", ngrams(F.col("text")))
+    lines = written(lines.select("text", holds(F.col("near"), 0.5, templates).alias("known"))).withColumn("grams", ngrams(F.col("text")))
     known = F.col("known")
     unknown = lines.filter(~known).select(F.lit(UNKNOWN).alias("label"), "grams", F.lit(1.0).alias("weight"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("held"))
     stated = _statements(spark).select("label", ngrams(F.col("text")).alias("grams"), "weight", F.lit(False).alias("held"))
@@ -184,69 +197,80 @@ def fit(docs: DataFrame, sample: int, features: int) -> tuple[list[tuple], list[
     return table, pad(intercepts, -30.0), min(0.9, max(0.5, (odds or 0.0) + 0.05))
 
 
-def needed(weights: dict[str, list[float]], intercepts: list[float], least: float) -> list[str] | None:
-    """N-grams of which a paragraph must hold one to be a licence with a probability of `least`; None if it need not.
+def bound(weights: dict[str, list[float]], intercepts: list[float], least: float) -> tuple[dict[str, float], float]:
+    """Gains of n-grams, and what those of a paragraph must sum to for it to be a licence with a probability of `least`.
 
     The odds against the unknown class grow by a factor of at most exp(gain) with each
-    n-gram, gain being its best lead over that class. The weakest n-grams that all
-    together do not reach `least` are left out.
+    n-gram, gain being its best lead over that class.
     """
     lead = log(least / (1 - least)) - log(sum(exp(b - intercepts[UNKNOWN]) for b in intercepts[:UNKNOWN]))
+    return {g: gain for g, w in weights.items() if (gain := max(w[:UNKNOWN]) - w[UNKNOWN]) > 0}, lead
+
+
+def reaches(grams: Column, gains: dict[str, float], lead: float) -> Column:
+    """Do the gains of n-grams sum to `lead`? Those without a gain are left out first."""
     if lead <= 0:
-        return None
-    gains = sorted((gain, g) for g, w in weights.items() if (gain := max(w[:UNKNOWN]) - w[UNKNOWN]) > 0)
-    total = 0.0
-    for k, (gain, _) in enumerate(gains):
-        total += gain
-        if total >= lead - 1e-6:
-            return sorted(g for _, g in gains[k:])
-    return []
+        return F.lit(True)
+    names = sorted(gains)
+    of = F.array(*[F.lit(gains[g]) for g in names])
+    some = F.array_intersect(grams, listed(names))
+    return F.aggregate(some, F.lit(0.0), lambda have, g: have + F.get(of, (F.array_position(listed(names), g) - 1).cast("int"))) >= lead - 1e-6
+
+
+def marked(text: Column, start: str = "") -> Column:
+    """Does a text, after `start`, hold a word or pair that sets a family apart?"""
+    words = "|".join(r"[^\p{L}\p{N}]+".join(g.split()) for f in FAMILIES for g in MARKS[f])
+    return F.rlike(F.lower(text), F.lit(rf"{start}(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"))
 
 
 def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overlap: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: `id_col`, licences (confirmed families, sorted), n_found (confirmed paragraphs), n_unconfirmed, best (highest probability of a confirmed one)."""
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    table, intercepts, least = fit(given.select("text"), sample, features)
+    own = template_grams(spark)
+    table, intercepts, least = fit(given.select("text"), sample, features, own)
     templates = [(f, t) for f in FAMILIES for t in TEMPLATES[f]]
     weights = {g: w for g, w in table if any(abs(x) > 1e-9 for x in w)}
-    held_by = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(templates)], "k int, text string").select("k", F.explode(ngrams(F.col("text"))).alias("gram")).collect()
-    sizes = [sum(r.k == k for r in held_by) for k in range(len(templates))]
+    sizes = [len(grams) for grams in own]
     held_in: dict[str, list[int]] = {}
-    for r in held_by:
-        held_in.setdefault(r.gram, []).append(r.k)
+    for k, grams in enumerate(own):
+        for g in grams:
+            held_in.setdefault(g, []).append(k)
     for c, f in enumerate(FAMILIES):
         for g in MARKS[f]:
             held_in.setdefault(g, []).append(len(templates) + c)
     zero = [0.0] * (UNKNOWN + 1)
     rows = [(g, weights.get(g, zero), held_in.get(g, [])) for g in sorted({*weights, *held_in})]  # at most `features` and the templates' own
     model = F.broadcast(spark.createDataFrame(rows, "gram string, w array<double>, holds array<int>"))
-    keys = needed(weights, intercepts, least)
-    texts = given.select("id", "mark", paragraphs(F.col("text")).alias("all")).filter("all is not null")
+    gains, lead = bound(weights, intercepts, least)
+    texts = given.filter("text is not null").select("id", "mark", "text", paragraphs(F.col("text")).alias("all"))
     places = F.sequence(F.lit(0), F.size("all") - 1)
-    if keys is not None:
-        wanted = F.split(F.lit("\n".join(keys)), "\n") if keys else F.array().cast("array<string>")
-        first = lambda i: F.regexp_extract(F.coalesce(F.get("all", i + 1), F.lit("")), r"[\p{L}\p{N}]+", 0)  # noqa: E731  of the next line: pairs may lie across
-        places = F.filter(places, lambda i: F.arrays_overlap(ngrams(F.concat_ws(" ", F.get("all", i), first(i))), wanted))
-    found = texts.withColumn("at", places).filter("size(at) > 0").select("id", "mark", F.explode(F.flatten(F.transform("at", lambda i: units(F.col("all"), i, overlap)))).alias("u"))
+    likely = F.filter(places, lambda i: reaches(ngrams(F.get("all", i)), gains, lead))
+    # a run is confirmed by a family's own word alone: only runs about the line where one begins are looked at
+    begins = lambda i: marked(F.array_join(F.slice("all", i + 1, RUN), "\n"), r"^[^\n]*")
+    about = F.when(marked(F.col("text")), F.filter(places, begins)).otherwise(F.slice(places, 1, 0))
+    at = texts.withColumn("likely", likely).withColumn("about", about)
+    alone = F.transform("likely", lambda i: unit(F.col("all"), i, i))
+    runs = F.flatten(F.transform("about", lambda i: runs_at(F.col("all"), i, overlap, own)))
+    # explode_outer: a filter on the array's size, own or inferred, would make every array twice
+    found = at.select("id", "mark", F.explode_outer(F.concat(alone, runs)).alias("u")).filter("u is not null")
     lines = found.select("id", "mark", "u.a", "u.b", "u.line")
     grams = lines.dropDuplicates(["id", "mark", "a", "b"]).select("id", "mark", "a", "b", F.explode(ngrams(F.col("line"))).alias("gram"))
     hits = grams.join(model, "gram")
     sums = [F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(UNKNOWN + 1)]
     held = [F.count_if(F.array_contains("holds", k)).alias(f"t{k}") for k in range(len(templates) + UNKNOWN)]
     scored = hits.groupBy("id", "mark", "a", "b").agg(*sums, *held)
-    z = [F.col(f"z{c}") + intercepts[c] for c in range(UNKNOWN + 1)]
-    top = F.greatest(*z)
-    total = sum((F.exp(x - top) for x in z[1:]), F.exp(z[0] - top))
-    shares = {f: F.when(F.col(f"t{len(templates) + c}") > 0, F.greatest(F.lit(0.0), *[F.col(f"t{k}") / sizes[k] for k, (g, _) in enumerate(templates) if g == f])).otherwise(0.0) for c, f in enumerate(FAMILIES)}
-    chance = [F.exp(z[c] - top) / total for c in range(UNKNOWN)]
+    shares = [F.when(F.col(f"t{len(templates) + c}") > 0, F.greatest(F.lit(0.0), *[F.col(f"t{k}") / sizes[k] for k, (g, _) in enumerate(templates) if g == f])).otherwise(0.0) for c, f in enumerate(FAMILIES)]
+    place = ["id", "mark", "a", "b"]
+    scored = scored.select(*place, F.array(*[F.col(f"z{c}") + intercepts[c] for c in range(UNKNOWN + 1)]).alias("z"), F.array(*shares).alias("shares"))
+    scored = scored.select(*place, "shares", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
+    scored = scored.select(*place, "shares", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda have, y: have + y)).alias("p"))
     # of the families that the model holds possible, the one whose template the paragraph matches best
-    best = F.array_max(F.array(*[F.struct(F.when(chance[c] >= 0.02, shares[FAMILIES[c]]).otherwise(0.0).alias("share"), chance[c].alias("p"), F.lit(FAMILIES[c]).alias("family")) for c in range(UNKNOWN)]))
-    licensed = 1 - F.exp(z[UNKNOWN] - top) / total
-    named = scored.filter(licensed >= least).select("id", "mark", "a", "b", best.alias("best"))
+    best = F.array_max(F.transform(F.slice("p", 1, UNKNOWN), lambda p, c: F.struct(F.when(p >= 0.02, F.get("shares", c)).otherwise(0.0).alias("share"), p.alias("p"), F.get(listed(FAMILIES), c).alias("family"))))
+    named = scored.filter(1 - F.get("p", F.lit(UNKNOWN)) >= least).select(*place, best.alias("best"))
     sure = F.col("best.share") >= overlap
-    unit = F.struct((F.col("b") - F.col("a")).alias("more"), "a", "b", F.col("best.family").alias("family"), F.col("best.p").alias("p"))
-    told = named.filter(sure | (F.col("a") == F.col("b"))).groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.when(sure, unit))).alias("sure"), F.collect_list(F.when(~sure, F.col("a"))).alias("unsure"))
+    whole = F.struct((F.col("b") - F.col("a")).alias("more"), "a", "b", F.col("best.family").alias("family"), F.col("best.p").alias("p"))
+    told = named.filter(sure | (F.col("a") == F.col("b"))).groupBy("id", "mark").agg(F.sort_array(F.collect_list(F.when(sure, whole))).alias("sure"), F.collect_list(F.when(~sure, F.col("a"))).alias("unsure"))
     meets = lambda u, v: (u["a"] <= v["b"]) & (v["a"] <= u["b"])
     apart = F.aggregate("sure", F.slice("sure", 1, 0), lambda have, u: F.when(F.exists(have, lambda v: meets(u, v)), have).otherwise(F.concat(have, F.array(u))))
     unsure = F.size(F.filter("unsure", lambda i: ~F.exists("sure", lambda v: (v["a"] <= i) & (i <= v["b"]))))

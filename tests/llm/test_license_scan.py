@@ -3,7 +3,7 @@ import textwrap
 from itertools import combinations
 from math import exp
 
-from tessera.llm.license_scan import TEMPLATES, UNKNOWN, license_scan, needed
+from tessera.llm.license_scan import TEMPLATES, UNKNOWN, bound, license_scan
 
 
 def test_statements_are_found_and_clean_texts_left_alone(spark, sf):
@@ -25,18 +25,19 @@ def test_statements_are_found_and_clean_texts_left_alone(spark, sf):
     assert license_scan(docs.limit(0)).collect() == []
 
 
-def test_paragraphs_without_a_needed_gram_are_unlikely():
+def test_paragraphs_below_the_bound_are_unlikely():
     zero = [0.0] * (UNKNOWN + 1)
     weights = {g: [*zero[:k], gain, *zero[k + 1 :]] for g, k, gain in [("a", 0, 3.0), ("b", 1, 1.0), ("c", 0, 0.7), ("d", UNKNOWN, 2.0), ("e", 2, 0.2)]}
     intercepts = [-3.0] * UNKNOWN + [2.0]
     for least in (0.05, 0.2, 0.5, 0.9):
-        keys = needed(weights, intercepts, least)
+        gains, lead = bound(weights, intercepts, least)
+        assert set(gains) == {"a", "b", "c", "e"}
         for n in range(len(weights) + 1):
             for some in combinations(weights, n):
                 z = [b + sum(weights[g][c] for g in some) for c, b in enumerate(intercepts)]
                 likely = 1 - exp(z[UNKNOWN]) / sum(map(exp, z)) >= least
-                assert not likely or keys is None or set(keys) & set(some)
-    assert needed(weights, [0.0] * (UNKNOWN + 1), 0.5) is None
+                assert not likely or sum(gains.get(g, 0) for g in some) >= lead
+    assert bound(weights, [0.0] * (UNKNOWN + 1), 0.5)[1] <= 0
 
 
 def test_wrapped_statements_are_found(spark, sf):
