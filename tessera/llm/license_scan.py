@@ -10,7 +10,7 @@ the table of weights, whose size `features` bounds. The probability from which a
 set on unknowns held out from the fit. What the model names is then compared with the
 family's templates and confirmed if the paragraph holds enough of one and a word that
 sets the family apart (`MARKS`). Runs are only
-looked at about lines where such a word begins and where the lines around hold enough of
+looked at about lines with a part of such a word and where the lines around hold enough of
 a template; of confirmed paragraphs that overlap the shortest and first counts.
 
 Defined cases: a null or empty text has no paragraphs; a paragraph of any length is
@@ -101,6 +101,8 @@ MARKS = {
     "mit": ["mit", "of charge"],
     "mpl-2.0": ["mozilla", "mpl"],
 }
+# A rarer word of each of these.
+RARE = ["affero", "agpl", "apache", "bsd", "binary", "attribution", "4", "nc", "sa", "gnu", "gpl", "isc", "fee", "lesser", "lgpl", "mit", "charge", "mozilla", "mpl"]
 FAMILIES = sorted(TEMPLATES)
 UNKNOWN = len(FAMILIES)
 RUN = 6  # lines: the longest template at 30 columns
@@ -217,12 +219,6 @@ def reaches(grams: Column, gains: dict[str, float], lead: float) -> Column:
     return F.aggregate(some, F.lit(0.0), lambda have, g: have + F.get(of, (F.array_position(listed(names), g) - 1).cast("int"))) >= lead - 1e-6
 
 
-def marked(text: Column, start: str = "") -> Column:
-    """Does a text, after `start`, hold a word or pair that sets a family apart?"""
-    words = "|".join(r"[^\p{L}\p{N}]+".join(g.split()) for f in FAMILIES for g in MARKS[f])
-    return F.rlike(F.lower(text), F.lit(rf"{start}(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"))
-
-
 def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overlap: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: `id_col`, licences (confirmed families, sorted), n_found (confirmed paragraphs), n_unconfirmed, best (highest probability of a confirmed one)."""
     spark = docs.sparkSession
@@ -243,15 +239,13 @@ def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overl
     rows = [(g, weights.get(g, zero), held_in.get(g, [])) for g in sorted({*weights, *held_in})]  # at most `features` and the templates' own
     model = F.broadcast(spark.createDataFrame(rows, "gram string, w array<double>, holds array<int>"))
     gains, lead = bound(weights, intercepts, least)
-    texts = given.filter("text is not null").select("id", "mark", "text", paragraphs(F.col("text")).alias("all"))
+    texts = given.filter("text is not null").select("id", "mark", paragraphs(F.col("text")).alias("all"))
     places = F.sequence(F.lit(0), F.size("all") - 1)
-    likely = F.filter(places, lambda i: reaches(ngrams(F.get("all", i)), gains, lead))
-    # a run is confirmed by a family's own word alone: only runs about the line where one begins are looked at
-    begins = lambda i: marked(F.array_join(F.slice("all", i + 1, RUN), "\n"), r"^[^\n]*")
-    about = F.when(marked(F.col("text")), F.filter(places, begins)).otherwise(F.slice(places, 1, 0))
-    at = texts.withColumn("likely", likely).withColumn("about", about)
-    alone = F.transform("likely", lambda i: unit(F.col("all"), i, i))
-    runs = F.flatten(F.transform("about", lambda i: runs_at(F.col("all"), i, overlap, own)))
+    # a run is confirmed by a family's own word alone: only runs about lines with a part of one are looked at
+    both = lambda g: F.struct(reaches(g, gains, lead).alias("likely"), F.arrays_overlap(g, listed(RARE)).alias("about"))
+    at = texts.withColumn("is", F.transform("all", lambda x: F.get(F.transform(F.array(ngrams(x)), both), 0)))
+    alone = F.transform(F.filter(places, lambda i: F.get("is", i)["likely"]), lambda i: unit(F.col("all"), i, i))
+    runs = F.flatten(F.transform(F.filter(places, lambda i: F.get("is", i)["about"]), lambda i: runs_at(F.col("all"), i, overlap, own)))
     # explode_outer: a filter on the array's size, own or inferred, would make every array twice
     found = at.select("id", "mark", F.explode_outer(F.concat(alone, runs)).alias("u")).filter("u is not null")
     lines = found.select("id", "mark", "u.a", "u.b", "u.line")
