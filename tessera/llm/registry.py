@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-NAMES = ("suffix_dedup", "token_counts", "bpe", "minhash", "mixing", "quality_rules", "lm_score", "embedding_dedup", "chat", "license_scan", "whitening", "conversation_trie")
+NAMES = ("suffix_dedup", "token_counts", "bpe", "minhash", "mixing", "quality_rules", "lm_score", "embedding_dedup", "chat", "license_scan", "whitening", "decontamination", "conversation_trie")
 MODULES = [import_module(f"{__package__}.{m}") for m in NAMES]
 
 
