@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path
+from ..streaming import keyed as K
 from ..streaming import twins as S
-from .common import Register, rnd
+from .common import SPEC, Register, rnd
 
 query = Register()
 QUERIES, SQL = query.queries, query.sql
@@ -41,9 +42,55 @@ def stream_anomaly(spark, d):
     return _run(spark, d, lambda s: S.anomalies(s, med)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("SELECT event_id, ts, CASE WHEN ts < TIMESTAMP '2024-01-03' THEN 'early' ELSE 'late' END AS reason FROM r WHERE ts < TIMESTAMP '2024-01-03' OR ts >= TIMESTAMP '2024-01-25'")
+def _files(spark, d, n):
+    """The events in n files, which come one after the other: by event_id."""
+    at = shared_path(spark, "stream")
+    e = spark.read.parquet(f"{d}/events.parquet")
+    for part in range(n):
+        e.filter(F.col("event_id") % n == part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return at
+
+
+_MARK = "(SELECT date_trunc('millisecond', max(ts) FILTER (event_id % 3 < {})) FROM r) - INTERVAL 10 DAY"
+
+
+@query(f"SELECT event_id, ts, event_id % 3 AS batch, (SELECT count(*) FROM r WHERE event_id % 3 = 2 AND ts <= {_MARK.format(1)}) AS dropped FROM r WHERE event_id % 3 = 1 AND ts <= {_MARK.format(1)} OR event_id % 3 = 2 AND ts <= {_MARK.format(2)}")
 def stream_late_data(spark, d):
-    return _run(spark, d, lambda s: S.outside(s, "2024-01-03", "2024-01-25")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """Late rows of the second and third file in quarantine, beside the number that a watermark drops by the query's progress."""
+    at = _files(spark, d, 3)
+    source = S.read_files(spark, f"{at}/in", files=1)
+    kept, late = S.split_late(source, 10 * 86400, f"{at}/out", f"{at}/state")
+    once = source.withWatermark("ts", "10 days").dropDuplicatesWithinWatermark(["event_id"])
+    query = once.writeStream.format("parquet").option("path", f"{at}/once").option("checkpointLocation", f"{at}/once-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return late.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("batch").cast("long").alias("batch"), F.lit(S.dropped_by_watermark(query)).cast("long").alias("dropped"))
+
+
+@query("SELECT series_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(sum(value), 4) AS value, count(*) AS n FROM r GROUP BY ALL")
+def stream_daily_store(spark, d):
+    """Every day comes in two batches; then the same files come again as another stream."""
+    at = _files(spark, d, 2)
+    for run in ("first", "again"):
+        store = S.daily_sink(S.read_files(spark, f"{at}/in", files=1), f"{at}/days", f"{at}/{run}")
+    by = (F.col("user_id") % SPEC.cells + 1).alias("series_id")
+    return store.groupBy(by, F.col("date").cast("string").alias("day")).agg(rnd(F.sum("value"), 4).alias("value"), F.count("*").alias("n"))
+
+
+#: the last slot that the watermark has closed at the end
+_CLOSED = "(SELECT CAST(floor(epoch(max(ts) - INTERVAL 1 HOUR - TIMESTAMP '2024-01-01') / 3600) AS BIGINT) - 1 FROM r)"
+
+
+@query(f", x AS (SELECT series_id, slot_idx, value, lag(value, 1) OVER w AS naive, lag(value, 24) OVER w AS seasonal, (lag(value, 24) OVER w + lag(value, 48) OVER w + lag(value, 72) OVER w + lag(value, 96) OVER w) / 4 AS tod FROM e WINDOW w AS (PARTITION BY series_id ORDER BY slot_idx)) SELECT series_id, slot_idx, round(value, 6) AS value, round(naive, 6) AS naive, round(seasonal, 6) AS seasonal, round(tod, 6) AS tod FROM x WHERE slot_idx <= {_CLOSED}")
+def stream_online_forecast(spark, d):
+    """The channels' forecasts slot by slot equal those made afterwards."""
+    out = _run(spark, d, lambda s: K.online_forecast(s, SPEC, "event_type"))
+    return out.select("series_id", "slot_idx", *[rnd(c).alias(c) for c in ("value", "naive", "seasonal", "tod")])
+
+
+@query(f", z AS (SELECT series_id, slot_idx, lag(slot_idx, 1, -1) OVER (PARTITION BY series_id ORDER BY slot_idx) AS last_slot FROM (SELECT series_id, slot_idx FROM g WHERE value <> 0 AND slot_idx <= {_CLOSED})), q AS (SELECT series_id, last_slot, slot_idx FROM z UNION ALL SELECT series_id, max(slot_idx), NULL FROM z GROUP BY series_id) SELECT CAST(series_id AS VARCHAR) AS series_id, last_slot, 'stalled' AS status, last_slot + 25 AS slot_idx FROM q WHERE coalesce(slot_idx, {_CLOSED} + 1) - last_slot - 1 > 24 UNION ALL SELECT CAST(series_id AS VARCHAR), last_slot, 'resumed', slot_idx FROM q WHERE slot_idx - last_slot - 1 > 24")
+def stream_stalled(spark, d):
+    """Cells without a value for more than a day, as they fall silent and as they come back."""
+    return _run(spark, d, lambda s: K.stalled(s, SPEC, SPEC.season))
 
 
 @query("SELECT channel, round(avg(abs(value - floor(value))), 6) AS mae, round(sqrt(avg((value - floor(value)) ** 2)), 6) AS rmse, count(*) AS n FROM r WHERE value IS NOT NULL GROUP BY channel")
