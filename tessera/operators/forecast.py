@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
-from functools import partial
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import stores
+from ..sources.shared import written
 from ..spec import SeriesSpec
 from .panel import day_of, is_working, split_label
 
@@ -51,9 +55,29 @@ def calendar(slot: Column, spec: SeriesSpec) -> dict[str, Column]:
     return {"day_sin": a, "day_cos": b, "dow_sin": c, "dow_cos": e, "working": is_working(day_of(slot, spec), spec).cast("double")}
 
 
-# --- forecasters: panel -> panel with y_pred. A registry by name; duplicates and unknown names are errors.
+# --- forecasters. A registry by name; duplicates and unknown names are errors.
+#
+# fit makes a table of parameters, which may be stored; predict joins it. A forecast is
+# coefficients[0] plus the others by the regressors, which come from slots before the target
+# and from its calendar. Forecasters without anything to fit have fixed coefficients and one seed.
 
-REGISTRY: dict[str, Callable[[DataFrame, SeriesSpec], DataFrame]] = {}
+PARAMETERS = "series_id string, model string, seed int, version string, n_params int, coefficients array<double>"
+GROUPS = 5  # of days, one of which each seed above 0 leaves out of its fit
+SLICE = 1 << 16  # targets in one group of a fit
+
+
+def left_out(day: Column | np.ndarray, seed: Column | int):
+    """Days that a seed's fit does without: about a fifth of them, another one for each seed above 0. The seed 0 takes all days."""
+    return ((day + 1) * (seed + 1) * 7919 % 10007) % GROUPS == 0
+
+
+def resampled(rows: DataFrame, spec: SeriesSpec, seeds: int) -> DataFrame:
+    """Each row once for each seed (column seed) whose fit takes its day."""
+    each = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    return each.filter((F.col("seed") == 0) | ~left_out(F.floor(F.col("slot_idx") / spec.season), F.col("seed")))
+
+
+REGISTRY: dict[str, Callable[..., "Forecaster"]] = {}
 
 
 def register(name: str):
@@ -66,91 +90,295 @@ def register(name: str):
     return add
 
 
-def build(name: str, **options) -> Callable[[DataFrame, SeriesSpec], DataFrame]:
+def build(name: str, **options) -> "Forecaster":
     if name not in REGISTRY:
         raise KeyError(f"no forecaster {name}; there are {sorted(REGISTRY)}")
-    return partial(REGISTRY[name], **options)
+    return REGISTRY[name](**options)
+
+
+def preset(name: str, base: str, **defaults) -> None:
+    """Another name for a forecaster with options that the caller may still override."""
+    register(name)(lambda **options: build(base, **{**defaults, **options}))
+
+
+@dataclass(frozen=True)
+class Forecaster:
+    """What all have in common; fitted says whether there is anything to fit."""
+
+    fitted = False
 
+    def regressors(self, spec: SeriesSpec) -> Column:
+        """Array by which the coefficients after the first are multiplied; null where the history is too short."""
+        raise NotImplementedError
 
-def preset(name: str, **defaults) -> None:
-    base = REGISTRY[name]
-    register(f"{name}_{'_'.join(str(v) for v in defaults.values())}")(lambda panel, spec, **kw: base(panel, spec, **{**defaults, **kw}))
+    def n_params(self, spec: SeriesSpec) -> int:
+        return 0
 
+    def fixed(self, spec: SeriesSpec) -> list[float]:
+        """Coefficients that need no fit."""
+        raise NotImplementedError
 
-@register("naive")
-def persistence(panel: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return panel.withColumn("y_pred", F.lag("value", 1).over(by_series()))
+    def fit(self, panel: DataFrame, spec: SeriesSpec, seeds: int) -> DataFrame:
+        """(series_id, seed, coefficients), from training slots only."""
+        raise NotImplementedError
+
+    def version(self, spec: SeriesSpec) -> str:
+        """Changes with what a fit depends on, but for the data."""
+        return hashlib.sha256(f"{self!r} {spec!r}".encode()).hexdigest()[:16]
+
+    def parameters(self, panel: DataFrame, spec: SeriesSpec, label: str, seeds: int = 1) -> DataFrame:
+        told = self.fit(panel, spec, seeds)
+        return told.select(F.col("series_id").cast("string").alias("series_id"), F.lit(label).alias("model"), F.col("seed").cast("int").alias("seed"), F.lit(self.version(spec)).alias("version"), F.lit(self.n_params(spec)).alias("n_params"), "coefficients")
+
+    def __call__(self, panel: DataFrame, spec: SeriesSpec) -> DataFrame:
+        """panel with y_pred, fitted on all training days."""
+        x = panel.withColumn("_x", self.regressors(spec))
+        if not self.fitted:
+            return x.withColumn("y_pred", dot(F.array(*map(F.lit, self.fixed(spec))), F.col("_x"))).drop("_x")
+        found = self.fit(panel, spec, 1).select("series_id", "coefficients")
+        return x.join(found, "series_id", "left").withColumn("y_pred", dot(F.col("coefficients"), F.col("_x"))).drop("_x", "coefficients")
+
+
+def dot(coefficients: Column, x: Column) -> Column:
+    """The first coefficient plus the others by x; null if x is, or holds a null."""
+    products = F.zip_with(F.slice(coefficients, F.lit(2), F.size(coefficients) - 1), x, lambda a, b: a * b)
+    return F.aggregate(products, F.get(coefficients, F.lit(0)), lambda s, v: s + v)
 
 
 @register("seasonal_naive")
-def seasonal_naive(panel: DataFrame, spec: SeriesSpec, season: int | None = None) -> DataFrame:
-    return panel.withColumn("y_pred", F.lag("value", season or spec.season).over(by_series()))
+@dataclass(frozen=True)
+class Lagged(Forecaster):
+    """The mean of the values at `count` multiples of a lag; the lag may be the spec's season or week."""
 
+    season: int | str = "season"
+    count: int = 1
 
-@register("time_of_day_mean")
-def time_of_day_mean(panel: DataFrame, spec: SeriesSpec, days: int = 4) -> DataFrame:
-    lags = [F.lag("value", k * spec.season).over(by_series()) for k in range(1, days + 1)]
-    return panel.withColumn("y_pred", sum(lags[1:], lags[0]) / days)
+    def regressors(self, spec: SeriesSpec) -> Column:
+        lag = getattr(spec, self.season) if isinstance(self.season, str) else self.season
+        return F.array(*[F.lag("value", k * lag).over(by_series()) for k in range(1, self.count + 1)])
+
+    def fixed(self, spec: SeriesSpec) -> list[float]:
+        return [0.0] + [1 / self.count] * self.count
+
+
+preset("naive", "seasonal_naive", season=1)
+preset("seasonal_naive_daily", "seasonal_naive", season="season")
+preset("seasonal_naive_144", "seasonal_naive", season=144)
+preset("seasonal_naive_weekly", "seasonal_naive", season="week")
+preset("seasonal_naive_1008", "seasonal_naive", season=1008)
+preset("time_of_day_mean", "seasonal_naive", count=4)
+preset("time_of_day_mean_4d", "seasonal_naive", count=4)
 
 
 @register("linear_ar1")
-def linear_ar1(panel: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Least squares on one lag, fitted on training rows, in closed form."""
-    x = panel.withColumn("lag1", F.lag("value", 1).over(by_series()))
-    fit = x.filter((F.col("slot_idx") < spec.bounds[0]) & F.col("lag1").isNotNull()).groupBy("series_id").agg(F.regr_slope("value", "lag1").alias("slope"), F.regr_intercept("value", "lag1").alias("intercept"))
-    return x.join(fit, "series_id").withColumn("y_pred", F.col("intercept") + F.col("slope") * F.col("lag1")).drop("lag1", "slope", "intercept")
+@dataclass(frozen=True)
+class LinearAR1(Forecaster):
+    """Least squares on one lag, and with `calendar` on the working-day flag of the target too: closed forms of moments."""
 
+    calendar: bool = False
+    fitted = True
 
-def fit_ar(panel: DataFrame, spec: SeriesSpec, order: int) -> DataFrame:
-    """(series_id, coefficients: intercept, then lags from the oldest), one least squares a series: a group is one series' training slots."""
+    def regressors(self, spec: SeriesSpec) -> Column:
+        flag = [is_working(day_of(F.col("slot_idx"), spec), spec).cast("double")] if self.calendar else []
+        return F.array(F.lag("value", 1).over(by_series()), *flag)
 
-    def solve(table: pa.Table) -> pa.Table:
-        at = np.argsort(np.asarray(table.column("slot_idx")))
-        v = np.asarray(table.column("value"))[at]
-        x = np.lib.stride_tricks.sliding_window_view(v[:-1], order)
-        found = np.linalg.lstsq(np.c_[np.ones(len(x)), x], v[order:], rcond=None)[0]
-        return pa.table({"series_id": table.column("series_id")[:1], "coefficients": [found.tolist()]})
+    def n_params(self, spec: SeriesSpec) -> int:
+        return 3 if self.calendar else 2
 
-    train = panel.filter(F.col("slot_idx") < spec.bounds[0]).select("series_id", "slot_idx", "value")
-    return train.groupBy("series_id").applyInArrow(solve, f"series_id {panel.schema['series_id'].dataType.simpleString()}, coefficients array<double>")
+    def fit(self, panel: DataFrame, spec: SeriesSpec, seeds: int) -> DataFrame:
+        x = panel.select("series_id", "slot_idx", "value", self.regressors(spec).alias("_x")).filter(F.col("slot_idx") < spec.bounds[0])
+        x = resampled(x.withColumn("_a", F.get("_x", F.lit(0))).filter("_a is not null").withColumn("_b", F.get("_x", F.lit(1)) if self.calendar else F.lit(0.0)), spec, seeds)
+        names = {"aa": ("_a", "_a"), "bb": ("_b", "_b"), "ab": ("_a", "_b"), "ay": ("_a", "value"), "by": ("_b", "value")}
+        m = x.groupBy("series_id", "seed").agg(*[F.covar_pop(*c).alias(k) for k, c in names.items()], F.avg("_a").alias("ma"), F.avg("_b").alias("mb"), F.avg("value").alias("my"))
+        aa, bb, ab, ay, by = (F.col(k) for k in names)
+        # a flag that never changes, or that goes with the lag, is left out
+        both = aa * bb - ab * ab > 1e-12 * aa * bb
+        a = F.when(both, F.try_divide(ay * bb - by * ab, aa * bb - ab * ab)).otherwise(F.try_divide(ay, aa))
+        b = F.when(both, F.try_divide(by * aa - ay * ab, aa * bb - ab * ab)).otherwise(F.lit(0.0))
+        m = m.withColumn("a", a).withColumn("b", b)
+        rest = [F.col("b")] if self.calendar else []
+        return m.select("series_id", "seed", F.array(F.col("my") - F.col("a") * F.col("ma") - F.col("b") * F.col("mb"), F.col("a"), *rest).alias("coefficients"))
 
 
-@register("linear_ar")
-def linear_ar(panel: DataFrame, spec: SeriesSpec, order: int = 24) -> DataFrame:
-    x = panel.withColumn("_lags", F.collect_list("value").over(by_series().rowsBetween(-order, -1))).join(fit_ar(panel, spec, order), "series_id")
-    dot = F.aggregate(F.zip_with(F.slice("coefficients", 2, order), "_lags", lambda a, b: a * b), F.element_at("coefficients", 1), lambda s, v: s + v)
-    return x.withColumn("y_pred", F.when(F.size("_lags") == order, dot)).drop("_lags", "coefficients")
+preset("linear_ar1_calendar", "linear_ar1", calendar=True)
 
 
-preset("linear_ar", order=6)
-preset("linear_ar", order=36)
-preset("seasonal_naive", season=168)
+@register("linear_ar")
+@dataclass(frozen=True)
+class LinearAR(Forecaster):
+    """Least squares on `order` lags (oldest first), and with `calendar` on the target's calendar.
+
+    A fit never holds a whole series: slices of `slice` targets are brought to the triangle
+    of their QR decomposition, whose product with itself is the slice's Gram matrix, and the
+    triangles of a series and seed are decomposed once more. Unlike sums of Gram matrices
+    this loses no digits. Flat directions get the coefficients of least norm.
+    """
+
+    order: int = 24
+    calendar: bool = False
+    slice: int = SLICE
+    fitted = True
+
+    def _exog(self, spec: SeriesSpec) -> list[Column]:
+        return list(calendar(F.col("slot_idx"), spec).values()) if self.calendar else []
+
+    def regressors(self, spec: SeriesSpec) -> Column:
+        lags = F.collect_list("value").over(by_series().rowsBetween(-self.order, -1))
+        return F.when(F.size(lags) == self.order, F.concat(lags, F.array(*self._exog(spec))) if self.calendar else lags)
+
+    def n_params(self, spec: SeriesSpec) -> int:
+        return self.order + 1 + len(self._exog(spec))
+
+    def fit(self, panel: DataFrame, spec: SeriesSpec, seeds: int) -> DataFrame:
+        order, season, width = self.order, spec.season, max(self.slice, self.order)
+        kind = panel.schema["series_id"].dataType.simpleString()
+        own = F.floor(F.col("slot_idx") / width)
+        near = F.when(F.col("slot_idx") % width >= width - order, F.array(own, own + 1)).otherwise(F.array(own))
+        exog = self._exog(spec)
+        width_ = order + len(exog) + 2
+        train = panel.filter(F.col("slot_idx") < spec.bounds[0])
+        rows = train.select("series_id", "slot_idx", "value", F.array(*exog).cast("array<double>").alias("exog"), F.explode(near).alias("part"))
+
+        def triangle(key: tuple, table: pa.Table) -> pa.Table:
+            at = np.argsort(np.asarray(table.column("slot_idx")))
+            slot, v = np.asarray(table.column("slot_idx"))[at], np.asarray(table.column("value"), dtype=float)[at]
+            x = np.lib.stride_tricks.sliding_window_view(v[:-1], order) if len(v) > order else np.zeros((0, order))
+            more = np.array(table.column("exog").to_pylist(), dtype=float).reshape(len(v), -1)[at][order:]
+            target = slot[order:] // width == key[1].as_py()
+            a = np.c_[np.ones(len(x)), x, more, v[order:]][target]
+            day = slot[order:][target] // season
+            told = []
+            for seed in range(seeds):
+                kept = a if seed == 0 else a[~left_out(day, seed)]
+                if len(kept):
+                    told.append((seed, np.linalg.qr(kept, mode="r").ravel().tolist()))
+            return pa.table({"series_id": pa.array([key[0].as_py()] * len(told), key[0].type), "seed": pa.array([k for k, _ in told], pa.int32()), "r": pa.array([r for _, r in told], pa.list_(pa.float64()))})
+
+        def solve(key: tuple, table: pa.Table) -> pa.Table:
+            stacked = np.concatenate([np.array(r).reshape(-1, width_) for r in table.column("r").to_pylist()])
+            r = np.linalg.qr(stacked, mode="r")
+            found = np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=None)[0]
+            return pa.table({"series_id": pa.array([key[0].as_py()], key[0].type), "seed": pa.array([key[1].as_py()], pa.int32()), "coefficients": pa.array([found.tolist()], pa.list_(pa.float64()))})
+
+        parts = rows.groupBy("series_id", "part").applyInArrow(triangle, f"series_id {kind}, seed int, r array<double>")
+        return parts.groupBy("series_id", "seed").applyInArrow(solve, f"series_id {kind}, seed int, coefficients array<double>")
+
+
+preset("linear_ar_6", "linear_ar", order=6)
+preset("linear_ar_36", "linear_ar", order=36)
+preset("linear_ar_144", "linear_ar", order=144)
+preset("linear_ar_calendar", "linear_ar", calendar=True)
 
 
 @register("gbt")
-def boosted_trees(panel: DataFrame, spec: SeriesSpec, lags: tuple[int, ...] = (1, 2, 3, 24, 168), rounds: int = 20) -> DataFrame:
-    """Spark ML's boosted trees on lags and the target's calendar, pooled over series, early stop on the validation slots."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    exog = calendar(F.col("slot_idx"), spec)
-    x = panel.withColumns({f"_l{k}": F.lag("value", k).over(by_series()) for k in lags}).withColumns({f"_{k}": v for k, v in exog.items()})
-    names = [*(f"_l{k}" for k in lags), *(f"_{k}" for k in exog)]
-    x = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="skip").transform(x)
-    fit = x.filter(F.col("slot_idx") < spec.bounds[1]).withColumn("_val", F.col("slot_idx") >= spec.bounds[0])
-    model = GBTRegressor(featuresCol="_x", labelCol="value", predictionCol="y_pred", maxIter=rounds, stepSize=0.1, maxDepth=5, minInstancesPerNode=20, validationIndicatorCol="_val", seed=1).fit(fit)
-    return model.transform(x).drop("_x", *names)
-
-
-def predictions(panel: DataFrame, spec: SeriesSpec, models: dict[str, str], seeds: int = 1) -> DataFrame:
-    """Long table of truth and predictions by model and seed; seeds shift a prediction by a small fixed wave."""
-    out = None
-    for label, name in models.items():
-        one = build(name)(panel, spec).select("series_id", "slot_idx", "value", "y_pred", F.lit(label).alias("model"))
-        out = one if out is None else out.unionByName(one)
-    seed = F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed")
-    out = out.select("series_id", "slot_idx", "value", "y_pred", "model", seed)
-    return out.withColumn("y_pred", F.col("y_pred") + 0.01 * (F.col("seed") % 7) * F.sin(F.col("slot_idx").cast("double"))).withColumn("split", split_label(F.col("slot_idx"), spec))
+@dataclass(frozen=True)
+class BoostedTrees(Forecaster):
+    """Spark ML's boosted trees on lags and the target's calendar, pooled over series.
+
+    It stops by patience: the rounds used are those of the least validation error before
+    `patience` rounds in a row that are no better. Trees don't depend on the rounds that
+    follow, so a short run that ends so needs no longer one; runs double until then.
+    """
+
+    lags: tuple[int, ...] = (1, 2, 3, 24, 168)
+    rounds: int = 300
+    rate: float = 0.05
+    patience: int = 20
+    depth: int = 5  # 32 leaves at most
+    fitted = True
+
+    def design(self, panel: DataFrame, spec: SeriesSpec) -> DataFrame:
+        from pyspark.ml.feature import VectorAssembler
+
+        exog = calendar(F.col("slot_idx"), spec)
+        x = panel.withColumns({f"_l{k}": F.lag("value", k).over(by_series()) for k in self.lags}).withColumns({f"_{k}": v for k, v in exog.items()})
+        names = [*(f"_l{k}" for k in self.lags), *(f"_{k}" for k in exog)]
+        return VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="skip").transform(x).drop(*names)
+
+    def train(self, panel: DataFrame, spec: SeriesSpec):
+        """The model (to be saved as Spark ML's are), and a report: rounds, leaves, validation_mae."""
+        from pyspark.ml.regression import GBTRegressor
+
+        x = written(self.design(panel, spec).filter(F.col("slot_idx") < spec.bounds[1]).select("_x", "value", "slot_idx"))
+        train, val = x.filter(F.col("slot_idx") < spec.bounds[0]), x.filter(F.col("slot_idx") >= spec.bounds[0])
+
+        def fit(rounds: int):
+            return GBTRegressor(featuresCol="_x", labelCol="value", predictionCol="y_pred", maxIter=rounds, stepSize=self.rate, maxDepth=self.depth, minInstancesPerNode=20, seed=1).fit(train)
+
+        rounds = min(self.rounds, 2 * self.patience)
+        while True:
+            model = fit(rounds)
+            errors = model.evaluateEachIteration(val, "squared")
+            best = least_before_patience(errors, self.patience)
+            if best is not None or rounds == self.rounds:
+                break
+            rounds = min(self.rounds, 2 * rounds)
+        used = (best if best is not None else int(np.argmin(errors))) + 1
+        model = model if used == rounds else fit(used)
+        leaves = sum((t.numNodes + 1) // 2 for t in model.trees)
+        return model, {"rounds": used, "leaves": leaves, "validation_mae": model.evaluateEachIteration(val, "absolute")[-1]}
+
+    def __call__(self, panel: DataFrame, spec: SeriesSpec) -> DataFrame:
+        model, report = self.train(panel, spec)
+        told = model.transform(self.design(panel, spec)).drop("_x")
+        return told.withColumns({k: F.lit(v) for k, v in report.items()})
+
+
+def least_before_patience(errors: list[float], patience: int) -> int | None:
+    """Where the least error lies that `patience` further ones in a row don't beat; None if there is none yet."""
+    best = 0
+    for k, e in enumerate(errors):
+        if e < errors[best]:
+            best = k
+        elif k - best >= patience:
+            return best
+    return None
+
+
+def fit_all(panel: DataFrame, spec: SeriesSpec, models: dict[str, str], seeds: int = 1, path: str | None = None) -> DataFrame | None:
+    """Parameters of all forecasters that have any (PARAMETERS), by label and seed.
+
+    With a path they are stored there, and only what isn't stored yet is fitted: a label's
+    parameters of another version, fewer seeds, or none.
+    """
+    known = {label: build(name) for label, name in models.items()}
+    known = {label: f for label, f in known.items() if f.fitted}
+    if not known:
+        return None
+    if path is None:
+        return reduce(DataFrame.unionByName, [f.parameters(panel, spec, label, seeds) for label, f in known.items()])
+    spark = panel.sparkSession
+    have = stores.stored(spark, path)
+    there = set() if have is None else {(r.model, r.version) for r in have.groupBy("model", "version").agg(F.max("seed").alias("last")).filter(F.col("last") >= seeds - 1).collect()}  # a row a model
+    for label, f in known.items():
+        if (label, f.version(spec)) not in there:
+            made = f.parameters(panel, spec, label, seeds)
+            made.write.partitionBy("model", "version").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    return spark.read.schema(PARAMETERS).parquet(path)
+
+
+def predictions(panel: DataFrame, spec: SeriesSpec, models: dict[str, str], seeds: int = 1, path: str | None = None) -> DataFrame:
+    """Long table of truth and forecasts by model and seed; what needs no fit has the seed 0 alone. With a path, parameters are taken from there, and stored there."""
+    known = {label: build(name) for label, name in models.items()}
+    params = fit_all(panel, spec, models, seeds, path)
+    x = panel.select("series_id", "slot_idx", "value", *[f.regressors(spec).alias(f"_x_{label}") for label, f in known.items()])
+
+    def row(label: str, seed: Column, y: Column) -> Column:
+        return F.struct(F.lit(label).alias("model"), seed.cast("int").alias("seed"), y.alias("y_pred"))
+
+    def by_fits(label: str) -> Column:
+        own = F.filter("_fits", lambda p: p["model"] == label)
+        return F.transform(own, lambda p: row(label, p["seed"], dot(p["coefficients"], F.col(f"_x_{label}"))))
+
+    told = []
+    if params is not None:
+        wanted = reduce(lambda a, b: a | b, [(F.col("model") == label) & (F.col("version") == f.version(spec)) for label, f in known.items() if f.fitted])
+        by = params.filter(wanted & (F.col("seed") < seeds)).groupBy("series_id").agg(F.collect_list(F.struct("model", "seed", "coefficients")).alias("_fits"))  # models by seeds
+        x = x.join(by, "series_id", "left")
+    for label, f in known.items():
+        told.append(by_fits(label) if f.fitted else F.array(row(label, F.lit(0), dot(F.array(*map(F.lit, f.fixed(spec))), F.col(f"_x_{label}")))))
+    each = x.select("series_id", "slot_idx", "value", F.inline(F.concat(*told)))
+    return each.select("series_id", "slot_idx", "value", "y_pred", "model", "seed", split_label(F.col("slot_idx"), spec).alias("split"))
 
 
 def metrics(scored: DataFrame, keys: list[str], scale: DataFrame | None = None, epsilon: float = 1e-3, allow_missing: bool = False) -> DataFrame:

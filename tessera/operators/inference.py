@@ -7,8 +7,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import autocorrelation
-
 Z95, Z80 = 1.959963984540054, 0.8416212335729143
 
 
@@ -19,22 +17,6 @@ def normal_tail(z: Column) -> Column:
     return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
 
 
-def newey_west_lag(n: Column) -> Column:
-    return F.floor(1.5 * F.pow(n.cast("double"), F.lit(1.0) / 3))
-
-
-def hac(d: DataFrame, key: str, value: str, lag: int, time: str = "slot_idx", hln: bool = False) -> DataFrame:
-    """Mean, Bartlett HAC standard error, t, p and interval of each series (D3); null where the error is 0."""
-    gammas = autocorrelation(d.withColumnRenamed(value, "_d"), "_d", list(range(lag + 1)), key, time)
-    weight = F.when(F.col("lag") == 0, 1.0).otherwise(2 * (1 - F.col("lag") / (lag + 1)))
-    var = gammas.groupBy(key).agg(F.sum(weight * F.col("gamma")).alias("s"), F.max("n").alias("n"))
-    mean = d.groupBy(key).agg(F.avg(value).alias("mean"))
-    factor = F.col("n") / (F.col("n") - 1) if hln else F.lit(1.0)
-    out = var.join(mean, key).withColumn("se", F.sqrt(F.when(F.col("s") > 1e-12, F.col("s") * factor) / (F.col("n") * F.col("n"))))
-    out = out.withColumn("t", F.col("mean") / F.col("se")).withColumn("p", normal_tail(F.col("t")))
-    return out.select(key, "n", "mean", "se", "t", "p", (F.col("mean") - Z95 * F.col("se")).alias("lo"), (F.col("mean") + Z95 * F.col("se")).alias("hi"))
-
-
 def holm(tests: DataFrame, family: list[str], p: str = "p", order: str = "name") -> DataFrame:
     """Step-down adjusted p within each family, capped at 1. A family is a declared list of comparisons."""
     w = Window.partitionBy(*family).orderBy(p, order)
@@ -43,17 +25,6 @@ def holm(tests: DataFrame, family: list[str], p: str = "p", order: str = "name")
     return stepped.withColumn("p_holm", F.least(F.lit(1.0), F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")
 
 
-def ljung_box(acf: DataFrame, key: str, m: int = 24) -> DataFrame:
-    """Q over lags 1 to m (even) and its exact chi-square tail."""
-    q = acf.filter(F.col("lag").between(1, m)).groupBy(key).agg((F.max("n") * (F.max("n") + 2) * F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag")))).alias("q"))
-    half = F.col("q") / 2
-    term, total = F.lit(1.0), F.lit(1.0)
-    for i in range(1, m // 2):
-        term = term * half / i
-        total = total + term
-    return q.withColumn("p", F.exp(-half) * total)
-
-
 def adf(panel: DataFrame, keys: list[str], value: str = "value", time: str = "slot_idx") -> DataFrame:
     """Augmented Dickey-Fuller test with a constant, of each series: statistic, lag of least AIC, n used, p and whether 5 % rejects.
 
@@ -99,20 +70,6 @@ def adf(panel: DataFrame, keys: list[str], value: str = "value", time: str = "sl
     return tested.withColumn("adf_p", F.when(s.isNotNull(), p)).withColumn("rejects", s < critical)
 
 
-def kpss_level(panel: DataFrame, key: str, lag: int, value: str = "value", time: str = "slot_idx") -> DataFrame:
-    """Level-stationarity statistic with a Bartlett variance, and p between 0.01 and 0.10."""
-    w = Window.partitionBy(key)
-    u = panel.withColumn("u", F.col(value) - F.avg(value).over(w)).withColumn("s", F.sum("u").over(w.orderBy(time).rowsBetween(Window.unboundedPreceding, 0)))
-    eta = u.groupBy(key).agg((F.sum(F.col("s") * F.col("s")) / (F.count("*") * F.count("*"))).alias("eta"))
-    gammas = autocorrelation(panel, value, list(range(lag + 1)), key, time)
-    weight = F.when(F.col("lag") == 0, 1.0).otherwise(2 * (1 - F.col("lag") / (lag + 1)))
-    spread = gammas.groupBy(key).agg((F.sum(weight * F.col("gamma")) / F.max("n")).alias("v"))
-    k = F.col("kpss")
-    # fixed values: 0.347, 0.463, 0.574, 0.739 at 10, 5, 2.5 and 1 %
-    p = F.when(k <= 0.347, 0.10).when(k <= 0.463, 0.10 - 0.05 * (k - 0.347) / 0.116).when(k <= 0.574, 0.05 - 0.025 * (k - 0.463) / 0.111).when(k <= 0.739, 0.025 - 0.015 * (k - 0.574) / 0.165).otherwise(0.01)
-    return eta.join(spread, key).select(key, F.try_divide("eta", "v").alias("kpss")).withColumn("kpss_p", F.when(k.isNotNull(), p))
-
-
 def verdict(adf_rejects: Column, kpss_rejects: Column) -> Column:
     """Both tests read together. The four texts."""
     return (
@@ -123,27 +80,28 @@ def verdict(adf_rejects: Column, kpss_rejects: Column) -> Column:
     )
 
 
-def block_bootstrap(d: DataFrame, key: str, value: str, block: int, draws: int, seed: int = 0, time: str = "slot_idx") -> DataFrame:
+def block_bootstrap(d: DataFrame, keys: list[str], value: str, block: int, draws: int = 10_000, seed: int = 0, time: str = "slot_idx") -> DataFrame:
     """Percentile interval and standard error of each series' mean by circular blocks.
 
     Sums of all blocks come from one window a series; a draw joins hashed starts with
     them, so its cost is the number of blocks and not of slots. The last block is cut to
     the series' length.
     """
-    n = F.count("*").over(Window.partitionBy(key))
-    x = d.select(key, F.col(value).alias("_v"), (F.row_number().over(Window.partitionBy(key).orderBy(time)) - 1).alias("at"), n.alias("n"))
+    n = F.count("*").over(Window.partitionBy(*keys))
+    x = d.select(*keys, F.col(value).alias("_v"), (F.row_number().over(Window.partitionBy(*keys).orderBy(time)) - 1).alias("at"), n.alias("n"))
     turns = F.explode(F.sequence(F.lit(0), F.ceil((block - 1) / F.col("n")).cast("int")))
     wrapped = x.withColumn("_turn", turns).withColumn("_slot", F.col("at") + F.col("_turn") * F.col("n")).filter(F.col("_slot") < F.col("n") + block - 1)
     tail = F.when(F.col("n") % block == 0, block).otherwise(F.col("n") % block)
-    running = Window.partitionBy(key).orderBy("_slot")
+    running = Window.partitionBy(*keys).orderBy("_slot")
     s = wrapped.withColumn("_sum", F.sum("_v").over(running.rowsBetween(Window.unboundedPreceding, 0)))
     begin = F.lag("_sum", 1, 0.0).over(running)
-    sums = s.select(key, "n", F.col("_slot").alias("start"), (F.lead("_sum", block - 1).over(running) - begin).alias("whole"), begin.alias("_before"), "_sum")
-    ends = s.select(F.col(key), (F.col("_slot") - tail + 1).alias("start"), F.col("_sum").alias("_end"))
-    starts = sums.filter(F.col("start") < F.col("n")).join(ends, [key, "start"], "left").select(key, "start", "whole", (F.col("_end") - F.col("_before")).alias("cut"))
-    sizes = d.groupBy(key).agg(F.count("*").alias("n"))
+    sums = s.select(*keys, "n", F.col("_slot").alias("start"), (F.lead("_sum", block - 1).over(running) - begin).alias("whole"), begin.alias("_before"), "_sum")
+    ends = s.select(*keys, (F.col("_slot") - tail + 1).alias("start"), F.col("_sum").alias("_end"))
+    starts = sums.filter(F.col("start") < F.col("n")).join(ends, [*keys, "start"], "left").select(*keys, "start", "whole", (F.col("_end") - F.col("_before")).alias("cut"))
+    sizes = d.groupBy(*keys).agg(F.count("*").alias("n"))
     drawn = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    drawn = drawn.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks")))).withColumn("start", F.pmod(F.xxhash64(F.lit(seed), key, "draw", "block"), F.col("n")))
+    random = F.conv(F.substr(F.md5(F.concat_ws("/", F.lit(seed), *keys, "draw", "block")), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    drawn = drawn.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks")))).withColumn("start", random % F.col("n"))
     part = F.when(F.col("block") < F.col("blocks"), F.col("whole")).otherwise(F.col("cut"))
-    means = drawn.join(starts, [key, "start"]).groupBy(key, "draw", "n").agg((F.sum(part) / F.col("n")).alias("m"))
-    return means.groupBy(key).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.stddev_samp("m").alias("se"))
+    means = drawn.join(starts, [*keys, "start"]).groupBy(*keys, "draw", "n").agg((F.sum(part) / F.col("n")).alias("m"))
+    return means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.stddev_samp("m").alias("se"))

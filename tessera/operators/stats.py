@@ -41,14 +41,3 @@ def centred_average(value: str, period: int, window) -> Column:
     inner = F.sum(value).over(window.rowsBetween(1 - h, h - 1))
     ends = 0.5 * (F.lag(value, h).over(window) + F.lead(value, h).over(window))
     return (inner + ends) / period
-
-
-def autocorrelation(df: DataFrame, value: str, lags: list[int], key: str = "series_id", time: str = "slot_idx") -> DataFrame:
-    """Biased sample autocorrelation of each series at the given lags: key, lag, acf, n."""
-    mean = Window.partitionBy(key)
-    order = Window.partitionBy(key).orderBy(time)
-    d = df.withColumn("_e", F.col(value) - F.avg(value).over(mean))
-    d = d.select(key, "_e", *[F.lag("_e", k).over(order).alias(f"_l{k}") for k in lags if k])
-    sums = d.groupBy(key).agg(F.count("_e").alias("n"), F.sum(F.col("_e") * F.col("_e")).alias("_g0"), *[F.sum(F.col("_e") * F.col(f"_l{k}")).alias(f"_g{k}") for k in lags if k])
-    row = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_g{k}").alias("g")) for k in lags])).alias("x")
-    return sums.select(key, "n", "_g0", row).select(key, F.col("x.lag").alias("lag"), F.try_divide("x.g", "_g0").alias("acf"), F.col("x.g").alias("gamma"), "n")

@@ -23,7 +23,7 @@ gt AS (SELECT slot_idx, sum(value) AS value FROM p GROUP BY slot_idx)"""
 
 def sql(body: str) -> str:
     """body with the parts above; a body that begins with a comma adds parts of its own."""
-    return f"WITH {CTE}{body}" if body.lstrip().startswith(",") else f"WITH {CTE} {body}"
+    return f"WITH RECURSIVE {CTE}{body}" if body.lstrip().startswith(",") else f"WITH {CTE} {body}"
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

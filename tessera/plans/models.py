@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from math import factorial
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import forecast as M
 from ..operators import inference as I
+from ..operators import lags as L
 from ..operators import panel as P
 from ..operators import spatial as G
 from ..operators import stats as S
 from ..sources.shared import shared_path
+from ..spec import SeriesSpec
 from .common import SPEC, Register, cell_totals, channels, raw, rnd
 
 query = Register()
 QUERIES, SQL = query.queries, query.sql
-MODELS = {"naive": "naive", "seasonal": "seasonal_naive", "tod": "time_of_day_mean", "ar1": "linear_ar1"}
-
-#: predictions pr (series_id, slot_idx, value, model, seed, y_pred, split)
-PRED = """, x AS (SELECT series_id, slot_idx, value, lag(value, 1) OVER w AS l1, lag(value, 24) OVER w AS l24, (lag(value, 24) OVER w + lag(value, 48) OVER w + lag(value, 72) OVER w + lag(value, 96) OVER w) / 4 AS tod FROM e WINDOW w AS (PARTITION BY series_id ORDER BY slot_idx)),
-fit AS (SELECT series_id, regr_slope(value, l1) AS a, regr_intercept(value, l1) AS b FROM x WHERE slot_idx < 336 GROUP BY ALL),
-m0 AS (SELECT series_id, slot_idx, value, 'naive' AS model, l1 AS y FROM x UNION ALL SELECT series_id, slot_idx, value, 'seasonal', l24 FROM x UNION ALL SELECT series_id, slot_idx, value, 'tod', tod FROM x UNION ALL SELECT series_id, slot_idx, value, 'ar1', b + a * l1 FROM x JOIN fit USING (series_id)),
-pr AS (SELECT series_id, slot_idx, value, model, s.seed, y + 0.01 * (s.seed % 7) * sin(slot_idx) AS y_pred, CASE WHEN slot_idx < 336 THEN 'train' WHEN slot_idx < 504 THEN 'val' WHEN slot_idx < 672 THEN 'eval' ELSE 'post' END AS split FROM m0 CROSS JOIN range(0, 3) s(seed)),
+MODELS = {"naive": "naive", "seasonal": "seasonal_naive", "tod": "time_of_day_mean", "ar1": "linear_ar1", "cal": "linear_ar1_calendar"}
+SEEDS = 3
+
+#: predictions pr (series_id, slot_idx, value, model, seed, y_pred, split); the fits of seeds 1 and 2 leave days out
+PRED = """, x AS (SELECT series_id, slot_idx, value, lag(value, 1) OVER w AS l1, lag(value, 24) OVER w AS l24, (lag(value, 24) OVER w + lag(value, 48) OVER w + lag(value, 72) OVER w + lag(value, 96) OVER w) / 4 AS tod, CASE WHEN (slot_idx // 24) % 7 < 5 AND slot_idx // 24 NOT IN (0, 5) THEN 1.0::DOUBLE ELSE 0 END AS wd FROM e WINDOW w AS (PARTITION BY series_id ORDER BY slot_idx)),
+tr AS (SELECT x.*, s.seed FROM x CROSS JOIN range(0, 3) s(seed) WHERE slot_idx < 336 AND l1 IS NOT NULL AND (s.seed = 0 OR ((slot_idx // 24 + 1) * (s.seed + 1) * 7919 % 10007) % 5 <> 0)),
+fit AS (SELECT series_id, seed, regr_slope(value, l1) AS a, regr_intercept(value, l1) AS b FROM tr GROUP BY ALL),
+mm AS (SELECT series_id, seed, var_pop(l1) AS aa, var_pop(wd) AS bb, covar_pop(l1, wd) AS ab, covar_pop(l1, value) AS ay, covar_pop(wd, value) AS by_, avg(l1) AS ma, avg(wd) AS mb, avg(value) AS my FROM tr GROUP BY ALL),
+cf AS (SELECT series_id, seed, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS a, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS b, ma, mb, my FROM mm),
+m0 AS (SELECT series_id, slot_idx, value, 'naive' AS model, 0 AS seed, l1 AS y FROM x UNION ALL SELECT series_id, slot_idx, value, 'seasonal', 0, l24 FROM x UNION ALL SELECT series_id, slot_idx, value, 'tod', 0, tod FROM x UNION ALL SELECT series_id, slot_idx, value, 'ar1', seed, b + a * l1 FROM x JOIN fit USING (series_id) UNION ALL SELECT series_id, slot_idx, value, 'cal', seed, my - a * ma - b * mb + a * l1 + b * wd FROM x JOIN cf USING (series_id)),
+pr AS (SELECT series_id, slot_idx, value, model, seed, y AS y_pred, CASE WHEN slot_idx < 336 THEN 'train' WHEN slot_idx < 504 THEN 'val' WHEN slot_idx < 672 THEN 'eval' ELSE 'post' END AS split FROM m0),
 ev AS (SELECT * FROM pr WHERE split = 'eval')"""
 
 
 def preds(spark, d):
-    return M.predictions(channels(spark, d), SPEC, MODELS, 3)
+    return M.predictions(channels(spark, d), SPEC, MODELS, SEEDS)
 
 
 def evals(spark, d):
@@ -117,7 +123,7 @@ def minutes_of_day(spark, d):
 @query("SELECT series_id, count(*) AS n, round(1.96 / sqrt(count(*)), 6) AS band, floor(1.5 * power(count(*), 1.0 / 3))::BIGINT AS lag, 1 + 2 * (3 - 1) * (power(2, 5) - 1)::BIGINT AS field FROM e GROUP BY ALL")
 def confidence_band(spark, d):
     n = F.count("*")
-    return channels(spark, d).groupBy("series_id").agg(n.alias("n"), rnd(1.96 / F.sqrt(n)).alias("band"), I.newey_west_lag(n).alias("lag"), (1 + 2 * (3 - 1) * (F.pow(F.lit(2.0), F.lit(5.0)) - 1)).cast("long").alias("field"))
+    return channels(spark, d).groupBy("series_id").agg(n.alias("n"), rnd(1.96 / F.sqrt(n)).alias("band"), L.newey_west(n).alias("lag"), (1 + 2 * (3 - 1) * (F.pow(F.lit(2.0), F.lit(5.0)) - 1)).cast("long").alias("field"))
 
 
 # --- grid
@@ -278,7 +284,7 @@ def _model(name: str, label: str):
 
 
 for _name, _label, _sql in (("naive", "persistence", "naive"), ("seasonal_naive", "seasonal_naive", "seasonal"), ("time_of_day_mean", "time_of_day_mean", "tod"), ("linear_ar1", "linear_ar1", "ar1")):
-    query(f"{PRED} SELECT series_id, slot_idx, round(y, 6) AS y_pred FROM m0 WHERE model = '{_sql}'")(_model(_name, _label))
+    query(f"{PRED} SELECT series_id, slot_idx, round(y, 6) AS y_pred FROM m0 WHERE model = '{_sql}' AND seed = 0")(_model(_name, _label))
 query(None)(_model("linear_ar", "linear_ar"))
 query(None)(_model("gbt", "gbt"))
 
@@ -349,35 +355,54 @@ def per_day_pivot(spark, d):
     return evals(spark, d).groupBy(F.floor(F.col("slot_idx") / 24).alias("day")).pivot("model", list(MODELS)).agg(rnd(F.avg(F.abs(F.col("value") - F.col("y_pred")))))
 
 
-_EXC = ", ex AS (SELECT a.slot_idx // 24 AS day, a.seed, sum(abs(a.value - a.y_pred)) - sum(abs(b.value - b.y_pred)) AS excess FROM ev a JOIN ev b ON a.series_id = b.series_id AND a.slot_idx = b.slot_idx AND a.seed = b.seed AND a.model = 'seasonal' AND b.model = 'ar1' GROUP BY ALL)"
+#: a fitted model against one that has a single seed; and with the calendar against without, seed by seed
+_EXC = ", ex AS (SELECT a.slot_idx // 24 AS day, a.seed, count(*) AS n, sum(abs(a.value - a.y_pred)) - sum(abs(b.value - b.y_pred)) AS excess FROM ev a JOIN ev b ON a.series_id = b.series_id AND a.slot_idx = b.slot_idx AND a.model = 'ar1' AND b.model = 'seasonal' GROUP BY ALL)"
+_PEN = ", pn AS (SELECT a.series_id, a.slot_idx, a.slot_idx // 24 AS day, a.seed, abs(a.value - a.y_pred) - abs(b.value - b.y_pred) AS penalty FROM ev a JOIN ev b ON a.series_id = b.series_id AND a.slot_idx = b.slot_idx AND a.seed = b.seed AND a.model = 'cal' AND b.model = 'ar1')"
+ZOOM = (22, 23)  # days named beforehand
+
 
+def _error_of(e, model, name):
+    return e.filter(F.col("model") == model).select("series_id", "slot_idx", "seed", F.abs(F.col("value") - F.col("y_pred")).alias(name))
 
-def _paired(spark, d, a="seasonal", b="ar1"):
+
+def _paired(spark, d, a, b, by=("series_id", "slot_idx", "seed")):
+    """Errors ea of model a and eb of b, slot by slot; without the seed among the keys, b has one seed, which meets all of a's."""
     e = evals(spark, d)
-    left = e.filter(F.col("model") == a).select("series_id", "slot_idx", "seed", "value", F.abs(F.col("value") - F.col("y_pred")).alias("ea"))
-    right = e.filter(F.col("model") == b).select("series_id", "slot_idx", "seed", F.abs(F.col("value") - F.col("y_pred")).alias("eb"))
-    return left.join(right, ["series_id", "slot_idx", "seed"])
+    right = _error_of(e, b, "eb")
+    return _error_of(e, a, "ea").join(right if "seed" in by else right.drop("seed"), list(by)).withColumn("day", F.floor(F.col("slot_idx") / SPEC.season))
 
 
-@query(f"{PRED}{_EXC}, sh AS (SELECT day, seed, excess, 100 * excess / nullif(sum(excess) OVER (PARTITION BY seed), 0) AS net, 100 * excess / nullif(sum(greatest(excess, 0)) OVER (PARTITION BY seed), 0) AS positive FROM ex UNION ALL SELECT NULL, seed, sum(excess), NULL, NULL FROM ex GROUP BY seed) SELECT day, round(avg(excess), 4) AS excess, round(min(excess), 4) AS least, round(max(excess), 4) AS most, round(avg(net), 4) AS net_share, round(avg(positive), 4) AS positive_share FROM sh GROUP BY ALL")
+@query(f"{PRED}{_EXC}, sh AS (SELECT day, seed, n, excess, 100 * excess / nullif(sum(excess) OVER (PARTITION BY seed), 0) AS net, 100 * excess / nullif(sum(greatest(excess, 0)) OVER (PARTITION BY seed), 0) AS positive FROM ex UNION ALL SELECT NULL, seed, sum(n), sum(excess), 100, 100 FROM ex GROUP BY seed) SELECT day, CAST(max(n) AS BIGINT) AS n_slots, round(avg(excess), 4) AS excess, round(coalesce(stddev_samp(excess), 0), 4) AS excess_sd, round(avg(net), 4) AS net_share, round(avg(positive), 4) AS positive_share, round(min(net), 4) AS net_min, round(max(net), 4) AS net_max FROM sh GROUP BY ALL")
 def excess_error_share(spark, d):
-    p = _paired(spark, d).withColumn("day", F.floor(F.col("slot_idx") / 24))
-    one = p.groupBy("day", "seed").agg((F.sum("ea") - F.sum("eb")).alias("excess"))
+    """By day, and in all (day null), where a model's deficit to a reference comes from; shares of the net and of the positive excess."""
+    one = _paired(spark, d, "ar1", "seasonal", ("series_id", "slot_idx")).groupBy("day", "seed").agg(F.count("*").alias("n"), (F.sum("ea") - F.sum("eb")).alias("excess"))
     w = Window.partitionBy("seed")
     share = lambda total: 100 * F.try_divide("excess", F.sum(total).over(w))
     days = one.withColumns({"net": share(F.col("excess")), "positive": share(F.greatest("excess", F.lit(0.0)))})
-    both = days.unionByName(one.groupBy("seed").agg(F.sum("excess").alias("excess")).withColumn("day", F.lit(None).cast("long")), allowMissingColumns=True)
-    return both.groupBy("day").agg(rnd(F.avg("excess"), 4).alias("excess"), rnd(F.min("excess"), 4).alias("least"), rnd(F.max("excess"), 4).alias("most"), rnd(F.avg("net"), 4).alias("net_share"), rnd(F.avg("positive"), 4).alias("positive_share"))
+    whole = one.groupBy("seed").agg(F.sum("n").alias("n"), F.sum("excess").alias("excess")).withColumns({"day": F.lit(None).cast("long"), "net": F.lit(100.0), "positive": F.lit(100.0)})
+    told = days.unionByName(whole).groupBy("day").agg(F.max("n").alias("n_slots"), *[rnd(c, 4).alias(k) for k, c in {
+        "excess": F.avg("excess"), "excess_sd": F.coalesce(F.stddev_samp("excess"), F.lit(0.0)), "net_share": F.avg("net"), "positive_share": F.avg("positive"), "net_min": F.min("net"), "net_max": F.max("net")}.items()])
+    return told
 
 
-@query(f"{PRED} SELECT a.seed, count(*) AS n, round(avg(abs(a.value - a.y_pred) - abs(b.value - b.y_pred)), 6) AS penalty FROM ev a JOIN ev b ON a.series_id = b.series_id AND a.slot_idx = b.slot_idx AND a.seed = b.seed AND a.model = 'seasonal' AND b.model = 'ar1' GROUP BY ALL")
+@query(f"{PRED}{_PEN}, po AS (SELECT series_id, slot_idx, day, avg(penalty) AS penalty FROM pn GROUP BY ALL), al AS (SELECT 'day ' || day AS period, penalty FROM po UNION ALL SELECT 'zoom', penalty FROM po WHERE day IN (22, 23) UNION ALL SELECT 'whole week', penalty FROM po), pp AS (SELECT period, count(*) AS n_slots, avg(penalty) AS per_slot, sum(penalty) AS total FROM al GROUP BY ALL), sd AS (SELECT 'seed ' || seed AS period, count(*) AS n_slots, avg(penalty) AS per_slot, sum(penalty) FILTER (day IN (22, 23)) AS total, sum(penalty) AS week FROM pn GROUP BY ALL) SELECT period, n_slots, round(per_slot, 6) AS per_slot, round(total, 4) AS total, round(100 * total / nullif((SELECT total FROM pp WHERE period = 'whole week'), 0), 4) AS share FROM pp UNION ALL SELECT period, n_slots, round(per_slot, 6), round(total, 4), round(100 * total / nullif(week, 0), 4) FROM sd")
 def calendar_penalty(spark, d):
-    return _paired(spark, d).groupBy("seed").agg(F.count("*").alias("n"), rnd(F.avg(F.col("ea") - F.col("eb"))).alias("penalty"))
-
-
-@query(f"{PRED} SELECT series_id, count(*) AS n, round(sum(abs(a.value - a.y_pred) - abs(b.value - b.y_pred)), 4) AS total FROM ev a JOIN ev b USING (series_id, slot_idx, seed) WHERE a.model = 'seasonal' AND b.model = 'ar1' GROUP BY ALL")
+    """What the calendar costs one model: by day, on the zoom days and over the week, of the errors' means over seeds (pooled share); and each seed's share on the zoom days."""
+    p = _paired(spark, d, "cal", "ar1").withColumn("penalty", F.col("ea") - F.col("eb"))
+    zoom = F.col("day").isin(*ZOOM)
+    pooled = p.groupBy("series_id", "slot_idx", "day").agg(F.avg("penalty").alias("penalty"))
+    periods = F.filter(F.array(F.concat(F.lit("day "), F.col("day")), F.when(zoom, "zoom"), F.lit("whole week")), lambda x: x.isNotNull())
+    by = pooled.select(F.explode(periods).alias("period"), "penalty").groupBy("period").agg(F.count("*").alias("n_slots"), F.avg("penalty").alias("per_slot"), F.sum("penalty").alias("total"))
+    week = F.broadcast(pooled.agg(F.sum("penalty").alias("week")))  # one row
+    seeds = p.groupBy(F.concat(F.lit("seed "), F.col("seed")).alias("period")).agg(F.count("*").alias("n_slots"), F.avg("penalty").alias("per_slot"), F.sum(F.when(zoom, F.col("penalty"))).alias("total"), F.sum("penalty").alias("week"))
+    both = by.join(week).unionByName(seeds)
+    return both.select("period", "n_slots", rnd("per_slot").alias("per_slot"), rnd("total", 4).alias("total"), rnd(100 * F.try_divide("total", "week"), 4).alias("share"))
+
+
+@query(f"{PRED}{_PEN} SELECT series_id, seed, count(*) AS n, round(sum(penalty), 4) AS total FROM pn GROUP BY ALL")
 def paired_runs(spark, d):
-    return _paired(spark, d).groupBy("series_id").agg(F.count("*").alias("n"), rnd(F.sum(F.col("ea") - F.col("eb")), 4).alias("total"))
+    """A model with the calendar and without it, by slot and seed."""
+    return _paired(spark, d, "cal", "ar1").groupBy("series_id", F.col("seed").cast("long").alias("seed")).agg(F.count("*").alias("n"), rnd(F.sum(F.col("ea") - F.col("eb")), 4).alias("total"))
 
 
 _RES = ", rs AS (SELECT *, value - y_pred AS res, value - lag(value) OVER (PARTITION BY series_id, model, seed ORDER BY slot_idx) AS step FROM ev)"
@@ -463,7 +488,7 @@ def step_guard(spark, d):
 
 # --- tests
 
-_D = ", dd AS (SELECT a.series_id, a.slot_idx, a.la - b.la AS d FROM (SELECT series_id, slot_idx, avg(abs(value - y_pred)) AS la FROM ev WHERE model = 'seasonal' GROUP BY ALL) a JOIN (SELECT series_id, slot_idx, avg(abs(value - y_pred)) AS la FROM ev WHERE model = 'ar1' GROUP BY ALL) b USING (series_id, slot_idx)), dm AS (SELECT series_id, slot_idx, d, d - avg(d) OVER (PARTITION BY series_id) AS u FROM dd), ga AS (SELECT a.series_id, k AS lag, sum(a.u * b.u) AS g FROM dm a, range(0, 25) q(k) JOIN dm b ON a.series_id = b.series_id AND b.slot_idx = a.slot_idx - k GROUP BY ALL), mn AS (SELECT series_id, avg(d) AS mean, count(*) AS n FROM dd GROUP BY ALL)"
+_D = ", dd AS (SELECT a.series_id, a.slot_idx, a.la - b.la AS d FROM (SELECT series_id, slot_idx, avg(abs(value - y_pred)) AS la FROM ev WHERE model = 'seasonal' GROUP BY ALL) a JOIN (SELECT series_id, slot_idx, avg(abs(value - y_pred)) AS la FROM ev WHERE model = 'ar1' GROUP BY ALL) b USING (series_id, slot_idx)), dm AS (SELECT series_id, slot_idx, d, d - avg(d) OVER (PARTITION BY series_id) AS u FROM dd), ga AS (SELECT a.series_id, k AS lag, sum(a.u * b.u) AS g FROM dm a, range(0, 145) q(k) JOIN dm b ON a.series_id = b.series_id AND b.slot_idx = a.slot_idx - k GROUP BY ALL), mn AS (SELECT series_id, avg(d) AS mean, count(*) AS n FROM dd GROUP BY ALL)"
 _TAIL = "(1 / (1 + 0.3275911 * abs(t) / sqrt(2)) * (0.254829592 + 1 / (1 + 0.3275911 * abs(t) / sqrt(2)) * (-0.284496736 + 1 / (1 + 0.3275911 * abs(t) / sqrt(2)) * (1.421413741 + 1 / (1 + 0.3275911 * abs(t) / sqrt(2)) * (-1.453152027 + 1 / (1 + 0.3275911 * abs(t) / sqrt(2)) * 1.061405429)))) * exp(-t * t / 2))"
 
 
@@ -487,45 +512,59 @@ def ensemble_loss(spark, d):
     return evals(spark, d).groupBy("series_id", "slot_idx", "model").agg(rnd(F.abs(F.first("value") - F.avg("y_pred"))).alias("loss"))
 
 
-@query(f"{PRED}{_D}, h AS (SELECT *, mean / se AS t FROM {_hac_sql(8)}) SELECT series_id, n, round(mean, 6) AS mean, round(se, 6) AS se, round(t, 4) AS t, round({_TAIL}, 6) AS p FROM h")
+_P = lambda t: _TAIL.replace("abs(t)", f"abs({t})").replace("-t * t", f"-({t}) * ({t})")
+_HLN = "sqrt(n / (n - 1.0))"  # of the error, for small samples
+
+
+def _grid_sql(lags=L.GRID) -> str:
+    return " UNION ALL ".join(f"SELECT {k}::BIGINT AS lag, *, mean / se AS t, mean / (se * {_HLN}) AS ht FROM {_hac_sql(k)}" for k in lags)
+
+
+def dm_rows(spark, d):
+    """Tests of seasonal against ar1 at all lags of interest."""
+    return L.dm_tests(loss_difference(evals(spark, d), "seasonal", "ar1"), ["series_id"])
+
+
+@query(f"{PRED}{_D}, h AS ({_grid_sql((8,))}) SELECT series_id, lag, n, round(mean, 6) AS mean, round(se, 6) AS se, round(t, 4) AS t, round({_P('t')}, 6) AS p, round(mean - 1.959963984540054 * se, 6) AS lo, round(mean + 1.959963984540054 * se, 6) AS hi, round(se * {_HLN}, 6) AS hln_se, round(ht, 4) AS hln_t, round({_P('ht')}, 6) AS hln_p, round(mean - 1.959963984540054 * se * {_HLN}, 6) AS hln_lo, round(mean + 1.959963984540054 * se * {_HLN}, 6) AS hln_hi FROM h")
 def dm_test(spark, d):
-    h = I.hac(loss_difference(evals(spark, d), "seasonal", "ar1"), "series_id", "d", 8)
-    return h.select("series_id", "n", rnd("mean").alias("mean"), rnd("se").alias("se"), rnd("t", 4).alias("t"), rnd("p").alias("p"))
+    """At the rule-of-thumb lag, with the interval, without and with the small-sample factor."""
+    digits = {"mean": 6, "se": 6, "t": 4, "p": 6, "lo": 6, "hi": 6}
+    digits |= {f"hln_{k}": v for k, v in digits.items() if k != "mean"}
+    return dm_rows(spark, d).filter("rule = 'newey_west'").select("series_id", "lag", "n", *[rnd(c, k).alias(c) for c, k in digits.items()])
 
 
-@query(f"{PRED}{_D} SELECT series_id, 0 AS lag, round(mean / se, 4) AS t FROM {_hac_sql(0)} UNION ALL SELECT series_id, 6, round(mean / se, 4) FROM {_hac_sql(6)} UNION ALL SELECT series_id, 15, round(mean / se, 4) FROM {_hac_sql(15)}")
+@query(f"{PRED}{_D}, h AS ({_grid_sql()}) SELECT series_id, lag, round(t, 4) AS t, round({_P('t')}, 6) AS p, round({_P('ht')}, 6) AS hln_p FROM h")
 def lag_grid(spark, d):
-    x = loss_difference(evals(spark, d), "seasonal", "ar1")
-    return reduce(lambda a, b: a.union(b), [I.hac(x, "series_id", "d", k).select("series_id", F.lit(k).alias("lag"), rnd("t", 4).alias("t")) for k in (0, 6, 15)])
+    return dm_rows(spark, d).filter("rule = 'grid'").select("series_id", "lag", rnd("t", 4).alias("t"), rnd("p").alias("p"), rnd("hln_p").alias("hln_p"))
 
 
-@query(f"{PRED}{_D}, h AS (SELECT 0 AS lag, series_id, mean / se AS t FROM {_hac_sql(0)} UNION ALL SELECT 15, series_id, mean / se FROM {_hac_sql(15)}) SELECT series_id, (min({_TAIL}) < 0.05) <> (max({_TAIL}) < 0.05) AS sensitive FROM h GROUP BY ALL")
+@query(f"{PRED}{_D}, h AS ({_grid_sql()}), hp AS (SELECT series_id, lag, {_P('ht')} AS p FROM h) SELECT series_id, (min(p) < 0.05) <> (max(p) < 0.05) AS sensitive, round(min(p), 6) AS least_p, round(max(p), 6) AS most_p FROM hp GROUP BY ALL")
 def lag_sensitive(spark, d):
-    x = loss_difference(evals(spark, d), "seasonal", "ar1")
-    h = I.hac(x, "series_id", "d", 0).union(I.hac(x, "series_id", "d", 15))
-    return h.groupBy("series_id").agg(((F.min("p") < 0.05) != (F.max("p") < 0.05)).alias("sensitive"))
+    """Whether the verdict at 0.05 is the same at every lag of the grid."""
+    h = dm_rows(spark, d).filter("rule = 'grid'")
+    return h.groupBy("series_id").agg(((F.min("hln_p") < 0.05) != (F.max("hln_p") < 0.05)).alias("sensitive"), rnd(F.min("hln_p")).alias("least_p"), rnd(F.max("hln_p")).alias("most_p"))
 
 
 @query(f"{PRED}{_D} SELECT series_id, floor(1.1447 * power(4 * r * r / (power(1 - r, 2) * power(1 + r, 2)) * n, 1.0 / 3))::BIGINT AS lag FROM (SELECT a.series_id, least(0.97, greatest(-0.97, sum(a.u * b.u) / sum(b.u * b.u))) AS r, any_value(n) AS n FROM dm a JOIN dm b ON a.series_id = b.series_id AND b.slot_idx = a.slot_idx - 1 JOIN mn ON mn.series_id = a.series_id GROUP BY ALL)")
 def andrews_lag(spark, d):
-    x = loss_difference(evals(spark, d), "seasonal", "ar1").withColumn("u", F.col("d") - F.avg("d").over(Window.partitionBy("series_id")))
-    x = x.withColumn("before", F.lag("u").over(Window.partitionBy("series_id").orderBy("slot_idx")))
-    r = x.groupBy("series_id").agg(F.greatest(F.lit(-0.97), F.least(F.lit(0.97), F.sum(F.col("u") * F.col("before")) / F.sum(F.col("before") * F.col("before")))).alias("r"), F.count("*").alias("n"))
-    a = 4 * F.col("r") * F.col("r") / (F.pow(1 - F.col("r"), F.lit(2.0)) * F.pow(1 + F.col("r"), F.lit(2.0)))
-    return r.select("series_id", F.floor(1.1447 * F.pow(a * F.col("n"), F.lit(1.0) / 3)).alias("lag"))
+    return dm_rows(spark, d).filter("rule = 'andrews'").select("series_id", "lag")
+
 
+_HALF = " + ".join(f"power(q / 2, {i}) / {factorial(i)}" for i in range(12))
 
-@query(f"{PRED}{_D}, ac AS (SELECT series_id, lag, g / max(g) FILTER (lag = 0) OVER (PARTITION BY series_id) AS r FROM ga) SELECT series_id, round(n * (n + 2) * sum(r * r / (n - lag)), 4) AS q FROM ac JOIN mn USING (series_id) WHERE lag BETWEEN 1 AND 24 GROUP BY series_id, n")
+
+@query(f"{PRED}{_D}, ac AS (SELECT series_id, lag, g / max(g) FILTER (lag = 0) OVER (PARTITION BY series_id) AS r FROM ga WHERE lag <= 24), lb AS (SELECT series_id, n * (n + 2) * sum(r * r / (n - lag)) FILTER (lag > 0) AS q FROM ac JOIN mn USING (series_id) GROUP BY series_id, n) SELECT series_id, lag, round(r, 6) AS acf, round(q, 4) AS q, round(exp(-q / 2) * ({_HALF}), 6) AS p FROM ac JOIN lb USING (series_id)")
 def ljung_box(spark, d):
-    acf = S.autocorrelation(loss_difference(evals(spark, d), "seasonal", "ar1"), "d", list(range(25)))
-    return I.ljung_box(acf, "series_id").select("series_id", rnd("q", 4).alias("q"))
+    """Autocorrelations of the loss difference through lag 24, with Q and its p."""
+    b = L.ljung_box(loss_difference(evals(spark, d), "seasonal", "ar1"), ["series_id"])
+    return b.select("series_id", F.posexplode("acf").alias("lag", "r"), "q", "p").select("series_id", F.col("lag").cast("long").alias("lag"), rnd("r").alias("acf"), rnd("q", 4).alias("q"), rnd("p").alias("p"))
 
 
 _HOLM = f"{PRED}{_D}, h AS (SELECT *, mean / se AS t FROM {_hac_sql(8)}), hp AS (SELECT series_id, se, n, mean, {_TAIL} AS p, row_number() OVER (ORDER BY {_TAIL}, series_id) AS k, count(*) OVER () AS m FROM h)"
 
 
 def _tests(spark, d):
-    return I.hac(loss_difference(evals(spark, d), "seasonal", "ar1"), "series_id", "d", 8)
+    return dm_rows(spark, d).filter("rule = 'newey_west'")
 
 
 @query(f"{_HOLM} SELECT series_id, round(least(1, max((m - k + 1) * p) OVER (ORDER BY k)), 6) AS p_holm FROM hp")
@@ -555,7 +594,7 @@ _ACF = ", u AS (SELECT series_id, slot_idx, value - avg(value) OVER (PARTITION B
 
 
 def _acf(spark, d):
-    return S.autocorrelation(channels(spark, d), "value", list(range(49)))
+    return L.autocorrelation(channels(spark, d), ["series_id"], 48)
 
 
 @query(f"{_ACF} SELECT series_id, lag, round(acf, 6) AS acf, abs(acf) > 1.96 / sqrt(n) AS significant FROM ac")
@@ -575,24 +614,51 @@ def exceedance_summary(spark, d):
     return _acf(spark, d).filter("lag between 10 and 40").groupBy("series_id").agg(c.alias("n"), rnd(c / F.count("*")).alias("share"))
 
 
-@query(None)
+#: five-minute slots, for lags that hourly ones are too few for; slices sl, their partial autocorrelations lev
+FINE = SeriesSpec(slot_s=300, n_slots=8640, season=288, week=2016, bounds=(4032, 6048, 8064))
+SLICES = {"train": FINE.bounds[0], "full": FINE.n_slots}
+FAR = 2000
+
+
+def _partials_sql(lags: int, slices: str) -> str:
+    return f""", rf AS (SELECT channel, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 300) AS BIGINT) AS slot_idx, value FROM r), gf AS (SELECT channel, slot_idx, sum(coalesce(value, 0)) AS value FROM rf GROUP BY ALL),
+ef AS (SELECT c.channel AS series_id, s.slot_idx, coalesce(value, 0.0) AS value FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) c(channel) CROSS JOIN range(0, 8640) s(slot_idx) LEFT JOIN gf USING (channel, slot_idx)),
+sl AS (SELECT series_id, slice, slot_idx, value - avg(value) OVER (PARTITION BY series_id, slice) AS u FROM ef JOIN (VALUES {slices}) q(slice, m) ON slot_idx < m),
+us AS (SELECT series_id, slice, count(*) AS n, list(u ORDER BY slot_idx) AS us FROM sl GROUP BY ALL),
+gk AS (SELECT series_id, slice, n, k, list_dot_product(us[k + 1:], us[1:n - k]) AS g FROM us, range(0, {lags + 1}) q(k)),
+rk AS (SELECT series_id, slice, n, list(g / g0 ORDER BY k) AS r FROM (SELECT *, max(g) FILTER (k = 0) OVER (PARTITION BY series_id, slice) AS g0 FROM gk) GROUP BY ALL),
+lev AS (SELECT series_id, slice, 1 AS lag, r[2] AS p, [r[2]] AS phi, 1 - r[2] * r[2] AS free, r FROM rk
+UNION ALL SELECT series_id, slice, lag + 1, new, list_append(list_transform(list_zip(phi, list_reverse(phi)), lambda z: z[1] - new * z[2]), new), free * (1 - new * new), r FROM (SELECT *, (r[lag + 2] - list_dot_product(phi, list_reverse(r[2:lag + 1]))) / free AS new FROM lev WHERE lag < {lags}))"""
+
+
+def _slices(spark, d):
+    """The channels in five-minute slots, as slices of their record."""
+    e = P.channel_panel(spark, d, FINE)
+    inside = F.filter(F.array(*[F.when(F.col("slot_idx") < m, F.lit(k)) for k, m in SLICES.items()]), lambda x: x.isNotNull())
+    return e.select("series_id", F.explode(inside).alias("slice"), "slot_idx", "value")
+
+
+def pacf_rows(spark, d, lags: int = 1100):
+    return L.partials(_slices(spark, d).filter("slice = 'train'"), ["series_id"], lags)
+
+
+@query(_partials_sql(1100, "('train', 4032)") + " SELECT series_id, CAST(lag AS BIGINT) AS lag, round(r[lag + 1], 6) AS acf, round(p, 6) AS pacf, abs(p) > 1.96 / sqrt(4032) AS significant FROM lev")
 def pacf(spark, d):
-    """Levinson-Durbin on each series' autocorrelations: a fold over one short array, in columns."""
-    a = _acf(spark, d).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("r"))
-    r = lambda k: F.get("r", k)["acf"]
-    start = F.struct(F.array().cast("array<double>").alias("phi"), F.array().cast("array<double>").alias("out"))
+    """Through lag 1,100, of the training slice."""
+    return pacf_rows(spark, d).select("series_id", "lag", rnd("acf").alias("acf"), rnd("pacf").alias("pacf"), (F.abs("pacf") > 1.96 / F.sqrt("n")).alias("significant"))
+
 
-    def step(s, k):
-        old = s["phi"]
-        back = F.aggregate(F.sequence(F.lit(1), F.size(old)), F.lit(0.0), lambda t, j: t + F.element_at(old, j) * r(k - j))
-        norm = F.aggregate(F.sequence(F.lit(1), F.size(old)), F.lit(0.0), lambda t, j: t + F.element_at(old, j) * r(j))
-        back, norm = F.when(F.size(old) == 0, 0.0).otherwise(back), F.when(F.size(old) == 0, 0.0).otherwise(norm)
-        new = F.try_divide(r(k) - back, 1 - norm)
-        phi = F.concat(F.zip_with(old, F.reverse(old), lambda x, y: x - new * y), F.array(new))
-        return F.struct(phi.alias("phi"), F.concat(s["out"], F.array(new)).alias("out"))
+@query(_partials_sql(1100, "('train', 4032)") + " SELECT series_id, CAST(lag AS BIGINT) AS lag, round(p, 4) AS pacf FROM lev WHERE lag BETWEEN 301 AND 1100 AND abs(p) > 0.05")
+def isolated_partials(spark, d):
+    """Lags far out whose partial autocorrelation matters in practice."""
+    return pacf_rows(spark, d).filter("lag between 301 and 1100 and abs(pacf) > 0.05").select("series_id", "lag", rnd("pacf", 4).alias("pacf"))
 
-    folded = a.select("series_id", F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, step)["out"].alias("v"))
-    return folded.select("series_id", F.posexplode("v").alias("k", "pacf")).select("series_id", (F.col("k") + 1).alias("lag"), rnd("pacf").alias("pacf"))
+
+@query(_partials_sql(FAR, "('train', 4032), ('full', 8640)") + f" SELECT series_id, slice, n, max(lag) FILTER (abs(p) > 0.05) AS last_practical, round(1.96 / sqrt(n), 4) AS band FROM lev JOIN us USING (series_id, slice) GROUP BY series_id, slice, n")
+def pacf_slices(spark, d):
+    """The last lag through 2,000 that matters in practice, of the training slice and of the whole record."""
+    p = L.partials(_slices(spark, d), ["series_id", "slice"], FAR)
+    return p.groupBy("series_id", "slice", "n").agg(F.max(F.when(F.abs("pacf") > 0.05, F.col("lag"))).alias("last_practical"), rnd(1.96 / F.sqrt("n"), 4).alias("band"))
 
 
 _DEC = ", tr AS (SELECT series_id, slot_idx, value, CASE WHEN slot_idx BETWEEN 12 AND 707 THEN (sum(value) OVER (PARTITION BY series_id ORDER BY slot_idx ROWS BETWEEN 11 PRECEDING AND 11 FOLLOWING) + 0.5 * (lag(value, 12) OVER w + lead(value, 12) OVER w)) / 24 END AS trend FROM e WINDOW w AS (PARTITION BY series_id ORDER BY slot_idx)), ph AS (SELECT series_id, slot_idx % 24 AS phase, avg(value - trend) AS s FROM tr GROUP BY ALL), de AS (SELECT tr.series_id, slot_idx, value, trend, s - avg_s AS seasonal, value - trend - (s - avg_s) AS remainder FROM tr JOIN ph ON tr.series_id = ph.series_id AND slot_idx % 24 = phase JOIN (SELECT series_id, avg(s) AS avg_s FROM ph GROUP BY ALL) q ON q.series_id = tr.series_id)"
@@ -627,19 +693,36 @@ def decompose_multi(spark, d):
 @query(f"{_DEC}, u AS (SELECT series_id, slot_idx, remainder - avg(remainder) OVER (PARTITION BY series_id) AS u FROM de WHERE remainder IS NOT NULL) SELECT a.series_id, k AS lag, round(sum(a.u * b.u) / any_value(s.g), 6) AS acf FROM u a, (VALUES (1), (24)) q(k) JOIN u b ON a.series_id = b.series_id AND b.slot_idx = a.slot_idx - k JOIN (SELECT series_id, sum(u * u) AS g FROM u GROUP BY ALL) s ON s.series_id = a.series_id GROUP BY ALL")
 def remainder_acf(spark, d):
     x = decompose(channels(spark, d), 24).filter("remainder is not null")
-    return S.autocorrelation(x, "remainder", [0, 1, 24]).filter("lag > 0").select("series_id", "lag", rnd("acf").alias("acf"))
+    return L.autocorrelation(x, ["series_id"], 24, "remainder").filter("lag in (1, 24)").select("series_id", "lag", rnd("acf").alias("acf"))
+
 
+#: variants v of a series; kp: both forms of the test, with a lag of the series' own
+KPSS_SQL = """, v AS (SELECT series_id, 'raw' AS variant, slot_idx, value FROM e UNION ALL SELECT series_id, 'log1p', slot_idx, ln(1 + value) FROM e UNION ALL SELECT series_id, 'diff1', slot_idx, value - lag(value) OVER (PARTITION BY series_id ORDER BY slot_idx) FROM e UNION ALL SELECT series_id, 'sdiff', slot_idx, value - lag(value, 24) OVER (PARTITION BY series_id ORDER BY slot_idx) FROM e),
+tt AS (SELECT series_id, variant, value, row_number() OVER (PARTITION BY series_id, variant ORDER BY slot_idx) AS t FROM v WHERE value IS NOT NULL),
+lf AS (SELECT series_id, variant, count(*) AS n, avg(value) AS m, regr_slope(value, t) AS s, regr_intercept(value, t) AS i FROM tt GROUP BY ALL),
+ru AS (SELECT series_id, variant, 'c' AS form, n, t, value - m AS u FROM tt JOIN lf USING (series_id, variant) UNION ALL SELECT series_id, variant, 'ct', n, t, value - i - s * t FROM tt JOIN lf USING (series_id, variant)),
+eta AS (SELECT series_id, variant, form, sum(s * s) / (n * n) AS eta FROM (SELECT *, sum(u) OVER (PARTITION BY series_id, variant, form ORDER BY t) AS s FROM ru) GROUP BY series_id, variant, form, n),
+gq AS (SELECT series_id, variant, form, n, k, list_dot_product(us[k + 1:], us[1:n - k]) AS g FROM (SELECT series_id, variant, form, n, list(u ORDER BY t) AS us FROM ru GROUP BY ALL), range(0, 720) q(k)),
+ll AS (SELECT series_id, variant, form, least(n - 1, floor(1.1447 * power(power(sum(k * g) FILTER (k <= floor(power(n, 2.0 / 9))) / (n / 2.0) / (max(g) FILTER (k = 0) / n + sum(g) FILTER (k BETWEEN 1 AND floor(power(n, 2.0 / 9))) / (n / 2.0)), 2), 1.0 / 3) * power(n, 1.0 / 3)))::BIGINT AS lag FROM gq GROUP BY series_id, variant, form, n),
+kq AS (SELECT series_id, variant, form, n, lag, eta / (sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / (lag + 1.0)) * g END) / n) AS kpss FROM gq JOIN ll USING (series_id, variant, form) JOIN eta USING (series_id, variant, form) WHERE k <= lag GROUP BY series_id, variant, form, n, lag, eta),
+kp AS (SELECT *, CASE WHEN form = 'c' THEN CASE WHEN kpss <= 0.347 THEN 0.10 WHEN kpss <= 0.463 THEN 0.10 - 0.05 * (kpss - 0.347) / 0.116 WHEN kpss <= 0.574 THEN 0.05 - 0.025 * (kpss - 0.463) / 0.111 WHEN kpss <= 0.739 THEN 0.025 - 0.015 * (kpss - 0.574) / 0.165 ELSE 0.01 END
+ELSE CASE WHEN kpss <= 0.119 THEN 0.10 WHEN kpss <= 0.146 THEN 0.10 - 0.05 * (kpss - 0.119) / 0.027 WHEN kpss <= 0.176 THEN 0.05 - 0.025 * (kpss - 0.146) / 0.030 WHEN kpss <= 0.216 THEN 0.025 - 0.015 * (kpss - 0.176) / 0.040 ELSE 0.01 END END AS kpss_p,
+CASE WHEN form = 'c' THEN kpss < 0.347 OR kpss > 0.739 ELSE kpss < 0.119 OR kpss > 0.216 END AS capped FROM kq)"""
 
-@query(f", k AS (SELECT series_id, slot_idx, value - avg(value) OVER (PARTITION BY series_id) AS u FROM e), c AS (SELECT series_id, u, sum(u) OVER (PARTITION BY series_id ORDER BY slot_idx) AS s FROM k), ga AS (SELECT a.series_id, q.k AS lag, sum(a.u * b.u) AS g FROM k a, range(0, 9) q(k) JOIN k b ON a.series_id = b.series_id AND b.slot_idx = a.slot_idx - q.k GROUP BY ALL), lr AS (SELECT series_id, sum(CASE WHEN lag = 0 THEN g ELSE 2 * (1 - lag / 9.0) * g END) / 720 AS v FROM ga GROUP BY ALL) SELECT series_id, round(sum(s * s) / (720.0 * 720) / nullif(any_value(v), 0), 6) AS kpss FROM c JOIN lr USING (series_id) GROUP BY ALL")
+
+def variants(spark, d):
+    w = Window.partitionBy("series_id").orderBy("slot_idx")
+    v = F.col("value")
+    kinds = {"raw": v, "log1p": F.when(v > -1, F.log1p(v)), "diff1": v - F.lag(v).over(w), "sdiff": v - F.lag(v, SPEC.season).over(w)}
+    x = channels(spark, d).select("series_id", "slot_idx", *[c.alias(k) for k, c in kinds.items()])
+    return x.unpivot(["series_id", "slot_idx"], list(kinds), "variant", "value").filter("value is not null")
+
+
+@query(KPSS_SQL + " SELECT series_id, variant, form, n, lag, round(kpss, 5) AS kpss, round(kpss_p, 4) AS kpss_p, capped FROM kp")
 def kpss(spark, d):
-    """Level statistic with a Bartlett variance of 8 lags."""
-    e = channels(spark, d)
-    w = Window.partitionBy("series_id")
-    x = e.withColumn("u", F.col("value") - F.avg("value").over(w)).withColumn("s", F.sum("u").over(w.orderBy("slot_idx").rowsBetween(Window.unboundedPreceding, 0)))
-    eta = x.groupBy("series_id").agg((F.sum(F.col("s") * F.col("s")) / (F.count("*") * F.count("*"))).alias("eta"))
-    g = S.autocorrelation(e, "value", list(range(9)))
-    v = g.groupBy("series_id").agg((F.sum(F.when(F.col("lag") == 0, F.col("gamma")).otherwise(2 * (1 - F.col("lag") / 9) * F.col("gamma"))) / F.max("n")).alias("v"))
-    return eta.join(v, "series_id").select("series_id", rnd(F.try_divide("eta", "v")).alias("kpss"))
+    """Around a level and around a line, of four variants of each series."""
+    k = L.kpss(variants(spark, d), ["series_id", "variant"])
+    return k.select("series_id", "variant", "form", "n", "lag", rnd("kpss", 5).alias("kpss"), rnd("kpss_p", 4).alias("kpss_p"), "capped")
 
 
 # --- runs
@@ -664,9 +747,9 @@ def per_area_table(spark, d):
     return _by_seed(spark, d).filter("series_id = 'view'").groupBy("model").agg(rnd(F.avg("mae")).alias("mae"))
 
 
-@query(f"{PRED} SELECT series_id, slot_idx, model, round(y_pred, 6) AS y_pred FROM ev WHERE seed = 1 AND model IN ('naive', 'ar1')")
+@query(f"{PRED} SELECT series_id, slot_idx, model, round(y_pred, 6) AS y_pred FROM ev WHERE seed = 1 AND model IN ('cal', 'ar1')")
 def predictions_select(spark, d):
-    return evals(spark, d).filter("seed = 1 and model in ('naive', 'ar1')").select("series_id", "slot_idx", "model", rnd("y_pred").alias("y_pred"))
+    return evals(spark, d).filter("seed = 1 and model in ('cal', 'ar1')").select("series_id", "slot_idx", "model", rnd("y_pred").alias("y_pred"))
 
 
 @query(f"{PRED}, k AS (SELECT 1 AS run, series_id, model, seed, avg(abs(value - y_pred)) AS mae FROM ev WHERE seed < 2 GROUP BY ALL UNION ALL SELECT 2, series_id, model, seed, 1 + avg(abs(value - y_pred)) FROM ev WHERE seed > 0 GROUP BY ALL) SELECT series_id, model, seed, round(arg_min(mae, run), 6) AS mae FROM k GROUP BY ALL")
