@@ -286,7 +286,30 @@ def _model(name: str, label: str):
 for _name, _label, _sql in (("naive", "persistence", "naive"), ("seasonal_naive", "seasonal_naive", "seasonal"), ("time_of_day_mean", "time_of_day_mean", "tod"), ("linear_ar1", "linear_ar1", "ar1")):
     query(f"{PRED} SELECT series_id, slot_idx, round(y, 6) AS y_pred FROM m0 WHERE model = '{_sql}' AND seed = 0")(_model(_name, _label))
 query(None)(_model("linear_ar", "linear_ar"))
-query(None)(_model("gbt", "gbt"))
+
+
+@query(None)
+def gbt(spark, d):
+    """With the rounds that patience left, the trees' leaves and the validation error."""
+    return M.build("gbt")(channels(spark, d), SPEC).select("series_id", "slot_idx", rnd("y_pred").alias("y_pred"), F.col("rounds").cast("long").alias("rounds"), F.col("leaves").cast("long").alias("leaves"), rnd("validation_mae").alias("validation_mae"))
+
+
+@query(None)
+def linear_ar_presets(spark, d):
+    """The registered orders, and one with the calendar: fitted once into a table of parameters, from which forecasts are made."""
+    path, models = shared_path(spark, "parameters"), {"ar6": "linear_ar_6", "ar36": "linear_ar_36", "ar144": "linear_ar_144", "ar24_calendar": "linear_ar_calendar"}
+    p = M.predictions(channels(spark, d), SPEC, models, 1, path)
+    sizes = M.fit_all(channels(spark, d), SPEC, models, 1, path).groupBy("model").agg(F.max("n_params").cast("long").alias("n_params"))
+    return p.join(F.broadcast(sizes), "model").select("series_id", "slot_idx", "model", "n_params", rnd("y_pred").alias("y_pred"))  # a row a model
+
+
+@query(f"{PRED} SELECT series_id, 'ar1' AS model, seed, 2 AS n_params, round(b, 6) AS c0, round(a, 6) AS c1, NULL::DOUBLE AS c2 FROM fit UNION ALL SELECT series_id, 'cal', seed, 3, round(my - a * ma - b * mb, 6), round(a, 6), round(b, 6) FROM cf")
+def parameters(spark, d):
+    """The stored parameters of what is fitted, by seed; a second call finds them there."""
+    path = shared_path(spark, "parameters")
+    for _ in range(2):
+        p = M.fit_all(channels(spark, d), SPEC, MODELS, SEEDS, path)
+    return p.select("series_id", "model", F.col("seed").cast("long").alias("seed"), F.col("n_params").cast("long").alias("n_params"), *[rnd(F.get("coefficients", F.lit(k))).alias(f"c{k}") for k in range(3)])
 
 # --- metrics
 
