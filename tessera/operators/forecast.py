@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources import stores
 from ..sources.shared import written
-from ..spec import SeriesSpec
+from ..spec import TRAINING, SeriesSpec
 from .panel import day_of, is_working, split_label
 
 
@@ -400,6 +400,41 @@ def metrics(scored: DataFrame, keys: list[str], scale: DataFrame | None = None,
     return told if allow_missing else told.withColumns({c: F.when(F.col("n_dropped") == 0, F.col(c)) for c in names})
 
 
+def paired(truth: DataFrame, forecasts: DataFrame, keys: list[str]) -> DataFrame:
+    """Forecasts with their truth. A key of truth without a forecast, or the other way round, is an error."""
+    t, p = truth.withColumn("_t", F.lit(True)), forecasts.withColumn("_p", F.lit(True))
+    fault = F.raise_error(F.concat(F.lit("no truth, or no forecast, at "), F.concat_ws(" ", *keys))).cast("boolean")
+    both = t.join(p, keys, "full_outer").withColumn("_whole", F.when(F.col("_t") & F.col("_p"), True).otherwise(fault))
+    return both.filter("_whole").drop("_t", "_p", "_whole")
+
+
+def reconciled(derived: DataFrame, log: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Logged texts (column logged) against numbers, rounded to the decimals that each text has: keys, places, derived, logged, drift."""
+    places = F.length(F.regexp_extract("logged", r"\.(\d+)$", 1))
+    x = derived.join(log, keys).withColumn("places", places.cast("long"))
+    shown = F.round(F.col(name) * F.pow(F.lit(10.0), "places")) / F.pow(F.lit(10.0), "places")
+    x = x.withColumn("derived", shown + F.lit(0.0)).withColumn("logged", F.col("logged").cast("double"))
+    return x.select(*keys, "places", "derived", "logged", (F.abs(F.col("derived") - F.col("logged")) > 1e-9).alias("drift"))
+
+
+def focus_area(areas: DataFrame, requested: str | None = None, control: DataFrame | None = None) -> DataFrame:
+    """One row (area): the one requested, else the only one of a control run if it is among the areas, else the first."""
+    first = areas.agg(F.min("area").alias("first"))
+    if control is None:
+        return first.select(F.coalesce(F.lit(requested), F.col("first")).alias("area"))
+    only = control.distinct().agg(F.when(F.count("*") == 1, F.max("area")).alias("only"))
+    there = only.join(areas.select(F.col("area").alias("only")).distinct(), "only", "left_semi").agg(F.max("only").alias("only"))
+    return first.join(F.broadcast(there)).select(F.coalesce(F.lit(requested), F.col("only"), F.col("first")).alias("area"))  # one row each
+
+
+def training_frame(panel: DataFrame, spec: SeriesSpec, length: int, method: str = "standard") -> DataFrame:
+    """All series' windows (spec.TRAINING): scaled lags and target, the target's calendar, its truth in the series' own unit, its split, and the training slots' seasonal difference."""
+    x = panel.select("series_id", "slot_idx", "value").join(fit_scaler(panel, method, spec), "series_id").withColumn("truth", F.col("value")).withColumn("value", scaled(F.col("value"), method))
+    w = windows(x.drop("scale", "center"), length).join(naive_scale(panel, spec), "series_id", "left")
+    told = w.withColumn("exog", F.array(*calendar(F.col("slot_idx"), spec).values())).withColumn("split", split_label(F.col("slot_idx"), spec))
+    return told.select(*[F.col(f.name).cast(f.dataType) for f in TRAINING])
+
+
 def naive_scale(panel: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Mean absolute seasonal difference of the training rows (E7)."""
     d = panel.filter(F.col("slot_idx") < spec.bounds[0]).withColumn("d", F.abs(F.col("value") - F.lag("value", spec.season).over(by_series())))

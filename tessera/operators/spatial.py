@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import SeriesSpec
@@ -63,3 +63,40 @@ def neighbours(grid: DataFrame, k: int, spec: SeriesSpec) -> DataFrame:
 
 def neighbourhood_ratio(grid: DataFrame, k: int, spec: SeriesSpec) -> DataFrame:
     return neighbours(grid, k, spec).groupBy("series_id", "row", "col", "total").agg(F.median("ntotal").alias("middle")).withColumn("ratio", F.try_divide("total", "middle"))
+
+
+def row_bands(grid: DataFrame, band: int, spec: SeriesSpec) -> DataFrame:
+    """(band, share, lat_from, lat_to): how much of all lies in bands of `band` rows, which must fit the grid."""
+    if spec.side % band:
+        raise ValueError(f"{spec.side} rows can't be cut into bands of {band}")
+    total = F.sum("s").over(Window.partitionBy())  # a row a band
+    b = grid.groupBy(F.floor(F.col("row") / band).alias("band")).agg(F.sum("total").alias("s"))
+    lat = lambda k: SOUTH + k * band / spec.side * (NORTH - SOUTH)
+    return b.select("band", F.try_divide(F.col("s"), total).alias("share"), lat(F.col("band")).alias("lat_from"), lat(F.col("band") + 1).alias("lat_to"))
+
+
+def zoom_box(shown: DataFrame, pad: int, spec: SeriesSpec) -> DataFrame:
+    """One row (row_from, row_to, col_from, col_to): a square about the shown cells, `pad` cells wider on each side and cut at the grid's edge."""
+    ends = shown.agg(F.max("row").alias("r1"), F.min("row").alias("r0"), F.max("col").alias("c1"), F.min("col").alias("c0"))
+    half = F.greatest(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")) / 2 + pad
+    low = lambda a, b: F.greatest(F.lit(0), F.floor((F.col(a) + F.col(b)) / 2 - half))
+    high = lambda a, b: F.least(F.lit(spec.side - 1), F.ceil((F.col(a) + F.col(b)) / 2 + half))
+    return F.broadcast(ends.select(low("r0", "r1").alias("row_from"), high("r0", "r1").alias("row_to"), low("c0", "c1").alias("col_from"), high("c0", "c1").alias("col_to")))
+
+
+def best_neighbours(grid: DataFrame, search: int, k: int, spec: SeriesSpec, most: bool = True) -> DataFrame:
+    """(series_id, row, col, dr, dc, best): the most extreme cell within `search`, by its ratio to its own block; of equal ones the first in scan order. Cells whose block has the median 0 don't count."""
+    r = neighbourhood_ratio(grid, k, spec).filter("ratio is not null").select("series_id", "row", "col", F.round("ratio", 9).alias("total"))
+    at = grid.select("series_id", "row", "col", F.lit(0.0).alias("total"))
+    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in range(-search, search + 1) for b in range(-search, search + 1)])
+    near = at.select("series_id", "row", "col", F.explode(steps).alias("s")).select("series_id", "row", "col", "s.*", (F.col("row") + F.col("s.dr")).alias("nrow"), (F.col("col") + F.col("s.dc")).alias("ncol"))
+    met = near.join(r.select(F.col("row").alias("nrow"), F.col("col").alias("ncol"), F.col("total").alias("ratio")), ["nrow", "ncol"])
+    rank = F.struct((F.col("ratio") if most else -F.col("ratio")).alias("x"), (-F.col("dr")).alias("r"), (-F.col("dc")).alias("c"))
+    top = met.groupBy("series_id", "row", "col").agg(F.max_by(F.struct("dr", "dc", "ratio"), rank).alias("t"))
+    return top.select("series_id", "row", "col", "t.dr", "t.dc", F.col("t.ratio").alias("best"))
+
+
+def step_compass(row: Column, col: Column, dr: Column, dc: Column, side: int) -> Column:
+    """Compass point of a step of a few cells; null for none."""
+    point = compass(bearing(*centroid(row, col, side), *centroid(row + dr, col + dc, side)))
+    return F.when((dr != 0) | (dc != 0), point)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import panel as P
+from ..operators import spatial as G
 from ..operators import stats as S
 from .common import SPEC, cell_totals, cells, channels, raw, rnd, sql
 
@@ -41,11 +44,16 @@ def dense_panel(spark, d):
     return cells(spark, d).withColumn("value", rnd("value"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (slot_idx BETWEEN 0 AND 719 AND series_id BETWEEN 1 AND 100) AS n_valid, count(*) FILTER (NOT (slot_idx BETWEEN 0 AND 719 AND series_id BETWEEN 1 AND 100)) AS n_quarantined FROM r")
+_SLOT_OK, _CELL_OK = "slot_idx BETWEEN 0 AND 599", "series_id BETWEEN 1 AND 90"
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER ({_SLOT_OK} AND {_CELL_OK}) AS n_valid, count(*) FILTER (NOT ({_SLOT_OK} AND {_CELL_OK})) AS n_quarantined, count(*) FILTER (NOT {_SLOT_OK}) AS slot_outside, count(*) FILTER (NOT {_CELL_OK}) AS cell_outside FROM r")
 def validate_slots(spark, d):
-    good, bad = P.validate(raw(spark, d), SPEC)
-    both = good.select(F.lit(1).alias("g")).union(bad.select(F.lit(0)))
-    return both.agg(F.count("*").alias("n"), F.sum("g").alias("n_valid"), F.sum(1 - F.col("g")).alias("n_quarantined"))
+    """Against an axis of 600 slots and a grid of 90 cells, which the last days and cells lie outside of."""
+    spec = replace(SPEC, n_slots=600, cells=90)
+    good, bad = P.validate(raw(spark, d), spec)
+    both = good.select("slot_idx", "series_id", F.lit(1).alias("g")).union(bad.select("slot_idx", "series_id", F.lit(0)))
+    return both.agg(F.count("*").alias("n"), F.sum("g").alias("n_valid"), F.sum(1 - F.col("g")).alias("n_quarantined"), F.count_if(~F.col("slot_idx").between(0, 599)).alias("slot_outside"), F.count_if(~F.col("series_id").between(1, 90)).alias("cell_outside"))
 
 
 @query("SELECT slot_idx // 24 AS day, count(*) AS observed, 24 * 100 - count(*) AS empty FROM g GROUP BY ALL")
@@ -58,9 +66,12 @@ def series_totals(spark, d):
     return cell_totals(spark, d).withColumn("total", rnd("total"))
 
 
-@query("SELECT slot_idx // 24 AS day, count(*) AS records, count(DISTINCT (series_id, slot_idx)) AS observed, round(sum(value), 6) AS total FROM r GROUP BY ROLLUP (slot_idx // 24)")
+@query("SELECT slot_idx // 24 AS day, count(*) AS records, count(DISTINCT (series_id, slot_idx)) AS observed, round(count(DISTINCT (series_id, slot_idx)) / (100.0 * CASE WHEN slot_idx // 24 IS NULL THEN 720 ELSE 24 END), 6) AS ratio, round(sum(value), 6) AS total, " + ", ".join(f"round(coalesce(sum(value) FILTER (channel = '{c}'), 0), 4) AS {c}" for c in SPEC.channels) + " FROM r GROUP BY ROLLUP (slot_idx // 24)")
 def ingest_stats(spark, d):
-    return raw(spark, d).withColumn("day", F.floor(F.col("slot_idx") / 24)).rollup("day").agg(F.count("*").alias("records"), F.countDistinct("series_id", "slot_idx").alias("observed"), rnd(F.sum("value")).alias("total"))
+    """By day and in all (day null): records, observed pairs and their share of the grid, totals by channel."""
+    pairs = SPEC.cells * F.when(F.col("day").isNull(), SPEC.n_slots).otherwise(SPEC.season)
+    told = raw(spark, d).withColumn("day", F.floor(F.col("slot_idx") / 24)).rollup("day").agg(F.count("*").alias("records"), F.countDistinct("series_id", "slot_idx").alias("observed"), rnd(F.sum("value")).alias("total"), *[rnd(F.coalesce(F.sum(F.when(F.col("channel") == c, F.col("value"))), F.lit(0.0)), 4).alias(c) for c in SPEC.channels])
+    return told.withColumn("ratio", rnd(F.col("observed") / pairs))
 
 
 @query("SELECT DISTINCT gap FROM (SELECT slot_idx - lag(slot_idx) OVER (PARTITION BY series_id ORDER BY slot_idx) AS gap FROM p) WHERE gap IS NOT NULL")
@@ -226,7 +237,7 @@ def skewness_log10(spark, d):
     return _acct(spark, d).filter("v > 0").agg(rnd(F.skewness(F.log10("v"))).alias("skew"))
 
 
-@query(", k AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS down, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS up, sum(c_acctbal) OVER (ORDER BY c_acctbal DESC, c_custkey) AS run, count(*) OVER () AS n, sum(c_acctbal) OVER () AS s FROM customer WHERE c_acctbal >= 0), x AS (SELECT log10(v) AS u FROM k WHERE v > 0), m AS (SELECT avg(power(u - a, 3)) / nullif(power(avg(power(u - a, 2)), 1.5), 0) AS skew FROM x, (SELECT avg(u) AS a FROM x)) SELECT count(*) AS n, min(v) AS least, max(v) AS most, median(v) AS middle, round(sum(v), 4) AS total, round(log10(max(v) / nullif(median(v), 0)), 6) AS decades_above, round(log10(median(v) / nullif(min(v), 0)), 6) AS decades_below, round(100 * sum(v) FILTER (down <= greatest(1, round_even(n * 0.01, 0))) / nullif(sum(v), 0), 6) AS top_percent, round(2 * sum(up * v) / nullif(count(*) * sum(v), 0) - (count(*) + 1) / count(*), 6) AS gini, count(*) FILTER (run < 0.5 * s) + 1 AS half, round((SELECT skew FROM m), 6) AS skew FROM k")
+@query(", k AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS down, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS up, sum(c_acctbal) OVER (ORDER BY c_acctbal DESC, c_custkey) AS run, count(*) OVER () AS n, sum(c_acctbal) OVER () AS s FROM customer WHERE c_acctbal >= 0), x AS (SELECT log10(v) AS u FROM k WHERE v > 0), m AS (SELECT avg(power(u - a, 3)) / nullif(power(avg(power(u - a, 2)), 1.5), 0) AS skew FROM x, (SELECT avg(u) AS a FROM x)) SELECT count(*) AS n, min(v) AS least, max(v) AS most, median(v) AS middle, round(sum(v), 4) AS total, round(log10(max(v) / nullif(median(v), 0)), 6) AS decades_above, round(log10(median(v) / nullif(min(v), 0)), 6) AS decades_below, round(100 * sum(v) FILTER (down <= greatest(1, round_even(n * 0.01, 0))) / nullif(sum(v), 0), 6) AS top_percent, round(2 * sum(up * v) / nullif(count(*) * sum(v), 0) - (count(*) + 1) / count(*), 6) AS gini, count(*) FILTER (run < 0.5 * s) + 1 AS half, round(100.0 * (count(*) FILTER (run < 0.5 * s) + 1) / count(*), 6) AS half_percent, round((SELECT skew FROM m), 6) AS skew FROM k")
 def concentration_stats(spark, d):
     """Spread in decades, top 1 %, Gini, how many make half, and the skewness of the logarithm, from one global order."""
     p = S.prefix_sums(_acct(spark, d), [F.col("v").desc(), F.col("c_custkey")], "v")
@@ -239,7 +250,7 @@ def concentration_stats(spark, d):
         F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.median("v").alias("middle"), rnd(F.sum("v"), 4).alias("total"),
         ratio(F.max("v"), F.median("v")).alias("decades_above"), ratio(F.median("v"), F.min("v")).alias("decades_below"), rnd(100 * F.try_divide(top, F.sum("v"))).alias("top_percent"),
         rnd(F.try_divide(2 * F.sum(up * F.col("v")), F.count("*") * F.sum("v")) - (F.count("*") + 1) / F.count("*")).alias("gini"), (F.count_if(F.col("running") < 0.5 * F.col("s")) + 1).alias("half"),
-        rnd(F.skewness(F.when(F.col("v") > 0, F.log10("v")))).alias("skew"),
+        rnd(100 * (F.count_if(F.col("running") < 0.5 * F.col("s")) + 1) / F.count("*")).alias("half_percent"), rnd(F.skewness(F.when(F.col("v") > 0, F.log10("v")))).alias("skew"),
     )
 
 
@@ -299,10 +310,20 @@ def weekday_weekend_ratio(spark, d):
     return channels(spark, d).groupBy("series_id").agg(rnd(F.try_divide(F.avg(F.when(week, F.col("value"))), F.avg(F.when(~week, F.col("value"))))).alias("ratio"))
 
 
-@query("SELECT series_id, round(avg(value) FILTER ((slot_idx // 24) % 7 < 5), 6) AS weekday_mean, round(avg(value) FILTER ((slot_idx // 24) % 7 >= 5), 6) AS weekend_mean, round(avg(value) FILTER ((slot_idx // 24) % 7 >= 5) / nullif(avg(value) FILTER ((slot_idx // 24) % 7 < 5), 0), 6) AS ratio FROM e WHERE slot_idx < 336 GROUP BY ALL")
+_SHAPE = ", fd AS (SELECT series_id, slot_idx % 24 AS slot, value, value / nullif(avg(value) OVER (PARTITION BY series_id, slot_idx // 24), 0) AS v FROM e WHERE slot_idx < 336), ms AS (SELECT series_id, slot, avg(value) AS a, avg(v) AS b FROM fd GROUP BY ALL), cr AS (SELECT x.series_id, round(corr(x.a, y.a), 6) AS r_raw, round(corr(x.b, y.b), 6) AS r_relative FROM ms x JOIN ms y ON x.slot = y.slot AND y.series_id = 'view' GROUP BY ALL)"
+
+
+@query(f"{_SHAPE} SELECT series_id, round(avg(value) FILTER ((slot_idx // 24) % 7 < 5), 6) AS weekday_mean, round(avg(value) FILTER ((slot_idx // 24) % 7 >= 5), 6) AS weekend_mean, round(avg(value) FILTER ((slot_idx // 24) % 7 >= 5) / nullif(avg(value) FILTER ((slot_idx // 24) % 7 < 5), 0), 6) AS ratio, r_raw, r_relative FROM e JOIN cr USING (series_id) WHERE slot_idx < 336 GROUP BY ALL")
 def regime_levels(spark, d):
+    """Levels of the first fortnight, and how near each mean daily profile is to the channel view's: as it is, and with each day divided by its own mean."""
+    e = channels(spark, d).filter("slot_idx < 336")
     week = F.weekday(P.day_of(F.col("slot_idx"), SPEC)) < 5
-    return channels(spark, d).filter("slot_idx < 336").groupBy("series_id").agg(rnd(F.avg(F.when(week, F.col("value")))).alias("weekday_mean"), rnd(F.avg(F.when(~week, F.col("value")))).alias("weekend_mean"), rnd(F.try_divide(F.avg(F.when(~week, F.col("value"))), F.avg(F.when(week, F.col("value"))))).alias("ratio"))
+    levels = e.groupBy("series_id").agg(rnd(F.avg(F.when(week, F.col("value")))).alias("weekday_mean"), rnd(F.avg(F.when(~week, F.col("value")))).alias("weekend_mean"), rnd(F.try_divide(F.avg(F.when(~week, F.col("value"))), F.avg(F.when(week, F.col("value"))))).alias("ratio"))
+    day = F.avg("value").over(Window.partitionBy("series_id", F.floor(F.col("slot_idx") / 24)))
+    shape = e.select("series_id", (F.col("slot_idx") % 24).alias("slot"), "value", F.try_divide("value", day).alias("v")).groupBy("series_id", "slot").agg(F.avg("value").alias("a"), F.avg("v").alias("b"))
+    ref = F.broadcast(shape.filter("series_id = 'view'").select("slot", F.col("a").alias("ra"), F.col("b").alias("rb")))  # a season's slots
+    near = shape.join(ref, "slot").groupBy("series_id").agg(rnd(F.corr("a", "ra")).alias("r_raw"), rnd(F.corr("b", "rb")).alias("r_relative"))
+    return levels.join(near, "series_id")
 
 
 _ZERO = "SELECT series_id, count(*) FILTER (value = 0) AS zeros, coalesce(max(slot_idx) FILTER (value <> 0), -1) AS last_row FROM p GROUP BY ALL"
@@ -323,10 +344,10 @@ def stalled_cells(spark, d):
     return _zero(spark, d).filter(F.col("last_row") < 719 - 12).select("series_id", "last_row", seen.alias("last_seen"))
 
 
-@query("SELECT row // 2 AS band, round(sum(total) / nullif((SELECT sum(total) FROM t), 0), 6) AS share FROM t GROUP BY ALL")
+@query("SELECT row // 2 AS band, round(sum(total) / nullif((SELECT sum(total) FROM t), 0), 6) AS share, round(45.356261 + (row // 2) * 2 / 10 * (45.568161 - 45.356261), 6) AS lat_from, round(45.356261 + (row // 2 + 1) * 2 / 10 * (45.568161 - 45.356261), 6) AS lat_to FROM t GROUP BY ALL")
 def row_band_mass(spark, d):
-    b = cell_totals(spark, d).groupBy(F.floor(F.col("row") / 2).alias("band")).agg(F.sum("total").alias("s"))
-    return b.select("band", rnd(F.try_divide(F.col("s"), F.sum("s").over(Window.partitionBy()))).alias("share"))
+    b = G.row_bands(cell_totals(spark, d), 2, SPEC)
+    return b.select("band", rnd("share").alias("share"), rnd("lat_from").alias("lat_from"), rnd("lat_to").alias("lat_to"))
 
 
 @query("SELECT round(sum(row * total) / nullif(sum(total), 0), 6) AS mean_row FROM t")
@@ -334,21 +355,34 @@ def mass_weighted_mean_row(spark, d):
     return cell_totals(spark, d).agg(rnd(F.try_divide(F.sum(F.col("row") * F.col("total")), F.sum("total"))).alias("mean_row"))
 
 
-@query(", x AS (SELECT log10(c_acctbal) AS v FROM customer WHERE c_acctbal > 0), b AS (SELECT min(v) AS lo, (max(v) - min(v)) / 60 AS w FROM x) SELECT least(59, floor((v - lo) / w))::BIGINT AS bin, count(*) AS n FROM x, b GROUP BY ALL")
+@query(", x AS (SELECT log10(c_acctbal) AS v FROM customer WHERE c_acctbal > 0), b AS (SELECT min(v) AS lo, (max(v) - min(v)) / 60 AS w FROM x), k AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, count(*) OVER () AS n FROM customer WHERE c_acctbal >= 0), m AS (SELECT round(median(v), 4) AS middle, round(max(v) FILTER (rank = greatest(1, round_even(n * 0.01, 0))), 4) AS cut FROM k) SELECT least(59, floor((v - lo) / w))::BIGINT AS bin, count(*) AS n, middle, cut FROM x, b, m GROUP BY ALL")
 def log_histogram(spark, d):
+    """Bins of the logarithm, with the median and the value at which the top hundredth begins."""
     x = _acct(spark, d).filter("v > 0").select(F.log10("v").alias("v"))
     b = F.broadcast(x.agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / 60).alias("w")))
-    return x.join(b).groupBy(F.least(F.lit(59), F.floor((F.col("v") - F.col("lo")) / F.col("w"))).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    p = S.prefix_sums(_acct(spark, d), [F.col("v").desc(), F.col("c_custkey")], "v")
+    n = F.broadcast(_acct(spark, d).agg(F.greatest(F.lit(1), F.bround(F.count("*") * 0.01)).alias("top")))
+    marks = F.broadcast(p.join(n).agg(rnd(F.median("v"), 4).alias("middle"), rnd(F.max(F.when(F.col("rank") == F.col("top"), F.col("v"))), 4).alias("cut")))
+    return x.join(b).groupBy(F.least(F.lit(59), F.floor((F.col("v") - F.col("lo")) / F.col("w"))).cast("long").alias("bin")).agg(F.count("*").alias("n")).join(marks)
+
 
+STUDY = (7, 51, 88)
 
-@query("SELECT row, col, round(ln(1 + total), 6) AS level FROM t")
+
+@query(", h AS (SELECT max(row) AS r1, min(row) AS r0, max(col) AS c1, min(col) AS c0 FROM t WHERE series_id IN (7, 51, 88)), z AS (SELECT greatest(0, floor((r1 + r0) / 2 - half)) AS zr0, least(9, ceil((r1 + r0) / 2 + half)) AS zr1, greatest(0, floor((c1 + c0) / 2 - half)) AS zc0, least(9, ceil((c1 + c0) / 2 + half)) AS zc1 FROM (SELECT *, greatest(r1 - r0, c1 - c0) / 2 - 2 AS half FROM h)) SELECT row, col, round(ln(1 + total), 6) AS level, row BETWEEN zr0 AND zr1 AND col BETWEEN zc0 AND zc1 AS zoomed FROM t, z")
 def log_grid(spark, d):
-    return cell_totals(spark, d).select("row", "col", rnd(F.log1p("total")).alias("level"))
+    """Each cell's logarithm, and whether it lies in a square box about the study cells, drawn in by two cells."""
+    t = cell_totals(spark, d)
+    return t.join(G.zoom_box(t.filter(F.col("series_id").isin(*STUDY)), -2, SPEC)).select("row", "col", rnd(F.log1p("total")).alias("level"), (F.col("row").between(F.col("row_from"), F.col("row_to")) & F.col("col").between(F.col("col_from"), F.col("col_to"))).alias("zoomed"))
 
 
-@query(", s AS (SELECT slot_idx // 24 AS day, count(*) AS n FROM r GROUP BY ALL) SELECT sum(n)::BIGINT AS records, count(*) AS days, max(n) AS most, min(n) AS least FROM s")
+@query(", s AS (SELECT slot_idx // 24 AS day, count(*) AS n FROM r GROUP BY ALL) SELECT sum(n)::BIGINT AS records, count(*) AS days, max(n) AS most, min(n) AS least, arg_max(day, (n, -day)) AS most_day, arg_min(day, (n, day)) AS least_day, round(sum(n) / count(*), 4) AS per_day, round(100 * 720 * 4 / 1e6, 4) AS dense_mb FROM s")
 def manifest_summary(spark, d):
-    return raw(spark, d).groupBy(F.floor(F.col("slot_idx") / 24).alias("day")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("records"), F.count("*").alias("days"), F.max("n").alias("most"), F.min("n").alias("least"))
+    """The run's records by day, and what the dense matrix takes in single precision."""
+    s = raw(spark, d).groupBy(F.floor(F.col("slot_idx") / 24).alias("day")).agg(F.count("*").alias("n"))
+    return s.agg(
+        F.sum("n").alias("records"), F.count("*").alias("days"), F.max("n").alias("most"), F.min("n").alias("least"), F.max_by("day", F.struct("n", -F.col("day"))).alias("most_day"), F.min_by("day", F.struct("n", "day")).alias("least_day"),
+        rnd(F.sum("n") / F.count("*"), 4).alias("per_day"), F.lit(round(SPEC.cells * SPEC.n_slots * 4 / 1e6, 4)).alias("dense_mb"))
 
 
 # --- windows
@@ -356,14 +390,15 @@ def manifest_summary(spark, d):
 _ROLL = "SELECT series_id, slot_idx, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s FROM e WINDOW w AS (PARTITION BY series_id ORDER BY slot_idx ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"
 
 
-def _rolled(spark, d, value="value"):
+def _rolled(spark, d):
     w = w_series().rowsBetween(-23, 0)
-    return channels(spark, d).withColumn("value", F.expr(value)).select("series_id", "slot_idx", F.avg("value").over(w).alias("m"), F.stddev_samp("value").over(w).alias("s")).filter("slot_idx >= 23")
+    e = channels(spark, d).withColumn("l", F.log1p("value"))
+    return e.select("series_id", "slot_idx", *[f(c).over(w).alias(n) for c, f, n in (("value", F.avg, "m"), ("value", F.stddev_samp, "s"), ("l", F.avg, "ml"), ("l", F.stddev_samp, "sl"))]).filter("slot_idx >= 23")
 
 
 @query(f"SELECT series_id, slot_idx, round(m, 6) AS m, round(s, 6) AS s FROM ({_ROLL}) WHERE slot_idx >= 23")
 def rolling_mean_std(spark, d):
-    return _rolled(spark, d).withColumns({"m": rnd("m"), "s": rnd("s")})
+    return _rolled(spark, d).select("series_id", "slot_idx", rnd("m").alias("m"), rnd("s").alias("s"))
 
 
 _ROLL_LOG = _ROLL.replace("avg(value)", "avg(ln(1 + value))").replace("stddev_samp(value)", "stddev_samp(ln(1 + value))")
@@ -371,8 +406,7 @@ _ROLL_LOG = _ROLL.replace("avg(value)", "avg(ln(1 + value))").replace("stddev_sa
 
 @query(f"SELECT a.series_id, a.r, b.r AS r_log FROM (SELECT series_id, round(corr(m, s), 6) AS r FROM ({_ROLL}) WHERE slot_idx >= 23 GROUP BY ALL) a JOIN (SELECT series_id, round(corr(m, s), 6) AS r FROM ({_ROLL_LOG}) WHERE slot_idx >= 23 GROUP BY ALL) b USING (series_id)")
 def rolling_corr(spark, d):
-    r = lambda value, name: _rolled(spark, d, value).groupBy("series_id").agg(rnd(F.corr("m", "s")).alias(name))
-    return r("value", "r").join(r("log1p(value)", "r_log"), "series_id")
+    return _rolled(spark, d).groupBy("series_id").agg(rnd(F.corr("m", "s")).alias("r"), rnd(F.corr("ml", "sl")).alias("r_log"))
 
 
 @query("SELECT series_id, total_rank, round(total / nullif(med, 0), 6) AS multiple FROM (SELECT series_id, total, rank() OVER (ORDER BY total DESC) AS total_rank, (SELECT median(total) FROM t) AS med FROM (SELECT series_id, round(total, 4) AS total FROM t))")
@@ -413,17 +447,24 @@ def step_rises(spark, d):
     return g.join(before, "slot_idx").select("slot_idx", rnd(F.col("value") - F.col("before"), 4).alias("rise")).orderBy(F.desc("rise"), "slot_idx").limit(2)
 
 
-@query("SELECT round(sum(before), 4) AS before, round(sum(value), 4) AS at, round(sum(after), 4) AS after, round(100 * avg((value > before)::INT), 4) AS rising, round(sum(value) / nullif((sum(before) + sum(after)) / 2, 0), 6) AS ratio FROM (SELECT slot_idx, value, lag(value) OVER w AS before, lead(value) OVER w AS after FROM p WINDOW w AS (PARTITION BY series_id ORDER BY slot_idx)) WHERE slot_idx = 300")
+@query("SELECT round(sum(before), 4) AS before, round(sum(value), 4) AS at, round(sum(after), 4) AS after, round(100 * avg((value > before)::INT), 4) AS rising, round(sum(value) / nullif((sum(before) + sum(after)) / 2, 0), 6) AS ratio, round(100 * avg(((before + after) > 0 AND value > 0.75 * (before + after))::INT), 4) AS far_above, round(sum(value) - (sum(before) + sum(after)) / 2, 4) AS excess, round(100 * (sum(before) - sum(after)) / nullif(sum(value) - (sum(before) + sum(after)) / 2, 0), 4) AS given_back FROM (SELECT slot_idx, value, lag(value) OVER w AS before, lead(value) OVER w AS after FROM p WINDOW w AS (PARTITION BY series_id ORDER BY slot_idx)) WHERE slot_idx = 300")
 def spike_profile(spark, d):
+    """One slot against its neighbours: totals, cells that rise or stand half again above them, the excess, and what of it the next slot gives back."""
     x = cells(spark, d).filter("slot_idx between 299 and 301").groupBy("series_id").agg(*[F.sum(F.when(F.col("slot_idx") == k, F.col("value"))).alias(n) for k, n in ((299, "b"), (300, "v"), (301, "a"))])
-    return x.agg(rnd(F.sum("b"), 4).alias("before"), rnd(F.sum("v"), 4).alias("at"), rnd(F.sum("a"), 4).alias("after"), rnd(100 * F.avg((F.col("v") > F.col("b")).cast("int")), 4).alias("rising"), rnd(F.try_divide(F.sum("v"), (F.sum("b") + F.sum("a")) / 2)).alias("ratio"))
+    both = F.col("b") + F.col("a")
+    excess = F.sum("v") - F.sum(both) / 2
+    return x.agg(
+        rnd(F.sum("b"), 4).alias("before"), rnd(F.sum("v"), 4).alias("at"), rnd(F.sum("a"), 4).alias("after"), rnd(100 * F.avg((F.col("v") > F.col("b")).cast("int")), 4).alias("rising"), rnd(F.try_divide(F.sum("v"), F.sum(both) / 2)).alias("ratio"),
+        rnd(100 * F.avg(((both > 0) & (F.col("v") > 0.75 * both)).cast("int")), 4).alias("far_above"), rnd(excess, 4).alias("excess"), rnd(100 * F.try_divide(F.sum("b") - F.sum("a"), excess), 4).alias("given_back"))
 
 
-@query("SELECT a.slot_idx, round(a.value, 4) AS value, round(a.value / nullif(b.value, 0), 6) AS ratio FROM gt a JOIN gt b ON b.slot_idx = a.slot_idx - 168 WHERE a.slot_idx BETWEEN 297 AND 303")
+@query(", nb AS (SELECT slot_idx, value, lag(value) OVER w AS before, lead(value) OVER w AS after FROM gt WINDOW w AS (ORDER BY slot_idx)) SELECT a.slot_idx, round(a.value, 4) AS value, round(b.value, 4) AS week_ago, round(a.value / nullif(b.value, 0), 6) AS ratio, round(a.value / nullif((a.before + a.after) / 2, 0), 6) AS over_neighbours, round(100 * (a.after / nullif(a.before, 0) - 1), 4) AS dip FROM nb a JOIN gt b ON b.slot_idx = a.slot_idx - 168 WHERE a.slot_idx BETWEEN 297 AND 303")
 def spike_halo(spark, d):
+    """Slots about one, beside those of a week ago; each one over its neighbours, and the dip behind it."""
     g = cells(spark, d).groupBy("slot_idx").agg(F.sum("value").alias("value"))
-    old = g.select((F.col("slot_idx") + 168).alias("slot_idx"), F.col("value").alias("old"))
-    return g.filter("slot_idx between 297 and 303").join(old, "slot_idx").select("slot_idx", rnd("value", 4).alias("value"), rnd(F.try_divide("value", "old")).alias("ratio"))
+    moved = lambda k, name: g.select((F.col("slot_idx") + k).alias("slot_idx"), F.col("value").alias(name))
+    x = g.filter("slot_idx between 297 and 303").join(moved(168, "old"), "slot_idx").join(moved(1, "before"), "slot_idx", "left").join(moved(-1, "after"), "slot_idx", "left")
+    return x.select("slot_idx", rnd("value", 4).alias("value"), rnd("old", 4).alias("week_ago"), rnd(F.try_divide("value", "old")).alias("ratio"), rnd(F.try_divide(F.col("value"), (F.col("before") + F.col("after")) / 2)).alias("over_neighbours"), rnd(100 * (F.try_divide("after", "before") - 1), 4).alias("dip"))
 
 
 @query("SELECT series_id, slot_idx, round(sum(value - m) OVER (PARTITION BY series_id ORDER BY slot_idx), 6) AS partial FROM (SELECT *, avg(value) OVER (PARTITION BY series_id) AS m FROM e)")
@@ -460,21 +501,21 @@ def day_lag_profile(spark, d):
     return p.join(after, ["series_id", "slot", "day"]).groupBy("series_id", "day").agg(F.corr("v", "next").alias("r")).groupBy("series_id").agg(rnd(F.avg("r")).alias("r"))
 
 
-@query(f"{_PROFILE}, w AS (SELECT *, day % 7 < 5 AND day NOT IN (0, 5) AS working FROM pr), m AS (SELECT series_id, slot, avg(v) FILTER (working) AS a, avg(v) FILTER (NOT working) AS b FROM w GROUP BY ALL), o AS (SELECT series_id, var_pop(v - mv) / var_pop(v) AS outside FROM (SELECT *, avg(v) OVER (PARTITION BY series_id, slot) AS mv FROM pr) GROUP BY ALL) SELECT series_id, round(outside, 6) AS outside, round(corr(a, b), 6) AS regimes FROM m JOIN o USING (series_id) GROUP BY ALL")
+@query(f"{_PROFILE}, w AS (SELECT *, day % 7 < 5 AND day NOT IN (0, 5) AS working FROM pr), m AS (SELECT series_id, slot, avg(v) FILTER (working) AS a, avg(v) FILTER (NOT working) AS b FROM w GROUP BY ALL), o AS (SELECT series_id, var_pop(v - mv) / var_pop(v) AS outside FROM (SELECT *, avg(v) OVER (PARTITION BY series_id, slot) AS mv FROM pr) GROUP BY ALL) SELECT series_id, round(outside, 6) AS outside, round(corr(a, b), 6) AS regimes, day_to_day FROM m JOIN o USING (series_id) JOIN (SELECT series_id, round(avg(r), 6) AS day_to_day FROM (SELECT x.series_id, x.day, corr(x.v, y.v) AS r FROM pr x JOIN pr y ON x.series_id = y.series_id AND x.slot = y.slot AND y.day = x.day + 1 GROUP BY ALL) GROUP BY ALL) USING (series_id) GROUP BY ALL")
 def regime_diagnostics(spark, d):
     p = _profiles(spark, d).withColumn("mv", F.avg("v").over(Window.partitionBy("series_id", "slot")))
     w = P.is_working(F.date_add(F.lit(SPEC.origin).cast("date"), F.col("day").cast("int")), SPEC)
     o = p.groupBy("series_id").agg(rnd(F.var_pop(F.col("v") - F.col("mv")) / F.var_pop("v")).alias("outside"))
     m = p.groupBy("series_id", "slot").agg(F.avg(F.when(w, F.col("v"))).alias("a"), F.avg(F.when(~w, F.col("v"))).alias("b")).groupBy("series_id").agg(rnd(F.corr("a", "b")).alias("regimes"))
-    return o.join(m, "series_id")
+    return o.join(m, "series_id").join(day_lag_profile(spark, d).withColumnRenamed("r", "day_to_day"), "series_id")
 
 
-@query("SELECT series_id, round(1 - var_pop(value - m1) / var_pop(value), 6) AS r2_slot, round(1 - var_pop(value - m2) / var_pop(value), 6) AS r2_working FROM (SELECT *, avg(value) OVER (PARTITION BY series_id, slot_idx % 24) AS m1, avg(value) OVER (PARTITION BY series_id, slot_idx % 24, (slot_idx // 24) % 7 < 5 AND slot_idx // 24 NOT IN (0, 5)) AS m2 FROM e) GROUP BY ALL")
+@query("SELECT series_id, round(1 - var_pop(value - m1) / var_pop(value), 6) AS r2_slot, round(1 - var_pop(value - m2) / var_pop(value), 6) AS r2_working, round((var_pop(value - m1) - var_pop(value - m2)) / var_pop(value), 6) AS gain FROM (SELECT *, avg(value) OVER (PARTITION BY series_id, slot_idx % 24) AS m1, avg(value) OVER (PARTITION BY series_id, slot_idx % 24, (slot_idx // 24) % 7 < 5 AND slot_idx // 24 NOT IN (0, 5)) AS m2 FROM e) GROUP BY ALL")
 def calendar_signal_r2(spark, d):
     e = channels(spark, d).withColumn("slot", F.col("slot_idx") % 24).withColumn("working", P.is_working(P.day_of(F.col("slot_idx"), SPEC), SPEC))
     e = e.withColumn("m1", F.avg("value").over(Window.partitionBy("series_id", "slot"))).withColumn("m2", F.avg("value").over(Window.partitionBy("series_id", "slot", "working")))
     r2 = lambda m: rnd(1 - F.var_pop(F.col("value") - F.col(m)) / F.var_pop("value"))
-    return e.groupBy("series_id").agg(r2("m1").alias("r2_slot"), r2("m2").alias("r2_working"))
+    return e.groupBy("series_id").agg(r2("m1").alias("r2_slot"), r2("m2").alias("r2_working"), rnd((F.var_pop(F.col("value") - F.col("m1")) - F.var_pop(F.col("value") - F.col("m2"))) / F.var_pop("value")).alias("gain"))
 
 
 # --- top-k and rankings
@@ -498,11 +539,17 @@ def ranking_definitions(spark, d):
     return _defs(spark, d).select("series_id", *[rnd(c, 4).alias(c) for c in ("total", "before_eval", "without_days")], rnd("active_mean", 9).alias("active_mean"))
 
 
-@query(f", x AS (UNPIVOT (SELECT series_id, round(total, 4) AS total, round(before_eval, 4) AS before_eval, round(without_days, 4) AS without_days, round(active_mean, 9) AS active_mean FROM ({_DEFS})) ON total, before_eval, without_days, active_mean INTO NAME def VALUE v) SELECT def AS definition, series_id, k FROM (SELECT *, row_number() OVER (PARTITION BY def ORDER BY v DESC, series_id) AS k FROM x) WHERE k <= 3")
+@query(f", x AS (UNPIVOT (SELECT series_id, round(total, 4) AS total, round(before_eval, 4) AS before_eval, round(without_days, 4) AS without_days, round(active_mean, 9) AS active_mean FROM ({_DEFS})) ON total, before_eval, without_days, active_mean INTO NAME def VALUE v), rk AS (SELECT *, row_number() OVER (PARTITION BY def ORDER BY v DESC, series_id) AS k FROM x), ag AS (SELECT count(DISTINCT l) = 1 AS agree FROM (SELECT list(series_id ORDER BY k) AS l FROM rk WHERE k <= 3 GROUP BY def)) SELECT def AS definition, series_id, v AS score, CASE WHEN k <= 3 THEN k END AS k, agree FROM rk, ag WHERE series_id IN (SELECT series_id FROM rk WHERE k <= 3)")
 def ranking_agreement(spark, d):
-    long = ranking_definitions(spark, d).unpivot(["series_id"], ["total", "before_eval", "without_days", "active_mean"], "definition", "v")
+    """The top three by each definition (k), the scores of all that any of them shows, and whether all agree."""
+    names = ["total", "before_eval", "without_days", "active_mean"]
+    long = ranking_definitions(spark, d).unpivot(["series_id"], names, "definition", "score")
     # row_number up to a constant: Spark keeps a task's first rows only before the shuffle
-    return long.withColumn("k", F.row_number().over(Window.partitionBy("definition").orderBy(F.desc("v"), "series_id"))).filter("k <= 3").select("definition", "series_id", F.col("k").cast("long").alias("k"))
+    top = long.withColumn("k", F.row_number().over(Window.partitionBy("definition").orderBy(F.desc("score"), "series_id"))).filter("k <= 3").select("definition", "series_id", F.col("k").cast("long").alias("k"))
+    lists = top.groupBy("definition").agg(F.sort_array(F.collect_list(F.struct("k", "series_id"))).alias("l"))
+    agree = F.broadcast(lists.agg((F.countDistinct("l") == 1).alias("agree")))
+    shown = long.join(F.broadcast(top.select("series_id").distinct()), "series_id", "left_semi")  # three rows a definition at most
+    return shown.join(top, ["definition", "series_id"], "left").join(agree).select("definition", "series_id", "score", "k", "agree")
 
 
 _SCAN = ", md AS (SELECT series_id, slot_idx % 168 AS phase, median(value) AS med FROM e WHERE slot_idx < 336 GROUP BY ALL), sc AS (SELECT e.series_id, slot_idx, CASE WHEN med > 0 THEN value / med END AS ratio FROM e JOIN md ON e.series_id = md.series_id AND slot_idx % 168 = phase)"
@@ -533,9 +580,10 @@ def _peaks(spark, d):
     return e.groupBy("series_id", F.floor(F.col("slot_idx") / 24).alias("day")).agg(F.max_by(F.col("slot_idx") % 24, F.struct("value", -F.col("slot_idx"))).alias("slot"), F.max("value").alias("peak"), F.count("*").alias("n_slots"))
 
 
-@query(f"SELECT series_id, day, slot, round(peak, 6) AS peak, n_slots, day % 7 >= 5 AS weekend FROM ({_PEAK})")
+@query(f"SELECT series_id, day, slot, round(peak, 6) AS peak, n_slots, day % 7 >= 5 AS weekend, dayname(DATE '2024-01-01' + CAST(day AS INT)) AS weekday FROM ({_PEAK})")
 def daily_peaks(spark, d):
-    return _peaks(spark, d).withColumn("peak", rnd("peak")).withColumn("weekend", F.col("day") % 7 >= 5)
+    day = F.date_add(F.lit(SPEC.origin).cast("date"), F.col("day").cast("int"))
+    return _peaks(spark, d).withColumn("peak", rnd("peak")).withColumn("weekend", F.col("day") % 7 >= 5).withColumn("weekday", F.date_format(day, "EEEE"))
 
 
 @query(f"SELECT series_id, day % 7 >= 5 AS weekend, count(*) AS days, median(slot * 60) AS median_minutes, count(*) FILTER (slot < 12) AS early, round(median(peak), 6) AS median_peak FROM ({_PEAK}) GROUP BY ALL")

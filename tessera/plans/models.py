@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import factorial
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import forecast as M
@@ -196,10 +197,19 @@ def neighbourhood_ratio(spark, d):
     return G.neighbourhood_ratio(cell_totals(spark, d), 2, SPEC).select("series_id", rnd("ratio").alias("ratio"))
 
 
-@query(f"{_NB} SELECT a.series_id, round(max(b.ratio), 6) AS best FROM nb a JOIN nb b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL")
+_BEST = ", bn AS (SELECT a.series_id, a.row, a.col, arg_max({'dr': b.row - a.row, 'dc': b.col - a.col, 'ratio': b.ratio}, (round(b.ratio, 9), a.row - b.row, a.col - b.col)) AS t FROM nb a JOIN nb b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 WHERE b.ratio IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"{_NB}{_BEST} SELECT series_id, t.dr AS dr, t.dc AS dc, round(t.ratio, 6) AS best FROM bn")
 def best_neighbour(spark, d):
-    r = G.neighbourhood_ratio(cell_totals(spark, d), 2, SPEC).select("series_id", "row", "col", F.col("ratio").alias("total"))
-    return G.neighbours(r, 1, SPEC).groupBy("series_id").agg(rnd(F.max("ntotal")).alias("best"))
+    return G.best_neighbours(cell_totals(spark, d), 1, 2, SPEC).select("series_id", "dr", "dc", rnd("best").alias("best"))
+
+
+@query(f"{_NB}{_BEST}, st AS (SELECT series_id, t.dr AS dr, t.dc AS dc, 45.356261 + (row + 0.5) / 10 * (45.568161 - 45.356261) AS lat1, 9.011533 + (col + 0.5) / 10 * (9.312688 - 9.011533) AS lon1, 45.356261 + (row + t.dr + 0.5) / 10 * (45.568161 - 45.356261) AS lat2, 9.011533 + (col + t.dc + 0.5) / 10 * (9.312688 - 9.011533) AS lon2 FROM bn), bb AS (SELECT series_id, dr, dc, {_BEAR.replace('b.lat', 'lat2').replace('b.lon', 'lon2').replace('a.lat', 'lat1').replace('a.lon', 'lon1')} AS b FROM st) SELECT series_id, dr, dc, CASE WHEN dr <> 0 OR dc <> 0 THEN ['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'NNW'][(floor(b / 22.5 + 0.5) % 16)::INT + 1] END AS point FROM bb")
+def offset_compass(spark, d):
+    """Which way each cell's best neighbour lies."""
+    b = G.best_neighbours(cell_totals(spark, d), 1, 2, SPEC)
+    return b.select("series_id", "dr", "dc", G.step_compass(F.col("row"), F.col("col"), F.col("dr"), F.col("dc"), SPEC.side).alias("point"))
 
 
 _MARKS = "(VALUES " + ", ".join(f"('{n}', {lat}, {lon}, {repr(e) if e else 'NULL'})" for n, lat, lon, e in G.LANDMARKS) + ") k(name, mlat, mlon, expect)"
@@ -268,11 +278,12 @@ def fortnight_window(spark, d):
     return channels(spark, d).filter("slot_idx < 336").groupBy("series_id").agg(F.count("*").alias("n"), rnd(F.sum("value"), 4).alias("total"))
 
 
-@query(f", s AS (SELECT series_id, avg(value) AS c, stddev_pop(value) AS s FROM e WHERE slot_idx < 336 GROUP BY ALL), y AS (SELECT *, {_SPLIT} AS split FROM e JOIN s USING (series_id)) SELECT series_id, split, count(*) - (split = 'train')::INT * 24 AS n, round(sum((value - c) / s) FILTER (NOT (split = 'train' AND slot_idx < 24)), 4) AS scaled FROM y WHERE split <> 'post' GROUP BY series_id, split")
+@query(f", s AS (SELECT series_id, avg(value) AS c, stddev_pop(value) AS s FROM e WHERE slot_idx < 336 GROUP BY ALL), z AS (SELECT series_id, avg(abs(value - l)) AS scale FROM (SELECT series_id, slot_idx, value, lag(value, 24) OVER (PARTITION BY series_id ORDER BY slot_idx) AS l FROM e) WHERE slot_idx < 336 GROUP BY ALL), y AS (SELECT *, {_SPLIT} AS split, (slot_idx // 24) % 7 < 5 AND slot_idx // 24 NOT IN (0, 5) AS working FROM e JOIN s USING (series_id)) SELECT series_id, split, count(*) AS n, round(sum((value - c) / s), 4) AS scaled, round(sum(value), 4) AS raw, count(*) FILTER (working) AS working, round(sum(cos(2 * pi() * (slot_idx % 24) / 24)), 4) + 0.0 AS day_cos, round(any_value(scale), 6) AS scale FROM y JOIN z USING (series_id) WHERE split <> 'post' AND slot_idx >= 24 GROUP BY series_id, split")
 def prepare_area(spark, d):
-    e = channels(spark, d)
-    x = M.windows(e.join(M.fit_scaler(e, "standard", SPEC), "series_id").withColumn("value", M.scaled(F.col("value"), "standard")), 24).withColumn("split", P.split_label(F.col("slot_idx"), SPEC))
-    return x.filter("split <> 'post'").groupBy("series_id", "split").agg(F.count("*").alias("n"), rnd(F.sum("target"), 4).alias("scaled"))
+    """Training frames of all series: scaled windows with the target's calendar and raw truth, and the training slots' seasonal difference."""
+    x = M.training_frame(channels(spark, d), SPEC, 24).filter("split <> 'post'")
+    exog = lambda k: F.get("exog", F.lit(k))
+    return x.groupBy("series_id", "split").agg(F.count("*").alias("n"), rnd(F.sum("target"), 4).alias("scaled"), rnd(F.sum("truth"), 4).alias("raw"), F.sum(exog(4)).cast("long").alias("working"), rnd(F.sum(exog(1)), 4).alias("day_cos"), rnd(F.first("scale")).alias("scale"))
 
 
 def _model(name: str, label: str):
@@ -355,9 +366,14 @@ def _by_seed(spark, d):
     return M.metrics(evals(spark, d), ["series_id", "model", "seed"])
 
 
-@query(f"{PRED} SELECT series_id, model, round(avg(mae), 6) AS mae_mean, round(stddev_samp(mae), 6) AS mae_std FROM (SELECT series_id, model, seed, avg(abs(value - y_pred)) AS mae FROM ev GROUP BY ALL) GROUP BY ALL")
+_ALL = ("mae", "rmse", "mape", "mape_mask", "smape", "wape", "r2", "mase")
+
+
+@query(f"{PRED}{_SCALE}, k AS (SELECT series_id, model, seed, {_MET} FROM ev GROUP BY ALL), ks AS (SELECT *, mae / scale AS mase FROM k JOIN sc USING (series_id)) SELECT series_id, model, {', '.join(f'round(avg({c}), 4) AS {c}_mean, round(stddev_samp({c}), 4) AS {c}_std' for c in _ALL)} FROM ks GROUP BY ALL")
 def aggregate_seeds(spark, d):
-    return _by_seed(spark, d).groupBy("series_id", "model").agg(rnd(F.avg("mae")).alias("mae_mean"), rnd(F.stddev_samp("mae")).alias("mae_std"))
+    """Every metric's mean and deviation over seeds; null deviation where there is one."""
+    m = M.metrics(evals(spark, d), ["series_id", "model", "seed"], M.naive_scale(channels(spark, d), SPEC))
+    return m.groupBy("series_id", "model").agg(*[rnd(f(c), 4).alias(f"{c}_{n}") for c in _ALL for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
 @query(f"{PRED} SELECT series_id, arg_min(model, (mae, model)) AS best FROM (SELECT series_id, model, round(avg(abs(value - y_pred)), 9) AS mae FROM ev GROUP BY ALL) GROUP BY ALL")
@@ -373,9 +389,20 @@ def per_period_errors(spark, d):
     return one.groupBy("day", "model").agg(rnd(F.avg("mae")).alias("mae"), sd("mae"), rnd(F.avg("rmse")).alias("rmse"), rnd(F.avg("wape"), 4).alias("wape"), rnd(F.avg("me")).alias("me"), sd("me"), rnd(F.avg("level")).alias("level"), F.max("n").alias("n"))
 
 
-@query(f"{PRED} SELECT day, {", ".join(f"round(max(mae) FILTER (model = '{k}'), 6) AS {k}" for k in MODELS)} FROM (SELECT slot_idx // 24 AS day, model, avg(abs(value - y_pred)) AS mae FROM ev GROUP BY ALL) GROUP BY ALL")
+@query(f"{PRED} SELECT day, {', '.join(f"round(max(mae) FILTER (model = '{k}'), 6) AS {k}_mae, round(max(wape) FILTER (model = '{k}'), 4) AS {k}_wape" for k in MODELS)}, round(max(level) FILTER (model = 'naive'), 6) AS level FROM (SELECT slot_idx // 24 AS day, model, avg(abs(value - y_pred)) AS mae, 100 * sum(abs(value - y_pred)) / nullif(sum(abs(value)), 0) AS wape, avg(value) AS level FROM ev GROUP BY ALL) GROUP BY ALL")
 def per_day_pivot(spark, d):
-    return evals(spark, d).groupBy(F.floor(F.col("slot_idx") / 24).alias("day")).pivot("model", list(MODELS)).agg(rnd(F.avg(F.abs(F.col("value") - F.col("y_pred")))))
+    """Days by models: mean absolute error and its share of the level, and the level."""
+    err = F.abs(F.col("value") - F.col("y_pred"))
+    day = evals(spark, d).groupBy(F.floor(F.col("slot_idx") / 24).alias("day"))
+    wide = day.pivot("model", list(MODELS)).agg(rnd(F.avg(err)).alias("mae"), rnd(100 * F.try_divide(F.sum(err), F.sum(F.abs("value"))), 4).alias("wape"))
+    level = channels(spark, d).filter(P.split_label(F.col("slot_idx"), SPEC) == "eval").groupBy(F.floor(F.col("slot_idx") / 24).alias("day")).agg(rnd(F.avg("value")).alias("level"))
+    return wide.join(level, "day")
+
+
+@query(f"{PRED} SELECT day, {', '.join(f"round(max(mae) FILTER (series_id = '{c}'), 6) AS {c}" for c in SPEC.channels)} FROM (SELECT series_id, slot_idx // 24 AS day, avg(abs(value - y_pred)) AS mae FROM ev WHERE model = 'ar1' GROUP BY ALL) GROUP BY ALL")
+def area_by_day(spark, d):
+    """Days by areas: one model's mean absolute error."""
+    return evals(spark, d).filter("model = 'ar1'").groupBy(F.floor(F.col("slot_idx") / 24).alias("day")).pivot("series_id", list(SPEC.channels)).agg(rnd(F.avg(F.abs(F.col("value") - F.col("y_pred")))))
 
 
 #: a fitted model against one that has a single seed; and with the calendar against without, seed by seed
@@ -491,11 +518,12 @@ def error_by_hour(spark, d):
     return one.groupBy("model", "hour").agg(rnd(F.avg("mae")).alias("mae"), rnd(F.avg("level")).alias("level"))
 
 
-@query(f"{PRED} SELECT count(*) FILTER (y_pred IS NULL) AS one_sided, count(*) AS pairs FROM ev")
+@query(f"{PRED} SELECT model, seed, count(*) AS pairs, round(sum(abs(value - y_pred)), 4) AS error FROM ev GROUP BY ALL")
 def truth_pred_join(spark, d):
-    e = channels(spark, d).filter("slot_idx between 504 and 671").select("series_id", "slot_idx")
-    p = evals(spark, d).select("series_id", "slot_idx", "model", "seed", F.lit(1).alias("there"))
-    return e.join(p, ["series_id", "slot_idx"], "full_outer").agg(F.count_if(F.col("there").isNull()).alias("one_sided"), F.count("*").alias("pairs"))
+    """Truth met with forecasts that come without it; a slot that either side lacks is an error."""
+    e = channels(spark, d).filter("slot_idx between 504 and 671").select("series_id", "slot_idx", "value")
+    told = M.paired(e, evals(spark, d).drop("value", "split"), ["series_id", "slot_idx"])
+    return told.groupBy("model", F.col("seed").cast("long").alias("seed")).agg(F.count("*").alias("pairs"), rnd(F.sum(F.abs(F.col("value") - F.col("y_pred"))), 4).alias("error"))
 
 
 @query(f"{PRED} SELECT * FROM (VALUES ('lstm'), ('tcn')) v(model)")
@@ -725,7 +753,7 @@ tt AS (SELECT series_id, variant, value, row_number() OVER (PARTITION BY series_
 lf AS (SELECT series_id, variant, count(*) AS n, avg(value) AS m, regr_slope(value, t) AS s, regr_intercept(value, t) AS i FROM tt GROUP BY ALL),
 ru AS (SELECT series_id, variant, 'c' AS form, n, t, value - m AS u FROM tt JOIN lf USING (series_id, variant) UNION ALL SELECT series_id, variant, 'ct', n, t, value - i - s * t FROM tt JOIN lf USING (series_id, variant)),
 eta AS (SELECT series_id, variant, form, sum(s * s) / (n * n) AS eta FROM (SELECT *, sum(u) OVER (PARTITION BY series_id, variant, form ORDER BY t) AS s FROM ru) GROUP BY series_id, variant, form, n),
-gq AS (SELECT series_id, variant, form, n, k, list_dot_product(us[k + 1:], us[1:n - k]) AS g FROM (SELECT series_id, variant, form, n, list(u ORDER BY t) AS us FROM ru GROUP BY ALL), range(0, 720) q(k)),
+gq AS (SELECT series_id, variant, form, n, k, list_dot_product(us[k + 1:], us[1:n - k]) AS g FROM (SELECT series_id, variant, form, n, list(u ORDER BY t) AS us FROM ru GROUP BY ALL), range(0, 720) q(k) WHERE k < n),
 ll AS (SELECT series_id, variant, form, least(n - 1, floor(1.1447 * power(power(sum(k * g) FILTER (k <= floor(power(n, 2.0 / 9))) / (n / 2.0) / (max(g) FILTER (k = 0) / n + sum(g) FILTER (k BETWEEN 1 AND floor(power(n, 2.0 / 9))) / (n / 2.0)), 2), 1.0 / 3) * power(n, 1.0 / 3)))::BIGINT AS lag FROM gq GROUP BY series_id, variant, form, n),
 kq AS (SELECT series_id, variant, form, n, lag, eta / (sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / (lag + 1.0)) * g END) / n) AS kpss FROM gq JOIN ll USING (series_id, variant, form) JOIN eta USING (series_id, variant, form) WHERE k <= lag GROUP BY series_id, variant, form, n, lag, eta),
 kp AS (SELECT *, CASE WHEN form = 'c' THEN CASE WHEN kpss <= 0.347 THEN 0.10 WHEN kpss <= 0.463 THEN 0.10 - 0.05 * (kpss - 0.347) / 0.116 WHEN kpss <= 0.574 THEN 0.05 - 0.025 * (kpss - 0.463) / 0.111 WHEN kpss <= 0.739 THEN 0.025 - 0.015 * (kpss - 0.574) / 0.165 ELSE 0.01 END
@@ -751,18 +779,14 @@ def kpss(spark, d):
 # --- runs
 
 
-@query(f"{PRED}, k AS (SELECT series_id AS area, model, seed, avg(abs(value - y_pred)) FILTER (split = 'val') AS val, avg(abs(value - y_pred)) FILTER (split = 'eval') AS test FROM pr GROUP BY ALL) SELECT area, model, count(*) AS n_seeds, round(avg(val), 6) AS val, round(avg(test), 6) AS test, round(coalesce(stddev_samp(test), 0), 6) AS test_sd FROM k GROUP BY ALL")
-def compare_runs(spark, d):
-    err = F.abs(F.col("value") - F.col("y_pred"))
-    k = preds(spark, d).groupBy(F.col("series_id").alias("area"), "model", "seed").agg(F.avg(F.when(F.col("split") == "val", err)).alias("val"), F.avg(F.when(F.col("split") == "eval", err)).alias("test"))
-    return k.groupBy("area", "model").agg(F.count("*").alias("n_seeds"), rnd(F.avg("val")).alias("val"), rnd(F.avg("test")).alias("test"), rnd(F.coalesce(F.stddev_samp("test"), F.lit(0.0))).alias("test_sd"))
-
-
-@query(f"{PRED}, k AS (SELECT series_id AS area, model, avg(abs(value - y_pred)) AS test FROM ev GROUP BY ALL) SELECT arg_min(area, (round(test, 9), area, model)) AS area, arg_min(model, (round(test, 9), area, model)) AS model, round(min(test), 6) AS test FROM k")
+@query(f"{PRED}, k AS (SELECT series_id AS area, model, avg(abs(value - y_pred)) FILTER (split = 'eval') AS test, avg(abs(value - y_pred)) FILTER (split = 'val') AS val, sqrt(avg(power(value - y_pred, 2)) FILTER (split = 'eval')) AS rmse FROM pr GROUP BY ALL), o AS (SELECT *, row_number() OVER (ORDER BY round(test, 9), area, model) AS i FROM k) SELECT area, model, round(val, 6) AS val, round(test, 6) AS test, round(rmse, 6) AS rmse FROM o WHERE i = 1")
 def log_row(spark, d):
-    k = M.metrics(evals(spark, d), ["series_id", "model"]).select(F.col("series_id").alias("area"), "model", "mae")
-    by = F.struct(rnd("mae", 9), "area", "model")
-    return k.agg(F.min_by("area", by).alias("area"), F.min_by("model", by).alias("model"), rnd(F.min("mae")).alias("test"))
+    """The best forecaster on the test slots, with its validation error."""
+    err = F.abs(F.col("value") - F.col("y_pred"))
+    on = lambda split, x: F.avg(F.when(F.col("split") == split, x))
+    k = preds(spark, d).groupBy(F.col("series_id").alias("area"), "model").agg(on("val", err).alias("val"), on("eval", err).alias("test"), F.sqrt(on("eval", err * err)).alias("rmse"))
+    best = k.agg(F.min_by(F.struct("area", "model", "val", "test", "rmse"), F.struct(rnd("test", 9).alias("t"), "area", "model")).alias("b")).select("b.*")
+    return best.select("area", "model", *[rnd(c).alias(c) for c in ("val", "test", "rmse")])
 
 
 @query(f"{PRED} SELECT model, round(avg(mae), 6) AS mae FROM (SELECT model, seed, avg(abs(value - y_pred)) AS mae FROM ev WHERE series_id = 'view' GROUP BY ALL) GROUP BY ALL")
@@ -807,14 +831,25 @@ def family_union(spark, d):
     return both.groupBy("family").agg(F.count("*").alias("n"), rnd(F.avg("mae")).alias("mae"))
 
 
-@query(f"{PRED}, k AS (SELECT series_id, model, round(avg(abs(value - y_pred)), 4) AS derived, round(avg(abs(value - y_pred)) FILTER (seed = 0), 4) AS logged FROM ev GROUP BY ALL) SELECT series_id, model, derived, logged, derived <> logged AS drift FROM k")
+@query(f"{PRED}, k AS (SELECT series_id, model, CAST(2 + length(model) % 3 AS INT) AS places, avg(abs(value - y_pred)) AS now, avg(abs(value - y_pred)) FILTER (seed = 0) AS before FROM ev GROUP BY ALL) SELECT series_id, model, CAST(places AS BIGINT) AS places, round(now, places) AS derived, round(before, places) AS logged, round(now, places) <> round(before, places) AS drift FROM k")
 def reconcile(spark, d):
-    """A stored log, of the run of seed 0, against what the predictions of all seeds give now."""
+    """A log in text, kept from a run of the seed 0 alone, against what all seeds give now, at the decimals that each entry was logged with."""
     path = shared_path(spark, "log")
-    M.metrics(evals(spark, d).filter("seed = 0"), ["series_id", "model"]).select("series_id", "model", rnd("mae", 4).alias("logged")).write.json(path)
-    logged = spark.read.schema("series_id string, model string, logged double").json(path)
-    k = M.metrics(evals(spark, d), ["series_id", "model"]).select("series_id", "model", rnd("mae", 4).alias("derived"))
-    return k.join(logged, ["series_id", "model"]).withColumn("drift", F.col("derived") != F.col("logged"))
+    before = M.metrics(evals(spark, d).filter("seed = 0"), ["series_id", "model"])
+    places = 2 + F.length("model") % 3
+    text = F.format_string("%s", F.when(places == 2, F.format_string("%.2f", F.round("mae", 2))).when(places == 3, F.format_string("%.3f", F.round("mae", 3))).otherwise(F.format_string("%.4f", F.round("mae", 4))))
+    before.select("series_id", "model", text.alias("logged")).write.json(path)
+    log = spark.read.schema("series_id string, model string, logged string").json(path)
+    return M.reconciled(M.metrics(evals(spark, d), ["series_id", "model"]), log, ["series_id", "model"], "mae")
+
+
+@query(f"{PRED}, a AS (SELECT min(series_id) AS first FROM ev) SELECT * FROM (SELECT 'requested' AS rule, 'view' AS area UNION ALL SELECT 'control', 'error' UNION ALL SELECT 'first', first FROM a UNION ALL SELECT 'control of several', first FROM a)")
+def focus_area(spark, d):
+    """The area that a panel by day covers: as asked, or that of a control run over one area, or the first."""
+    areas = evals(spark, d).select(F.col("series_id").alias("area")).distinct()
+    one, two = areas.filter("area = 'error'"), areas.filter("area in ('click', 'error')")
+    cases = {"requested": ("view", one), "control": (None, one), "first": (None, None), "control of several": (None, two)}
+    return reduce(DataFrame.union, [M.focus_area(areas, asked, control).select(F.lit(rule).alias("rule"), "area") for rule, (asked, control) in cases.items()])
 
 
 @query("SELECT min(slot_idx) AS lo, CASE WHEN min(slot_idx) < 336 THEN 'train' ELSE 'later' END AS split FROM e WHERE slot_idx >= 168")

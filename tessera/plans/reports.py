@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import forecast as M
 from ..operators import inference as I
 from ..operators import lags as L
-from ..sources.shared import shared_path
 from ..sources import stores
+from ..sources.shared import shared_path
+from ..spec import RESULT
 from .common import SPEC, Register, cell_totals, channels, raw, rnd
 from .models import _D, _HLN, _HOLM, _P, KPSS_SQL, PRED, dm_rows, evals, loss_difference, preds, variants
 
@@ -125,15 +126,38 @@ def newey_west_lag(spark, d):
 
 
 def _runs(spark, d):
-    """Runs as files: one document a seed, with parameters and results."""
-    m = M.metrics(evals(spark, d), ["series_id", "model", "seed"])
-    result = F.struct(F.col("series_id").alias("area"), "model", "seed", "mae")
+    """Runs as files: one document a seed, with parameters and results; a fit counts as long as its error is large."""
+    err = F.abs(F.col("value") - F.col("y_pred"))
+    m = preds(spark, d).groupBy(F.col("series_id").alias("area"), "model", "seed").agg(F.avg(F.when(F.col("split") == "val", err)).alias("val"), F.avg(F.when(F.col("split") == "eval", err)).alias("mae"))
+    epochs = F.when(F.col("model").isin("ar1", "cal"), 10.0 + F.col("seed"))
+    m = m.withColumns({"n_params": F.when(F.col("model") == "ar1", 2).when(F.col("model") == "cal", 3).otherwise(0), "n_epochs": epochs, "s_per_epoch": F.when(epochs.isNotNull(), F.col("mae") / 100)})
+    m = m.withColumns({"fit_s": F.coalesce(F.col("n_epochs") * F.col("s_per_epoch"), F.lit(0.0)), "predict_ms": F.col("mae") * 2, "latency_ms": F.col("mae") / 10})
     params = F.create_map(F.lit("kernel"), (F.col("seed") % 2 + 2).cast("string"), F.lit("levels"), F.lit("3"), F.lit("device"), F.col("seed").cast("string"))
     path = _path(spark)
-    m.groupBy("seed").agg(F.collect_list(result).alias("results")).select(F.concat(F.lit("run-"), F.col("seed")).alias("run_id"), params.alias("params"), "results").write.json(path)
+    m.groupBy("seed").agg(F.collect_list(F.struct(*[f.name for f in RESULT])).alias("results")).select(F.concat(F.lit("run-"), F.col("seed")).alias("run_id"), params.alias("params"), "results").write.json(path)
     return stores.read_runs(spark, path)
 
 
+#: the runs' results rn
+_RUNS = f"{PRED}, rn AS (SELECT *, coalesce(n_epochs * mae / 100, 0) AS fit_s FROM (SELECT series_id AS area, model, seed, avg(abs(value - y_pred)) FILTER (split = 'val') AS val, avg(abs(value - y_pred)) FILTER (split = 'eval') AS mae, CASE WHEN model IN ('ar1', 'cal') THEN 10.0 + seed END AS n_epochs, CASE model WHEN 'ar1' THEN 2 WHEN 'cal' THEN 3 ELSE 0 END AS n_params FROM pr GROUP BY ALL))"
+
+
+@query(f"{_RUNS}, k AS (SELECT area, model, count(*) AS n_seeds, CAST(max(n_params) AS BIGINT) AS n_params, avg(val) AS val, coalesce(stddev_samp(val), 0) AS val_sd, avg(mae) AS test, coalesce(stddev_samp(mae), 0) AS test_sd, avg(fit_s) AS fit_s FROM rn GROUP BY ALL) SELECT area, model, n_seeds, n_params, round(val, 6) AS val, round(val_sd, 6) AS val_sd, round(test, 6) AS test, round(test_sd, 6) AS test_sd, round(fit_s, 6) AS fit_s, row_number() OVER (PARTITION BY area ORDER BY round(val, 9), model) = 1 AS selected FROM k")
+def compare_runs(spark, d):
+    """Stored runs by area and model over their seeds; selected is the best of its area on validation, never on test."""
+    k = _runs(spark, d).groupBy("area", "model").agg(F.count("*").alias("n_seeds"), F.max("n_params").cast("long").alias("n_params"), *[f.alias(n) for n, f in {
+        "val": F.avg("val"), "val_sd": F.coalesce(F.stddev_samp("val"), F.lit(0.0)), "test": F.avg("mae"), "test_sd": F.coalesce(F.stddev_samp("mae"), F.lit(0.0)), "fit_s": F.avg("fit_s")}.items()])
+    best = F.row_number().over(Window.partitionBy("area").orderBy(F.round("val", 9), "model")) == 1  # a row a model
+    return k.withColumn("selected", best).select("area", "model", "n_seeds", "n_params", *[rnd(c).alias(c) for c in ("val", "val_sd", "test", "test_sd", "fit_s")], "selected")
+
+
+@query(f"{_RUNS} SELECT model, CAST(max(n_params) AS BIGINT) AS n_params, round(avg(n_epochs), 4) AS epochs, round(avg(CASE WHEN n_epochs IS NOT NULL THEN mae / 100 END), 6) AS s_per_epoch, round(avg(fit_s), 6) AS fit_s, round(avg(mae * 2), 6) AS predict_ms, round(avg(mae / 10), 6) AS latency_ms FROM rn GROUP BY ALL")
+def timing_table(spark, d):
+    """Means over areas and seeds of what stored runs tell about time; epochs of those that have any."""
+    means = {"epochs": "n_epochs", "s_per_epoch": "s_per_epoch", "fit_s": "fit_s", "predict_ms": "predict_ms", "latency_ms": "latency_ms"}
+    return _runs(spark, d).groupBy("model").agg(F.max("n_params").cast("long").alias("n_params"), *[rnd(F.avg(c), 4 if n == "epochs" else 6).alias(n) for n, c in means.items()])
+
+
 @query(f"{PRED} SELECT 'run-' || seed AS run_id, series_id AS area, model, seed, round(avg(abs(value - y_pred)), 6) AS mae FROM ev GROUP BY ALL")
 def read_runs(spark, d):
     return _runs(spark, d).select("run_id", "area", "model", "seed", rnd("mae").alias("mae"))

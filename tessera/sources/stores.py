@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..spec import PREDICTION, RAW
+from ..spec import PREDICTION, RAW, RESULT
 
-RUN = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("params", T.MapType(T.StringType(), T.StringType())), T.StructField("results", T.ArrayType(T.StructType([T.StructField("area", T.StringType()), T.StructField("model", T.StringType()), T.StructField("seed", T.IntegerType()), T.StructField("mae", T.DoubleType())])))])
+RUN = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("params", T.MapType(T.StringType(), T.StringType())), T.StructField("results", T.ArrayType(RESULT))])
 
 
 def file_date(path: Column) -> Column:
