@@ -57,9 +57,9 @@ def calendar(slot: Column, spec: SeriesSpec) -> dict[str, Column]:
 
 # --- forecasters. A registry by name; duplicates and unknown names are errors.
 #
-# fit makes a table of parameters, which may be stored; predict joins it. A forecast is
+# fit makes a table of parameters, which may be stored; predictions joins it. A forecast is
 # coefficients[0] plus the others by the regressors, which come from slots before the target
-# and from its calendar. Forecasters without anything to fit have fixed coefficients and one seed.
+# and from its calendar. Forecasters without anything to fit have fixed weights and one seed.
 
 PARAMETERS = "series_id string, model string, seed int, version string, n_params int, coefficients array<double>"
 GROUPS = 5  # of days, one of which each seed above 0 leaves out of its fit
@@ -115,34 +115,48 @@ class Forecaster:
         return 0
 
     def fixed(self, spec: SeriesSpec) -> list[float]:
-        """Coefficients that need no fit."""
+        """Coefficients of the regressors that need no fit."""
         raise NotImplementedError
 
     def fit(self, panel: DataFrame, spec: SeriesSpec, seeds: int) -> DataFrame:
         """(series_id, seed, coefficients), from training slots only."""
         raise NotImplementedError
 
+    def forecast(self, spec: SeriesSpec, x: str, coefficients: str = "") -> str:
+        """SQL of the forecast by columns of regressors and, where there is a fit, of coefficients."""
+        if self.fitted:
+            return dot(coefficients, x, self.n_params(spec))
+        return " + ".join(f"{c!r}D * get({x}, {k})" for k, c in enumerate(self.fixed(spec)))
+
     def version(self, spec: SeriesSpec) -> str:
         """Changes with what a fit depends on, but for the data."""
         return hashlib.sha256(f"{self!r} {spec!r}".encode()).hexdigest()[:16]
 
     def parameters(self, panel: DataFrame, spec: SeriesSpec, label: str, seeds: int = 1) -> DataFrame:
-        told = self.fit(panel, spec, seeds)
-        return told.select(F.col("series_id").cast("string").alias("series_id"), F.lit(label).alias("model"), F.col("seed").cast("int").alias("seed"), F.lit(self.version(spec)).alias("version"), F.lit(self.n_params(spec)).alias("n_params"), "coefficients")
+        """Rows of PARAMETERS."""
+        return self.together({label: self}, panel, spec, seeds)
+
+    @classmethod
+    def together(cls, known: dict[str, "Forecaster"], panel: DataFrame, spec: SeriesSpec, seeds: int) -> DataFrame:
+        """Parameters of several forecasters of this kind, by label."""
+        series = F.col("series_id").cast("string").alias("series_id")
+        told = [f.fit(panel, spec, seeds).select(series, F.lit(k).alias("model"), F.col("seed").cast("int").alias("seed"), F.lit(f.version(spec)).alias("version"), F.lit(f.n_params(spec)).alias("n_params"), "coefficients") for k, f in known.items()]
+        return reduce(DataFrame.unionByName, told)
 
     def __call__(self, panel: DataFrame, spec: SeriesSpec) -> DataFrame:
         """panel with y_pred, fitted on all training days."""
         x = panel.withColumn("_x", self.regressors(spec))
         if not self.fitted:
-            return x.withColumn("y_pred", dot(F.array(*map(F.lit, self.fixed(spec))), F.col("_x"))).drop("_x")
+            return x.withColumn("y_pred", F.expr(self.forecast(spec, "_x"))).drop("_x")
         found = self.fit(panel, spec, 1).select("series_id", "coefficients")
-        return x.join(found, "series_id", "left").withColumn("y_pred", dot(F.col("coefficients"), F.col("_x"))).drop("_x", "coefficients")
+        return x.join(found, "series_id", "left").withColumn("y_pred", F.expr(self.forecast(spec, "_x", "coefficients"))).drop("_x", "coefficients")
 
 
-def dot(coefficients: Column, x: Column) -> Column:
-    """The first coefficient plus the others by x; null if x is, or holds a null."""
-    products = F.zip_with(F.slice(coefficients, F.lit(2), F.size(coefficients) - 1), x, lambda a, b: a * b)
-    return F.aggregate(products, F.get(coefficients, F.lit(0)), lambda s, v: s + v)
+def dot(coefficients: str, x: str, n: int) -> str:
+    """SQL for the first of n coefficients plus the others by x: null if x is, or holds a null. Short ones are written out, which Spark compiles."""
+    if n <= 9:
+        return " + ".join([f"get({coefficients}, 0)", *(f"get({coefficients}, {k}) * get({x}, {k - 1})" for k in range(1, n))])
+    return f"aggregate(zip_with(slice({coefficients}, 2, {n - 1}), {x}, (a, b) -> a * b), get({coefficients}, 0), (s, v) -> s + v)"
 
 
 @register("seasonal_naive")
@@ -158,7 +172,7 @@ class Lagged(Forecaster):
         return F.array(*[F.lag("value", k * lag).over(by_series()) for k in range(1, self.count + 1)])
 
     def fixed(self, spec: SeriesSpec) -> list[float]:
-        return [0.0] + [1 / self.count] * self.count
+        return [1 / self.count] * self.count
 
 
 preset("naive", "seasonal_naive", season=1)
@@ -185,19 +199,35 @@ class LinearAR1(Forecaster):
     def n_params(self, spec: SeriesSpec) -> int:
         return 3 if self.calendar else 2
 
-    def fit(self, panel: DataFrame, spec: SeriesSpec, seeds: int) -> DataFrame:
-        x = panel.select("series_id", "slot_idx", "value", self.regressors(spec).alias("_x")).filter(F.col("slot_idx") < spec.bounds[0])
-        x = resampled(x.withColumn("_a", F.get("_x", F.lit(0))).filter("_a is not null").withColumn("_b", F.get("_x", F.lit(1)) if self.calendar else F.lit(0.0)), spec, seeds)
+    @staticmethod
+    def moments(panel: DataFrame, spec: SeriesSpec, seeds: int) -> DataFrame:
+        flag = is_working(day_of(F.col("slot_idx"), spec), spec).cast("double")
+        x = panel.select("series_id", "slot_idx", "value", F.lag("value", 1).over(by_series()).alias("_a"), flag.alias("_b"))
+        x = resampled(x.filter((F.col("slot_idx") < spec.bounds[0]) & F.col("_a").isNotNull()), spec, seeds)
         names = {"aa": ("_a", "_a"), "bb": ("_b", "_b"), "ab": ("_a", "_b"), "ay": ("_a", "value"), "by": ("_b", "value")}
-        m = x.groupBy("series_id", "seed").agg(*[F.covar_pop(*c).alias(k) for k, c in names.items()], F.avg("_a").alias("ma"), F.avg("_b").alias("mb"), F.avg("value").alias("my"))
-        aa, bb, ab, ay, by = (F.col(k) for k in names)
+        return x.groupBy("series_id", "seed").agg(*[F.covar_pop(*c).alias(k) for k, c in names.items()], F.avg("_a").alias("ma"), F.avg("_b").alias("mb"), F.avg("value").alias("my"))
+
+    def coefficients(self) -> Column:
+        """Of moments."""
+        aa, bb, ab, ay, by, ma, mb, my = (F.col(k) for k in ("aa", "bb", "ab", "ay", "by", "ma", "mb", "my"))
+        alone = F.try_divide(ay, aa)
+        if not self.calendar:
+            return F.array(my - alone * ma, alone)
         # a flag that never changes, or that goes with the lag, is left out
         both = aa * bb - ab * ab > 1e-12 * aa * bb
-        a = F.when(both, F.try_divide(ay * bb - by * ab, aa * bb - ab * ab)).otherwise(F.try_divide(ay, aa))
+        a = F.when(both, F.try_divide(ay * bb - by * ab, aa * bb - ab * ab)).otherwise(alone)
         b = F.when(both, F.try_divide(by * aa - ay * ab, aa * bb - ab * ab)).otherwise(F.lit(0.0))
-        m = m.withColumn("a", a).withColumn("b", b)
-        rest = [F.col("b")] if self.calendar else []
-        return m.select("series_id", "seed", F.array(F.col("my") - F.col("a") * F.col("ma") - F.col("b") * F.col("mb"), F.col("a"), *rest).alias("coefficients"))
+        return F.array(my - a * ma - b * mb, a, b)
+
+    def fit(self, panel: DataFrame, spec: SeriesSpec, seeds: int) -> DataFrame:
+        return self.moments(panel, spec, seeds).select("series_id", "seed", self.coefficients().alias("coefficients"))
+
+    @classmethod
+    def together(cls, known: dict[str, Forecaster], panel: DataFrame, spec: SeriesSpec, seeds: int) -> DataFrame:
+        """With the calendar and without, from the same moments."""
+        each = F.array(*[F.struct(F.lit(k).alias("model"), F.lit(f.version(spec)).alias("version"), F.lit(f.n_params(spec)).alias("n_params"), f.coefficients().alias("coefficients")) for k, f in known.items()])
+        told = cls.moments(panel, spec, seeds).select(F.col("series_id").cast("string").alias("series_id"), F.col("seed").cast("int").alias("seed"), F.inline(each))
+        return told.select("series_id", "model", "seed", "version", "n_params", "coefficients")
 
 
 preset("linear_ar1_calendar", "linear_ar1", calendar=True)
@@ -346,7 +376,8 @@ def fit_all(panel: DataFrame, spec: SeriesSpec, models: dict[str, str], seeds: i
     if not known:
         return None
     if path is None:
-        return reduce(DataFrame.unionByName, [f.parameters(panel, spec, label, seeds) for label, f in known.items()])
+        kinds = {type(f) for f in known.values()}
+        return reduce(DataFrame.unionByName, [kind.together({k: f for k, f in known.items() if type(f) is kind}, panel, spec, seeds) for kind in sorted(kinds, key=lambda c: c.__name__)])
     spark = panel.sparkSession
     have = stores.stored(spark, path)
     there = set() if have is None else {(r.model, r.version) for r in have.groupBy("model", "version").agg(F.max("seed").alias("last")).filter(F.col("last") >= seeds - 1).collect()}  # a row a model
@@ -362,22 +393,16 @@ def predictions(panel: DataFrame, spec: SeriesSpec, models: dict[str, str], seed
     known = {label: build(name) for label, name in models.items()}
     params = fit_all(panel, spec, models, seeds, path)
     x = panel.select("series_id", "slot_idx", "value", *[f.regressors(spec).alias(f"_x_{label}") for label, f in known.items()])
-
-    def row(label: str, seed: Column, y: Column) -> Column:
-        return F.struct(F.lit(label).alias("model"), seed.cast("int").alias("seed"), y.alias("y_pred"))
-
-    def by_fits(label: str) -> Column:
-        own = F.filter("_fits", lambda p: p["model"] == label)
-        return F.transform(own, lambda p: row(label, p["seed"], dot(p["coefficients"], F.col(f"_x_{label}"))))
-
-    told = []
+    told, fits = [], []
+    for n, (label, f) in enumerate(known.items()):
+        name = "'" + label.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        for seed in range(seeds if f.fitted else 1):
+            if f.fitted:
+                fits.append(F.expr(f"max(CASE WHEN model = {name} AND version = '{f.version(spec)}' AND seed = {seed} THEN coefficients END) AS _c_{n}_{seed}"))
+            told.append(f"struct({name} AS model, {seed} AS seed, {f.forecast(spec, f'`_x_{label}`', f'_c_{n}_{seed}')} AS y_pred)")
     if params is not None:
-        wanted = reduce(lambda a, b: a | b, [(F.col("model") == label) & (F.col("version") == f.version(spec)) for label, f in known.items() if f.fitted])
-        by = params.filter(wanted & (F.col("seed") < seeds)).groupBy("series_id").agg(F.collect_list(F.struct("model", "seed", "coefficients")).alias("_fits"))  # models by seeds
-        x = x.join(by, "series_id", "left")
-    for label, f in known.items():
-        told.append(by_fits(label) if f.fitted else F.array(row(label, F.lit(0), dot(F.array(*map(F.lit, f.fixed(spec))), F.col(f"_x_{label}")))))
-    each = x.select("series_id", "slot_idx", "value", F.inline(F.concat(*told)))
+        x = x.join(params.groupBy("series_id").agg(*fits), "series_id", "left")
+    each = x.selectExpr("series_id", "slot_idx", "value", f"inline(array({', '.join(told)}))")
     return each.select("series_id", "slot_idx", "value", "y_pred", "model", "seed", split_label(F.col("slot_idx"), spec).alias("split"))
 
 

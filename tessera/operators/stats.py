@@ -5,20 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
 
+def _place(v: Column, bounds: list, descending: bool) -> Column:
+    """How many of the bounds lie before v."""
+    before = (lambda b: b > v) if descending else (lambda b: b < v)
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), before)) if bounds else F.lit(0)
 
-def prefix_sums(df: DataFrame, order: list[Column], value: str, parts: int | None = None) -> DataFrame:
+
+def prefix_sums(df: DataFrame, order: list[str], value: str, parts: int | None = None) -> DataFrame:
     """Adds rank (from 1) and running (sum of value) in a global order, without one task for all rows.
 
-    Rows are dealt by range, and written with their part's number, so that offsets and
-    rows are of one dealing; each part's count and sum make offsets, one row a part.
+    order: names of columns without nulls, "-" before those that fall; the first is a number.
+    Its quantiles, taken once, deal the rows to parts, which are put in order by themselves;
+    each part's count and sum make offsets, one row a part. A value that fills several
+    quantiles is dealt on by the second column, if that is a number.
     """
-    sorted_ = written((df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = sorted_.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).withColumn("_run", F.sum(value).over(inside))
+    spark, falls = df.sparkSession, [c.startswith("-") for c in order]
+    names = [c.lstrip("-") for c in order]
+    kinds = dict(df.dtypes)
+    count = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers = [c for c in names[:2] if not kinds[c].startswith(("string", "binary", "date", "time", "bool"))]
+    at = [F.lit(k / count) for k in range(1, count)]
+    found = df.agg(*[F.percentile_approx(c, F.array(*at), F.lit(10_000)).alias(c) for c in numbers]).first() if at else None
+    bounds = {c: sorted(found[c] or []) if found else [] for c in numbers}
+    own = bounds[names[0]]
+    hot = sorted({b for b, c in zip(own, own[1:]) if b == c})
+    deal = [_place(F.col(names[0]), own, falls[0])]
+    if hot and len(numbers) > 1:
+        filled = F.col(names[0]).isin(hot)
+        deal += [filled.cast("int"), F.when(filled, _place(F.col(names[1]), bounds[names[1]], falls[1])).otherwise(0)]
+    dealt = df.withColumn("_part", F.struct(*[c.alias(f"p{k}") for k, c in enumerate(deal)]))
+    rows = [F.col(c).desc() if down else F.col(c).asc() for c, down in zip(names, falls, strict=True)]
+    inside = Window.partitionBy("_part").orderBy(*rows).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*rows))).withColumn("_run", F.sum(value).over(inside))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = local.groupBy("_part").agg(F.max("_rank").alias("_n"), F.sum(value).alias("_s")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s"))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    offsets = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s")))  # a row a part
     return local.join(offsets, "_part").withColumn("rank", F.col("_rank") + F.col("_n")).withColumn("running", F.col("_run") + F.col("_s")).drop("_part", "_rank", "_run", "_n", "_s")
 
 
@@ -29,7 +51,7 @@ def gini(value: str) -> Column:
 
 def competition_rank(df: DataFrame, value: str) -> DataFrame:
     """Ties share the least rank, largest first."""
-    ranked = prefix_sums(df.groupBy(value).agg(F.count("*").cast("double").alias("_ties")), [F.col(value).desc()], "_ties")
+    ranked = prefix_sums(df.groupBy(value).agg(F.count("*").cast("double").alias("_ties")), [f"-{value}"], "_ties")
     return df.join(ranked.select(value, (F.col("running") - F.col("_ties") + 1).cast("long").alias("competition_rank")), value)
 
 

@@ -201,33 +201,33 @@ def _acct(spark, d):
 
 @query(", k AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS rank FROM customer WHERE c_acctbal >= 0) SELECT round(2 * sum(rank * v) / (count(*) * sum(v)) - (count(*) + 1) / count(*), 6) AS gini FROM k")
 def gini(spark, d):
-    return S.prefix_sums(_acct(spark, d), [F.col("v"), F.col("c_custkey")], "v").agg(rnd(S.gini("v")).alias("gini"))
+    return S.prefix_sums(_acct(spark, d), ["v", "c_custkey"], "v").agg(rnd(S.gini("v")).alias("gini"))
 
 
 @query(", k AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS rank, count(*) OVER () AS n, sum(c_acctbal) OVER () AS s FROM customer WHERE c_acctbal >= 0), l AS (SELECT rank, n, v, sum(v) OVER (ORDER BY rank) / s AS y FROM k) SELECT round(1 - sum((y + y - v / (SELECT sum(v) FROM k)) / n), 6) AS gini FROM l")
 def gini_lorenz(spark, d):
-    p = S.prefix_sums(_acct(spark, d), [F.col("v"), F.col("c_custkey")], "v")
+    p = S.prefix_sums(_acct(spark, d), ["v", "c_custkey"], "v")
     one = p.agg(F.sum(2 * F.col("running") - F.col("v")).alias("a"), F.sum("v").alias("s"), F.count("*").alias("n"))
     return one.select(rnd(1 - F.try_divide(F.col("a"), F.col("s") * F.col("n"))).alias("gini"))
 
 
 @query(", k AS (SELECT c_custkey, c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS rank FROM customer WHERE c_acctbal >= 0) SELECT rank AS cells, round(rank / (SELECT count(*) FROM k), 6) AS x, round(sum(v) OVER (ORDER BY rank) / (SELECT sum(v) FROM k), 6) AS y FROM k UNION ALL SELECT 0, 0.0, 0.0")
 def lorenz_curve(spark, d):
-    p = S.prefix_sums(_acct(spark, d), [F.col("v"), F.col("c_custkey")], "v")
+    p = S.prefix_sums(_acct(spark, d), ["v", "c_custkey"], "v")
     whole = F.broadcast(p.agg(F.sum("v").alias("s"), F.count("*").alias("n")))
     return p.join(whole).select(F.col("rank").cast("long").alias("cells"), rnd(F.col("rank") / F.col("n")).alias("x"), rnd(F.try_divide("running", "s")).alias("y")).union(spark.sql("SELECT 0L, 0D, 0D"))
 
 
 @query(", k AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, count(*) OVER () AS n FROM customer WHERE c_acctbal >= 0) SELECT round(sum(v) FILTER (rank <= greatest(1, round_even(n * 0.01, 0))) / sum(v), 6) AS share FROM k")
 def top_share(spark, d):
-    p = S.prefix_sums(_acct(spark, d), [F.col("v").desc(), F.col("c_custkey")], "v")
+    p = S.prefix_sums(_acct(spark, d), ["-v", "c_custkey"], "v")
     n = F.broadcast(_acct(spark, d).agg(F.greatest(F.lit(1), F.bround(F.count("*") * 0.01)).alias("k")))
     return p.join(n).agg(rnd(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("v"))) / F.nullif(F.sum("v"), F.lit(0.0))).alias("share"))
 
 
 @query(", k AS (SELECT sum(c_acctbal) OVER (ORDER BY c_acctbal DESC, c_custkey) AS run, sum(c_acctbal) OVER () AS s FROM customer WHERE c_acctbal >= 0) SELECT count(*) FILTER (run < 0.5 * s) + 1 AS n FROM k")
 def cells_to_share(spark, d):
-    p = S.prefix_sums(_acct(spark, d), [F.col("v").desc(), F.col("c_custkey")], "v")
+    p = S.prefix_sums(_acct(spark, d), ["-v", "c_custkey"], "v")
     s = F.broadcast(_acct(spark, d).agg(F.sum("v").alias("s")))
     return p.join(s).agg((F.count_if(F.col("running") < 0.5 * F.col("s")) + 1).alias("n"))
 
@@ -240,7 +240,7 @@ def skewness_log10(spark, d):
 @query(", k AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS down, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS up, sum(c_acctbal) OVER (ORDER BY c_acctbal DESC, c_custkey) AS run, count(*) OVER () AS n, sum(c_acctbal) OVER () AS s FROM customer WHERE c_acctbal >= 0), x AS (SELECT log10(v) AS u FROM k WHERE v > 0), m AS (SELECT avg(power(u - a, 3)) / nullif(power(avg(power(u - a, 2)), 1.5), 0) AS skew FROM x, (SELECT avg(u) AS a FROM x)) SELECT count(*) AS n, min(v) AS least, max(v) AS most, median(v) AS middle, round(sum(v), 4) AS total, round(log10(max(v) / nullif(median(v), 0)), 6) AS decades_above, round(log10(median(v) / nullif(min(v), 0)), 6) AS decades_below, round(100 * sum(v) FILTER (down <= greatest(1, round_even(n * 0.01, 0))) / nullif(sum(v), 0), 6) AS top_percent, round(2 * sum(up * v) / nullif(count(*) * sum(v), 0) - (count(*) + 1) / count(*), 6) AS gini, count(*) FILTER (run < 0.5 * s) + 1 AS half, round(100.0 * (count(*) FILTER (run < 0.5 * s) + 1) / count(*), 6) AS half_percent, round((SELECT skew FROM m), 6) AS skew FROM k")
 def concentration_stats(spark, d):
     """Spread in decades, top 1 %, Gini, how many make half, and the skewness of the logarithm, from one global order."""
-    p = S.prefix_sums(_acct(spark, d), [F.col("v").desc(), F.col("c_custkey")], "v")
+    p = S.prefix_sums(_acct(spark, d), ["-v", "c_custkey"], "v")
     whole = F.broadcast(_acct(spark, d).agg(F.count("*").alias("n"), F.sum("v").alias("s")))
     x = p.join(whole)
     up = F.col("n") + 1 - F.col("rank")  # equal values may change places: the sum stays
@@ -360,7 +360,7 @@ def log_histogram(spark, d):
     """Bins of the logarithm, with the median and the value at which the top hundredth begins."""
     x = _acct(spark, d).filter("v > 0").select(F.log10("v").alias("v"))
     b = F.broadcast(x.agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / 60).alias("w")))
-    p = S.prefix_sums(_acct(spark, d), [F.col("v").desc(), F.col("c_custkey")], "v")
+    p = S.prefix_sums(_acct(spark, d), ["-v", "c_custkey"], "v")
     n = F.broadcast(_acct(spark, d).agg(F.greatest(F.lit(1), F.bround(F.count("*") * 0.01)).alias("top")))
     marks = F.broadcast(p.join(n).agg(rnd(F.median("v"), 4).alias("middle"), rnd(F.max(F.when(F.col("rank") == F.col("top"), F.col("v"))), 4).alias("cut")))
     return x.join(b).groupBy(F.least(F.lit(59), F.floor((F.col("v") - F.col("lo")) / F.col("w"))).cast("long").alias("bin")).agg(F.count("*").alias("n")).join(marks)

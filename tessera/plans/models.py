@@ -357,9 +357,9 @@ def mase(spark, d):
     return M.metrics(evals(spark, d), ["series_id", "model"], M.naive_scale(channels(spark, d), SPEC)).select("series_id", "model", rnd("mase").alias("mase"))
 
 
-@query(f"{PRED} SELECT model, round(avg(abs(value - y_pred)), 6) AS mae FROM ev GROUP BY ALL")
+@query(f"{PRED} SELECT model, round(avg(abs(value - y_pred)), 5) AS mae FROM ev GROUP BY ALL")
 def metrics_table(spark, d):
-    return M.metrics(evals(spark, d), ["model"]).select("model", rnd("mae").alias("mae")).orderBy("mae")
+    return M.metrics(evals(spark, d), ["model"]).select("model", rnd("mae", 5).alias("mae")).orderBy("mae")
 
 
 def _by_seed(spark, d):
@@ -501,13 +501,13 @@ def worst_slots(spark, d):
 
 @query(f"{PRED}{_POOL}, rk AS (SELECT *, row_number() OVER (ORDER BY err DESC, series_id, slot_idx) AS k FROM po) SELECT c AS worst, round(sum(err) FILTER (k <= c) / nullif(sum(err), 0), 6) AS share FROM rk, (VALUES (10), (50), (101)) v(c) GROUP BY ALL")
 def error_concentration(spark, d):
-    p = S.prefix_sums(_pooled(spark, d), [F.desc("err"), F.col("series_id"), F.col("slot_idx")], "err")
+    p = S.prefix_sums(_pooled(spark, d), ["-err", "series_id", "slot_idx"], "err")
     return p.withColumn("worst", F.explode(F.array(F.lit(10), F.lit(50), F.lit(101)))).groupBy("worst").agg(rnd(F.sum(F.when(F.col("rank") <= F.col("worst"), F.col("err"))) / F.nullif(F.sum("err"), F.lit(0.0))).alias("share"))
 
 
 @query(f"{PRED}{_POOL}, rk AS (SELECT *, row_number() OVER (ORDER BY value DESC, series_id, slot_idx) AS k, count(*) OVER () AS n FROM po) SELECT round(sum(err) FILTER (k <= greatest(1, round_even(0.05 * n, 0))) / sum(err), 6) AS share FROM rk")
 def error_by_level(spark, d):
-    p = S.prefix_sums(_pooled(spark, d), [F.desc("value"), F.col("series_id"), F.col("slot_idx")], "err")
+    p = S.prefix_sums(_pooled(spark, d), ["-value", "series_id", "slot_idx"], "err")
     n = F.broadcast(_pooled(spark, d).agg(F.greatest(F.lit(1), F.bround(0.05 * F.count("*"))).alias("top")))
     return p.join(n).agg(rnd(F.sum(F.when(F.col("rank") <= F.col("top"), F.col("err"))) / F.nullif(F.sum("err"), F.lit(0.0))).alias("share"))
 

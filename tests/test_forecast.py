@@ -73,6 +73,7 @@ def test_closed_forms_equal_least_squares(spark, panel):
                 assert np.allclose(got[k, seed], want, atol=1e-9)
     flat = panel.withColumn("value", F.lit(2.0))
     assert {tuple(r.coefficients) for r in M.LinearAR1(True).parameters(flat, SPEC, "x").collect()} == {(None, None, 0.0)}
+    assert {tuple(r.coefficients) for r in M.LinearAR1().parameters(flat, SPEC, "x").collect()} == {(None, None)}
 
 
 def test_predicting_twice_fits_once(spark, panel, monkeypatch):

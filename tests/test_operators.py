@@ -70,3 +70,19 @@ def test_records_outside_the_axis_are_set_apart(spark):
     raw = spark.createDataFrame([(1, 0), (1, 719), (1, 720), (1, -1), (0, 5), (101, 5), (None, 5), (1, None)], "series_id long, slot_idx long")
     good, bad = P.validate(raw, SPEC)
     assert good.count() == 2 and bad.count() == 6
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_prefix_sums_over_hot_values(spark, parts):
+    from tessera.operators import stats as S
+
+    rows = [(k, 5.0 if k % 3 else float(k % 17)) for k in range(400)]
+    t = spark.createDataFrame(rows, "id long, v double").repartition(7)
+    for order, by in ((["v", "id"], lambda r: (r[1], r[0])), (["-v", "-id"], lambda r: (-r[1], -r[0])), (["-v", "id"], lambda r: (-r[1], r[0]))):
+        got = sorted((r["rank"], r.id, r.running) for r in S.prefix_sums(t, order, "v", parts).collect())
+        want, total = [], 0.0
+        for k, (i, v) in enumerate(sorted(rows, key=by)):
+            total += v
+            want.append((k + 1, i, total))
+        assert got == want
+    assert S.prefix_sums(t.limit(0), ["v", "id"], "v", parts).collect() == []
