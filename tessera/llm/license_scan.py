@@ -6,9 +6,11 @@ fitted by Spark ML on licence statements and on paragraphs of a bounded sample o
 texts as unknowns, gives each n-gram its weights. How far an n-gram can lift a paragraph
 over the unknown class follows from these (`bound`): lines whose n-grams can't lift it
 far enough are decided where they are read, and the n-grams of the others are joined with
-the table of weights, whose size `features` bounds. The probability from which a family counts is
-set on unknowns held out from the fit. What the model names is then compared with the
-family's templates and confirmed if the paragraph holds enough of one and a word that
+the table of weights, whose size `features` bounds. Statements of other licences, denials
+and prose about them are of the unknown class too. Scores are divided by a temperature
+that rows of all classes held out from the fit give, and a family counts if it is likelier than all
+else together. What the model names is then compared with the family's templates, in order,
+by pairs of words, and confirmed if the paragraph holds enough of one and a word that
 sets the family apart (`MARKS`). Runs are only
 looked at about lines with a part of such a word and where the lines around hold enough of
 a template; of confirmed paragraphs that overlap the shortest and first counts.
@@ -65,6 +67,8 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "This work is licensed under the GNU General Public License, version 2.",
     ],
     "isc": [
         "Released under the ISC License.",
@@ -87,6 +91,19 @@ TEMPLATES = {
         "SPDX-License-Identifier: MPL-2.0",
     ],
 }
+# Statements of other licences, denials, and prose with words of licences; all are of the unknown class.
+OTHERS = [
+    "SPDX-License-Identifier: MIT-0", "SPDX-License-Identifier: 0BSD", "SPDX-License-Identifier: Apache-1.1", "SPDX-License-Identifier: Apache-1.0", "SPDX-License-Identifier: MPL-1.1", "SPDX-License-Identifier: EUPL-1.2", "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: CC-BY-ND-4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0", "SPDX-License-Identifier: CC-BY-NC-ND-4.0", "SPDX-License-Identifier: GFDL-1.3-only", "SPDX-License-Identifier: Unlicense",
+    "Released under the MIT-0 License.", "Released under the MIT No Attribution License.", "Licensed under the Apache License, Version 1.1.", "Licensed under the Apache License, Version 1.0.", "Released under the Mozilla Public License 1.1.",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "Licensed under the European Union Public License, version 1.2.", "Released under the EUPL License.", "Released under the zlib License.",
+    "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-NC-ND 4.0.", "Licensed under CC0 1.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "This work is licensed under the GNU Free Documentation License, version 1.3.",
+    "This work is not licensed under the Apache License, Version 2.0.", "Not licensed under the Apache License, Version 2.0.", "This work is not released under the MIT License.", "Not released under the BSD 3-Clause License.",
+    "This work is not licensed under the GNU General Public License, version 3.", "This work is no longer licensed under CC BY 4.0.", "Never licensed under CC BY-NC 4.0.",
+    "A report was released under the name of a student at MIT.", "The work of the school was licensed under a new name.", "All rights reserved.", "The Apache helicopter was released under a new version.", "The general public was free to use the software.", "Mozilla released a new version of the software.",
+]
 # Words and pairs of which a statement of a family must hold one.
 MARKS = {
     "agpl": ["affero", "agpl"],
@@ -120,10 +137,12 @@ def ngrams(text: Column) -> Column:
 
 
 def _statements(spark: SparkSession) -> DataFrame:
-    """Every template: whole, and with a sixth of its words left out in six ways."""
-    rows = [(FAMILIES.index(f), t) for f in FAMILIES for t in TEMPLATES[f]]
-    cut = [(f, " ".join(w for k, w in enumerate(t.split()) if k % 6 != r)) for f, t in rows for r in range(6) if len(t.split()) > 6]
-    return spark.createDataFrame([*rows, *cut], "label int, text string").withColumn("weight", F.lit(4.0))
+    """(label, text, weight, held): every template and other statement, whole, inside a sentence, and with a sixth of its words left out in six ways; some of these are held out of the fit."""
+    rows = [(FAMILIES.index(f), t) for f in FAMILIES for t in TEMPLATES[f]] + [(UNKNOWN, t) for t in OTHERS]
+    made = [(c, t, False) for c, t in rows]
+    made += [(c, f"{before} {t}", k == 2) for c, t in rows for k, before in enumerate(("Note:", "Copyright the authors.", "All of this:"))]
+    made += [(c, " ".join(w for k, w in enumerate(t.split()) if k % 6 != r), r == 5) for c, t in rows if c != UNKNOWN for r in range(6) if len(t.split()) > 8]
+    return spark.createDataFrame(made, "label int, text string, held boolean").select("label", "text", F.lit(4.0).alias("weight"), "held")
 
 
 def paragraphs(text: Column) -> Column:
@@ -172,8 +191,8 @@ def runs_at(lines: Column, i: Column, overlap: float, templates: list[list[str]]
     return F.when(near.isNotNull(), runs).otherwise(F.slice(runs, 1, 0))
 
 
-def fit(docs: DataFrame, sample: int, features: int, templates: list[list[str]]) -> tuple[list[tuple], list[float], float]:
-    """Weights of n-grams [(n-gram, [weight of each class])], intercepts, and the probability of any licence from which a paragraph counts. Fitted on the lines of `sample` different texts, those of least hash."""
+def fit(docs: DataFrame, sample: int, features: int, templates: list[list[str]]) -> tuple[list[tuple], list[float]]:
+    """Calibrated weights of n-grams [(n-gram, [weight of each class])] and intercepts. Fitted on statements of all families and others, and on the lines of `sample` different texts, those of least hash."""
     spark = docs.sparkSession
     hashed = docs.filter("text is not null").withColumn("mark", F.xxhash64("text"))
     last = hashed.select("mark").distinct().orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]  # marks alone are sorted, not texts
@@ -184,19 +203,28 @@ def fit(docs: DataFrame, sample: int, features: int, templates: list[list[str]])
     lines = written(lines.select("text", holds(F.col("near"), 0.5, templates).alias("known"))).withColumn("grams", ngrams(F.col("text")))
     known = F.col("known")
     unknown = lines.filter(~known).select(F.lit(UNKNOWN).alias("label"), "grams", F.lit(1.0).alias("weight"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("held"))
-    stated = _statements(spark).select("label", ngrams(F.col("text")).alias("grams"), "weight", F.lit(False).alias("held"))
+    stated = _statements(spark).select("label", ngrams(F.col("text")).alias("grams"), "weight", "held")
     rows = written(stated.union(unknown))
     vector = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=features, binary=True, minDF=2.0).fit(rows)
     seen = vector.transform(rows).withColumn("label", F.col("label").cast("double"))
-    model = LogisticRegression(family="multinomial", elasticNetParam=0.5, regParam=0.0005, maxIter=40, weightCol="weight").fit(seen.filter("not held"))
-    coefficients, intercepts = model.coefficientMatrix.toArray(), list(model.interceptVector.toArray())
+    model = LogisticRegression(family="multinomial", elasticNetParam=0.5, regParam=0.0002, maxIter=60, weightCol="weight").fit(seen.filter("not held"))
+    from pyspark.ml.functions import vector_to_array
+
+    t = temperature(model.transform(seen.filter("held")).select("label", vector_to_array("rawPrediction").alias("z")))
+    coefficients, intercepts = model.coefficientMatrix.toArray() / t, list(model.interceptVector.toArray() / t)
     classes = len(intercepts)
     pad = lambda xs, low: [*map(float, xs), *[low] * (UNKNOWN + 1 - classes)]
     table = [(g, pad(coefficients[:, k], 0.0)) for k, g in enumerate(vector.vocabulary)]
-    from pyspark.ml.functions import vector_to_array
+    return table, pad(intercepts, -30.0)
+
 
-    odds = model.transform(seen.filter("held")).select((1 - F.get(vector_to_array("probability"), UNKNOWN)).alias("p")).agg(F.max("p")).first()[0]
-    return table, pad(intercepts, -30.0), min(0.9, max(0.5, (odds or 0.0) + 0.05))
+def temperature(held: DataFrame) -> float:
+    """What rows (label, z) held out of the fit, of all classes, say that scores are to be divided by: the temperature of least mean log loss, each class counting alike."""
+    grid = [2.0 ** (k / 4) for k in range(-8, 17)]
+    loss = lambda t: F.log(F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp((x - F.array_max("z")) / t))) - (F.get("z", F.col("label").cast("int")) - F.array_max("z")) / t
+    by = held.groupBy("label").agg(*[F.avg(loss(t)).alias(f"t{k}") for k, t in enumerate(grid)])
+    losses = by.agg(*[F.avg(f"t{k}") for k in range(len(grid))]).first()
+    return grid[min(range(len(grid)), key=lambda k: (losses[k] if losses[k] is not None else abs(grid[k] - 1), k))]
 
 
 def bound(weights: dict[str, list[float]], intercepts: list[float], least: float) -> tuple[dict[str, float], float]:
@@ -219,17 +247,18 @@ def reaches(grams: Column, gains: dict[str, float], lead: float) -> Column:
     return F.aggregate(some, F.lit(0.0), lambda have, g: have + F.get(of, (F.array_position(listed(names), g) - 1).cast("int"))) >= lead - 1e-6
 
 
-def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overlap: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overlap: float = 0.6, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: `id_col`, licences (confirmed families, sorted), n_found (confirmed paragraphs), n_unconfirmed, best (highest probability of a confirmed one)."""
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     own = template_grams(spark)
-    table, intercepts, least = fit(given.select("text"), sample, features, own)
+    table, intercepts = fit(given.select("text"), sample, features, own)
     templates = [(f, t) for f in FAMILIES for t in TEMPLATES[f]]
     weights = {g: w for g, w in table if any(abs(x) > 1e-9 for x in w)}
-    sizes = [len(grams) for grams in own]
+    pairs = [[g for g in grams if " " in g] for grams in own]  # templates are compared in order: by their pairs of words
+    sizes = [len(grams) for grams in pairs]
     held_in: dict[str, list[int]] = {}
-    for k, grams in enumerate(own):
+    for k, grams in enumerate(pairs):
         for g in grams:
             held_in.setdefault(g, []).append(k)
     for c, f in enumerate(FAMILIES):
@@ -259,8 +288,8 @@ def license_scan(docs: DataFrame, sample: int = 300, features: int = 4096, overl
     scored = scored.select(*place, F.array(*[F.col(f"z{c}") + intercepts[c] for c in range(UNKNOWN + 1)]).alias("z"), F.array(*shares).alias("shares"))
     scored = scored.select(*place, "shares", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
     scored = scored.select(*place, "shares", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda have, y: have + y)).alias("p"))
-    # of the families that the model holds possible, the one whose template the paragraph matches best
-    best = F.array_max(F.transform(F.slice("p", 1, UNKNOWN), lambda p, c: F.struct(F.when(p >= 0.02, F.get("shares", c)).otherwise(0.0).alias("share"), p.alias("p"), F.get(listed(FAMILIES), c).alias("family"))))
+    # the family that is likelier than all else, by how much of a template the paragraph holds
+    best = F.array_max(F.transform(F.slice("p", 1, UNKNOWN), lambda p, c: F.struct(F.when(p >= least, F.get("shares", c)).otherwise(0.0).alias("share"), p.alias("p"), F.get(listed(FAMILIES), c).alias("family"))))
     named = scored.filter(1 - F.get("p", F.lit(UNKNOWN)) >= least).select(*place, best.alias("best"))
     sure = F.col("best.share") >= overlap
     whole = F.struct((F.col("b") - F.col("a")).alias("more"), "a", "b", F.col("best.family").alias("family"), F.col("best.p").alias("p"))

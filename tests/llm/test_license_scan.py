@@ -68,3 +68,18 @@ def test_near_families_are_told_apart(spark, sf):
     # a clashing column of the same names as the operator's own
     got = {r.doc_id: tuple(r.licences) for r in license_scan(docs.selectExpr("*", "1 as id", "2 as mark", "3 as gram")).collect()}
     assert {i: got[i] for i, _, _ in rows} == {i: w for i, _, w in rows}
+
+
+def test_what_only_looks_like_a_statement_is_not_confirmed(spark, sf):
+    real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    no = [
+        "The school of MIT was released under the rain.", "Released under the EUPL License with MIT staff.", "SPDX-License-Identifier: MIT-0", "This work is not licensed under the Apache License, Version 2.0.", "Apache License, Version 1.1",
+        "Mozilla Public License 1.1", "CC BY-NC-SA 4.0", "Licensed under CC BY-NC-SA 4.0.", "Attribution-NonCommercial-NoDerivatives 4.0", "BSD", "A licence of the general public.", "Licensed under the Apache License, Version 1.1.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Our staff at MIT released under the new License.", "This module is not released under the MIT License.",
+    ]
+    yes = {"SPDX-License-Identifier: GPL-2.0-only": "gpl", "# SPDX-License-Identifier: MIT": "mit", "Our code is released under the MIT License, as before.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "SPDX-License-Identifier: BSD-3-Clause": "bsd"}
+    rows = [(-k, t) for k, t in enumerate([*no, *yes], 1)]
+    got = {r.doc_id: r for r in license_scan(real.union(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    wrong = [(t, got[-k].licences) for k, t in enumerate(no, 1) if got[-k].licences] + [(t, got[-k].licences) for k, t in enumerate(yes, len(no) + 1) if got[-k].licences != [yes[t]]]
+    assert not wrong
+    assert all(got[-k].best >= 0.5 for k in range(len(no) + 1, len(rows) + 1))
