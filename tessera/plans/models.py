@@ -735,7 +735,10 @@ def variance_shares(spark, d):
     return x.groupBy("series_id").agg(F.count("*").alias("n_valid"), *[rnd(F.try_divide(F.var_pop(c), F.var_pop("value"))).alias(c) for c in ("trend", "seasonal", "remainder")])
 
 
-@query(None)
+_WEEKLY = ", aj AS (SELECT series_id, slot_idx, seasonal AS day, value - seasonal AS v FROM de), t2 AS (SELECT series_id, slot_idx, day, v, CASE WHEN slot_idx BETWEEN 84 AND 635 THEN (sum(v) OVER (PARTITION BY series_id ORDER BY slot_idx ROWS BETWEEN 83 PRECEDING AND 83 FOLLOWING) + 0.5 * (lag(v, 84) OVER w + lead(v, 84) OVER w)) / 168 END AS trend FROM aj WINDOW w AS (PARTITION BY series_id ORDER BY slot_idx)), p2 AS (SELECT series_id, slot_idx % 168 AS phase, avg(v - trend) AS s FROM t2 GROUP BY ALL), w2 AS (SELECT series_id, phase, s - avg(s) OVER (PARTITION BY series_id) AS week FROM p2)"
+
+
+@query(f"{_DEC}{_WEEKLY} SELECT t2.series_id, slot_idx, round(day, 6) + 0.0 AS seasonal_day, round(week, 6) + 0.0 AS seasonal_week, round(trend, 6) + 0.0 AS trend, round(v - trend - week, 6) + 0.0 AS remainder FROM t2 JOIN w2 ON t2.series_id = w2.series_id AND slot_idx % 168 = phase")
 def decompose_multi(spark, d):
     day = decompose(channels(spark, d), 24).withColumn("adjusted", F.col("value") - F.col("seasonal")).select("series_id", "slot_idx", "value", F.col("seasonal").alias("seasonal_day"), "adjusted")
     return decompose(day, 168, "adjusted").select("series_id", "slot_idx", rnd("seasonal_day").alias("seasonal_day"), rnd("seasonal").alias("seasonal_week"), rnd("trend").alias("trend"), rnd("remainder").alias("remainder"))

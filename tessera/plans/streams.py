@@ -25,14 +25,18 @@ def stream_slot_rollup(spark, d):
     return _run(spark, d, S.slot_rollup).select("series_id", F.col("slot_ts").cast("timestamp_ntz").alias("slot_ts"), rnd("value").alias("value"), "n")
 
 
-@query(None)
+def _naive(*names):
+    return [F.col(c).cast("timestamp_ntz").alias(c) for c in names]
+
+
+@query("SELECT channel, start, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT channel, value, date_trunc('day', ts) + INTERVAL 1 HOUR * (6 * (hour(ts) // 6 - k)) AS start FROM r, range(0, 4) q(k)) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM r) - INTERVAL 1 HOUR GROUP BY ALL")
 def stream_sliding_mean(spark, d):
-    return _run(spark, d, S.sliding_mean).withColumn("mean", rnd("mean"))
+    return _run(spark, d, S.sliding_mean).select("channel", *_naive("start"), rnd("mean").alias("mean"), "n")
 
 
-@query(None)
+@query(", gp AS (SELECT series_id, ts, value, event_id, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS fresh FROM r WINDOW w AS (PARTITION BY series_id ORDER BY ts, event_id)), ss AS (SELECT series_id, ts, value, sum(fresh::INT) OVER (PARTITION BY series_id ORDER BY ts, event_id) AS k FROM gp), se AS (SELECT series_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n, round(sum(value), 6) AS value FROM ss GROUP BY series_id, k) SELECT * FROM se WHERE stop <= (SELECT max(ts) FROM r) - INTERVAL 1 HOUR")
 def stream_sessions(spark, d):
-    return _run(spark, d, S.sessions).withColumn("value", rnd("value"))
+    return _run(spark, d, S.sessions).select("series_id", *_naive("start", "stop"), "n", rnd("value").alias("value"))
 
 
 @query(", md AS (SELECT channel, hour(ts) AS phase, median(value) AS med FROM r GROUP BY ALL) SELECT event_id, r.channel, ts, round(value / med, 6) AS ratio FROM r JOIN md ON r.channel = md.channel AND hour(ts) = phase WHERE med > 0 AND value > 3 * med")
