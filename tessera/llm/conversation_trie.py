@@ -185,8 +185,8 @@ def trie(turns: DataFrame, convs: DataFrame, size: int = BLOCK) -> DataFrame:
     # bytes of all members from here on, less each node's bytes once; what the smallest member owns above this node is not below it
     suffix = F.col("all_bytes") - F.col("n_convs") * F.col("prefix")
     once = F.col("all_owned") - F.col("least_owned") + F.col("least_bytes") - F.col("prefix")
-    nodes = nodes.withColumn("saved_tokens", suffix - once)
-    digests = ends_digests(of.select("e1", "e2", "conv"))
+    nodes = written(nodes.select("depth", "p1", "p2", "e1", "e2", "conv", "n_convs", "n_children", "all_leaves", (suffix - once).alias("saved_tokens")))
+    digests = written(ends_digests(of.select("e1", "e2", "conv")))
     nodes = nodes.join(digests, ["e1", "e2"], "left")
     parents = first.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv").alias("parent_conv_id"))
     least = convs.agg(F.min("conv").alias("least"))  # one row, as root and tops below
@@ -198,7 +198,7 @@ def trie(turns: DataFrame, convs: DataFrame, size: int = BLOCK) -> DataFrame:
     rooted = convs.agg(F.min("conv").alias("conv_id"), F.count("*").alias("n_convs")).filter("n_convs > 0")
     turnless = ends_digests(convs.join(of, "conv", "left_anti").select(F.lit(0).cast("long").alias("e1"), F.lit(0).cast("long").alias("e2"), "conv")).select("ends_sha256")
     turnless = turnless.agg(F.coalesce(F.max("ends_sha256"), F.lit(NONE)).alias("ends_sha256"))
-    root = rooted.join(F.broadcast(tops)).join(F.broadcast(below)).join(F.broadcast(turnless)).select(
+    root = written(rooted.join(F.broadcast(tops)).join(F.broadcast(below)).join(F.broadcast(turnless))).select(
         "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", "n_children", F.greatest(F.coalesce("leaves", F.lit(0)), F.lit(1)).cast("long").alias("n_leaves"),
         F.coalesce(F.col("all_bytes") - F.col("all_owned"), F.lit(0)).alias("saved_tokens"), "ends_sha256")
     return nodes.select(*out).unionByName(root)
