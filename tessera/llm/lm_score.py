@@ -16,7 +16,13 @@ task takes more than the root of their number, for `rounds` rounds. A round take
 `rounds`-th window by hash, so that each window of every training text is trained on once.
 
 Scoring cuts each text into windows that overlap; a window scores its last 24 ids only,
-so each token is scored once with 8 to 31 ids of context. For the base score a block
+so each token is scored once with 8 to 31 ids of context. What is further back comes in by
+two guesses of the next id: the one that mostly followed the last `CUE` ids in training
+texts (a table of `GUESSES` rows by hash; ids that lead in different readings are set off against each other), and the one that
+followed the last `RECENT` ids when the text itself last had them. A guess has a
+probability, and the rest is left to the model; it comes from how often guesses of its
+kind (by the vote's share, and by how many guesses before were right in a row) have been right in
+this text so far, so every text's probabilities still sum to one. For the base score a block
 counts its own training words, and only words that other blocks hold too are sent to it
 with their counts in all. With `lower`, as in the
 query, A-Z count as a-z for words and model alike.
@@ -44,6 +50,8 @@ from .text import Rolling, U, Words, mix, pieces
 CONTEXT, NEW, WIDTH, CLASSES, INPUTS, ALONE = 8, 24, 8, 32, 2048, 20
 SPAN, PAD = CONTEXT + NEW, INPUTS
 BUCKETS = 1 << 18  # rows of class counts after two symbols
+CUE, RECENT, GUESSES = 4, 3, 1 << 20  # ids that a guess rests on, by the corpus and by the text itself; rows of the corpus's
+RIGHT, TRUST = np.array([0.03, 0.4, 0.7, 0.9]), 3.0  # before a text shows otherwise: the share of guesses that are right after 0, 1, 3 and 8 right ones; it counts as so many guesses
 BATCH, CHUNK = 256, 128  # windows that training and scoring take at a time
 END = int(mix(np.array([12345], U)).view(np.int64)[0])  # stands for the end among the words' hashes
 SHAPES = {"embed": (INPUTS + 1, WIDTH), "place": (SPAN, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "out": (WIDTH, CLASSES)}
@@ -102,6 +110,71 @@ def buckets(two: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (mix(two.astype(U) * U(INPUTS + 1) + last.astype(U)) >> U(64 - 18)).astype(np.int64)
 
 
+def cues(ids: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k ids before each place in its text, of fewer at its begin."""
+    out, odd = np.zeros(len(ids), U), mix(np.arange(1, k + 1, dtype=U)) | U(1)
+    sizes = np.diff(offsets)
+    for j in range(1, k + 1):
+        before = np.zeros(len(ids), U)
+        before[j:] = ids[:-j] + 1
+        for i in range(j):
+            before[offsets[:-1][sizes > i] + i] = 0
+        out += before * odd[j - 1]
+    return mix(out)
+
+
+def rows_of(cue: np.ndarray) -> np.ndarray:
+    return (cue >> U(64 - 20)).astype(np.int64)
+
+
+class Votes:
+    """Of each row of the guesses: the id that leads, the votes that it has left after those of other readings' leaders, and all that were cast."""
+
+    def __init__(self, kinds: int):
+        self.kinds, self.id, self.left, self.cast = kinds, np.full(GUESSES, -1, np.int32), np.zeros(GUESSES, np.int32), np.zeros(GUESSES, np.int32)
+
+    def add(self, ids: np.ndarray, offsets: np.ndarray) -> None:
+        cells, n = np.unique(rows_of(cues(ids, offsets, CUE)) * self.kinds + ids, return_counts=True)
+        row, own = np.divmod(cells, self.kinds)
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+        if not len(first):
+            return
+        most = np.maximum.reduceat(n * self.kinds + self.kinds - 1 - own, first)
+        row, n, top, own = row[first], np.add.reduceat(n, first), most // self.kinds, self.kinds - 1 - most % self.kinds
+        left, same = self.left[row], self.id[row] == own
+        self.id[row] = np.where(same | (left >= top), self.id[row], own)
+        self.left[row] = np.where(same, left + top, abs(left - top))
+        self.cast[row] += n.astype(np.int32)
+
+
+def recent(ids: np.ndarray, offsets: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """What followed the last `RECENT` ids when the text last had them; -1: it had not."""
+    cue = mix(cues(ids, offsets, RECENT) + text.astype(U) * U(0x9E3779B97F4A7C15))
+    order = np.argsort(cue, kind="stable")
+    again = order[1:][cue[order[1:]] == cue[order[:-1]]]
+    out = np.full(len(ids), -1, np.int64)
+    out[again] = ids[order[:-1][cue[order[1:]] == cue[order[:-1]]]]
+    return out
+
+
+def with_guesses(said: np.ndarray, ids: np.ndarray, offsets: np.ndarray, text: np.ndarray, guess: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """log10 probabilities of ids where a guess (-1: none) of one of four kinds takes its share of what the model said."""
+    begins, right, place = offsets[:-1], guess == ids, np.arange(len(ids))
+    wrong = np.maximum.accumulate(np.where(right, -1, place))
+    wrong = np.maximum(np.r_[-1, wrong[:-1]][: len(ids)], begins[text] - 1)
+    row = place - 1 - wrong
+    state = kind * 4 + (row > 0) + (row > 2) + (row > 7)
+    share = np.zeros(len(ids))
+    state[guess < 0] = -1
+    for k in range(16):
+        at = np.flatnonzero(state == k)
+        if len(at):
+            had = np.r_[0, np.cumsum(right[at])]
+            since = np.searchsorted(at, begins)[text[at]]  # the state's first place in this text
+            share[at] = (had[:-1] - had[since] + TRUST * RIGHT[k % 4]) / (np.arange(len(at)) - since + TRUST)
+    return np.log10((1 - share) * 10**said + share * right)
+
+
 class Symbols:
     """The symbol of each id, and its log10 probability within its symbol."""
 
@@ -141,6 +214,7 @@ class Corpus:
         self.follows = (by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
         self.told = np.log10(after / by_class[:, self.cls]).astype(np.float32)
         self.seen, self.rest = np.zeros((BUCKETS, CLASSES), np.float32), np.ones(BUCKETS, np.float32)
+        self.guess, self.kind = np.full(GUESSES, -1, np.int32), np.zeros(GUESSES, np.int8)
 
     def add(self, cells: np.ndarray, n: np.ndarray) -> None:
         """Counts of cells bucket * CLASSES + class."""
@@ -150,6 +224,11 @@ class Corpus:
         self.rest = np.where(kinds > 0, kinds / total, 1).astype(np.float32)
         self.seen /= total[:, None].astype(np.float32)
 
+    def vote(self, row: np.ndarray, own: np.ndarray, left: np.ndarray, cast: np.ndarray) -> None:
+        """Guesses of the corpus; kinds: below a third of the votes, below two thirds, one vote alone, more."""
+        self.guess[row] = own
+        self.kind[row] = np.where(cast == 1, 2, (3 * left >= cast).astype(np.int8) + 2 * (3 * left >= 2 * cast))
+
     def before(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of the classes at the places that windows x score."""
         last = x[:, CONTEXT:]
@@ -384,6 +463,27 @@ def _tallied(ids: DataFrame, cells: int, keys_of) -> tuple[np.ndarray, np.ndarra
     return np.asarray(table["cell"]), np.asarray(table["n"])
 
 
+def _vote_job(kinds: int):
+    def job(batches):
+        votes = Votes(kinds)
+        for batch in batches:
+            for *_, ids, ends in _texts(batch, True, 1 << 19):
+                votes.add(ids, ends)
+        at = np.flatnonzero(votes.cast)
+        for a in range(0, len(at), 1 << 17):
+            row = at[a : a + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row.astype(np.int32), votes.id[row], votes.left[row], votes.cast[row])], names=["row", "own", "left", "cast"])
+
+    return job
+
+
+def _voted(ids: DataFrame, kinds: int) -> tuple[np.ndarray, ...]:
+    """Rows of the guesses, their ids, votes left and votes cast, over all tasks: `GUESSES` rows at most."""
+    each = ids.mapInArrow(_vote_job(kinds), "row int, own int, left int, cast int").groupBy("row", "own").agg(F.sum("left").alias("left"), F.sum("cast").alias("cast"))
+    table = each.groupBy("row").agg(F.max(F.struct("left", (-F.col("own")).alias("less"))).alias("top"), F.sum("cast").alias("cast")).select("row", -F.col("top.less"), "top.left", "cast").toArrow()
+    return tuple(np.asarray(c) for c in table.columns)
+
+
 def in_turn(marks: np.ndarray, number: np.ndarray, rounds: int, turn: int) -> np.ndarray:
     """Which windows (the number-th of the text with a mark) a round trains on: each window in one of the rounds."""
     return np.flatnonzero(mix(marks + number.astype(U)) % U(rounds) == U(turn))
@@ -437,16 +537,24 @@ def averaged(learned: DataFrame, flat: np.ndarray) -> np.ndarray:
 
 def log10_scores(p: dict, corpus: Corpus, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """log10 of the model's probability of each text."""
-    out = np.zeros(len(offsets) - 1)
-    x, y, text, _ = windows(corpus.symbol, ids, offsets)
+    if not len(ids):
+        return np.zeros(len(offsets) - 1)
+    out = np.zeros(len(ids))
+    x, y, *_ = windows(corpus.symbol, ids, offsets)
     for a in range(0, len(x), CHUNK):
         b, at = x[a : a + CHUNK], y[a : a + CHUNK]
         *_, w, total = forward(p, corpus.before(b), b)
         token = ids[np.maximum(at, 0)]
         symbol = corpus.symbol[token]
         said = np.log10(np.take_along_axis(w, corpus.cls[symbol][..., None], -1)[..., 0] / total)
-        np.add.at(out, text[a : a + CHUNK], np.where(at >= 0, said + corpus.told[b[:, CONTEXT:], symbol] + corpus.within[token], 0.0).sum(1))
-    return out
+        said += corpus.told[b[:, CONTEXT:], symbol]
+        out[at[at >= 0]] = said[at >= 0]
+    out += corpus.within[ids]
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    row = rows_of(cues(ids, offsets, CUE))
+    out = with_guesses(out, ids, offsets, text, corpus.guess[row], corpus.kind[row].astype(np.int64))
+    out = with_guesses(out, ids, offsets, text, recent(ids, offsets, text), np.zeros(len(ids), np.int64))
+    return np.bincount(text, out, len(offsets) - 1)
 
 
 def _score_job(known, weights):
@@ -514,7 +622,8 @@ def lm_scores(docs: DataFrame, path: str, rounds: int = 2, block_bytes: int = 6
         return buckets(two, last) * CLASSES + classes.value[own]
 
     corpus.add(*_tallied(learning, BUCKETS * CLASSES, after_two))
-    known = spark.sparkContext.broadcast(corpus)  # 50 MB: its size is that of the vocabulary, of INPUTS and of BUCKETS
+    corpus.vote(*_voted(learning, size))
+    known = spark.sparkContext.broadcast(corpus)  # 55 MB: its size is that of the vocabulary, of INPUTS, of BUCKETS and of GUESSES
     flat = _flat(start())
     for turn in range(rounds):
         job = _train_job(known, spark.sparkContext.broadcast(flat), rounds, turn)
