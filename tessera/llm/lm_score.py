@@ -52,7 +52,7 @@ SPAN, PAD = CONTEXT + NEW, INPUTS
 BUCKETS = 1 << 18  # rows of class counts after two symbols
 CUE, RECENT, GUESSES = 4, 3, 1 << 20  # ids that a guess rests on, by the corpus and by the text itself; rows of the corpus's
 RIGHT, TRUST = np.array([0.03, 0.4, 0.7, 0.9]), 3.0  # before a text shows otherwise: the share of guesses that are right after 0, 1, 3 and 8 right ones; it counts as so many guesses
-BATCH, CHUNK = 256, 128  # windows that training and scoring take at a time
+BATCH, CHUNK = 256, 64  # windows of a training step; those that are worked on at a time, few enough for a core's cache
 END = int(mix(np.array([12345], U)).view(np.int64)[0])  # stands for the end among the words' hashes
 SHAPES = {"embed": (INPUTS + 1, WIDTH), "place": (SPAN, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "out": (WIDTH, CLASSES)}
 
@@ -232,11 +232,14 @@ class Corpus:
     def before(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of the classes at the places that windows x score."""
         last = x[:, CONTEXT:]
-        row = buckets(x[:, CONTEXT - 1 : -1], last)
-        out = self.follows.take(last.ravel(), axis=0)
-        out *= self.rest.take(row.ravel())[:, None]
-        out += self.seen.take(row.ravel(), axis=0)
-        return out.reshape(*last.shape, CLASSES)
+        row = buckets(x[:, CONTEXT - 1 : -1], last).ravel()
+        out, last = np.empty((len(row), CLASSES), np.float32), last.ravel()
+        for a in range(0, len(row), CHUNK * NEW):
+            part, own, at = out[a : a + CHUNK * NEW], last[a : a + CHUNK * NEW], row[a : a + CHUNK * NEW]
+            self.follows.take(own, axis=0, out=part, mode="clip")
+            part *= self.rest.take(at)[:, None]
+            part += self.seen.take(at, axis=0, mode="clip")
+        return out.reshape(len(x), NEW, CLASSES)
 
 
 def start(seed: int = 5) -> dict[str, np.ndarray]:
@@ -271,7 +274,8 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def forward(p: dict, before: np.ndarray, x: np.ndarray) -> tuple:
     """before: the counts' probabilities of classes. The last two: weights of the classes, and their sums."""
-    e = p["embed"][x] + p["place"]
+    e = p["embed"].take(x, axis=0)
+    e += p["place"]
     late = np.ascontiguousarray(e[:, CONTEXT:])
     q, k, v = _times(late, p["query"]), _times(e, p["key"]), _times(e, p["value"])
     q *= q.dtype.type(WIDTH**-0.5)
@@ -290,9 +294,17 @@ def forward(p: dict, before: np.ndarray, x: np.ndarray) -> tuple:
 
 def gradients(p: dict, before: np.ndarray, x: np.ndarray, c: np.ndarray) -> dict:
     """Of the mean negative log probability of classes c (-1: none)."""
+    n, out = max(1, int((c >= 0).sum())), {}
+    for a in range(0, len(x), CHUNK):
+        for name, g in _gradients(p, before[a : a + CHUNK], x[a : a + CHUNK], c[a : a + CHUNK], n).items():
+            out[name] = out[name] + g if a else g
+    return out
+
+
+def _gradients(p: dict, before: np.ndarray, x: np.ndarray, c: np.ndarray, n: int) -> dict:
     e, late, q, k, v, s, h, w, total = forward(p, before, x)
     seen = c >= 0
-    share = (seen / max(1, seen.sum())).astype(w.dtype)
+    share = (seen / n).astype(w.dtype)
     g = w
     g *= (share / total)[..., None]
     rows = np.nonzero(seen)
@@ -324,6 +336,7 @@ def train(p: dict, batches, rate: float = 0.01) -> tuple[dict, int]:
         for k, g in gradients(p, before, x, c).items():
             m[k] *= np.float32(0.9)
             m[k] += np.float32(0.1) * g
+            m[k][abs(m[k]) < 1e-20] = 0  # such numbers would only slow the core down
             w[k] *= np.float32(0.98)
             w[k] += np.float32(0.02) * g * g
             p[k] -= pace * m[k] / (np.sqrt(w[k] / np.float32(1 - 0.98**step)) + np.float32(1e-8))
