@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import new_path, removed, written
 from .text import Rolling, U, Words, mix, pieces
 
 CONTEXT, NEW, WIDTH, CLASSES, INPUTS, ALONE = 8, 24, 8, 32, 2048, 20
@@ -472,10 +472,18 @@ def _tally_job(cells: int, keys_of):
 
 def _tallied(ids: DataFrame, cells: int, keys_of) -> tuple[np.ndarray, np.ndarray]:
     """Cells and their counts in all: as many rows at most as there are cells."""
-    table = ids.mapInArrow(_tally_job(cells, keys_of), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = _gathered(ids.mapInArrow(_tally_job(cells, keys_of), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
     return np.asarray(table["cell"]), np.asarray(table["n"])
 
 
+def _gathered(df: DataFrame) -> pa.Table:
+    """All rows of a small result, whose shuffle files don't outlive it."""
+    path = new_path(df.sparkSession)
+    table = written(df, path).toArrow()
+    removed(df.sparkSession, path)
+    return table
+
+
 def _vote_job(kinds: int):
     def job(batches):
         votes = Votes(kinds)
@@ -492,8 +500,9 @@ def _vote_job(kinds: int):
 
 def _voted(ids: DataFrame, kinds: int) -> tuple[np.ndarray, ...]:
     """Rows of the guesses, their ids, votes left and votes cast, over all tasks: `GUESSES` rows at most."""
-    each = ids.mapInArrow(_vote_job(kinds), "row int, own int, left int, cast int").groupBy("row", "own").agg(F.sum("left").alias("left"), F.sum("cast").alias("cast"))
-    table = each.groupBy("row").agg(F.max(F.struct("left", (-F.col("own")).alias("less"))).alias("top"), F.sum("cast").alias("cast")).select("row", -F.col("top.less"), "top.left", "cast").toArrow()
+    cast = ids.mapInArrow(_vote_job(kinds), "row int, own int, left int, cast int").repartition("row")  # both groupings use this one shuffle
+    each = cast.groupBy("row", "own").agg(F.sum("left").alias("left"), F.sum("cast").alias("cast"))
+    table = _gathered(each.groupBy("row").agg(F.max(F.struct("left", (-F.col("own")).alias("less"))).alias("top"), F.sum("cast").alias("cast")).select("row", (-F.col("top.less")).alias("own"), "top.left", "cast"))
     return tuple(np.asarray(c) for c in table.columns)
 
 
