@@ -52,6 +52,7 @@ SPAN, PAD = CONTEXT + NEW, INPUTS
 BUCKETS = 1 << 18  # rows of class counts after two symbols
 CUE, RECENT, GUESSES = 4, 3, 1 << 20  # ids that a guess rests on, by the corpus and by the text itself; rows of the corpus's
 RIGHT, TRUST = np.array([0.03, 0.4, 0.7, 0.9]), 3.0  # before a text shows otherwise: the share of guesses that are right after 0, 1, 3 and 8 right ones; it counts as so many guesses
+SLICE = 1 << 16  # cells of a table of counts that travel as one row
 BATCH, CHUNK = 256, 64  # windows of a training step; those that are worked on at a time, few enough for a core's cache
 END = int(mix(np.array([12345], U)).view(np.int64)[0])  # stands for the end among the words' hashes
 SHAPES = {"embed": (INPUTS + 1, WIDTH), "place": (SPAN, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "out": (WIDTH, CLASSES)}
@@ -75,15 +76,26 @@ def _id_sizes(path: str) -> np.ndarray:
 
 def encode(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of words with a space before each, one word after the other, and where each word's begin."""
+    return encoded(b"".join(b" " + w for w in words), np.r_[0, np.cumsum([len(w) + 1 for w in words], dtype=np.int64)], path)
+
+
+def spelt(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Words data[lo:hi] with a space before each, one after the other, and where each one's space stands."""
+    begins = np.r_[0, np.cumsum(hi - lo + 1)]
+    out = data.take(np.arange(begins[-1]) + np.repeat(lo - 1 - begins[:-1], hi - lo + 1), mode="clip") if len(data) else np.zeros(begins[-1], np.uint8)
+    out[begins[:-1]] = 0x20
+    return out.tobytes(), begins
+
+
+def encoded(text: bytes, begins: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """As encode(), of words that are spelt already."""
     enc, sizes = coder(path)[0], _id_sizes(path)
-    text = b"".join(b" " + w for w in words).decode("utf-8", "replace")
-    ids = enc.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+    ids = enc.encode_to_numpy(text.decode("utf-8", "replace"), disallowed_special=()).astype(np.int64)
     starts = np.r_[0, np.cumsum(sizes[ids])]
-    begins = np.r_[0, np.cumsum([len(w) + 1 for w in words], dtype=np.int64)]
     first = np.searchsorted(starts, begins)
     if (starts[np.minimum(first, len(ids))] == begins).all():
         return ids, first
-    each = [enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]  # an id lies across two words
+    each = [enc.encode_ordinary(text[a:b].decode("utf-8", "replace")) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]  # an id lies across two words
     return np.array([i for x in each for i in x], np.int64), np.r_[0, np.cumsum([len(x) for x in each], dtype=np.int64)]
 
 
@@ -150,10 +162,15 @@ class Votes:
 def recent(ids: np.ndarray, offsets: np.ndarray, text: np.ndarray) -> np.ndarray:
     """What followed the last `RECENT` ids when the text last had them; -1: it had not."""
     cue = mix(cues(ids, offsets, RECENT) + text.astype(U) * U(0x9E3779B97F4A7C15))
-    order = np.argsort(cue, kind="stable")
-    again = order[1:][cue[order[1:]] == cue[order[:-1]]]
-    out = np.full(len(ids), -1, np.int64)
-    out[again] = ids[order[:-1][cue[order[1:]] == cue[order[:-1]]]]
+    bits = U(len(ids).bit_length())
+    both = np.sort(cue >> bits << bits | np.arange(len(ids), dtype=U))  # sorting numbers is faster than sorting places
+    order = (both & ((U(1) << bits) - U(1))).astype(np.int64)
+    alike, same = both[1:] >> bits == both[:-1] >> bits, cue[order[1:]] == cue[order[:-1]]
+    if (alike != same).any():  # two cues agree in the bits that were left
+        order = np.argsort(cue, kind="stable")
+        same = cue[order[1:]] == cue[order[:-1]]
+    same, out = np.flatnonzero(same), np.full(len(ids), -1, np.int64)
+    out[order[same + 1]] = ids[order[same]]
     return out
 
 
@@ -163,16 +180,20 @@ def with_guesses(said: np.ndarray, ids: np.ndarray, offsets: np.ndarray, text: n
     wrong = np.maximum.accumulate(np.where(right, -1, place))
     wrong = np.maximum(np.r_[-1, wrong[:-1]][: len(ids)], begins[text] - 1)
     row = place - 1 - wrong
-    state = kind * 4 + (row > 0) + (row > 2) + (row > 7)
-    share = np.zeros(len(ids))
-    state[guess < 0] = -1
-    for k in range(16):
-        at = np.flatnonzero(state == k)
-        if len(at):
-            had = np.r_[0, np.cumsum(right[at])]
-            since = np.searchsorted(at, begins)[text[at]]  # the state's first place in this text
-            share[at] = (had[:-1] - had[since] + TRUST * RIGHT[k % 4]) / (np.arange(len(at)) - since + TRUST)
-    return np.log10((1 - share) * 10**said + share * right)
+    at = np.flatnonzero(guess >= 0)
+    if not len(at):
+        return said
+    row = row[at]
+    state = (kind[at] * 4 + (row > 0) + (row > 2) + (row > 7)).astype(np.uint8)
+    order = np.argsort(state, kind="stable")  # states in turn, each in the order of texts and places
+    at, state = at[order], state[order]
+    own, right = text[at], right[at]
+    since = np.maximum.accumulate(np.where(np.r_[True, (own[1:] != own[:-1]) | (state[1:] != state[:-1])], np.arange(len(at)), 0))  # the state's first place in this text
+    had = np.cumsum(right) - right
+    share = (had - had[since] + (TRUST * RIGHT)[state & 3]) / (np.arange(len(at)) - since + TRUST)
+    out = said.copy()
+    out[at] = np.log10((1 - share) * 10 ** said[at] + share * right)
+    return out
 
 
 class Symbols:
@@ -367,13 +388,14 @@ def _encode_job(path: str, block: int, lower: bool):
         hashes, doc, where = (np.concatenate(x) for x in zip(*((h, d, w) for h, d, w, _ in texts), strict=True))
         data = np.concatenate([x for *_, x in texts])
         held = np.concatenate([np.asarray(b.column("held")) for b in rows])
-        tokens, at, word, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")  # common words have small places, which compress well
+        coded = pa.array(hashes).dictionary_encode()
+        word, tokens = np.asarray(coded.indices).astype(np.int64), np.asarray(coded.dictionary)
+        at = np.flatnonzero(np.r_[True, word[1:] > np.maximum.accumulate(word)[:-1]])  # the dictionary's order is that of first places
+        order = np.argsort(-np.bincount(word), kind="stable")  # common words have small places, which compress well
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         tokens, at, word = tokens[order], at[order], place[word]
-        spelt = [data[lo:hi].tobytes() for lo, hi in where[at].tolist()]  # the end: no letters
-        ids, first = encode(spelt, path)
+        ids, first = encoded(*spelt(data, *where[at].T), path)  # the end: no letters
         alone = int(np.flatnonzero(tokens == END)[0])
         keep = np.ones(len(ids), bool)
         keep[first[alone] + 1 : first[alone + 1]] = False
@@ -450,30 +472,71 @@ def _word_job(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column("part")[b].as_py())), pa.array(part), pa.array(n[a : a + (1 << 17)])], names=["part", "token", "n"])
 
 
+def _sliced(cells: int, at: np.ndarray, **values: np.ndarray):
+    """Rows (part, cell, values...) of ascending cells: `SLICE` cells a row, as bytes, so that millions of counts are some hundred rows."""
+    ends = np.searchsorted(at, np.arange(0, cells + SLICE, SLICE))
+    columns = {"cell": (at % SLICE).astype(np.uint16), **values}
+    for k in np.flatnonzero(np.diff(ends)):
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x[ends[k] : ends[k + 1]].tobytes()], pa.binary()) for x in columns.values())], names=["part", *columns])
+
+
+def _cells(part: int, cell) -> np.ndarray:
+    return part * SLICE + np.frombuffer(cell.as_py(), np.uint16).astype(np.int64)
+
+
 def _tally_job(cells: int, keys_of):
-    """Rows (cell, n): counts of the keys that a function makes of ids and where texts begin, below a fixed number of cells."""
+    """Slices of the counts of the keys that a function makes of ids and where texts begin, below a fixed number of cells."""
 
     def job(batches):
-        have, some = np.zeros(cells, np.int32), []
+        have, some, size = np.zeros(cells, np.int32), [], 0
         for batch in batches:
             for *_, ids, ends in _texts(batch, True, 1 << 19):
                 some.append(keys_of(ids, ends))
-                if sum(map(len, some)) > cells // 4:
+                size += len(some[-1])
+                if size > cells // 4:
                     have += np.bincount(np.concatenate(some), minlength=cells).astype(np.int32)
-                    some = []
+                    some, size = [], 0
         if some:
             have += np.bincount(np.concatenate(some), minlength=cells).astype(np.int32)
         at = np.flatnonzero(have)
-        for a in range(0, len(at), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + (1 << 17)]), pa.array(have[at[a : a + (1 << 17)]].astype(np.int64))], names=["cell", "n"])
+        yield from _sliced(cells, at, n=have[at])
 
     return job
 
 
-def _tallied(ids: DataFrame, cells: int, keys_of) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and their counts in all: as many rows at most as there are cells."""
-    table = _gathered(ids.mapInArrow(_tally_job(cells, keys_of), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
-    return np.asarray(table["cell"]), np.asarray(table["n"])
+def _id_job(cells: int):
+    """As _tally_job, of ids alone: a block's words say how often training texts have them."""
+
+    def job(batches):
+        have = np.zeros(cells, np.int64)
+        for batch in batches:
+            for b in range(len(batch)):
+                n, ids, many = _numbers(batch, b, "n", np.int64), _planed(batch, b, "ids"), _planed(batch, b, "many")
+                have += np.bincount(ids, np.repeat(n, many), cells).astype(np.int64)
+        at = np.flatnonzero(have)
+        yield from _sliced(cells, at, n=have[at].astype(np.int32))
+
+    return job
+
+
+def _sum_job(batches):
+    """One row a slice, of all tasks' rows of it: counts of up to `SLICE` cells each are held."""
+    have = {}
+    for batch in batches:
+        for k, cell, n in zip(batch.column("part").to_pylist(), batch.column("cell"), batch.column("n"), strict=True):
+            own = have.setdefault(k, np.zeros(SLICE, np.int64))
+            own[_cells(0, cell)] += np.frombuffer(n.as_py(), np.int32)
+    for k, own in have.items():
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([own[at].tobytes()], pa.binary())], names=["part", "cell", "n"])
+
+
+def _tallied(blocks: DataFrame, job) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and their counts in all."""
+    kind = "part int, cell binary, n binary"
+    table = _gathered(blocks.mapInArrow(job, kind).repartition("part").mapInArrow(_sum_job, kind))
+    at = [_cells(k, cell) for k, cell in zip(table["part"].to_pylist(), table["cell"], strict=True)]
+    return np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(n.as_py(), np.int64) for n in table["n"])])
 
 
 def _gathered(df: DataFrame) -> pa.Table:
@@ -491,19 +554,48 @@ def _vote_job(kinds: int):
             for *_, ids, ends in _texts(batch, True, 1 << 19):
                 votes.add(ids, ends)
         at = np.flatnonzero(votes.cast)
-        for a in range(0, len(at), 1 << 17):
-            row = at[a : a + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row.astype(np.int32), votes.id[row], votes.left[row], votes.cast[row])], names=["row", "own", "left", "cast"])
+        yield from _sliced(GUESSES, at, own=votes.id[at], left=votes.left[at], cast=votes.cast[at])
+
+    return job
+
+
+def together(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, and the sums of their values."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in values)
+
+
+def _lead_job(kinds: int):
+    """One row a slice of the guesses, of all tasks' rows of it: by row the id with the most votes left, those, and all that were cast."""
+
+    def job(batches):
+        have = {}
+        for batch in batches:
+            for k, *row in zip(batch.column("part").to_pylist(), *(batch.column(c) for c in ("cell", "own", "left", "cast")), strict=True):
+                own, left, cast = (np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in row[1:])
+                some = have.setdefault(k, [])
+                some.append((_cells(0, row[0]) * kinds + own, left, cast))
+                if len(some) > 1 and sum(len(x[0]) for x in some[1:]) > max(1 << 19, len(some[0][0])):
+                    have[k] = [together(*map(np.concatenate, zip(*some, strict=True)))]
+        for k, some in have.items():
+            key, left, cast = together(*map(np.concatenate, zip(*some, strict=True)))
+            row = key // kinds
+            order = np.lexsort((key, -left, row))
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            top = order[first]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (row[first].astype(np.uint16), key[top] % kinds, left[top], np.add.reduceat(cast, first)))], names=["part", "cell", "own", "left", "cast"])
 
     return job
 
 
-def _voted(ids: DataFrame, kinds: int) -> tuple[np.ndarray, ...]:
+def _voted(blocks: DataFrame, kinds: int) -> tuple[np.ndarray, ...]:
     """Rows of the guesses, their ids, votes left and votes cast, over all tasks: `GUESSES` rows at most."""
-    cast = ids.mapInArrow(_vote_job(kinds), "row int, own int, left int, cast int").repartition("row")  # both groupings use this one shuffle
-    each = cast.groupBy("row", "own").agg(F.sum("left").alias("left"), F.sum("cast").alias("cast"))
-    table = _gathered(each.groupBy("row").agg(F.max(F.struct("left", (-F.col("own")).alias("less"))).alias("top"), F.sum("cast").alias("cast")).select("row", (-F.col("top.less")).alias("own"), "top.left", "cast"))
-    return tuple(np.asarray(c) for c in table.columns)
+    kind = "part int, cell binary, own binary, left binary, cast binary"
+    table = _gathered(blocks.mapInArrow(_vote_job(kinds), kind).repartition("part").mapInArrow(_lead_job(kinds), kind))
+    at = [_cells(k, cell) for k, cell in zip(table["part"].to_pylist(), table["cell"], strict=True)]
+    return np.concatenate([np.zeros(0, np.int64), *at]), *(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_py(), np.int64) for x in table[c])]) for c in ("own", "left", "cast"))
 
 
 def in_turn(marks: np.ndarray, number: np.ndarray, rounds: int, turn: int) -> np.ndarray:
@@ -624,7 +716,7 @@ def lm_scores(docs: DataFrame, path: str, rounds: int = 2, block_bytes: int = 6
     all_tokens, kinds = (int(x or 0) for x in told)
     learning, size = coded.select("held", "sizes", "words", "ids", "many"), coder(path)[1] + 1
     counts = np.zeros(size, np.int64)
-    at, n = _tallied(learning, size, lambda ids, ends: ids)
+    at, n = _tallied(coded.select("n", "ids", "many"), _id_job(size))
     counts[at] = n
     about = Symbols(counts)
     sent = spark.sparkContext.broadcast(about)
@@ -634,7 +726,7 @@ def lm_scores(docs: DataFrame, path: str, rounds: int = 2, block_bytes: int = 6
         _, last, own = sent.value.neighbours(ids, ends)
         return last * INPUTS + own
 
-    at, n = _tallied(learning, (INPUTS + 1) * INPUTS, neighbours)
+    at, n = _tallied(learning, _tally_job((INPUTS + 1) * INPUTS, neighbours))
     pairs[at] = n
     corpus = Corpus(about, pairs.reshape(INPUTS + 1, INPUTS))
     classes = spark.sparkContext.broadcast(corpus.cls)
@@ -643,7 +735,7 @@ def lm_scores(docs: DataFrame, path: str, rounds: int = 2, block_bytes: int = 6
         two, last, own = sent.value.neighbours(ids, ends)
         return buckets(two, last) * CLASSES + classes.value[own]
 
-    corpus.add(*_tallied(learning, BUCKETS * CLASSES, after_two))
+    corpus.add(*_tallied(learning, _tally_job(BUCKETS * CLASSES, after_two)))
     corpus.vote(*_voted(learning, size))
     known = spark.sparkContext.broadcast(corpus)  # 55 MB: its size is that of the vocabulary, of INPUTS, of BUCKETS and of GUESSES
     flat = _flat(start())

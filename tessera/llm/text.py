@@ -31,7 +31,25 @@ _CODE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 _CODES = (_CODE % U(_PRIME), (_CODE >> U(31)) % U(_PRIME))
 
 
-@lru_cache(maxsize=4)
+_KEEP = 1 << 22  # powers that a process keeps of each base
+
+
+@lru_cache(maxsize=8)
+def _kept(make, base: int) -> list[np.ndarray]:
+    return [np.zeros(0, U)]
+
+
+def _first(make, base: int, n: int) -> np.ndarray:
+    """The first n powers of a base: of the longest array so far, as pieces of different kinds take turns."""
+    have = _kept(make, base)
+    if len(have[0]) >= n:
+        return have[0][:n]
+    made = make(base, 1 << max(16, int(n).bit_length()))
+    if len(made) <= _KEEP:
+        have[0] = made
+    return made[:n]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """Powers of a base modulo the prime, by doubling."""
     out = np.ones(n, np.uint32)
@@ -44,7 +62,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(16, int(n).bit_length()))[:n]
+    return _first(_powers, base, n)
 
 
 class Rolling:
@@ -60,7 +78,9 @@ class Rolling:
         for k, base in enumerate(_BASES):
             coded = _CODES[k][values] if values.dtype == np.uint8 else (values >> U(31 * k)) % U(_PRIME)
             coded = coded * powers(base, n)
-            coded %= U(_PRIME)
+            over = coded >> U(31)
+            coded &= U(_PRIME)
+            coded += over  # the same modulo the prime, below 2**32
             sums = np.zeros(n + 1, U)
             np.cumsum(coded, out=sums[1:])
             self.sums.append(sums)
@@ -83,14 +103,12 @@ def loose(values: np.ndarray, width: int) -> np.ndarray:
 
 def _wrapped(coded: np.ndarray, width: int) -> np.ndarray:
     """Polynomials modulo 2**64 of every slice of one width."""
-    size = 1 << max(16, int(len(coded) + 1).bit_length())
     sums = np.zeros(len(coded) + 1, U)
-    np.cumsum(coded * _odd_powers(_ODD, size)[: len(coded)], out=sums[1:])
+    np.cumsum(coded * _first(_odd_powers, _ODD, len(coded)), out=sums[1:])
     n = len(sums) - width
-    return (sums[width:] - sums[:n]) * _odd_powers(pow(_ODD, -1, 1 << 64), size)[:n]
+    return (sums[width:] - sums[:n]) * _first(_odd_powers, pow(_ODD, -1, 1 << 64), n)
 
 
-@lru_cache(maxsize=2)
 def _odd_powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, U)
     out[0] = 1

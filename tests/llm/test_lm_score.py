@@ -193,3 +193,49 @@ def test_each_token_is_scored_once_and_an_empty_table(spark):
     x = m.windows(corpus.symbol, ids, np.array([0, 205]))[0]
     assert np.isfinite(whole).all() and np.isfinite(m.forward(p, corpus.before(x), x)[-1]).all()
     assert m.lm_scores(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect() == []
+
+
+def blocks_of(texts, held):
+    """One block of texts of ids, in which each id is a word of its own; ids as `_texts` reads them."""
+    words, at = np.unique(np.concatenate(texts), return_inverse=True)
+    planes = lambda x: np.ascontiguousarray(np.ascontiguousarray(x, np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    own = ~np.repeat(held, [len(t) for t in texts])
+    return pa.RecordBatch.from_pydict({"held": [held], "sizes": [np.array([len(t) for t in texts]).tobytes()], "words": [planes(at)], "n": [np.bincount(at[own], minlength=len(words)).tobytes()], "ids": [planes(words)], "many": [planes(np.ones(len(words)))]})
+
+
+def test_counts_and_votes_of_tasks_travel_as_slices():
+    r = np.random.default_rng(9)
+    size, tasks = 3 * m.SLICE, [[r.integers(0, 3 * m.SLICE, n) for n in (9000, 1, 4000)] + [r.integers(0, 3, 5000)] for _ in range(3)]
+    held = [False, True, False, False]
+    learned = [t for texts in tasks for t, h in zip(texts, held) if not h]
+    want = np.bincount(np.concatenate(learned), minlength=size)
+    for job in (m._tally_job(size, lambda ids, ends: ids), m._id_job(size)):
+        rows = [x for texts in tasks for x in job(iter([blocks_of(texts, held)]))]
+        assert sum(map(len, rows)) == 9  # and not one for each of some 30,000 counts
+        got = np.zeros(size, np.int64)
+        for x in m._sum_job(iter(rows)):
+            got[m._cells(x["part"][0].as_py(), x["cell"][0])] += np.frombuffer(x["n"][0].as_py(), np.int64)
+        assert (got == want).all()
+    rows, cast = [x for texts in tasks for x in m._vote_job(size)(iter([blocks_of(texts, held)]))], Counter()
+    for x in rows:
+        cells = m._cells(x["part"][0].as_py(), x["cell"][0])
+        for row, own, left, n in zip(cells.tolist(), *(np.frombuffer(x[c][0].as_py(), np.int32).tolist() for c in ("own", "left", "cast"))):
+            cast[row, own] += 0
+            cast[row, own, "left"] += left
+            cast[row] += n
+    best = {}
+    for row, own in (k for k in cast if isinstance(k, tuple) and len(k) == 2):
+        best[row] = min(best.get(row, (1, 0)), (-cast[row, own, "left"], own))
+    assert sum(cast[k] for k in best) == sum(map(len, learned)) and sum(map(len, rows)) <= 3 * m.GUESSES // m.SLICE
+    got = {}
+    for x in m._lead_job(size)(iter(rows)):
+        cells = m._cells(x["part"][0].as_py(), x["cell"][0])
+        got |= {row: rest for row, *rest in zip(cells.tolist(), *(np.frombuffer(x[c][0].as_py(), np.int64).tolist() for c in ("own", "left", "cast")))}
+    assert got == {row: [own, -left, cast[row]] for row, (left, own) in best.items()}
+
+
+def test_words_are_spelt_from_their_places():
+    data = np.frombuffer(b"one two three", np.uint8)
+    text, begins = m.spelt(data, np.array([4, 0, 0, 8]), np.array([7, 0, 3, 13]))
+    assert text == b" two  one three" and begins.tolist() == [0, 4, 5, 9, 15]
+    assert m.spelt(data[:0], np.array([0]), np.array([0]))[0] == b" "
