@@ -49,13 +49,11 @@ _PLACE = 24  # bits of a place inside a stretch of text
 
 def _least(keys: np.ndarray, span: int) -> np.ndarray:
     """Least of every `span` consecutive keys."""
-    n = len(keys) - span + 1
-    padded = np.full(-(-len(keys) // span) * span, np.iinfo(U).max, U)
-    padded[: len(keys)] = keys
-    blocks = padded.reshape(-1, span)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[span - 1 : span - 1 + n])
+    have = 1
+    while 2 * have <= span:
+        keys = np.minimum(keys[:-have], keys[have:])
+        have *= 2
+    return np.minimum(keys[: len(keys) - span + have], keys[span - have :])
 
 
 def _anchors(grams: np.ndarray, span: int) -> np.ndarray:
@@ -75,8 +73,8 @@ def _extent(rolling: Rolling, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, wi
     return mix(rolling(lo, hi + width) ^ mix(shape)).view(np.int64)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int, keys_only: bool = False) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor: text, first and last window, digits 1 and 2; or digit 1 alone."""
+def runs(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int, keys_only: bool = False, rolling: Rolling | None = None) -> dict[str, np.ndarray]:
+    """Runs of windows with one anchor: text, first and last window, digits 1 and 2; or digit 1 alone. rolling: of data, if it is there already."""
     empty = {k: np.zeros(0, np.int64) for k in ("text", "lo", "hi", "at", "key", "full")}
     if len(data) < width:
         return empty
@@ -98,7 +96,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, width: int, anchor: int, keys_on
     text = np.searchsorted(offsets, lo, "right") - 1
     hi = np.minimum(np.r_[lo[1:], len(anchors)], offsets[text + 1] - width + 1) - 1
     start = offsets[text]
-    return {"text": text, "lo": lo - start, "hi": hi - start, "at": mark - start, "key": grams[mark].view(np.int64), "full": _extent(Rolling(data), lo, hi, mark, width)}
+    return {"text": text, "lo": lo - start, "hi": hi - start, "at": mark - start, "key": grams[mark].view(np.int64), "full": _extent(rolling or Rolling(data), lo, hi, mark, width)}
 
 
 def _given(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None) -> DataFrame:
@@ -134,12 +132,12 @@ def _unpacked(batch: pa.RecordBatch, limit: int = PIECE):
         i = j
 
 
-def _units(data: np.ndarray, offsets: np.ndarray, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """What windows are made of, and where each text's begin: bytes, or hashes of words."""
+def _units(data: np.ndarray, offsets: np.ndarray, by_words: bool, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """What windows are made of, and where each text's begin: bytes, or hashes of words. rolling: of data."""
     if not by_words:
         return data, offsets
     words = Words(data, offsets)
-    return words.hashes(Rolling(data)), words.first
+    return words.hashes(rolling), words.first
 
 
 Threshold = tuple[int, int, bool]  # width, anchor, by words
@@ -164,8 +162,9 @@ def _run_job(thresholds: list[Threshold], keys_only: bool):
     def job(batches):
         for batch in batches:
             for i, _, data, offsets in pieces(batch.column("text"), PIECE):
+                rolling = Rolling(data)  # one for all thresholds
                 for t, (width, anchor, by_words) in enumerate(thresholds):
-                    out = runs(*_units(data, offsets, by_words), width, anchor, keys_only)
+                    out = runs(*_units(data, offsets, by_words, rolling), width, anchor, keys_only, None if by_words else rolling)
                     out["key"] = _mixed(out["key"], t)
                     yield pa.RecordBatch.from_arrays([pa.array(out["key"])], names=["key"]) if keys_only else _batch(batch, out.pop("text") + i, t, out)
 
@@ -186,14 +185,16 @@ def _within(counts: np.ndarray) -> np.ndarray:
 
 
 def _parts(thresholds: list[Threshold]):
-    """From batches of texts: pieces with their first row, and by threshold its number, width, units, where texts begin, and row, lo, hi, at, key of its parts."""
+    """From batches of texts: pieces with their first row, and by threshold its number, width, hash of units, where texts begin, and row, lo, hi, at, key of its parts."""
 
     def each(batch):
         for i, j, data, offsets in _unpacked(batch):
             row, t, *rest = _per_text(batch, i, j, "parts")
+            rolling = Rolling(data)
             for k, (width, _, by_words) in enumerate(thresholds):
                 if (own := t == k).any():
-                    yield i, k, width, *_units(data, offsets, by_words), row[own], *(x[own] for x in rest)
+                    units, begins = _units(data, offsets, by_words, rolling)
+                    yield i, k, width, Rolling(units) if by_words else rolling, begins, row[own], *(x[own] for x in rest)
 
     return each
 
@@ -203,13 +204,13 @@ def _step_job(thresholds: list[Threshold]):
 
     def job(batches):
         for batch in batches:
-            for i, k, width, data, offsets, row, lo, hi, at, key in _parts(thresholds)(batch):
+            for i, k, width, rolling, offsets, row, lo, hi, at, key in _parts(thresholds)(batch):
                 top = (at - lo) // STEP
                 count = top - (at - hi) // STEP + 1
                 lo, hi, at, key, row, top = (np.repeat(x, count) for x in (lo, hi, at, key, row, top))
                 which = top - _within(count)
                 first, last = np.maximum(lo, at - which * STEP - STEP + 1), np.minimum(hi, at - which * STEP)
-                full = _extent(Rolling(data), offsets[row] + first, offsets[row] + last, offsets[row] + at, width)
+                full = _extent(rolling, offsets[row] + first, offsets[row] + last, offsets[row] + at, width)
                 yield _batch(batch, row + i, k, {"lo": first, "hi": last, "at": at, "key": _mixed(key, which + (1 << 40)), "full": full})
 
     return job
@@ -220,10 +221,10 @@ def _window_job(thresholds: list[Threshold]):
 
     def job(batches):
         for batch in batches:
-            for i, k, width, data, offsets, row, lo, hi, at, key in _parts(thresholds)(batch):
+            for i, k, width, rolling, offsets, row, lo, hi, at, key in _parts(thresholds)(batch):
                 count = hi - lo + 1
                 row, at, key, p = np.repeat(row, count), np.repeat(at, count), np.repeat(key, count), np.repeat(lo, count) + _within(count)
-                digit = Rolling(data)(offsets[row] + p, offsets[row] + p + width)
+                digit = rolling(offsets[row] + p, offsets[row] + p + width)
                 yield _batch(batch, row + i, k, {"p": p, "key": _mixed(key, at - p), "digit": digit.view(np.int64)})
 
     return job
@@ -234,7 +235,7 @@ _RUN = "k long, mark long, t int, lo int, hi int, at int, key long, full long"
 
 def _told(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Of runs with digits key and full: those that equal another, and by text those that the next pass has to part."""
-    place = F.struct("k", "mark", "t", "lo")
+    place = F.xxhash64("k", "mark", "t", "lo")  # should two agree, both stand for their class; a number needs no sort
     classes = rows.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(place).alias("stands"))
     digits = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
     known = classes.join(digits.filter("kinds > 1 or least > 1"), "key")

@@ -3,7 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+
 from tessera.llm import suffix_dedup as module
+from tessera.llm import text
 from tessera.llm.suffix_dedup import suffix_dedup
 
 
@@ -125,3 +128,28 @@ def test_a_text_of_20_mib_is_taken_whole(spark):
     long = bytes(r.integers(97, 123, 20 << 20, np.uint8)).decode()
     docs = spark.createDataFrame([(1, long + part), (2, part)], "doc_id long, text string")
     assert {x.doc_id: (x.n_removed, [tuple(s) for s in x.spans]) for x in suffix_dedup(docs).select("doc_id", "n_removed", "spans").collect()} == {1: (1000, [(20 << 20, (20 << 20) + 1000)]), 2: (1000, [(0, 1000)])}
+
+
+def test_powers_are_kept_while_pieces_of_bytes_and_words_take_turns():
+    sizes = [(base, n) for n in (300_000, 20_000, 120_000) for base in (*text._BASES, *(pow(b, -1, text._PRIME) for b in text._BASES))]
+    for turn in range(2):
+        now = [text.powers(base, n) for base, n in sizes]
+        assert all(x.tolist()[-1] == pow(base, n - 1, text._PRIME) for x, (base, n) in zip(now, sizes))
+        assert not turn or all(np.shares_memory(a, b) for a, b in zip(before, now))
+        before = now
+    long = text.powers(text._BASES[0], text._KEEP + 1)  # as a very long text has them: they go with it
+    assert not np.shares_memory(long, text.powers(text._BASES[0], 9))
+
+
+def test_bytes_are_hashed_once_for_all_thresholds(monkeypatch):
+    made, own = [], text.Rolling
+    monkeypatch.setattr(module, "Rolling", lambda values: made.append(values.dtype) or own(values))
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2], "mark": [3, 4], "text": ["a passage of some words " * 9, "and one more " * 20]})
+    rows = list(module._run_job([(40, 20, False), (6, 3, True)], False)(iter([batch])))
+    assert len(rows) == 2 and [str(x) for x in made] == ["uint8", "uint64"]
+
+
+def test_least_of_every_span():
+    keys = np.random.default_rng(7).integers(0, 2**63, 300).astype(np.uint64)
+    for span in (1, 2, 3, 26, 64, 201, 300):
+        assert module._least(keys, span).tolist() == [min(keys[i : i + span]) for i in range(301 - span)]
