@@ -2,8 +2,9 @@
 
 Equal vectors are one from the start, with their number. Distinct vectors are dealt to
 blocks of a bounded size, and each block builds a cover tree: nested nets whose radii
-halve, each node with its exact covering radius. Every pair of blocks is one task, which
-walks both trees at once: two nodes whose centres are further apart than the threshold
+halve, each node with its exact covering radius. Blocks are shipped in tiles of a few;
+a pair of tiles is one group, and each pair of blocks in it
+walks both trees at once, from the finest level that has not many more nodes than the coarsest: two nodes whose centres are further apart than the threshold
 and both covering radii are left out with all below them, two that lie as near as their
 radii allow are linked as a whole, and only what is left is opened. Pairs of vectors at
 the bottom are compared in double precision, so links are exact.
@@ -31,6 +32,7 @@ from .components import components
 from .store import written
 
 BLOCK = 2560
+TILE = 8  # blocks that are shipped to a task together, with as many others: each block goes to fewer tasks
 RADII = (1.0, 0.5, 0.25)  # of unit vectors, coarse to fine
 
 
@@ -90,6 +92,24 @@ def _opened(level_a: dict, level_b: dict, u: np.ndarray, v: np.ndarray, step: in
         i = j
 
 
+def _within_reach(x: np.ndarray, far_x: np.ndarray, y: np.ndarray, far_y: np.ndarray, step: int = 512):
+    """Pairs of unit vectors no further apart than the sum of both distances, some at a time, with their exact distance.
+
+    |x - y| <= p + q means that x.y + p*p/2 + p*q + q*q/2 >= 1, whose left side is one
+    product of longer vectors. It is taken in single precision with its error allowed for;
+    only pairs that pass are measured in double precision.
+    """
+    one = np.ones(len(y))
+    left, right = np.c_[x, far_x**2 / 2, far_x, np.ones(len(x))].astype(np.float32), np.ascontiguousarray(np.c_[y, one, far_y, far_y**2 / 2].T.astype(np.float32))
+    least = np.float32(1 - 1e-5 - 2e-6 * x.shape[1])
+    for lo in range(0, len(x), step):
+        u, v = np.divmod(np.flatnonzero(left[lo : lo + step] @ right >= least), len(y))
+        u += lo
+        for i in range(0, len(u), 1 << 16):
+            p, q = u[i : i + (1 << 16)], v[i : i + (1 << 16)]
+            yield p, q, _distance(np.einsum("ij,ij->i", x[p], y[q]))
+
+
 def linked(a: tuple, b: tuple, cosine: float) -> np.ndarray:
     """Which vectors of tree a link with which of tree b. a, b: unit vectors in tree order, levels."""
     (x, ta), (y, tb) = a, b
@@ -111,12 +131,11 @@ def linked(a: tuple, b: tuple, cosine: float) -> np.ndarray:
                 near = np.einsum("ij,ij->i", x[p], y[q]) >= cosine
                 out[p[near], q[near]] = True
 
-    top_a, top_b = ta[0]["centre"], tb[0]["centre"]
-    for lo in range(0, len(top_a), 512):
-        rows = np.arange(lo, min(lo + 512, len(top_a)))
-        apart = _distance(x[top_a[rows]] @ y[top_b].T)
-        u, v = np.nonzero(apart <= limit + ta[0]["radius"][rows][:, None] + tb[0]["radius"][None, :] + 1e-9)
-        visit(0, rows[u], v, apart[u, v])
+    pairs = [len(la["centre"]) * len(lb["centre"]) for la, lb in zip(ta, tb, strict=True)]
+    depth = max(d for d, n in enumerate(pairs) if n <= 4 * pairs[0])  # wide nodes of a few vectors only would be opened against all others
+    top_a, top_b = ta[depth], tb[depth]
+    for u, v, apart in _within_reach(x[top_a["centre"]], limit + top_a["radius"], y[top_b["centre"]], top_b["radius"] + 1e-9):
+        visit(depth, u, v, apart)
     return out
 
 
@@ -137,39 +156,44 @@ def _build_job(table: pa.Table) -> pa.Table:
     return pa.table({"dim": table.column("dim")[:1], "block": table.column("block")[:1], "tree": pa.array([blob], pa.large_binary()).cast(pa.binary())})
 
 
-def _mates(link: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and the smallest id that each reaches inside this pair of blocks."""
-    rows, cols = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
-    part, la, lb = link[np.ix_(rows, cols)], a[rows], b[cols]
+def _mates(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each of a and of b reaches by these links."""
+    la, lb = a, b
     top = np.iinfo(np.int64).max
-    while len(rows):
+    while len(a):
         na = np.minimum(la, np.where(part, lb[None, :], top).min(1))
         nb = np.minimum(lb, np.where(part, na[:, None], top).min(0))
         if (na == la).all() and (nb == lb).all():
             break
         la, lb = na, nb
-    return np.r_[a[rows], b[cols]], np.r_[la, lb]
+    return la, lb
+
+
+def _pair(a: tuple, b: tuple, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of two blocks, or of one: vectors with links, their number, and each one's smallest mate."""
+    (x, ra, ma, ta), (y, rb, mb, tb) = a, b
+    link = linked((x, ta), (y, tb), cosine)
+    if same:
+        link |= link.T
+        np.fill_diagonal(link, False)
+    rows, cols = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))  # most vectors have no link
+    part = link[np.ix_(rows, cols)]
+    back = np.zeros(len(cols), np.int64) if same else ma[rows] @ part
+    return np.r_[ra[rows], rb[cols]], np.r_[part @ mb[cols], back], np.concatenate(_mates(part, ra[rows], rb[cols]))
+
 
+def _tile_job(cosine: float):
+    """All pairs of a block of one tile with a block of the other; if there is only one, all pairs in it."""
 
-def _pair_job(cosine: float):
     def job(table: pa.Table) -> pa.Table:
-        blocks = sorted((table.column("block")[r].as_py(), r) for r in range(len(table)))
-        trees = []
-        for _, r in blocks:
-            vectors, rep, many, levels = pickle.loads(table.column("tree")[r].as_py())
-            trees.append((_unit(vectors.astype(np.float64)), rep, many, levels))
-        (x, ra, ma, ta), (y, rb, mb, tb) = trees[0], trees[-1]
-        link = linked((x, ta), (y, tb), cosine)
-        if len(trees) == 1:
-            link |= link.T
-            np.fill_diagonal(link, False)
-            ids, counts = ra, link @ mb
-        else:
-            ids, counts = np.r_[ra, rb], np.r_[link @ mb, ma @ link]
-        who, mate = _mates(link, ra, rb)
-        some = counts > 0
-        reps = np.r_[ids[some], who]
-        return pa.table({"rep": reps, "links": np.r_[counts[some], np.zeros(len(who), np.int64)], "mate": np.r_[ids[some], mate]})
+        blocks = table.column("block").to_pylist()
+        trees = {}
+        for r, block in enumerate(blocks):
+            vectors, *rest = pickle.loads(table.column("tree")[r].as_py())
+            trees[block] = (_unit(vectors.astype(np.float64)), *rest)
+        tiles = sorted({block // TILE for block in blocks})
+        some = [_pair(trees[p], trees[q], cosine, p == q) for p in blocks for q in blocks if p // TILE == tiles[0] and q // TILE == tiles[-1] and (len(tiles) > 1 or p <= q)]
+        return pa.table(dict(zip(("rep", "links", "mate"), map(np.concatenate, zip(*some, strict=True)), strict=True)))
 
     return job
 
@@ -181,12 +205,14 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     given = given.withColumn("vector", F.when(F.coalesce(good, F.lit(False)), F.transform("vector", lambda v: v + 0.0)))
     distinct = written(given.filter("vector is not null").groupBy("vector").agg(F.min(F.coalesce("id", F.lit(-(2**63)))).alias("rep"), F.count("*").alias("many")).withColumn("dim", F.size("vector")))
     distinct = distinct.withColumn("key", F.xxhash64("vector"))  # ids may repeat over different vectors
-    sizes = distinct.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = distinct.join(sizes, "dim").withColumn("block", F.pmod(F.col("key"), F.col("blocks")).cast("int"))
+    sizes = distinct.groupBy("dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumn("tiles", F.ceil(F.col("blocks") / TILE).cast("int"))
+    most = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # groups weigh little and take long, so they are dealt by their number; joins by `dim` alone would leave all in one task
+    building, pairing = (min(most, int(n or 1)) for n in sizes.agg(F.sum("blocks"), F.sum(F.expr("tiles * (tiles + 1L) div 2"))).first())
+    dealt = distinct.join(sizes, "dim").withColumn("block", F.pmod(F.col("key"), F.col("blocks")).cast("int")).repartition(building, "dim", "block")
     trees = written(dealt.select("dim", "block", F.col("key").alias("rep"), "many", "vector").groupBy("dim", "block").applyInArrow(_build_job, "dim int, block int, tree binary"))
-    pairs = trees.join(sizes, "dim").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("dim", "block", "tree", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    found = written(pairs.groupBy("dim", "p", "q").applyInArrow(_pair_job(cosine), "rep long, links long, mate long"))
+    tiles = trees.join(sizes, "dim").withColumn("tile", F.expr(f"block div {TILE}")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiles = tiles.select("dim", "block", "tree", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
+    found = written(tiles.repartition(pairing, "dim", "p", "q").groupBy("dim", "p", "q").applyInArrow(_tile_job(cosine), "rep long, links long, mate long"))
     counts = found.groupBy(F.col("rep").alias("key")).agg(F.sum("links").alias("links"))
     reached = components(found.filter("mate <> rep").select(F.col("rep").alias("a"), F.col("mate").alias("b")))
     named = distinct.select("vector", "key", "rep", "many").join(reached.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))

@@ -1,5 +1,6 @@
 import numpy as np
 
+from tessera.llm import embedding_dedup as module
 from tessera.llm.embedding_dedup import embedding_links
 
 
@@ -35,3 +36,60 @@ def test_against_brute_force(spark):
         got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in embedding_links(table, 0.9, block=block).collect())
         assert got == brute(rows, 0.9)
     assert embedding_links(table.limit(0)).collect() == []
+
+
+def tree_of(vectors):
+    unit = module._unit(vectors)
+    order, levels = module.cover_tree(unit)
+    return unit[order], levels
+
+
+def test_links_of_two_trees_are_those_of_brute_force():
+    r = np.random.default_rng(5)
+    wide, narrow = r.normal(size=(300, 16)), r.normal(size=16) + r.normal(size=(200, 16)) * 0.3
+    families = np.concatenate([r.normal(size=16) + r.normal(size=(60, 16)) * k for k in (0.02, 0.1, 0.2, 0.35)])
+    for a, b in ((wide, wide[::-1]), (families, families + 0.01), (narrow, wide), (families, np.r_[narrow, wide, families[:9]]), (families[:1], narrow)):
+        (x, ta), (y, tb) = a, b = tree_of(a), tree_of(b)
+        near = x @ y.T
+        sure = abs(near - 0.9) > 1e-12
+        assert (module.linked(a, b, 0.9) == (near >= 0.9))[sure].all()
+
+
+def test_pairs_at_the_limit_of_reach_pass(monkeypatch):
+    r = np.random.default_rng(6)
+    x = module._unit(r.normal(size=(400, 64)))
+    y = module._unit(x + r.normal(size=x.shape) * 0.06)
+    apart = np.sqrt(((x - y) ** 2).sum(1))
+    far = r.random(400) * apart  # what is left of each pair's distance is the other's: equal but for rounding
+    got = {(p, q) for u, v, d in module._within_reach(x, far, y, apart - far + 1e-9, 100) for p, q in zip(u.tolist(), v.tolist())}
+    assert {(k, k) for k in range(400)} <= got
+    opened, own = [], module._opened
+    monkeypatch.setattr(module, "_opened", lambda la, lb, u, v: opened.append(len(u)) or own(la, lb, u, v))
+    wide, pair = r.normal(size=(500, 64)), r.normal(size=64) + r.normal(size=(40, 64)) * 0.6
+    a, b = tree_of(np.r_[wide, pair]), tree_of(np.r_[r.normal(size=(500, 64)), pair])
+    assert module.linked(a, b, 0.9).sum() >= 40 and sum(opened) < 3000  # and not some wide nodes against all others
+
+
+def test_blocks_and_pairs_of_one_length_are_dealt_to_several_tasks(spark, tmp_path):
+    def where(job):
+        def run(table):
+            from pyspark import TaskContext
+
+            (tmp_path / f"{job.__name__}-{TaskContext.get().partitionId()}").touch()
+            return job(table)
+
+        return run
+
+    r = np.random.default_rng(8)
+    table = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(700)], "vec_id long, embedding array<double>")
+    build, tile = module._build_job, module._tile_job
+    build.__name__, seen = "build", []
+    try:
+        module._build_job, module._tile_job = where(build), lambda cosine: where(tile(cosine))
+        got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in embedding_links(table, 0.9, block=30).collect())
+    finally:
+        module._build_job, module._tile_job = build, tile
+        build.__name__ = "_build_job"
+    seen = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert seen.count("build") > 1 and seen.count("job") > 1
+    assert got == brute([(x.vec_id, x.embedding) for x in table.collect()], 0.9)
