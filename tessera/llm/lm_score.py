@@ -24,7 +24,7 @@ probability, and the rest is left to the model; it comes from how often guesses
 kind (by the vote's share, and by how many guesses before were right in a row) have been right in
 this text so far, so every text's probabilities still sum to one. For the base score a block
 counts its own training words, and only words that other blocks hold too are sent to it
-with their counts in all. With `lower`, as in the
+with their counts in all; words are dealt to slices by their hashes for that. With `lower`, as in the
 query, A-Z count as a-z for words and model alike.
 
 Defined cases: a null or empty text, or one of white space, is its end alone; null ids count as training rows;
@@ -41,7 +41,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import new_path, removed, written
@@ -285,6 +285,7 @@ def windows(symbol: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> tuple[n
     return x, y, text, number
 
 
+_CELLS = np.arange((INPUTS + 1) * WIDTH).reshape(-1, WIDTH)
 _LATER = np.where(np.arange(SPAN)[None, :] > np.arange(NEW)[:, None] + CONTEXT, np.float32(-1e9), np.float32(0))
 
 
@@ -341,7 +342,7 @@ def _gradients(p: dict, before: np.ndarray, x: np.ndarray, c: np.ndarray, n: int
     out |= {"query": flat(late).T @ flat(dq), "key": flat(e).T @ flat(dk), "value": flat(e).T @ flat(dv)}
     de = _times(dk, p["key"].T) + _times(dv, p["value"].T)
     de[:, CONTEXT:] += _times(dq, p["query"].T) + dh
-    embed = np.bincount((x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel(), de.ravel(), p["embed"].size).reshape(p["embed"].shape).astype(de.dtype)
+    embed = np.bincount(_CELLS.take(x.ravel(), axis=0).ravel(), de.ravel(), p["embed"].size).reshape(p["embed"].shape).astype(de.dtype)
     return out | {"embed": embed, "place": de.sum(0)}
 
 
@@ -462,14 +463,35 @@ def _texts(batch: pa.RecordBatch, learning: bool, limit: int = 1 << 17):
             i = j
 
 
-def _word_job(batches):
-    """Rows (part, token, n) of the distinct words of blocks; n: in training texts."""
-    for batch in batches:
-        for b in range(len(batch)):
-            tokens, n = _numbers(batch, b, "tokens", np.int64), _numbers(batch, b, "n", np.int64)
-            for a in range(0, len(tokens), 1 << 17):
-                part = tokens[a : a + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column("part")[b].as_py())), pa.array(part), pa.array(n[a : a + (1 << 17)])], names=["part", "token", "n"])
+def _word_job(slices: int):
+    """Rows (slice, part, tokens, n) of the distinct words of blocks, dealt by the words' hashes; n: in training texts."""
+
+    def job(batches):
+        for batch in batches:
+            for b in range(len(batch)):
+                tokens, n = _numbers(batch, b, "tokens", np.int64), _numbers(batch, b, "n", np.int64).astype(np.int32)
+                own = (tokens.view(U) % U(slices)).astype(np.int64)
+                order, ends = np.argsort(own, kind="stable"), np.r_[0, np.cumsum(np.bincount(own, minlength=slices))]
+                tokens, n, some = tokens[order], n[order], np.flatnonzero(np.diff(ends))
+                cut = lambda x: pa.array([x[ends[k] : ends[k + 1]].tobytes() for k in some], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), batch.column("part")[b].as_py())), cut(tokens), cut(n)], names=["slice", "part", "tokens", "n"])
+
+    return job
+
+
+def shared_words(table: pa.Table) -> pa.Table:
+    """Of one slice: by block the words that other blocks hold too and their counts in all; in sum, all training tokens of the slice and its distinct words in training texts."""
+    each, n = [np.frombuffer(x.as_py(), np.int64) for x in table.column("tokens")], np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table.column("n")]).astype(np.int64)
+    tokens = np.concatenate(each)
+    order = np.argsort(tokens)
+    first = np.flatnonzero(np.r_[True, tokens[order[1:]] != tokens[order[:-1]]])
+    held, sums = np.diff(np.r_[first, len(tokens)]), np.add.reduceat(n[order], first)
+    total, more = np.empty(len(tokens), np.int64), np.empty(len(tokens), bool)
+    total[order], more[order] = np.repeat(sums, held), np.repeat(held > 1, held)
+    ends = np.r_[0, np.cumsum([len(x) for x in each])]
+    cut = lambda x: pa.array([x[a:b][more[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    once = lambda x: pa.array(np.r_[x, np.zeros(len(each) - 1, np.int64)])
+    return pa.table({"part": table.column("part"), "tokens": cut(tokens), "totals": cut(total), "all": once(n.sum()), "kinds": once((sums > 0).sum())})
 
 
 def _sliced(cells: int, at: np.ndarray, **values: np.ndarray):
@@ -653,16 +675,17 @@ def log10_scores(p: dict, corpus: Corpus, ids: np.ndarray, offsets: np.ndarray)
     """log10 of the model's probability of each text."""
     if not len(ids):
         return np.zeros(len(offsets) - 1)
-    out = np.zeros(len(ids))
     x, y, *_ = windows(corpus.symbol, ids, offsets)
+    symbol = corpus.symbol[ids][np.maximum(y, 0)]
+    cls = corpus.cls[symbol].ravel() + np.arange(y.size) % (CHUNK * NEW) * CLASSES  # where it stands among a chunk's weights
+    said = np.empty(y.shape, np.float32)
     for a in range(0, len(x), CHUNK):
-        b, at = x[a : a + CHUNK], y[a : a + CHUNK]
+        b = x[a : a + CHUNK]
         *_, w, total = forward(p, corpus.before(b), b)
-        token = ids[np.maximum(at, 0)]
-        symbol = corpus.symbol[token]
-        said = np.log10(np.take_along_axis(w, corpus.cls[symbol][..., None], -1)[..., 0] / total)
-        said += corpus.told[b[:, CONTEXT:], symbol]
-        out[at[at >= 0]] = said[at >= 0]
+        said[a : a + CHUNK] = w.ravel().take(cls[a * NEW : (a + CHUNK) * NEW]).reshape(-1, NEW) / total
+    said = np.log10(said) + corpus.told[x[:, CONTEXT:], symbol]
+    out, seen = np.zeros(len(ids)), y >= 0
+    out[y[seen]] = said[seen]
     out += corpus.within[ids]
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     row = rows_of(cues(ids, offsets, CUE))
@@ -686,11 +709,12 @@ def _score_job(known, weights):
 
 def _base_job(all_tokens: int, kinds: int):
     def each(table: pa.Table, shared: pa.Table):
+        token, total = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_py(), np.int64) for x in shared.column(c))]) for c in ("tokens", "totals"))
         for b in range(len(table)):  # one block
             tokens, n, sizes = (_numbers(table, b, c, np.int64) for c in ("tokens", "n", "sizes"))
             words = _planed(table, b, "words")
             by_hash, n = np.argsort(tokens), n.copy()
-            n[by_hash[np.searchsorted(tokens, np.asarray(shared.column("token")), sorter=by_hash)]] = np.asarray(shared.column("total"))
+            n[by_hash[np.searchsorted(tokens, token, sorter=by_hash)]] = total
             c, text, rows = n[words], np.repeat(np.arange(len(sizes)), sizes), len(sizes)
             yield pa.table({
                 "id": table.column("id")[b].values, "held_out": table.column("held")[b].values, "n_tokens": sizes, "n_known": np.bincount(text[c > 0], minlength=rows), "train_tokens": np.full(rows, all_tokens),
@@ -707,13 +731,10 @@ def lm_scores(docs: DataFrame, path: str, rounds: int = 2, block_bytes: int = 6
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held.alias("held"))
     kind = given.schema["id"].dataType.simpleString()
     coded = written(given.mapInArrow(_encode_job(path, block_bytes, lower), _block_fields(kind)))
-    of_word = Window.partitionBy("token")
-    words = coded.select("part", "tokens", "n").mapInArrow(_word_job, "part long, token long, n long")
-    # a word's row of its first block stands for it
-    words = words.select("part", "token", F.sum("n").over(of_word).alias("total"), (F.count("*").over(of_word) > 1).alias("shared"), (F.row_number().over(of_word.orderBy("part")) == 1).alias("stands"))
-    words = written(words)
-    told = words.filter("stands").agg(F.sum("total"), F.count_if(F.col("total") > 0)).first()
-    all_tokens, kinds = (int(x or 0) for x in told)
+    slices = max(1, coded.count() // 8)  # as large at any size: that of the words of some blocks
+    words = coded.select("part", "tokens", "n").mapInArrow(_word_job(slices), "slice int, part long, tokens binary, n binary")
+    words = written(words.repartition(slices, "slice").groupBy("slice").applyInArrow(shared_words, "part long, tokens binary, totals binary, all long, kinds long"))
+    all_tokens, kinds = (int(x or 0) for x in words.agg(F.sum("all"), F.sum("kinds")).first())
     learning, size = coded.select("held", "sizes", "words", "ids", "many"), coder(path)[1] + 1
     counts = np.zeros(size, np.int64)
     at, n = _tallied(coded.select("n", "ids", "many"), _id_job(size))
@@ -743,8 +764,7 @@ def lm_scores(docs: DataFrame, path: str, rounds: int = 2, block_bytes: int = 6
         job = _train_job(known, spark.sparkContext.broadcast(flat), rounds, turn)
         flat = averaged(learning.mapInArrow(job, "task long, weights binary, tokens long"), flat)
     scored = coded.mapInArrow(_score_job(known, spark.sparkContext.broadcast(flat)), f"part long, id array<{kind}>, held array<boolean>, sizes binary, words binary, tokens binary, n binary, score binary")
-    sent_words = words.filter("shared").select("part", "token", "total")
-    scored = scored.groupBy("part").cogroup(sent_words.groupBy("part")).applyInArrow(_base_job(all_tokens, kinds), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = scored.groupBy("part").cogroup(words.select("part", "tokens", "totals").groupBy("part")).applyInArrow(_base_job(all_tokens, kinds), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("id", id_col)
 
 

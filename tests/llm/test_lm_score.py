@@ -239,3 +239,24 @@ def test_words_are_spelt_from_their_places():
     text, begins = m.spelt(data, np.array([4, 0, 0, 8]), np.array([7, 0, 3, 13]))
     assert text == b" two  one three" and begins.tolist() == [0, 4, 5, 9, 15]
     assert m.spelt(data[:0], np.array([0]), np.array([0]))[0] == b" "
+
+
+def test_words_of_blocks_are_counted_by_slices():
+    r = np.random.default_rng(11)
+    blocks = [(np.unique(r.integers(-40, 40, 30) * 10**15), part) for part in (3, 9, 12)]
+    blocks = [(t, r.integers(0, 3, len(t)), part) for t, part in blocks]
+    batch = pa.RecordBatch.from_pydict({"part": [p for *_, p in blocks], "tokens": [t.tobytes() for t, *_ in blocks], "n": [n.tobytes() for _, n, _ in blocks]})
+    rows = pa.Table.from_batches(m._word_job(4)(iter([batch])))
+    assert len(rows) <= 12  # and not one for each word
+    total, held, got, told = Counter(), Counter(), {}, [0, 0]
+    for t, n, _ in blocks:
+        total.update(dict(zip(t.tolist(), n.tolist())))
+        held.update(t.tolist())
+    for k in range(4):
+        own = rows.filter(pa.compute.equal(rows["slice"], k))
+        out = m.shared_words(own) if len(own) else own.slice(0, 0)
+        for x in out.to_pylist():
+            told = [told[0] + x["all"], told[1] + x["kinds"]]
+            got.setdefault(x["part"], {}).update(zip(*(np.frombuffer(x[c], np.int64).tolist() for c in ("tokens", "totals"))))
+    assert told == [sum(total.values()), sum(n > 0 for n in total.values())]
+    assert got == {part: {t: total[t] for t in tokens.tolist() if held[t] > 1} for tokens, _, part in blocks}
