@@ -176,14 +176,12 @@ def recent(ids: np.ndarray, offsets: np.ndarray, text: np.ndarray) -> np.ndarray
 
 def with_guesses(said: np.ndarray, ids: np.ndarray, offsets: np.ndarray, text: np.ndarray, guess: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """log10 probabilities of ids where a guess (-1: none) of one of four kinds takes its share of what the model said."""
-    begins, right, place = offsets[:-1], guess == ids, np.arange(len(ids))
-    wrong = np.maximum.accumulate(np.where(right, -1, place))
-    wrong = np.maximum(np.r_[-1, wrong[:-1]][: len(ids)], begins[text] - 1)
-    row = place - 1 - wrong
     at = np.flatnonzero(guess >= 0)
     if not len(at):
         return said
-    row = row[at]
+    right = guess == ids
+    wrong = np.r_[-1, np.maximum.accumulate(np.where(right, -1, np.arange(len(ids))))]  # the last wrong place before each
+    row = at - 1 - np.maximum(wrong[at], offsets[text[at]] - 1)
     state = (kind[at] * 4 + (row > 0) + (row > 2) + (row > 7)).astype(np.uint8)
     order = np.argsort(state, kind="stable")  # states in turn, each in the order of texts and places
     at, state = at[order], state[order]
@@ -295,7 +293,7 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def forward(p: dict, before: np.ndarray, x: np.ndarray) -> tuple:
-    """before: the counts' probabilities of classes. The last two: weights of the classes, and their sums."""
+    """before: the counts' probabilities of classes. s, z: weights of the places and their sums. The last two: weights of the classes, and their sums."""
     e = p["embed"].take(x, axis=0)
     e += p["place"]
     late = np.ascontiguousarray(e[:, CONTEXT:])
@@ -305,13 +303,15 @@ def forward(p: dict, before: np.ndarray, x: np.ndarray) -> tuple:
     np.clip(s, -60, 60, out=s)  # in place of taking the largest away: no sum overflows or is 0
     s += _LATER
     np.exp(s, out=s)
-    s /= s @ np.ones((SPAN, 1), s.dtype)
-    h = late + s @ v
+    z = _times(s, np.ones((SPAN, 1), s.dtype))
+    h = s @ v
+    h /= z
+    h += late
     w = _times(h, p["out"])
     np.clip(w, -40, 40, out=w)
     np.exp(w, out=w)
     w *= before
-    return e, late, q, k, v, s, h, w, w @ np.ones(w.shape[-1], w.dtype)
+    return e, late, q, k, v, s, z, h, w, _times(w, np.ones((CLASSES, 1), w.dtype))[..., 0]
 
 
 def gradients(p: dict, before: np.ndarray, x: np.ndarray, c: np.ndarray) -> dict:
@@ -324,21 +324,21 @@ def gradients(p: dict, before: np.ndarray, x: np.ndarray, c: np.ndarray) -> dict
 
 
 def _gradients(p: dict, before: np.ndarray, x: np.ndarray, c: np.ndarray, n: int) -> dict:
-    e, late, q, k, v, s, h, w, total = forward(p, before, x)
+    e, late, q, k, v, s, z, h, w, total = forward(p, before, x)
     seen = c >= 0
     share = (seen / n).astype(w.dtype)
     g = w
     g *= (share / total)[..., None]
-    rows = np.nonzero(seen)
-    g[rows[0], rows[1], c[rows]] -= share[rows]
+    g.reshape(-1)[np.arange(0, g.size, CLASSES) + np.maximum(c, 0).ravel()] -= share.ravel()  # places without a class have no share
     flat = lambda a: a.reshape(-1, a.shape[-1])
     out = {"out": flat(h).T @ flat(g)}
     dh = _times(g, p["out"].T)
-    ds, dv = dh @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ dh
-    ds -= np.einsum("ijk,ijk->ij", ds, s)[..., None]
+    ds, part = dh @ v.transpose(0, 2, 1), dh / z
+    dv = s.transpose(0, 2, 1) @ part
+    ds -= np.einsum("ijk,ijk->ij", dh, h - late)[..., None]  # what the weights of a place's row sum to
     ds *= s
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dq *= q.dtype.type(WIDTH**-0.5)
+    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ (q / z)
+    dq *= q.dtype.type(WIDTH**-0.5) / z
     out |= {"query": flat(late).T @ flat(dq), "key": flat(e).T @ flat(dk), "value": flat(e).T @ flat(dv)}
     de = _times(dk, p["key"].T) + _times(dv, p["value"].T)
     de[:, CONTEXT:] += _times(dq, p["query"].T) + dh
@@ -392,7 +392,7 @@ def _encode_job(path: str, block: int, lower: bool):
         coded = pa.array(hashes).dictionary_encode()
         word, tokens = np.asarray(coded.indices).astype(np.int64), np.asarray(coded.dictionary)
         at = np.flatnonzero(np.r_[True, word[1:] > np.maximum.accumulate(word)[:-1]])  # the dictionary's order is that of first places
-        order = np.argsort(-np.bincount(word), kind="stable")  # common words have small places, which compress well
+        order = np.argsort((65535 - np.minimum(np.bincount(word), 65535)).astype(np.uint16), kind="stable")  # common words have small places, which compress well
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         tokens, at, word = tokens[order], at[order], place[word]
@@ -458,8 +458,9 @@ def _texts(batch: pa.RecordBatch, learning: bool, limit: int = 1 << 17):
             j = max(i + 1, int(np.searchsorted(reach, reach[i] + limit, "right")) - 1)
             word = words[ends[i] : ends[j]]
             count = many[word]
-            inside = np.arange(reach[j] - reach[i]) - np.repeat(np.cumsum(count) - count, count)
-            yield b, i, j, ids[np.repeat(first[word], count) + inside].astype(np.int64), reach[i : j + 1] - reach[i]
+            at = np.repeat(first[word] - (np.cumsum(count) - count), count)
+            at += np.arange(reach[j] - reach[i])
+            yield b, i, j, ids[at].astype(np.int64), reach[i : j + 1] - reach[i]
             i = j
 
 
@@ -470,7 +471,7 @@ def _word_job(slices: int):
         for batch in batches:
             for b in range(len(batch)):
                 tokens, n = _numbers(batch, b, "tokens", np.int64), _numbers(batch, b, "n", np.int64).astype(np.int32)
-                own = (tokens.view(U) % U(slices)).astype(np.int64)
+                own = (tokens.view(U) % U(slices)).astype(np.uint16 if slices < 1 << 16 else np.int64)
                 order, ends = np.argsort(own, kind="stable"), np.r_[0, np.cumsum(np.bincount(own, minlength=slices))]
                 tokens, n, some = tokens[order], n[order], np.flatnonzero(np.diff(ends))
                 cut = lambda x: pa.array([x[ends[k] : ends[k + 1]].tobytes() for k in some], pa.binary())  # noqa: B023, E731

@@ -75,8 +75,12 @@ class Rolling:
     def __init__(self, values: np.ndarray):
         n = len(values)
         self.sums = []
+        small = values.dtype != np.uint8 and n and int(values.max()) < _PRIME  # the second polynomial is 0
         for k, base in enumerate(_BASES):
-            coded = _CODES[k][values] if values.dtype == np.uint8 else (values >> U(31 * k)) % U(_PRIME)
+            if small and k:
+                self.sums.append(np.zeros(n + 1, U))
+                continue
+            coded = _CODES[k][values] if values.dtype == np.uint8 else values if small else (values >> U(31 * k)) % U(_PRIME)
             coded = coded * powers(base, n)
             over = coded >> U(31)
             coded &= U(_PRIME)
