@@ -269,16 +269,19 @@ def start(seed: int = 5) -> dict[str, np.ndarray]:
     return p
 
 
-def windows(symbol: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (n, SPAN), targets (n, NEW; -1: none), and each window's text and number in it. An input is the symbol before its place."""
+def windows(symbol: np.ndarray, ids: np.ndarray, offsets: np.ndarray, chosen=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs (n, SPAN), targets (n, NEW; -1: none), and each window's text and number in it. An input is the symbol before its place. chosen: of the windows' texts and numbers, which ones to make."""
     sizes = np.diff(offsets)
     count = -(-sizes // NEW)
     text = np.repeat(np.arange(len(sizes)), count)
     number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    if chosen is not None:
+        some = chosen(text, number)
+        text, number = text[some], number[some]
     place = (number * NEW - CONTEXT)[:, None] + np.arange(SPAN)[None, :]
     at = offsets[text][:, None] + place
     size = sizes[text][:, None]
-    x = np.where((place >= 1) & (place <= size), symbol[ids][np.clip(at - 1, 0, len(ids) - 1)], PAD)
+    x = np.where((place >= 1) & (place <= size), symbol[ids].take(at - 1, mode="clip"), PAD)
     y = np.where(place[:, CONTEXT:] < size, at[:, CONTEXT:], -1)
     return x, y, text, number
 
@@ -517,7 +520,7 @@ def _tally_job(cells: int, keys_of):
                 some.append(keys_of(ids, ends))
                 size += len(some[-1])
                 if size > cells // 4:
-                    have += np.bincount(np.concatenate(some), minlength=cells).astype(np.int32)
+                    np.add(have, np.bincount(np.concatenate(some), minlength=cells), out=have, casting="unsafe")
                     some, size = [], 0
         if some:
             have += np.bincount(np.concatenate(some), minlength=cells).astype(np.int32)
@@ -634,12 +637,10 @@ def _train_job(known, weights, rounds: int, turn: int):
             xs, cs, have = [], [], 0
             for *_, ids, ends in (x for batch in batches for x in _texts(batch, True)):
                 marks = Rolling(ids.astype(U))(ends[:-1], ends[1:])
-                x, y, text, number = windows(corpus.symbol, ids, ends)
-                chosen = in_turn(marks[text], number, rounds, turn)
-                y = y[chosen]
-                xs.append(x[chosen])
+                x, y, *_ = windows(corpus.symbol, ids, ends, lambda text, number: in_turn(marks[text], number, rounds, turn))  # noqa: B023
+                xs.append(x)
                 cs.append(np.where(y >= 0, corpus.cls[corpus.symbol[ids[np.maximum(y, 0)]]], -1))
-                have += len(chosen)
+                have += len(x)
                 if have >= BATCH:
                     x, c = np.concatenate(xs), np.concatenate(cs)
                     for a in range(0, have - BATCH + 1, BATCH):

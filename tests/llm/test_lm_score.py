@@ -260,3 +260,10 @@ def test_words_of_blocks_are_counted_by_slices():
             got.setdefault(x["part"], {}).update(zip(*(np.frombuffer(x[c], np.int64).tolist() for c in ("tokens", "totals"))))
     assert told == [sum(total.values()), sum(n > 0 for n in total.values())]
     assert got == {part: {t: total[t] for t in tokens.tolist() if held[t] > 1} for tokens, _, part in blocks}
+
+
+def test_only_chosen_windows_are_made():
+    ids, ends = np.random.default_rng(12).integers(0, 300, 500), np.array([0, 0, 7, 300, 500])
+    symbol, keep = np.arange(300), np.array([0, 2, 5, 11])
+    every, some = m.windows(symbol, ids, ends), m.windows(symbol, ids, ends, lambda text, number: keep)
+    assert all((a[keep] == b).all() for a, b in zip(every, some, strict=True))
