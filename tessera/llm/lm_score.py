@@ -52,8 +52,9 @@ SPAN, PAD = CONTEXT + NEW, INPUTS
 BUCKETS = 1 << 18  # rows of class counts after two symbols
 CUE, RECENT, GUESSES = 4, 3, 1 << 20  # ids that a guess rests on, by the corpus and by the text itself; rows of the corpus's
 RIGHT, TRUST = np.array([0.03, 0.4, 0.7, 0.9]), 3.0  # before a text shows otherwise: the share of guesses that are right after 0, 1, 3 and 8 right ones; it counts as so many guesses
+KNOWN = 1 << 18  # words whose ids a process keeps, some 10 MB
 SLICE = 1 << 16  # cells of a table of counts that travel as one row
-BATCH, CHUNK = 256, 64  # windows of a training step; those that are worked on at a time, few enough for a core's cache
+BATCH, CHUNK = 256, 256  # windows of a training step; those that are worked on at a time, enough for numpy's calls to weigh little
 END = int(mix(np.array([12345], U)).view(np.int64)[0])  # stands for the end among the words' hashes
 SHAPES = {"embed": (INPUTS + 1, WIDTH), "place": (SPAN, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "out": (WIDTH, CLASSES)}
 
@@ -99,6 +100,36 @@ def encoded(text: bytes, begins: np.ndarray, path: str) -> tuple[np.ndarray, np.
     return np.array([i for x in each for i in x], np.int64), np.r_[0, np.cumsum([len(x) for x in each], dtype=np.int64)]
 
 
+class Coded:
+    """Ids of words that a process has met already, told by their hashes: `KNOWN` words at most, those that a block has twice."""
+
+    def __init__(self):
+        self.tokens, self.first, self.many, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def encoded(self, tokens: np.ndarray, n: np.ndarray, data: np.ndarray, where: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), of words with hashes `tokens` that a block has n times, the first time at `where` in data."""
+        at = np.searchsorted(self.tokens, tokens)
+        new = np.flatnonzero(self.tokens.take(at, mode="clip") != tokens) if len(self.tokens) else np.arange(len(tokens))
+        more, begins = encoded(*spelt(data, *where[new].T), path)
+        first, many = (x.take(at, mode="clip") if len(x) else np.zeros(len(at), np.int64) for x in (self.first, self.many))
+        first[new], many[new] = begins[:-1] + len(self.ids), np.diff(begins)
+        ends = np.r_[0, np.cumsum(many)]
+        every = np.concatenate([self.ids, more.astype(np.int32)])
+        ids = every[np.repeat(first - ends[:-1], many) + np.arange(ends[-1])]
+        own = new[n[new] > 1][: KNOWN - len(self.tokens)]
+        if len(own):
+            all_tokens, held = np.concatenate([self.tokens, tokens[own]]), np.concatenate([self.many, many[own]])
+            self.ids = np.concatenate([self.ids, ids[np.repeat(ends[own] - np.cumsum(many[own]) + many[own], many[own]) + np.arange(many[own].sum())]])
+            order, begins = np.argsort(all_tokens), np.r_[self.first, len(every) - len(more) + np.cumsum(many[own]) - many[own]]
+            self.tokens, self.first, self.many = all_tokens[order], begins[order], held[order]
+        return ids.astype(np.int64), ends
+
+
+@lru_cache(maxsize=2)
+def _met(path: str) -> Coded:
+    return Coded()
+
+
 def symbols(counts: np.ndarray) -> np.ndarray:
     """The commonest ids in order; all others share the last symbol."""
     return np.lexsort((np.arange(len(counts)), -counts))[: INPUTS - 1]
@@ -176,6 +207,11 @@ def recent(ids: np.ndarray, offsets: np.ndarray, text: np.ndarray) -> np.ndarray
 
 def with_guesses(said: np.ndarray, ids: np.ndarray, offsets: np.ndarray, text: np.ndarray, guess: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """log10 probabilities of ids where a guess (-1: none) of one of four kinds takes its share of what the model said."""
+    return np.log10(guessed(10**said, ids, offsets, text, guess, kind))
+
+
+def guessed(said: np.ndarray, ids: np.ndarray, offsets: np.ndarray, text: np.ndarray, guess: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """As with_guesses(), of probabilities."""
     at = np.flatnonzero(guess >= 0)
     if not len(at):
         return said
@@ -190,19 +226,19 @@ def with_guesses(said: np.ndarray, ids: np.ndarray, offsets: np.ndarray, text: n
     had = np.cumsum(right) - right
     share = (had - had[since] + (TRUST * RIGHT)[state & 3]) / (np.arange(len(at)) - since + TRUST)
     out = said.copy()
-    out[at] = np.log10((1 - share) * 10 ** said[at] + share * right)
+    out[at] = (1 - share) * said[at] + share * right
     return out
 
 
 class Symbols:
-    """The symbol of each id, and its log10 probability within its symbol."""
+    """The symbol of each id, and its probability within its symbol."""
 
     def __init__(self, counts: np.ndarray):
         order = symbols(counts)
         self.symbol = np.full(len(counts), INPUTS - 1, np.int64)
         self.symbol[order] = np.arange(len(order))
         rest = self.symbol == INPUTS - 1
-        self.within = np.where(rest, np.log10((counts + 0.5) / (counts[rest].sum() + 0.5 * rest.sum() or 1)), 0.0)
+        self.within = np.where(rest, (counts + 0.5) / (counts[rest].sum() + 0.5 * rest.sum() or 1), 1.0)
         self.share = np.bincount(self.symbol, counts + 0.5, INPUTS) + 1e-9
 
     def neighbours(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +267,7 @@ class Corpus:
         member[np.arange(INPUTS), self.cls] = 1
         by_class = np.maximum(after @ member, 1e-12)
         self.follows = (by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
-        self.told = np.log10(after / by_class[:, self.cls]).astype(np.float32)
+        self.told = (after / by_class[:, self.cls]).astype(np.float32)
         self.seen, self.rest = np.zeros((BUCKETS, CLASSES), np.float32), np.ones(BUCKETS, np.float32)
         self.guess, self.kind = np.full(GUESSES, -1, np.int32), np.zeros(GUESSES, np.int8)
 
@@ -295,76 +331,86 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:2], -1)
 
 
-def forward(p: dict, before: np.ndarray, x: np.ndarray) -> tuple:
-    """before: the counts' probabilities of classes. s, z: weights of the places and their sums. The last two: weights of the classes, and their sums."""
+def meeting(p: dict) -> np.ndarray:
+    """Query by key: what makes a place's weight of two inputs, with no keys of their own."""
+    return p["query"] @ p["key"].T * WIDTH**-0.5
+
+
+def forward(p: dict, before: np.ndarray, x: np.ndarray, met: np.ndarray | None = None) -> tuple:
+    """before: the counts' probabilities of classes. met: as of meeting(). s, z: weights of the places and their sums; mean: of what they weigh. The last two: weights of the classes, and their sums."""
     e = p["embed"].take(x, axis=0)
     e += p["place"]
     late = np.ascontiguousarray(e[:, CONTEXT:])
-    q, k, v = _times(late, p["query"]), _times(e, p["key"]), _times(e, p["value"])
-    q *= q.dtype.type(WIDTH**-0.5)
-    s = q @ k.transpose(0, 2, 1)
+    q = _times(late, meeting(p) if met is None else met)
+    s = q @ e.transpose(0, 2, 1)
     np.clip(s, -60, 60, out=s)  # in place of taking the largest away: no sum overflows or is 0
     s += _LATER
     np.exp(s, out=s)
     z = _times(s, np.ones((SPAN, 1), s.dtype))
-    h = s @ v
-    h /= z
+    mean = s @ e
+    mean /= z
+    h = _times(mean, p["value"])
     h += late
     w = _times(h, p["out"])
     np.clip(w, -40, 40, out=w)
     np.exp(w, out=w)
     w *= before
-    return e, late, q, k, v, s, z, h, w, _times(w, np.ones((CLASSES, 1), w.dtype))[..., 0]
+    return e, late, q, s, z, mean, h, w, _times(w, np.ones((CLASSES, 1), w.dtype))[..., 0]
 
 
 def gradients(p: dict, before: np.ndarray, x: np.ndarray, c: np.ndarray) -> dict:
     """Of the mean negative log probability of classes c (-1: none)."""
-    n, out = max(1, int((c >= 0).sum())), {}
+    n, out, met = max(1, int((c >= 0).sum())), {}, meeting(p)
     for a in range(0, len(x), CHUNK):
-        for name, g in _gradients(p, before[a : a + CHUNK], x[a : a + CHUNK], c[a : a + CHUNK], n).items():
+        for name, g in _gradients(p, before[a : a + CHUNK], x[a : a + CHUNK], c[a : a + CHUNK], n, met).items():
             out[name] = out[name] + g if a else g
     return out
 
 
-def _gradients(p: dict, before: np.ndarray, x: np.ndarray, c: np.ndarray, n: int) -> dict:
-    e, late, q, k, v, s, z, h, w, total = forward(p, before, x)
+def _gradients(p: dict, before: np.ndarray, x: np.ndarray, c: np.ndarray, n: int, met: np.ndarray) -> dict:
+    e, late, q, s, z, mean, h, w, total = forward(p, before, x, met)
     seen = c >= 0
     share = (seen / n).astype(w.dtype)
     g = w
     g *= (share / total)[..., None]
     g.reshape(-1)[np.arange(0, g.size, CLASSES) + np.maximum(c, 0).ravel()] -= share.ravel()  # places without a class have no share
     flat = lambda a: a.reshape(-1, a.shape[-1])
-    out = {"out": flat(h).T @ flat(g)}
+    out = {"out": (flat(g).T @ flat(h)).T}
     dh = _times(g, p["out"].T)
-    ds, part = dh @ v.transpose(0, 2, 1), dh / z
-    dv = s.transpose(0, 2, 1) @ part
-    ds -= np.einsum("ijk,ijk->ij", dh, h - late)[..., None]  # what the weights of a place's row sum to
+    out["value"] = flat(mean).T @ flat(dh)
+    d = _times(dh, p["value"].T)
+    ds = d @ e.transpose(0, 2, 1)
+    ds -= _times(mean * d, np.ones((WIDTH, 1), d.dtype))  # what the weights of a place's row sum to
+    s /= z
     ds *= s
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ (q / z)
-    dq *= q.dtype.type(WIDTH**-0.5) / z
-    out |= {"query": flat(late).T @ flat(dq), "key": flat(e).T @ flat(dk), "value": flat(e).T @ flat(dv)}
-    de = _times(dk, p["key"].T) + _times(dv, p["value"].T)
-    de[:, CONTEXT:] += _times(dq, p["query"].T) + dh
+    de = s.transpose(0, 2, 1) @ d
+    de += ds.transpose(0, 2, 1) @ q
+    dq = ds @ e
+    dmet = flat(late).T @ flat(dq) * WIDTH**-0.5
+    dh += _times(dq, met.T)
+    de[:, CONTEXT:] += dh
     embed = np.bincount(_CELLS.take(x.ravel(), axis=0).ravel(), de.ravel(), p["embed"].size).reshape(p["embed"].shape).astype(de.dtype)
-    return out | {"embed": embed, "place": de.sum(0)}
+    return out | {"query": dmet @ p["key"], "key": dmet.T @ p["query"], "embed": embed, "place": de.sum(0)}
 
 
 def train(p: dict, batches, rate: float = 0.01) -> tuple[dict, int]:
     """Adam over batches of (inputs, the counts' probabilities, classes); returns parameters and tokens seen."""
-    p = {k: v.copy() for k, v in p.items()}
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    w = {k: np.zeros_like(v) for k, v in p.items()}
-    tokens = 0
+    flat = _flat(p)
+    p, m, w, tokens = _parts(flat), np.zeros_like(flat), np.zeros_like(flat), 0
     for step, (x, before, c) in enumerate(batches, 1):
         tokens += int((c >= 0).sum())
         pace = np.float32(rate * min(1, step / 20) / (1 - 0.9**step))
-        for k, g in gradients(p, before, x, c).items():
-            m[k] *= np.float32(0.9)
-            m[k] += np.float32(0.1) * g
-            m[k][abs(m[k]) < 1e-20] = 0  # such numbers would only slow the core down
-            w[k] *= np.float32(0.98)
-            w[k] += np.float32(0.02) * g * g
-            p[k] -= pace * m[k] / (np.sqrt(w[k] / np.float32(1 - 0.98**step)) + np.float32(1e-8))
+        g = _flat(gradients(p, before, x, c))
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * g
+        m[abs(m) < 1e-20] = 0  # such numbers would only slow the core down
+        w *= np.float32(0.98)
+        g *= g
+        g *= np.float32(0.02)
+        w += g
+        by = np.sqrt(w / np.float32(1 - 0.98**step))
+        by += np.float32(1e-8)
+        flat -= pace * m / by
     return p, tokens
 
 
@@ -372,12 +418,14 @@ def _flat(p: dict) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in SHAPES])
 
 
+def _parts(flat: np.ndarray) -> dict:
+    """Views of the parameters, by name."""
+    ends = np.cumsum([np.prod(s) for s in SHAPES.values()])
+    return {k: x.reshape(s) for (k, s), x in zip(SHAPES.items(), np.split(flat, ends[:-1]), strict=True)}
+
+
 def _named(flat: np.ndarray) -> dict:
-    out, at = {}, 0
-    for k, s in SHAPES.items():
-        out[k] = flat[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
-        at += int(np.prod(s))
-    return out
+    return _parts(flat.astype(np.float32))
 
 
 def _block_fields(kind: str) -> str:
@@ -395,11 +443,12 @@ def _encode_job(path: str, block: int, lower: bool):
         coded = pa.array(hashes).dictionary_encode()
         word, tokens = np.asarray(coded.indices).astype(np.int64), np.asarray(coded.dictionary)
         at = np.flatnonzero(np.r_[True, word[1:] > np.maximum.accumulate(word)[:-1]])  # the dictionary's order is that of first places
-        order = np.argsort((65535 - np.minimum(np.bincount(word), 65535)).astype(np.uint16), kind="stable")  # common words have small places, which compress well
+        often = np.bincount(word)
+        order = np.argsort((65535 - np.minimum(often, 65535)).astype(np.uint16), kind="stable")  # common words have small places, which compress well
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         tokens, at, word = tokens[order], at[order], place[word]
-        ids, first = encoded(*spelt(data, *where[at].T), path)  # the end: no letters
+        ids, first = _met(path).encoded(tokens, often[order], data, where[at], path)  # the end: no letters
         alone = int(np.flatnonzero(tokens == END)[0])
         keep = np.ones(len(ids), bool)
         keep[first[alone] + 1 : first[alone + 1]] = False
@@ -514,16 +563,10 @@ def _tally_job(cells: int, keys_of):
     """Slices of the counts of the keys that a function makes of ids and where texts begin, below a fixed number of cells."""
 
     def job(batches):
-        have, some, size = np.zeros(cells, np.int32), [], 0
+        have = np.zeros(cells, np.int32)
         for batch in batches:
-            for *_, ids, ends in _texts(batch, True, 1 << 19):
-                some.append(keys_of(ids, ends))
-                size += len(some[-1])
-                if size > cells // 4:
-                    np.add(have, np.bincount(np.concatenate(some), minlength=cells), out=have, casting="unsafe")
-                    some, size = [], 0
-        if some:
-            have += np.bincount(np.concatenate(some), minlength=cells).astype(np.int32)
+            for *_, ids, ends in _texts(batch, True):
+                np.add.at(have, keys_of(ids, ends), np.int32(1))
         at = np.flatnonzero(have)
         yield from _sliced(cells, at, n=have[at])
 
@@ -678,22 +721,22 @@ def log10_scores(p: dict, corpus: Corpus, ids: np.ndarray, offsets: np.ndarray)
     if not len(ids):
         return np.zeros(len(offsets) - 1)
     x, y, *_ = windows(corpus.symbol, ids, offsets)
-    symbol = corpus.symbol[ids][np.maximum(y, 0)]
-    cls = corpus.cls[symbol].ravel() + np.arange(y.size) % (CHUNK * NEW) * CLASSES  # where it stands among a chunk's weights
-    said = np.empty(y.shape, np.float32)
+    own, text = corpus.symbol[ids], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    place = np.flatnonzero(y >= 0)  # windows have their texts' ids in order
+    cls = np.zeros(y.size, np.int64)
+    cls[place] = corpus.cls[own]
+    cls += np.arange(y.size) % (CHUNK * NEW) * CLASSES  # where it stands among a chunk's weights
+    said, met = np.empty(y.size, np.float32), meeting(p)
     for a in range(0, len(x), CHUNK):
-        b = x[a : a + CHUNK]
-        *_, w, total = forward(p, corpus.before(b), b)
-        said[a : a + CHUNK] = w.ravel().take(cls[a * NEW : (a + CHUNK) * NEW]).reshape(-1, NEW) / total
-    said = np.log10(said) + corpus.told[x[:, CONTEXT:], symbol]
-    out, seen = np.zeros(len(ids)), y >= 0
-    out[y[seen]] = said[seen]
-    out += corpus.within[ids]
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        b, part = x[a : a + CHUNK], slice(a * NEW, (a + CHUNK) * NEW)
+        *_, w, total = forward(p, corpus.before(b), b, met)
+        np.divide(w.ravel().take(cls[part]), total.ravel(), out=said[part])
+    out = said[place] * corpus.within[ids]
+    out *= corpus.told.ravel().take(x[:, CONTEXT:].ravel()[place] * INPUTS + own)
     row = rows_of(cues(ids, offsets, CUE))
-    out = with_guesses(out, ids, offsets, text, corpus.guess[row], corpus.kind[row].astype(np.int64))
-    out = with_guesses(out, ids, offsets, text, recent(ids, offsets, text), np.zeros(len(ids), np.int64))
-    return np.bincount(text, out, len(offsets) - 1)
+    out = guessed(out, ids, offsets, text, corpus.guess[row], corpus.kind[row])
+    out = guessed(out, ids, offsets, text, recent(ids, offsets, text), np.zeros(len(ids), np.int8))
+    return np.bincount(text, np.log10(out), len(offsets) - 1)
 
 
 def _score_job(known, weights):

@@ -1,5 +1,6 @@
 import inspect
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
@@ -267,3 +268,51 @@ def test_only_chosen_windows_are_made():
     symbol, keep = np.arange(300), np.array([0, 2, 5, 11])
     every, some = m.windows(symbol, ids, ends), m.windows(symbol, ids, ends, lambda text, number: keep)
     assert all((a[keep] == b).all() for a, b in zip(every, some, strict=True))
+
+
+def test_words_of_earlier_blocks_are_not_encoded_again(monkeypatch):
+    path, sent, plain = public_tokenizers.path("byte_bpe_50k.tiktoken"), [], m.encoded
+    monkeypatch.setattr(m, "encoded", lambda text, *rest: sent.append(text) or plain(text, *rest))
+    monkeypatch.setattr(m.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    texts = ["aa été bbbb aa été", "once  été aa aa twice twice", "", "twice aa new", "new twice été"]
+    batch = pa.RecordBatch.from_pydict({"id": range(5), "text": texts, "held": [False] * 5})
+
+    def made():
+        out = []
+        for row in (x for k in range(5) for x in m._encode_job(path, 1, False)(iter([batch.slice(k, 1)]))):
+            *_, ids, ends = next(m._texts(row, False))
+            out.append((ids.tolist(), ends.tolist()))
+        return out
+
+    m._met.cache_clear()
+    first = made()
+    end = m.coder(path)[1]
+    assert [x for x, _ in first] == [[*(i for w in t.split() for i in m.coder(path)[0].encode_ordinary(" " + w)), end] for t in texts]
+    assert b"".join(sent).decode().split() == ["aa", "été", "bbbb", "twice", "once", "new", "new"]  # words that a block has once are not kept
+    sent.clear()
+    assert made() == first and not {"aa", "été", "twice"} & set(b"".join(sent).decode().split())
+
+
+def test_counting_holds_one_table_of_cells():
+    ids, cells = np.random.default_rng(3).integers(0, 1 << 22, 1 << 21), 1 << 22
+    block = blocks_of([ids], [False])
+    tracemalloc.start()
+    rows = list(m._tally_job(cells, lambda ids, ends: ids)(iter([block])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(np.frombuffer(x["n"][0].as_py(), np.int32).sum() for x in rows) == len(ids)
+    assert peak < 120 << 20
+
+
+def test_attention_is_that_of_queries_keys_and_values():
+    r = np.random.default_rng(4)
+    p = {k: r.normal(size=s) * 0.5 for k, s in m.SHAPES.items()}
+    before, x = r.random((3, m.NEW, m.CLASSES)), r.integers(0, m.INPUTS, (3, m.SPAN))
+    *_, w, total = m.forward(p, before, x)
+    for b in range(3):
+        e = p["embed"][x[b]] + p["place"]
+        for i in range(m.NEW):
+            some = e[: m.CONTEXT + i + 1]
+            s = np.exp(some @ p["key"] @ (some[-1] @ p["query"]) * m.WIDTH**-0.5)
+            want = before[b, i] * np.exp((s @ (some @ p["value"]) / s.sum() + some[-1]) @ p["out"])
+            assert w[b, i] / total[b, i] == pytest.approx(want / want.sum(), rel=1e-6)
