@@ -36,6 +36,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -54,6 +55,8 @@ CUE, RECENT, GUESSES = 4, 3, 1 << 20  # ids that a guess rests on, by the corpus
 RIGHT, TRUST = np.array([0.03, 0.4, 0.7, 0.9]), 3.0  # before a text shows otherwise: the share of guesses that are right after 0, 1, 3 and 8 right ones; it counts as so many guesses
 KNOWN = 1 << 18  # words whose ids a process keeps, some 10 MB
 SLICE = 1 << 16  # cells of a table of counts that travel as one row
+LED = 1 << 20  # leaders of all tasks that a task brings together at most, some 24 MB; the rows of guesses are cut by it
+BYTES = 8 << 20  # that reach Python at a time, one block or more
 BATCH, CHUNK = 256, 256  # windows of a training step; those that are worked on at a time, enough for numpy's calls to weigh little
 END = int(mix(np.array([12345], U)).view(np.int64)[0])  # stands for the end among the words' hashes
 SHAPES = {"embed": (INPUTS + 1, WIDTH), "place": (SPAN, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "out": (WIDTH, CLASSES)}
@@ -547,16 +550,22 @@ def shared_words(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part"), "tokens": cut(tokens), "totals": cut(total), "all": once(n.sum()), "kinds": once((sums > 0).sum())})
 
 
-def _sliced(cells: int, at: np.ndarray, **values: np.ndarray):
-    """Rows (part, cell, values...) of ascending cells: `SLICE` cells a row, as bytes, so that millions of counts are some hundred rows."""
-    ends = np.searchsorted(at, np.arange(0, cells + SLICE, SLICE))
-    columns = {"cell": (at % SLICE).astype(np.uint16), **values}
-    for k in np.flatnonzero(np.diff(ends)):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x[ends[k] : ends[k + 1]].tobytes()], pa.binary()) for x in columns.values())], names=["part", *columns])
+def _sliced(have: np.ndarray, cut: int = SLICE, **values: np.ndarray):
+    """Rows (part, cell, values...) of the cells that have any: `cut` cells a row, as bytes, so that millions of counts are some hundred rows; rows of `SLICE` cells in all are one batch."""
+    for a in range(0, len(have), SLICE):
+        rows = []
+        for k in range(a // cut, -(-min(a + SLICE, len(have)) // cut)):
+            own = slice(k * cut, (k + 1) * cut)
+            at = np.flatnonzero(have[own])
+            if len(at):
+                rows.append((k, at.astype(np.uint16).tobytes(), *(x[own][at].tobytes() for x in values.values())))
+        if rows:
+            part, *columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["part", "cell", *values])
 
 
-def _cells(part: int, cell) -> np.ndarray:
-    return part * SLICE + np.frombuffer(cell.as_py(), np.uint16).astype(np.int64)
+def _cells(part: int, cell, cut: int = SLICE) -> np.ndarray:
+    return part * cut + np.frombuffer(cell.as_py(), np.uint16).astype(np.int64)
 
 
 def _tally_job(cells: int, keys_of):
@@ -567,8 +576,7 @@ def _tally_job(cells: int, keys_of):
         for batch in batches:
             for *_, ids, ends in _texts(batch, True):
                 np.add.at(have, keys_of(ids, ends), np.int32(1))
-        at = np.flatnonzero(have)
-        yield from _sliced(cells, at, n=have[at])
+        yield from _sliced(have, n=have)
 
     return job
 
@@ -582,8 +590,7 @@ def _id_job(cells: int):
             for b in range(len(batch)):
                 n, ids, many = _numbers(batch, b, "n", np.int64), _planed(batch, b, "ids"), _planed(batch, b, "many")
                 have += np.bincount(ids, np.repeat(n, many), cells).astype(np.int64)
-        at = np.flatnonzero(have)
-        yield from _sliced(cells, at, n=have[at].astype(np.int32))
+        yield from _sliced(have, n=have.astype(np.int32))
 
     return job
 
@@ -616,14 +623,13 @@ def _gathered(df: DataFrame) -> pa.Table:
     return table
 
 
-def _vote_job(kinds: int):
+def _vote_job(kinds: int, cut: int = SLICE):
     def job(batches):
         votes = Votes(kinds)
         for batch in batches:
             for *_, ids, ends in _texts(batch, True, 1 << 19):
                 votes.add(ids, ends)
-        at = np.flatnonzero(votes.cast)
-        yield from _sliced(GUESSES, at, own=votes.id[at], left=votes.left[at], cast=votes.cast[at])
+        yield from _sliced(votes.cast, cut, own=votes.id, left=votes.left, cast=votes.cast)
 
     return job
 
@@ -640,14 +646,15 @@ def _lead_job(kinds: int):
     """One row a slice of the guesses, of all tasks' rows of it: by row the id with the most votes left, those, and all that were cast."""
 
     def job(batches):
-        have = {}
+        have, new = {}, {}
         for batch in batches:
             for k, *row in zip(batch.column("part").to_pylist(), *(batch.column(c) for c in ("cell", "own", "left", "cast")), strict=True):
                 own, left, cast = (np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in row[1:])
                 some = have.setdefault(k, [])
                 some.append((_cells(0, row[0]) * kinds + own, left, cast))
-                if len(some) > 1 and sum(len(x[0]) for x in some[1:]) > max(1 << 19, len(some[0][0])):
-                    have[k] = [together(*map(np.concatenate, zip(*some, strict=True)))]
+                new[k] = new.get(k, 0) + len(own)
+                if new[k] > max(1 << 19, len(some[0][0])):
+                    have[k], new[k] = [together(*map(np.concatenate, zip(*some, strict=True)))], 0
         for k, some in have.items():
             key, left, cast = together(*map(np.concatenate, zip(*some, strict=True)))
             row = key // kinds
@@ -659,11 +666,16 @@ def _lead_job(kinds: int):
     return job
 
 
+def cut_for(tasks: int) -> int:
+    """Rows of the guesses in a slice, so that what tasks lead with there is `LED` at most: each can name another id in each row."""
+    return min(SLICE, 1 << max(0, (LED // max(1, tasks)).bit_length() - 1))
+
+
 def _voted(blocks: DataFrame, kinds: int) -> tuple[np.ndarray, ...]:
-    """Rows of the guesses, their ids, votes left and votes cast, over all tasks: `GUESSES` rows at most."""
-    kind = "part int, cell binary, own binary, left binary, cast binary"
-    table = _gathered(blocks.mapInArrow(_vote_job(kinds), kind).repartition("part").mapInArrow(_lead_job(kinds), kind))
-    at = [_cells(k, cell) for k, cell in zip(table["part"].to_pylist(), table["cell"], strict=True)]
+    """Rows of the guesses, their ids, votes left and votes cast, over all tasks: `GUESSES` rows at most. One slice a task, as leaders of several tasks hardly agree and are as many as the corpus's tasks."""
+    kind, cut = "part int, cell binary, own binary, left binary, cast binary", cut_for(blocks.rdd.getNumPartitions())
+    table = _gathered(blocks.mapInArrow(_vote_job(kinds, cut), kind).repartitionById(GUESSES // cut, F.col("part")).mapInArrow(_lead_job(kinds), kind))
+    at = [_cells(k, cell, cut) for k, cell in zip(table["part"].to_pylist(), table["cell"], strict=True)]
     return np.concatenate([np.zeros(0, np.int64), *at]), *(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_py(), np.int64) for x in table[c])]) for c in ("own", "left", "cast"))
 
 
@@ -746,8 +758,7 @@ def _score_job(known, weights):
             scores = [np.zeros(len(x)) for x in batch.column("held")]
             for b, i, j, ids, ends in _texts(batch, False):
                 scores[b][i:j] = log10_scores(p, corpus, ids, ends)
-            kept = batch.drop_columns(["ids", "many"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x.tobytes() for x in scores], pa.binary())], names=[*kept.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array([x.tobytes() for x in scores], pa.binary())], names=["part", "score"])
 
     return job
 
@@ -756,6 +767,7 @@ def _base_job(all_tokens: int, kinds: int):
     def each(table: pa.Table, shared: pa.Table):
         token, total = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_py(), np.int64) for x in shared.column(c))]) for c in ("tokens", "totals"))
         for b in range(len(table)):  # one block
+            score = np.frombuffer(shared.column("score").drop_null()[b].as_py(), np.float64)
             tokens, n, sizes = (_numbers(table, b, c, np.int64) for c in ("tokens", "n", "sizes"))
             words = _planed(table, b, "words")
             by_hash, n = np.argsort(tokens), n.copy()
@@ -763,12 +775,24 @@ def _base_job(all_tokens: int, kinds: int):
             c, text, rows = n[words], np.repeat(np.arange(len(sizes)), sizes), len(sizes)
             yield pa.table({
                 "id": table.column("id")[b].values, "held_out": table.column("held")[b].values, "n_tokens": sizes, "n_known": np.bincount(text[c > 0], minlength=rows), "train_tokens": np.full(rows, all_tokens),
-                "base_score": np.bincount(text, np.log10((c + 0.5) / (all_tokens + 0.5 * (kinds + 1))), rows), "score": _numbers(table, b, "score", np.float64),
+                "base_score": np.bincount(text, np.log10((c + 0.5) / (all_tokens + 0.5 * (kinds + 1))), rows), "score": score,
             })
 
     return lambda table, shared: pa.concat_tables(list(each(table, shared)))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Blocks reach Python one by one: by Spark's own limit a task and its executor hold some 64 MB of them each, twice."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def lm_scores(docs: DataFrame, path: str, rounds: int = 2, block_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text", lower: bool = False) -> DataFrame:
     """One row per text: `id_col`, held_out, n_tokens, n_known, train_tokens, base_score, score. path: of a tiktoken file of ranks that every executor has. lower: A-Z are taken as a-z, all other characters as they are."""
     spark = docs.sparkSession
@@ -776,6 +800,13 @@ def lm_scores(docs: DataFrame, path: str, rounds: int = 2, block_bytes: int = 6
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held.alias("held"))
     kind = given.schema["id"].dataType.simpleString()
     coded = written(given.mapInArrow(_encode_job(path, block_bytes, lower), _block_fields(kind)))
+    with _small_batches(spark):
+        return _scored(coded, path, rounds, kind).withColumnRenamed("id", id_col)
+
+
+def _scored(coded: DataFrame, path: str, rounds: int, kind: str) -> DataFrame:
+    """As lm_scores(), of written blocks; kind: of the texts' id."""
+    spark = coded.sparkSession
     slices = max(1, coded.count() // 8)  # as large at any size: that of the words of some blocks
     words = coded.select("part", "tokens", "n").mapInArrow(_word_job(slices), "slice int, part long, tokens binary, n binary")
     words = written(words.repartition(slices, "slice").groupBy("slice").applyInArrow(shared_words, "part long, tokens binary, totals binary, all long, kinds long"))
@@ -808,9 +839,9 @@ def lm_scores(docs: DataFrame, path: str, rounds: int = 2, block_bytes: int = 6
     for turn in range(rounds):
         job = _train_job(known, spark.sparkContext.broadcast(flat), rounds, turn)
         flat = averaged(learning.mapInArrow(job, "task long, weights binary, tokens long"), flat)
-    scored = coded.mapInArrow(_score_job(known, spark.sparkContext.broadcast(flat)), f"part long, id array<{kind}>, held array<boolean>, sizes binary, words binary, tokens binary, n binary, score binary")
-    scored = scored.groupBy("part").cogroup(words.select("part", "tokens", "totals").groupBy("part")).applyInArrow(_base_job(all_tokens, kinds), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.withColumnRenamed("id", id_col)
+    scores = written(coded.select("part", "held", "sizes", "words", "ids", "many").mapInArrow(_score_job(known, spark.sparkContext.broadcast(flat)), "part long, score binary"))
+    told = words.select("part", "tokens", "totals", F.expr("cast(null as binary)").alias("score")).union(scores.select("part", F.expr("X''"), F.expr("X''"), "score"))
+    return coded.select("part", "id", "held", "sizes", "words", "tokens", "n").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_base_job(all_tokens, kinds), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,3 +316,37 @@ def test_attention_is_that_of_queries_keys_and_values():
             s = np.exp(some @ p["key"] @ (some[-1] @ p["query"]) * m.WIDTH**-0.5)
             want = before[b, i] * np.exp((s @ (some @ p["value"]) / s.sum() + some[-1]) @ p["out"])
             assert w[b, i] / total[b, i] == pytest.approx(want / want.sum(), rel=1e-6)
+
+
+def test_leaders_of_many_tasks_meet_in_slices_that_fit(spark, tmp_path, monkeypatch):
+    most, r, size, plain = 1 << 16, np.random.default_rng(13), 50_000, m._lead_job
+    monkeypatch.setattr(m, "LED", most, raising=False)
+
+    def counted(*args):
+        job = plain(*args)
+
+        def run(batches):
+            batches = list(batches)
+            (tmp_path / str(m.TaskContext.get().partitionId())).write_text(str(sum(len(x.as_py()) // 2 for b in batches for x in b.column("cell"))))
+            return job(iter(batches))
+
+        return run
+
+    tasks = [blocks_of([r.integers(0, size, 30_000)], [False]) for _ in range(6)]
+    blocks = spark.range(0, 6, 1, 6).mapInArrow(lambda rows: (tasks[x["id"][0].as_py()] for x in rows), "held array<boolean>, sizes binary, words binary, n binary, ids binary, many binary")
+    monkeypatch.setattr(m, "_lead_job", counted)
+    got = m._voted(blocks, size)
+    read = [int(x.read_text()) for x in tmp_path.iterdir()]
+    assert max(read) <= most < sum(read)
+    rows = [x for b in tasks for x in m._vote_job(size)(iter([b]))]
+    want = {}
+    for x in plain(size)(iter(rows)):
+        cells = m._cells(x["part"][0].as_py(), x["cell"][0])
+        want |= dict(zip(cells.tolist(), zip(*(np.frombuffer(x[c][0].as_py(), np.int64).tolist() for c in ("own", "left", "cast")), strict=True), strict=True))
+    assert dict(zip(got[0].tolist(), zip(*(x.tolist() for x in got[1:]), strict=True), strict=True)) == want
+
+
+def test_slices_hold_what_their_tasks_may_lead_with():
+    for tasks in (0, 1, 16, 17, 480, 2400, 10**7):
+        cut = m.cut_for(tasks)
+        assert m.GUESSES % cut == 0 and 1 <= cut <= m.SLICE and (cut * tasks <= m.LED or cut == 1)
